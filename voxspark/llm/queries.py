@@ -5,28 +5,85 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import minhash, mixing, sharding
+from . import chat, chroma, decontam, langid, minhash, mixing, pii, sharding, tokens, toxicity
 from .scratch import Scratch
 
+#: Key of the surrogates of op3. A deployment passes its own secret to ``pii.pseudonymise``.
+DEMO_KEY = b"a key for tests and demonstrations only"
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary(name: str) -> str:
+    """Path of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    net = toxicity.train(docs, _table(spark, sf_dir, "labels"), Scratch(spark, "op1"))
+    return toxicity.classify(docs, net).withColumn("held_out", langid.held_out(F.col("doc_id")))
+
+
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), Scratch(spark, "op2"))
 
 
+def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(_table(spark, sf_dir, "documents"), Scratch(spark, "op3"), DEMO_KEY)
+
+
+def op4_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "op4")
+    folder = scratch.folder("tokens")
+    manifest = tokens.write_tokens(_table(spark, sf_dir, "documents"), scratch, vocabulary("word_bpe_49k.json"), folder)
+    return tokens.read_tokens(manifest, folder, tokens.crc32_of_ids, "long").withColumnRenamed("value", "ids_crc32")
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.mix(_table(spark, sf_dir, "documents"), Scratch(spark, "op5"))
     return mix.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_audio_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    recordings = chroma.melodies(_table(spark, sf_dir, "embeddings"))
+    queries = chroma.excerpts(recordings.filter(F.col("rec_id") % 100 == 0))
+    return chroma.search(queries, recordings, Scratch(spark, "op6"))
+
+
 def op7_shard_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents"), Scratch(spark, "op7"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = langid.train(docs, Scratch(spark, "op8"), vocabulary("piece_bpe_32k.model"))
+    return langid.predict(docs, model).withColumn("held_out", langid.held_out(F.col("doc_id")))
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), Scratch(spark, "op9"))
+
+
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    hard = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(hard)
+    read = chat.read_back(chat.format_conversations(rows, chat.inst_template))
+    lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    loss = F.array_join("loss_texts", "")
+    return read.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(F.array_join(lines, ""), 256).alias("turns_sha256"),
+        F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), "formatted_chars",
+    )
+
+
 _OP2_SQL = r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
@@ -80,13 +137,44 @@ FROM running
 """
 
 
+_OP10_SQL = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+sized AS (
+  SELECT *, length(text) + len(regexp_extract_all(text, '\\|<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>|<\|im_start\|>|<\|im_end\|>')) AS n,
+    length(role) + len(regexp_extract_all(role, '\\|<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>|<\|im_start\|>|<\|im_end\|>')) AS r
+  FROM rows)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(CASE role WHEN 'user' THEN n + 18 WHEN 'assistant' THEN n + 6 ELSE n + r + 18 END)::BIGINT AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity_cnn": op1_toxicity_cnn,
         "op2_near_dedup": op2_near_dedup,
+        "op3_pii_surrogates": op3_pii_surrogates,
+        "op4_token_blocks": op4_token_blocks,
         "op5_mix_sources": op5_mix_sources,
+        "op6_audio_fingerprints": op6_audio_fingerprints,
         "op7_shard_hilbert": op7_shard_hilbert,
+        "op8_language_id": op8_language_id,
+        "op9_decontaminate": op9_decontaminate,
+        "op10_chat_format": op10_chat_format,
+        "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_near_dedup": _OP2_SQL, "op5_mix_sources": _OP5_SQL}
+    return {"op2_near_dedup": _OP2_SQL, "op5_mix_sources": _OP5_SQL, "op10_chat_format": _OP10_SQL}
