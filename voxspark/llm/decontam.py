@@ -64,9 +64,8 @@ def template(words: list[str], row: np.ndarray, values: np.ndarray) -> tuple[np.
     solid = np.flatnonzero(flags & _EMPTY == 0)
     if not len(solid):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), solid
-    ends = np.cumsum(flags & _END != 0)
-    before = np.concatenate([[-1], solid[:-1]])
-    fresh = np.where(before < 0, True, ends[solid - 1] - np.where(before > 0, ends[before - 1], 0) > 0)
+    ends = np.concatenate([[0], np.cumsum(flags & _END != 0)])  # before each word
+    fresh = np.concatenate([[True], ends[solid[1:]] > ends[solid[:-1]]])
     fl = flags[solid]
     number = fl & _NUM != 0
     unit = (fl & _UNIT != 0) & np.concatenate([[False], number[:-1]])
