@@ -8,10 +8,10 @@ for large sets and after ``2 t`` at most, so every coordinate is filled and, unl
 binning, coordinates agree with a probability equal to the Jaccard similarity, with concentration.
 
 Bands of the sketch give candidate links; copies of a set are merged first, so that a bucket holds
-different sets. Within a bucket all are compared with its smallest id. Only buckets whose members are
-not yet in one class go on: there, all pairs across classes are compared, less those that a bound
-rules out. The bound is exact: with ``u`` shingles of ``x`` in no other open document,
-``|x & y| <= |x| - u``. Every link is confirmed on full sets.
+different sets. Within a bucket all are compared with its smallest id. Documents of buckets whose
+members are not yet in one class go on: pairs across classes are found among them by an exact prefix
+filter on their rarest shingles, in which members of one class never meet. Every link is confirmed on
+full sets.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -141,16 +141,8 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, k: int = 4, percent: int
     labelled = shared.select("bucket", "doc_id", "n").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id")).drop("component")
     labelled = scratch.keep(labelled, "labelled")
     mixed = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("bucket")
-    # an open pair has also failed, or not been tried, against each other's head
-    members_open = scratch.keep(labelled.join(mixed, "bucket", "left_semi"), "open")
-    alone = _own_shingles(sets, members_open)
-    room = F.floor((F.lit(100 + percent) * (F.col("n") - F.col("own")) - F.lit(percent) * F.col("n")) / F.lit(percent))  # the largest partner
-    open_rows = scratch.keep(members_open.join(alone, "doc_id").withColumn("room", room).filter(F.col("room") * 100 >= F.col("n") * percent), "able")
-    x, y = open_rows.alias("x"), open_rows.alias("y")
-    fits = (F.col("x.n") <= F.col("y.room")) & (F.col("y.n") <= F.col("x.room"))
-    across = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") < F.col("y.label")) & fits)
-    pairs = across.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b"), F.col("x.label").alias("la"), F.col("y.label").alias("lb")).distinct()
-    pairs = scratch.keep(pairs.join(stars, ["a", "b"], "left_anti"), "across")
+    left = scratch.keep(labelled.join(mixed, "bucket", "left_semi").select("doc_id", "n", "label").distinct(), "open")
+    pairs = scratch.keep(_across(left, sets, scratch, percent).join(stars, ["a", "b"], "left_anti"), "across")
     more = scratch.keep(_confirmed(pairs, sets, percent), "more")
     joined = components(more.select(F.col("la").alias("a"), F.col("lb").alias("b")), scratch)
 
@@ -174,10 +166,28 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return checked.filter(F.col("common") * 100 >= F.col("whole") * percent).select(*pairs.columns)
 
 
-def _own_shingles(sets: DataFrame, rows: DataFrame) -> DataFrame:
-    """``doc_id, own``: how many shingles of each document of ``rows`` no other one of them has."""
-    ids = rows.select(F.col("doc_id").alias("of")).distinct()
-    exploded = sets.join(ids, F.col("doc_id") == F.col("of"), "left_semi").select("doc_id", F.explode("shingles").alias("shingle"))
-    once = exploded.groupBy("shingle").agg(F.count(F.lit(1)).alias("c"), F.min("doc_id").alias("doc_id")).filter("c = 1")
-    own = once.groupBy("doc_id").agg(F.count(F.lit(1)).alias("own"))
-    return ids.join(own, F.col("of") == F.col("doc_id"), "left").select(F.col("of").alias("doc_id"), F.coalesce("own", F.lit(0)).alias("own"))
+def _across(docs: DataFrame, sets: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """Pairs of ``docs`` (doc_id, n, label) of different labels that may be similar enough: ``a, b, la, lb``.
+
+    With the shingles of each set in order of their number of documents, sets x and y that have
+    ``need = percent / (100 + percent) * (|x| + |y|)`` in common share one among the first ``|x| - need + 1``
+    of x and the first ``|y| - need + 1`` of y. Rows whose place rules out every partner at their shingle,
+    and shingles that only one class still has there, go before the join, so members of one class never
+    meet however many they are.
+    """
+    every = sets.select(F.col("doc_id").alias("of"), "shingles").join(docs, F.col("of") == F.col("doc_id")).select("doc_id", "n", "label", F.explode("shingles").alias("shingle"))
+    every = scratch.keep(every, "shingles")
+    frequency = every.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "shingle")) - 1
+    ranked = every.join(frequency, "shingle").withColumn("place", place)
+    first = scratch.keep(ranked.filter((F.col("df") > 1) & (F.col("place") * 100 <= F.col("n") * (100 - percent))).drop("df"), "first")
+
+    def fits(n: Column, place: Column, other: Column) -> Column:
+        return (n - place) * (100 + percent) >= (n + other) * percent
+
+    for _ in range(2):  # what goes for its place may leave a shingle to one class
+        least = first.groupBy("shingle").agg(F.min("n").alias("least"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("shingle", "least")
+        first = scratch.keep(first.join(least, "shingle").filter(fits(F.col("n"), F.col("place"), F.greatest("least", F.ceil(F.col("n") * percent / 100)))).drop("least"), "first")
+    x, y = first.alias("x"), first.alias("y")
+    met = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.label") < F.col("y.label")) & fits(F.col("x.n"), F.col("x.place"), F.col("y.n")) & fits(F.col("y.n"), F.col("y.place"), F.col("x.n"))
+    return x.join(y, met).select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b"), F.col("x.label").alias("la"), F.col("y.label").alias("lb")).distinct()
