@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
-from .words import WordTable, in_blocks, mix64
+from .words import WordTable, mix64, split_blocks
 
 # Unit words that follow a number.
 UNITS = frozenset("mm cm m km in ft mi mg g kg t lb oz ml l s ms min h hr hrs hours minutes seconds days weeks months years percent % $ € £ usd eur dollars euros cents degrees °c °f km/h mph v w kw kwh hz khz mhz ghz kb mb gb tb".split())
@@ -28,7 +28,6 @@ UNITS = frozenset("mm cm m km in ft mi mg g kg t lb oz ml l s ms min h hr hrs ho
 _NUMBER = re.compile(r"[+\-−]?[$€£]?\d+(?:[.,:/]\d+)*%?")
 _MARKS = re.compile(r"^[\W_]+|[\W_]+$")
 _ENDS = re.compile(r"[.!?:…]\W*$")
-BLOCK_WORDS = 400_000
 LITERAL, NUMBER, UNIT, NAME, NOTHING = range(5)
 #: Bits of the flags beside a word's hash.
 _TITLE, _END, _NUM, _UNIT, _EMPTY = 1, 2, 4, 8, 16
@@ -156,10 +155,9 @@ def _hits(docs: DataFrame, bloom, width: int, least_literal: int) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table, held = WordTable(_features), bloom.value if bloom is not None else None
         for frame in frames:
-            split = [t.split() if t is not None else [] for t in frame["text"]]
-            for a, b in in_blocks(split, len, BLOCK_WORDS):
-                rows, values = table.look_up(split[a:b])
-                yield _found(frame["doc_id"].iloc[a:b], split[a:b], rows, values, width, least_literal, held)
+            for part, words in split_blocks(frame):
+                rows, values = table.look_up(words)
+                yield _found(part["doc_id"], words, rows, values, width, least_literal, held)
 
     return docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInPandas(run, HITS)
 

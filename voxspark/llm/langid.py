@@ -15,11 +15,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
-from .words import WordTable, in_blocks, mix64
+from .words import WordTable, in_blocks, mix64, split_blocks
 
 UNDETERMINED = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -28,7 +29,6 @@ MAX_RUN = 32
 MAX_PIECE = 12
 #: Probability of a character that no piece covers.
 UNKNOWN = 1e-9
-BLOCK_WORDS = 300_000
 _MARK = "▁"
 
 
@@ -241,10 +241,10 @@ def scorer_of(model: Model) -> Callable[[pd.Series, pd.Series], pd.DataFrame]:
     table = WordTable(features)
 
     def score(ids: pd.Series, texts: pd.Series) -> pd.DataFrame:
-        split, made = [t.split() if t is not None else [] for t in texts], []
-        for a, b in in_blocks(split, len, BLOCK_WORDS):
-            rows, values = table.look_up(split[a:b])
-            made.append(_decide(ids.iloc[a:b], [values[r].sum(axis=0) for r in rows], languages))
+        made = []
+        for part, words in split_blocks(pd.DataFrame({"id": ids.array, "text": texts.array})):
+            rows, values = table.look_up(words)
+            made.append(_decide(part["id"], [values[r].sum(axis=0) for r in rows], languages))
         return pd.concat(made) if made else _decide(ids, [], languages)
 
     return score
@@ -277,17 +277,16 @@ def filtered(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
 
     Texts are scored where they are read: no join brings scores and rows together.
     """
-    columns = docs.columns
-    others = [c for c in columns if c not in ("text", "lang")]
+    at = docs.columns.index("lang")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = scorer_of(model)
-        for frame in frames:
-            found = scorer(frame["text"], frame["text"])
-            good = ((found["lang_pred"] != UNDETERMINED) & (found["score"] >= least)).to_numpy()
-            kept = frame[good].copy()
-            names = found["lang_pred"].to_numpy()[good]
-            kept["lang"] = [n if x is None else x for x, n in zip(kept["lang"], names)]
-            yield kept
-
-    return docs.select(*others, "text", "lang").mapInPandas(run, docs.select(*others, "text", "lang").schema).select(*columns)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = scorer_of(model)
+        for batch in batches:
+            texts = pd.Series(batch.column("text").to_pylist(), dtype=object)
+            found = score(texts, texts)
+            names = [n if x is None else x for x, n in zip(batch.column("lang").to_pylist(), found["lang_pred"])]
+            good = (found["lang_pred"].to_numpy() != UNDETERMINED) & (found["score"].to_numpy() >= least)
+            field = batch.schema.field(at)
+            yield batch.set_column(at, field, pa.array(names, type=field.type)).filter(pa.array(good, type=pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

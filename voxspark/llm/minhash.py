@@ -26,12 +26,10 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .scratch import Scratch
-from .words import WordTable, in_blocks, mix64
+from .words import WordTable, mix64, split_blocks
 
 _MASK = (1 << 64) - 1
 _FRACTION = np.uint64((1 << 52) - 1)
-#: Words handled at a time in a Python worker.
-BLOCK_WORDS = 400_000
 
 
 def _word_ids(words: list[bytes]) -> np.ndarray:
@@ -77,10 +75,9 @@ def _sets(frames: Iterator[pd.DataFrame], k: int) -> Iterator[tuple[pd.DataFrame
     """Blocks of rows with their shingle sets."""
     table = WordTable(_word_ids)
     for frame in frames:
-        words = [t.encode().lower().split() if t is not None else [] for t in frame["text"]]
-        for a, b in in_blocks(words, len, BLOCK_WORDS):
-            rows, ids = table.look_up(words[a:b])
-            yield frame.iloc[a:b], [shingle_hashes(ids[r], k) for r in rows]
+        for part, words in split_blocks(frame, lambda t: t.encode().lower().split()):
+            rows, ids = table.look_up(words)
+            yield part, [shingle_hashes(ids[r], k) for r in rows]
 
 
 def sketches(docs: DataFrame, k: int = 4, bands: int = 24, rows: int = 4) -> DataFrame:

@@ -62,9 +62,9 @@ def thresholds(rows: DataFrame, scratch: Scratch, weights: tuple[float, ...] = (
     targets = scratch.keep(source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), "targets")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     targets = targets.withColumn("whole", whole).withColumnRenamed("source", "mix_source")
-    # what is to come from documents below the threshold; sources without words have none
+    # what is to come from documents below the threshold; sources at a whole multiple have none
     rest = F.col("target") - F.col("whole") * F.col("source_size")
-    bounds = targets.filter("source_size > 0").select(F.col("mix_source").alias("of"), F.lit(0).cast("long").alias("low"), rest.alias("budget"))
+    bounds = targets.select(F.col("mix_source").alias("of"), F.lit(0).cast("long").alias("low"), rest.alias("budget")).filter("budget > 0")
     shift = HASH_BITS
     for bits in (*LEVEL_BITS, HASH_BITS - sum(LEVEL_BITS)):
         above, shift = shift, shift - bits

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 
 import numpy as np
+import pandas as pd
 
 
 class WordTable:
@@ -47,6 +48,18 @@ def in_blocks(items: list, size: Callable[[object], int], most: int) -> Iterable
         yield start, len(items)
 
 
+#: Characters of text that a task splits into words at a time.
+BLOCK_CHARS = 2_000_000
+
+
+def split_blocks(frame: pd.DataFrame, split: Callable[[str], list] = str.split, column: str = "text") -> Iterable[tuple[pd.DataFrame, list[list]]]:
+    """Blocks of rows of ``frame`` with their texts split into words; null texts have none."""
+    sizes = [0 if t is None else len(t) for t in frame[column]]
+    for a, b in in_blocks(sizes, int, BLOCK_CHARS):
+        part = frame.iloc[a:b]
+        yield part, [split(t) if t is not None else [] for t in part[column]]
+
+
 def mix64(h: np.ndarray) -> np.ndarray:
     """Avalanche of 64-bit integers (the finaliser of splitmix64)."""
     h = h.astype(np.uint64, copy=True)
