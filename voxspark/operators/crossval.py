@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,3 +19,221 @@ def best_shift(pairs: DataFrame, by: Sequence[str], n: int) -> DataFrame:
     shift = a.join(b, list(by)).groupBy(*by, F.pmod(F.col("px") - F.col("ax"), F.lit(n)).alias("sx"), F.pmod(F.col("py") - F.col("ay"), F.lit(n)).alias("sy")).agg(F.sum(F.col("v1") * F.col("v2")).alias("c"))
     wrapped = [F.when(F.col(s) > n // 2, F.col(s) - n).otherwise(F.col(s)).cast("int").alias(s) for s in ("sx", "sy")]
     return shift.groupBy(*by).agg(F.max_by(F.struct(*wrapped), "c").alias("at"), F.max("c").alias("peak")).select(*by, "at.sx", "at.sy", "peak")
+
+
+# --- curves -----------------------------------------------------------------------------------------
+
+
+def axis_dim(size: Column, unit: Column, resolution: Column) -> tuple[Column, Column]:
+    """(resolution within 2 units and half the extent, number of shells ``int(2 + extent / resolution)``)."""
+    extent = size * unit
+    held = F.least(F.greatest(resolution, 2 * unit), extent / 2)
+    return held, (F.lit(2) + extent / held).cast("int")
+
+
+def physical_shells(radius: Column, bin_size: float) -> Column:
+    """Shells that a frequency at ``radius`` adds to: int(r - d + 1) to int(r + d) with d half the bin; the origin only to 0."""
+    d = bin_size / 2
+    low, high = (radius - d + 1).cast("int"), (radius + d).cast("int")
+    return F.when(radius == 0, F.array(F.lit(0))).when(low <= high, F.sequence(low, F.greatest(low, high))).otherwise(F.array().cast("array<int>"))
+
+
+def fsc_physical(pairs: DataFrame, by: Sequence[str], radius: Column, bin_size: float = 1.0, even_odd: bool = False) -> DataFrame:
+    """``idx, value``: correlation by physical frequency, clipped to 0..1 and 1 at the origin; ``even_odd`` turns
+    half-data correlation into that of the whole, 2 c / (c + 1)."""
+    exact = pairs.withColumn("shells", physical_shells(radius, bin_size)).groupBy(*by, "shells").agg(
+        F.sum(F.col("re1") * F.col("re2") + F.col("im1") * F.col("im2")).alias("c"),
+        F.sum(F.col("re1") * F.col("re1") + F.col("im1") * F.col("im1")).alias("c1"),
+        F.sum(F.col("re2") * F.col("re2") + F.col("im2") * F.col("im2")).alias("c2"),
+    )
+    sums = exact.withColumn("idx", F.explode("shells")).groupBy(*by, "idx").agg(F.sum("c").alias("c"), F.sum("c1").alias("c1"), F.sum("c2").alias("c2"))
+    value = F.greatest(F.least(F.coalesce(F.try_divide("c", F.sqrt(F.col("c1") * F.col("c2"))), F.lit(0.0)), F.lit(1.0)), F.lit(0.0))
+    if even_odd:
+        value = 2 * value / (value + 1)
+    return sums.select(*by, "idx", F.when(F.col("idx") == 0, 1.0).otherwise(value).alias("value"))
+
+
+def last_crossings(curve: DataFrame, by: Sequence[str], thresholds: Sequence[float]) -> DataFrame:
+    """For each threshold, up to the first that is not positive, the resolution at the last downward crossing
+    of ``value`` along ``idx``, interpolated in ``s``; 0 without one."""
+    kept = []
+    for t in thresholds[:3]:
+        if t <= 0:
+            break
+        kept.append(float(t))
+    window = Window.partitionBy(*by).orderBy("idx")
+    steps = curve.withColumn("value0", F.lag("value").over(window)).withColumn("s0", F.lag("s").over(window))
+    each = steps.withColumn("threshold", F.explode(F.array(*[F.lit(t) for t in kept])))
+    down = (F.col("value0") >= F.col("threshold")) & (F.col("value") < F.col("threshold"))
+    s = F.col("s0") + (F.col("s") - F.col("s0")) * (F.col("value0") - F.col("threshold")) / (F.col("value0") - F.col("value"))
+    return each.groupBy(*by, "threshold").agg(F.coalesce(F.try_divide(F.lit(1.0), F.max_by(F.when(down, s), F.when(down, F.col("idx")))), F.lit(0.0)).alias("res"))
+
+
+def wedge_mask(kx: Column, ky: Column, kz: Column, tmin: float, tmax: float, xtilt: float = 0.0) -> Column:
+    """Whether a frequency lies in the missing wedge: its angle, in radians, outside the tilt range. The origin never does."""
+    low, high = min(tmin, tmax), max(tmin, tmax)
+    up = kz * F.lit(math.cos(xtilt)) + ky * F.lit(math.sin(xtilt))
+    angle = F.atan(F.try_divide(up, kx))
+    outside = F.when(kx == 0, up != 0).otherwise((angle < low) | (angle > high))
+    return F.when((kx == 0) & (ky == 0) & (kz == 0), False).otherwise(outside)
+
+
+def nloo2d_sums(triples: DataFrame, by: Sequence[str], radius: Column, bin_size: float = 1.0) -> DataFrame:
+    """Shell sums of the input image against that without its projection (miss) and with it (full): ``cm, mm, cf, ff``.
+
+    ``triples`` has re0, im0 (input), re1, im1 (miss), re2, im2 (full).
+    """
+    e = triples.withColumn("idx", F.explode(physical_shells(radius, bin_size)))
+    dot = lambda a, b: F.sum(F.col(f"re{a}") * F.col(f"re{b}") + F.col(f"im{a}") * F.col(f"im{b}"))
+    return e.groupBy(*by, "idx").agg(dot(0, 1).alias("cm"), dot(1, 1).alias("mm"), dot(0, 2).alias("cf"), dot(2, 2).alias("ff"))
+
+
+def nloo_ratio(sums: DataFrame, low: float = 0.0) -> DataFrame:
+    """corr(miss, input) / corr(full, input) from the sums: input power cancels; 0 where tiny, clipped to ``low``..1."""
+    ratio = F.try_divide(F.col("cm") * F.sqrt("ff"), F.col("cf") * F.sqrt("mm"))
+    tiny = (F.abs("cf") < 1e-30) | (F.col("mm") < 1e-30) | (F.col("ff") < 1e-30)
+    return sums.withColumn("value", F.when(tiny, 0.0).otherwise(F.greatest(F.least(ratio, F.lit(1.0)), F.lit(low))))
+
+
+def nloo3d(sums: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The same over all projections: the 2-D sums added by shell first."""
+    return nloo_ratio(sums.groupBy(*by, "idx").agg(*[F.sum(c).alias(c) for c in ("cm", "mm", "cf", "ff")]))
+
+
+def tilt_weights(projections: DataFrame, by: Sequence[str], width: int) -> DataFrame:
+    """``centre, near, w`` for projections (proj from 0, tilt) of each series: weights over an odd window, of sum 1.
+
+    The weight is the window's span in tilt less the distance to its centre. Windows are cut at the ends of the
+    series, and there the span is scaled by ``2 h`` over the number of projections missing at that end.
+    """
+    h = max(width, 1) // 2
+    tilts = projections.select(*by, "proj", "tilt").distinct()
+    length = tilts.groupBy(*by).agg((F.max("proj") + 1).alias("np"))
+    near = tilts.select(*by, F.explode(F.sequence(F.col("proj") - h, F.col("proj") + h)).alias("centre"), F.col("proj").alias("near"), F.col("tilt").alias("tilt_near"))
+    met = near.join(tilts.select(*by, F.col("proj").alias("centre"), "tilt"), [*by, "centre"]).join(length, list(by))
+    window = Window.partitionBy(*by, "centre").orderBy("near").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    missing_left, missing_right = h - F.col("centre"), F.col("centre") + h - (F.col("np") - 1)
+    ratio = F.when(missing_right > 0, F.lit(2.0 * h) / missing_right).when(missing_left > 0, F.lit(2.0 * h) / missing_left).otherwise(1.0)
+    span = F.abs(F.last("tilt_near").over(window) - F.first("tilt_near").over(window))
+    delta = F.when(F.count(F.lit(1)).over(window) > 1, ratio * span).otherwise(1.0)
+    raw = met.withColumn("raw", delta - F.abs(F.col("tilt_near") - F.col("tilt")))
+    return raw.withColumn("w", F.col("raw") / F.sum("raw").over(Window.partitionBy(*by, "centre"))).select(*by, "centre", "near", "w")
+
+
+def smooth_over_tilt(curves: DataFrame, by: Sequence[str], width: int, point: str = "idx") -> DataFrame:
+    """``value`` averaged over neighbouring projections with ``tilt_weights``, for each ``point`` of the curves."""
+    weights = tilt_weights(curves, by, width)
+    met = curves.select(*by, F.col("proj").alias("near"), point, "value").join(weights, [*by, "near"])
+    return met.groupBy(*by, F.col("centre").alias("proj"), point).agg(F.sum(F.col("w") * F.col("value")).alias("value"))
+
+
+# --- regions ----------------------------------------------------------------------------------------
+
+
+def inside_box(places: Sequence[tuple[Column, Column, Column]]) -> Column:
+    """Within start..start + size - 1 on each axis, both ends included."""
+    out = F.lit(True)
+    for c, start, size in places:
+        out = out & (c >= start) & (c <= start + size - 1)
+    return out
+
+
+def inside_sphere(places: Sequence[tuple[Column, Column]], radius: Column) -> Column:
+    total = None
+    for c, centre in places:
+        d = (c - centre) * (c - centre)
+        total = d if total is None else total + d
+    return total <= radius * radius
+
+
+def border_distance(places: Sequence[tuple[Column, Column, Column]]) -> Column:
+    """Distance to the nearest face of a box."""
+    return F.least(*[F.least(F.abs(c - start), F.abs(c - (start + size - 1))) for c, start, size in places])
+
+
+def taper(v: Column, background: Column, distance: Column, inside: Column, width: float) -> Column:
+    """Cosine edge from ``v`` to ``background`` over ``width`` at the border, background outside."""
+    w = F.when(distance >= width, 1.0).otherwise(0.5 - 0.5 * F.cos(F.lit(3.141592653589793) * distance / width))
+    return F.when(inside, background + (v - background) * w).otherwise(background)
+
+
+def region_stats(df: DataFrame, by: Sequence[str], inside: Column) -> DataFrame:
+    """Mean and deviation inside, and the mean outside as background."""
+    return df.groupBy(*by).agg(F.avg(F.when(inside, F.col("v"))).alias("avg"), F.stddev_pop(F.when(inside, F.col("v"))).alias("std"), F.avg(F.when(~inside, F.col("v"))).alias("background"))
+
+
+def rescale_ls(pairs: DataFrame, by: Sequence[str], axes: Sequence[str], factor: int) -> DataFrame:
+    """``v2`` brought to ``v1`` by a line fitted on binned data: the columns and ``v``."""
+    cells = [F.floor(F.col(a) / factor).alias(a) for a in axes]
+    binned = pairs.groupBy(*by, *cells).agg(F.avg("v1").alias("v1"), F.avg("v2").alias("v2"))
+    fit = binned.groupBy(*by).agg(F.regr_slope("v1", "v2").alias("slope"), F.regr_intercept("v1", "v2").alias("offset"))
+    return pairs.join(fit, list(by)).withColumn("v", F.col("offset") + F.col("slope") * F.col("v2")).drop("slope", "offset")
+
+
+# --- projections and peaks ----------------------------------------------------------------------------
+
+
+def tilt_views(tilts: DataFrame) -> DataFrame:
+    """Rotation about y by ``tilt`` degrees as columns ``m00, m02`` (new x from x and z); y stays."""
+    a = F.radians("tilt")
+    return tilts.withColumn("m00", F.cos(a)).withColumn("m02", F.sin(a))
+
+
+def project_points(points: DataFrame, views: DataFrame, centre: float) -> DataFrame:
+    """``px, py`` of each point (x, y, z) in each view; both belong to a ``series``."""
+    met = points.join(views, "series")
+    px = (F.col("x") - centre) * F.col("m00") + (F.col("z") - centre) * F.col("m02") + centre
+    return met.withColumn("px", px).withColumn("py", F.col("y").cast("double"))
+
+
+def reproject(voxels: DataFrame, views: DataFrame, by: Sequence[str], centre: float, size: int) -> DataFrame:
+    """Projections ``proj, px, py, v`` of volumes: each voxel is split over two pixels of its row by nearness, and
+    sums are divided by the weights that fell on a pixel."""
+    met = voxels.crossJoin(F.broadcast(views))  # views: one row for each tilt of a series
+    at = (F.col("x") - centre) * F.col("m00") + (F.col("z") - centre) * F.col("m02") + centre
+    low = F.floor("at")
+    split = met.withColumn("at", at).withColumn("part", F.explode(F.array(F.struct(low.alias("px"), (1 - (F.col("at") - low)).alias("w")), F.struct((low + 1).alias("px"), (F.col("at") - low).alias("w")))))
+    flat = split.select(*by, "proj", F.col("part.px").cast("int").alias("px"), F.col("y").alias("py"), "v", F.col("part.w").alias("w")).filter((F.col("w") > 0) & F.col("px").between(0, size - 1))
+    return flat.groupBy(*by, "proj", "px", "py").agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("v"))
+
+
+def pick_peaks(score: DataFrame, by: Sequence[str], axes: Sequence[str], radius: int, least: Column) -> DataFrame:
+    """Places whose score is the largest of their tile and of all tile maxima nearer than ``radius``.
+
+    A peak goes if a stronger one (ties: the smaller place) is near; neighbours meet on tile numbers, an equi-join
+    over the adjoining tiles.
+    """
+    tiles = [F.floor(F.col(a) / radius).cast("int").alias(f"t{a}") for a in axes]
+    place = F.struct("v", *[(-F.col(a)).alias(a) for a in axes])
+    best = score.filter(F.col("v") >= least).groupBy(*by, *tiles).agg(F.max(place).alias("top"))
+    flat = best.select(*by, *[f"t{a}" for a in axes], F.col("top.v").alias("v"), *[(-F.col(f"top.{a}")).alias(a) for a in axes])
+    around = flat
+    for a in axes:
+        around = around.withColumn(f"t{a}", F.explode(F.sequence(F.col(f"t{a}") - 1, F.col(f"t{a}") + 1)))
+    near = around.select(*by, *[f"t{a}" for a in axes], F.col("v").alias("nv"), *[F.col(a).alias(f"n{a}") for a in axes])
+    distance = sum(((F.col(a) - F.col(f"n{a}")) * (F.col(a) - F.col(f"n{a}")) for a in axes), F.lit(0))
+    here, there = F.struct("v", *[(-F.col(a)).alias(a) for a in axes]), F.struct(F.col("nv").alias("v"), *[(-F.col(f"n{a}")).alias(a) for a in axes])
+    beaten = flat.join(near, [*by, *[f"t{a}" for a in axes]]).filter((distance < radius * radius) & (there > here)).select(*by, *axes).distinct()
+    return flat.select(*by, *axes, "v").join(beaten, [*by, *axes], "left_anti")
+
+
+def ring_stats(images: DataFrame, centres: DataFrame, by: Sequence[str], radius: int) -> DataFrame:
+    """Mean and deviation of the pixels between ``radius`` and twice that from each centre (bead, cx, cy)."""
+    d = discs(images, centres, by, 2 * radius)
+    return d.filter(F.col("d2") >= radius * radius).groupBy(*by, "bead").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.count(F.lit(1)).alias("n"))
+
+
+def discs(images: DataFrame, centres: DataFrame, by: Sequence[str], reach: int) -> DataFrame:
+    """Pixels within ``reach`` of each centre with the squared distance ``d2``; they meet on buckets of that size."""
+    c = centres.withColumn("bx", F.explode(F.sequence(F.floor((F.col("cx") - reach) / reach), F.floor((F.col("cx") + reach) / reach)))).withColumn("by_", F.explode(F.sequence(F.floor((F.col("cy") - reach) / reach), F.floor((F.col("cy") + reach) / reach))))
+    p = images.withColumn("bx", F.floor(F.col("px") / reach)).withColumn("by_", F.floor(F.col("py") / reach))
+    d2 = (F.col("px") - F.col("cx")) * (F.col("px") - F.col("cx")) + (F.col("py") - F.col("cy")) * (F.col("py") - F.col("cy"))
+    return p.join(c, [*by, "bx", "by_"]).withColumn("d2", d2).filter(F.col("d2") <= reach * reach).drop("bx", "by_")
+
+
+def erase_beads(images: DataFrame, centres: DataFrame, by: Sequence[str], radius: int) -> DataFrame:
+    """Pixels within ``radius`` of a centre take that bead's ring mean; where discs overlap, the last bead's."""
+    rings = ring_stats(images, centres, by, radius).select(*by, "bead", "mean")
+    hit = discs(images, centres, by, radius).select(*by, "px", "py", "bead").join(rings, [*by, "bead"])
+    fill = hit.groupBy(*by, "px", "py").agg(F.max_by("mean", "bead").alias("fill"))
+    return images.join(fill, [*by, "px", "py"], "left").withColumn("v", F.coalesce("fill", "v")).drop("fill")

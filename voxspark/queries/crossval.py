@@ -1 +1,367 @@
-"""."""
+"""N: cross-validation curves, regions, projections and peaks."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..operators import crossval as cv
+from ..operators import imageops as io
+from .fourier import _PLAIN, clean0, halves, pairs_ft
+from .images import _T, pairs, total
+from .proxies import IMAGES_SQL, VOXELS_SQL, images, voxels
+from .registry import query, table
+
+_I = f"WITH {IMAGES_SQL}"
+_P2 = _I + ", pairs AS (SELECT a.img // 2 AS run, a.px, a.py, a.v AS v1, b.v AS v2 FROM images a JOIN images b ON b.img = a.img + 1 AND a.px = b.px AND a.py = b.py WHERE a.img % 2 = 0)"
+_R = "sqrt(kz * kz + kx * kx + ky * ky)"
+R3 = F.sqrt(F.col("kz") * F.col("kz") + F.col("kx") * F.col("kx") + F.col("ky") * F.col("ky"))
+
+
+def _shelled(radius):
+    """Rows by shell: int(r - 0.5 + 1) to int(r + 0.5), the origin in shell 0."""
+    return f", r AS (SELECT *, {radius} AS r FROM {{src}}), e AS (SELECT *, unnest(CASE WHEN r = 0 THEN [0] ELSE range(trunc(r + 0.5)::BIGINT, trunc(r + 0.5)::BIGINT + 1) END) AS idx FROM r)"
+
+
+_FSC = _PLAIN + _shelled(_R).replace("{src}", "fts") + ", p AS (SELECT run, idx::INT AS idx, sum(re1 * re2 + im1 * im2) AS c, sum(re1 ** 2 + im1 ** 2) AS c1, sum(re2 ** 2 + im2 ** 2) AS c2 FROM e GROUP BY ALL), q AS (SELECT run, idx, CASE WHEN idx = 0 THEN 1 ELSE greatest(least(coalesce(c / nullif(sqrt(c1 * c2), 0), 0), 1), 0) END AS value FROM p)"
+
+
+@query("n01_fsc_physical", _FSC + " SELECT run, idx, round(value, 4) + 0.0 AS value FROM q")
+def n01(spark, sf):
+    return cv.fsc_physical(pairs_ft(spark, sf), ["run"], R3).select("run", "idx", clean0(F.col("value"), 4).alias("value"))
+
+
+@query("n02_even_odd", _FSC + " SELECT run, idx, round(CASE WHEN idx = 0 THEN 1 ELSE 2 * value / (value + 1) END, 4) + 0.0 AS value FROM q")
+def n02(spark, sf):
+    return cv.fsc_physical(pairs_ft(spark, sf), ["run"], R3, even_odd=True).select("run", "idx", clean0(F.col("value"), 4).alias("value"))
+
+
+@query("n03_shell_axis", "SELECT p_partkey, round(res, 6) AS res, trunc(2 + extent / res)::INT AS shells FROM (SELECT *, least(greatest(p_retailprice / 200, 2 * u), extent / 2) AS res FROM (SELECT *, (p_size + 20) * u AS extent FROM (SELECT *, 1.0::DOUBLE + p_partkey % 5 AS u FROM part)))")
+def n03(spark, sf):
+    res, shells = cv.axis_dim(F.col("p_size") + 20, F.lit(1.0) + F.col("p_partkey") % 5, F.col("p_retailprice") / 200)
+    return table(spark, sf, "part").select("p_partkey", F.round(res, 6).alias("res"), shells.alias("shells"))
+
+
+_CURVES = """curves AS (SELECT label AS run, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) AS proj, embedding FROM embeddings),
+flat AS (SELECT run, proj, -60 + proj * 0.5::DOUBLE AS tilt, i AS idx, (i + 1) / 100 AS s, (0.5 + v * 2)::DOUBLE AS value FROM (SELECT run, proj, unnest(embedding)::DOUBLE AS v, unnest(range(64)) AS i FROM curves))"""
+
+
+def curves(spark, sf):
+    """``run, proj, tilt, idx, s, value``: a curve of 64 points for each vector, in series by label."""
+    numbered = table(spark, sf, "embeddings").select(F.col("label").alias("run"), (F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1).alias("proj"), "embedding")
+    flat = numbered.select("run", "proj", F.posexplode("embedding").alias("idx", "v"))
+    return flat.select("run", "proj", (F.col("proj") * 0.5 - 60).alias("tilt"), "idx", ((F.col("idx") + 1) / 100).alias("s"), (F.col("v").cast("double") * 2 + 0.5).alias("value"))
+
+
+_LAST = """, st AS (SELECT *, lag(value) OVER (PARTITION BY run, proj ORDER BY idx) AS v0, lag(s) OVER (PARTITION BY run, proj ORDER BY idx) AS s0 FROM {src}),
+c AS (SELECT *, unnest([0.3, 0.5])::DOUBLE AS threshold FROM st)
+SELECT run, proj::INT AS proj, threshold, round(coalesce(1 / arg_max(s0 + (s - s0) * (v0 - threshold) / (v0 - value), idx) FILTER (v0 >= threshold AND value < threshold), 0), 6) AS res FROM c GROUP BY run, proj, threshold"""
+
+
+@query("n04_last_crossings", f"WITH {_CURVES}" + _LAST.format(src="flat"))
+def n04(spark, sf):
+    return cv.last_crossings(curves(spark, sf), ["run", "proj"], [0.3, 0.5, 0.0]).withColumn("res", F.round("res", 6))
+
+
+@query("n05_frequency_correlation", _PLAIN + " SELECT run, kz, kx, ky, round(greatest(least((re1 * re2 + im1 * im2) / sqrt((re1 ** 2 + im1 ** 2) * (re2 ** 2 + im2 ** 2)), 1), 0), 3) + 0.0 AS c FROM fts WHERE (re1 ** 2 + im1 ** 2) * (re2 ** 2 + im2 ** 2) > 1e-9")
+def n05(spark, sf):
+    n = (F.col("re1") ** 2 + F.col("im1") ** 2) * (F.col("re2") ** 2 + F.col("im2") ** 2)
+    c = (F.col("re1") * F.col("re2") + F.col("im1") * F.col("im2")) / F.sqrt(n)
+    return pairs_ft(spark, sf).filter(n > 1e-9).select("run", "kz", "kx", "ky", clean0(F.greatest(F.least(c, F.lit(1.0)), F.lit(0.0)), 3).alias("c"))
+
+
+_WEDGE = "CASE WHEN kx = 0 AND ky = 0 AND kz = 0 THEN false WHEN kx = 0 THEN kz <> 0 ELSE atan(kz::DOUBLE / kx) < -1.0 OR atan(kz::DOUBLE / kx) > 1.0 END"
+
+
+@query("n06_missing_wedge", _PLAIN + f" SELECT run, count(*) FILTER ({_WEDGE}) AS n_missing, count(*) AS n FROM fts GROUP BY run")
+def n06(spark, sf):
+    missing = cv.wedge_mask(F.col("kx"), F.col("ky"), F.col("kz"), 1.0, -1.0)
+    return pairs_ft(spark, sf).groupBy("run").agg(F.count_if(missing).alias("n_missing"), F.count(F.lit(1)).alias("n"))
+
+
+@query("n07_reciprocal_mask", _PLAIN + f" SELECT run, round(sum(re1 * re2 + im1 * im2), 4) + 0.0 AS c FROM fts WHERE NOT ({_WEDGE}) GROUP BY run")
+def n07(spark, sf):
+    ft = pairs_ft(spark, sf)
+    mask = ft.select("kz", "kx", "ky").distinct().filter(~cv.wedge_mask(F.col("kx"), F.col("ky"), F.col("kz"), -1.0, 1.0))
+    kept = ft.join(mask, ["kz", "kx", "ky"], "left_semi")
+    return kept.groupBy("run").agg(clean0(F.sum(F.col("re1") * F.col("re2") + F.col("im1") * F.col("im2")), 4).alias("c"))
+
+
+# three images of a projection: vectors 3k, 3k + 1 and 3k + 2
+_K8 = "ks AS (SELECT unnest([-4, -3, -2, -1, 0, 1, 2, 3]) AS k), ft AS (SELECT img, any_value(label) AS label, a.k AS kx, b.k AS ky, sum(v * cos(2 * pi() * (a.k * px + b.k * py) / 8)) AS re, sum(-v * sin(2 * pi() * (a.k * px + b.k * py) / 8)) AS im FROM images, ks a, ks b GROUP BY img, kx, ky)"
+_TRI = f"{_I}, {_K8}, t AS (SELECT a.img // 3 AS proj, a.kx, a.ky, a.re AS re0, a.im AS im0, b.re AS re1, b.im AS im1, c.re AS re2, c.im AS im2 FROM ft a JOIN ft b ON b.img = a.img + 1 AND a.kx = b.kx AND a.ky = b.ky JOIN ft c ON c.img = a.img + 2 AND a.kx = c.kx AND a.ky = c.ky WHERE a.img % 3 = 0)" + _shelled("sqrt(kx * kx + ky * ky)").replace("{src}", "t") + ", sums AS (SELECT proj, idx::INT AS idx, sum(re0 * re1 + im0 * im1) AS cm, sum(re1 ** 2 + im1 ** 2) AS mm, sum(re0 * re2 + im0 * im2) AS cf, sum(re2 ** 2 + im2 ** 2) AS ff FROM e GROUP BY ALL)"
+_RATIO = "CASE WHEN abs(cf) < 1e-30 OR mm < 1e-30 OR ff < 1e-30 THEN 0 ELSE greatest(least(cm * sqrt(ff) / (cf * sqrt(mm)), 1), {low}) END"
+R2 = F.sqrt(F.col("kx") * F.col("kx") + F.col("ky") * F.col("ky"))
+
+
+def triples(spark, sf):
+    from ..operators.fourier import dft
+
+    flat = images(spark, sf).withColumnsRenamed({"px": "dx", "py": "dy"})
+    ft = dft(flat, ["img"], [("x", 8), ("y", 8)])
+    side = F.col("img") % 3
+    out = ft.groupBy(F.floor(F.col("img") / 3).alias("proj"), "kx", "ky").agg(*[F.max(F.when(side == i, F.col(c))).alias(f"{c}{i}") for i in range(3) for c in ("re", "im")], F.count(F.lit(1)).alias("n"))
+    return out.filter("n = 3").drop("n")
+
+
+def nloo_sums(spark, sf):
+    return cv.nloo2d_sums(triples(spark, sf), ["proj"], R2)
+
+
+@query("n08_nloo2d", _TRI + f" SELECT proj, idx, round({_RATIO.format(low=0)}, 3) + 0.0 AS value FROM sums")
+def n08(spark, sf):
+    return cv.nloo_ratio(nloo_sums(spark, sf)).select("proj", "idx", clean0(F.col("value"), 3).alias("value"))
+
+
+@query("n09_nloo3d", _TRI + f", g AS (SELECT proj % 10 AS run, idx, sum(cm) AS cm, sum(mm) AS mm, sum(cf) AS cf, sum(ff) AS ff FROM sums GROUP BY ALL) SELECT run, idx, round({_RATIO.format(low=0)}, 3) + 0.0 AS value FROM g")
+def n09(spark, sf):
+    sums = nloo_sums(spark, sf).withColumn("run", F.col("proj") % 10)
+    return cv.nloo3d(sums, ["run"]).select("run", "idx", clean0(F.col("value"), 3).alias("value"))
+
+
+@query("n10_nloo_band", _TRI + f", g AS (SELECT proj, sum(re0 * re1 + im0 * im1) AS cm, sum(re1 ** 2 + im1 ** 2) AS mm, sum(re0 * re2 + im0 * im2) AS cf, sum(re2 ** 2 + im2 ** 2) AS ff FROM t WHERE kx * kx + ky * ky BETWEEN 1 AND 9 GROUP BY proj) SELECT proj, round({_RATIO.format(low=-1)}, 3) + 0.0 AS value FROM g")
+def n10(spark, sf):
+    band = triples(spark, sf).filter("kx * kx + ky * ky between 1 and 9")
+    sums = cv.nloo2d_sums(band, ["proj"], F.lit(1.0)).drop("idx")
+    return cv.nloo_ratio(sums, -1.0).select("proj", clean0(F.col("value"), 3).alias("value"))
+
+
+@query("n11_nloo_volume", _TRI + f""", m AS (SELECT proj % 10 AS run, round_even(kx * cos(radians((proj // 10) * 3.0)), 0)::INT AS hx, ky AS hy, round_even(kx * sin(radians((proj // 10) * 3.0)), 0)::INT AS hz, * FROM t),
+g AS (SELECT run, hx, hy, hz, sum(re0 * re1 + im0 * im1) AS cm, sum(re1 ** 2 + im1 ** 2) AS mm, sum(re0 * re2 + im0 * im2) AS cf, sum(re2 ** 2 + im2 ** 2) AS ff FROM m GROUP BY ALL)
+SELECT run, hx, hy, hz, round({_RATIO.format(low=-1)}, 2) + 0.0 AS value FROM g WHERE abs(cf) > 1e-6""")
+def n11(spark, sf):
+    tilt = F.radians(F.floor(F.col("proj") / 10) * 3.0)
+    placed = triples(spark, sf).withColumn("run", F.col("proj") % 10).withColumn("hx", F.rint(F.col("kx") * F.cos(tilt)).cast("int")).withColumn("hy", F.col("ky")).withColumn("hz", F.rint(F.col("kx") * F.sin(tilt)).cast("int"))
+    sums = cv.nloo2d_sums(placed, ["run", "hx", "hy", "hz"], F.lit(1.0)).filter("abs(cf) > 1e-6")
+    return cv.nloo_ratio(sums, -1.0).select("run", "hx", "hy", "hz", clean0(F.col("value"), 2).alias("value"))
+
+
+_WEIGHTS = """, tl AS (SELECT DISTINCT run, proj, tilt FROM flat), ln AS (SELECT run, max(proj) + 1 AS np FROM tl GROUP BY run),
+m AS (SELECT a.run, a.proj AS centre, a.tilt, b.proj AS near, b.tilt AS tilt_near, np FROM tl a JOIN tl b ON a.run = b.run AND b.proj BETWEEN a.proj - 2 AND a.proj + 2 JOIN ln ON ln.run = a.run),
+sp AS (SELECT run, centre, abs(max(tilt_near) - min(tilt_near)) AS span, count(*) AS n FROM m GROUP BY run, centre),
+rw AS (SELECT m.*, CASE WHEN n > 1 THEN span * CASE WHEN centre + 2 > np - 1 THEN 4.0::DOUBLE / (centre + 2 - np + 1) WHEN centre < 2 THEN 4.0::DOUBLE / (2 - centre) ELSE 1 END ELSE 1 END - abs(tilt_near - tilt) AS raw FROM m JOIN sp USING (run, centre)),
+w AS (SELECT run, centre, near, raw / sum(raw) OVER (PARTITION BY run, centre) AS w FROM rw),
+smooth AS (SELECT w.run, w.centre AS proj, idx, sum(w * value) AS value FROM w JOIN flat ON flat.run = w.run AND flat.proj = w.near GROUP BY ALL)"""
+
+
+@query("n12_smooth_over_tilt", f"WITH {_CURVES}{_WEIGHTS} SELECT run, proj::INT AS proj, idx::INT AS idx, round(value, 6) + 0.0 AS value FROM smooth")
+def n12(spark, sf):
+    return cv.smooth_over_tilt(curves(spark, sf), ["run"], 5).select("run", "proj", "idx", clean0(F.col("value"), 6).alias("value"))
+
+
+@query("n13_tilt_resolution", f"WITH {_CURVES}{_WEIGHTS}, lim AS (SELECT *, (idx + 1) / 100 AS s FROM smooth WHERE 100 / (idx + 1) >= 2.5)" + _LAST.format(src="lim"))
+def n13(spark, sf):
+    smooth = cv.smooth_over_tilt(curves(spark, sf), ["run"], 5).withColumn("s", (F.col("idx") + 1) / 100)
+    # points beyond the resolution limit do not count
+    held = smooth.filter(1 / F.col("s") >= 2.5)
+    return cv.last_crossings(held, ["run", "proj"], [0.3, 0.5]).withColumn("res", F.round("res", 6))
+
+
+@query("n14_smooth_estimates", f"WITH {_CURVES}{_WEIGHTS}, est AS (SELECT run, proj, max(value) AS value FROM flat GROUP BY ALL) SELECT w.run, w.centre::INT AS proj, round(sum(w * value), 6) + 0.0 AS value FROM w JOIN est ON est.run = w.run AND est.proj = w.near GROUP BY w.run, w.centre")
+def n14(spark, sf):
+    estimates = curves(spark, sf).groupBy("run", "proj", "tilt").agg(F.max("value").alias("value")).withColumn("idx", F.lit(0))
+    return cv.smooth_over_tilt(estimates, ["run"], 5).select("run", "proj", clean0(F.col("value"), 6).alias("value"))
+
+
+BOX = [(F.col("px"), F.lit(1), F.lit(6)), (F.col("py"), F.lit(2), F.lit(5))]
+_BOX = "(px BETWEEN 1 AND 6 AND py BETWEEN 2 AND 6)"
+_SPH = "((px - 4) ** 2 + (py - 4) ** 2 <= 9)"
+_INNER = "((px - 4) ** 2 + (py - 4) ** 2 <= 1)"
+
+
+def box():
+    return cv.inside_box(BOX)
+
+
+def sphere(radius):
+    return cv.inside_sphere([(F.col("px"), F.lit(4)), (F.col("py"), F.lit(4))], F.lit(radius))
+
+
+@query("n15_region_test", f"{_I} SELECT img, count(*) FILTER ({_BOX}) AS n_box, count(*) FILTER ({_SPH} AND NOT {_INNER}) AS n_ring, round(sum(v) FILTER ({_SPH} AND NOT {_INNER}), 6) + 0.0 AS total FROM images GROUP BY img")
+def n15(spark, sf):
+    ring = sphere(3) & ~sphere(1)
+    return images(spark, sf).groupBy("img").agg(F.count_if(box()).alias("n_box"), F.count_if(ring).alias("n_ring"), clean0(F.sum(F.when(ring, F.col("v"))), 6).alias("total"))
+
+
+_DIST = "least(abs(px - 1), abs(px - 6), abs(py - 2), abs(py - 6))"
+
+
+@query("n16_border_distance", f"{_I} SELECT img, sum({_DIST})::BIGINT AS total, count(*) FILTER ({_DIST} = 0 AND {_BOX}) AS n_frame FROM images GROUP BY img")
+def n16(spark, sf):
+    d = cv.border_distance(BOX)
+    return images(spark, sf).groupBy("img").agg(F.sum(d).alias("total"), F.count_if((d == 0) & box()).alias("n_frame"))
+
+
+@query("n17_taper", f"{_I} SELECT img, {_T.format(v=f'CASE WHEN {_BOX} THEN 0.1 + (v - 0.1) * CASE WHEN {_DIST} >= 2 THEN 1.0 ELSE 0.5 - 0.5 * cos(pi() * {_DIST} / 2) END ELSE 0.1 END')} FROM images GROUP BY img")
+def n17(spark, sf):
+    return total(images(spark, sf).withColumn("v", cv.taper(F.col("v"), F.lit(0.1), cv.border_distance(BOX), box(), 2.0)), ["img"])
+
+
+_RS = f", rs AS (SELECT img, avg(v) FILTER ({_SPH}) AS m, stddev_pop(v) FILTER ({_SPH}) AS sd, avg(v) FILTER (NOT {_SPH}) AS bg FROM images GROUP BY img)"
+
+
+@query("n18_region_stats", _I + _RS + " SELECT img, round(m, 7) + 0.0 AS avg, round(sd, 7) AS std, round(bg, 7) + 0.0 AS background FROM rs")
+def n18(spark, sf):
+    return cv.region_stats(images(spark, sf), ["img"], sphere(3)).select("img", *[clean0(F.col(c), 7).alias(c) for c in ("avg", "std", "background")])
+
+
+@query("n19_mask", _I + _RS + f" SELECT img, {_T.format(v=f'CASE WHEN {_SPH} THEN v ELSE bg END')} FROM images JOIN rs USING (img) GROUP BY img")
+def n19(spark, sf):
+    df = images(spark, sf)
+    joined = df.join(cv.region_stats(df, ["img"], sphere(3)), "img")
+    return total(joined.withColumn("v", F.when(sphere(3), F.col("v")).otherwise(F.col("background"))), ["img"])
+
+
+@query("n20_rescale", _I + _RS + f" SELECT img, {_T.format(v='greatest(least(round_even((v - m) / sd * 30 + 128, 0), 255), 0)')} FROM images JOIN rs USING (img) GROUP BY img")
+def n20(spark, sf):
+    df = images(spark, sf)
+    joined = df.join(cv.region_stats(df, ["img"], sphere(3)), "img")
+    scaled = F.rint((F.col("v") - F.col("avg")) / F.col("std") * 30 + 128)
+    return total(joined.withColumn("v", F.greatest(F.least(scaled, F.lit(255.0)), F.lit(0.0))), ["img"])
+
+
+@query("n21_rescale_least_squares", _P2 + f", b AS (SELECT run, px // 4 AS bx, py // 4 AS by_, avg(v1) AS v1, avg(v2) AS v2 FROM pairs GROUP BY ALL), f AS (SELECT run, regr_slope(v1, v2) AS slope, regr_intercept(v1, v2) AS off FROM b GROUP BY run) SELECT run, round(sum((off + slope * v2) * (1 + px * 8 + py)), 4) + 0.0 AS total FROM pairs JOIN f USING (run) GROUP BY run")
+def n21(spark, sf):
+    return total(cv.rescale_ls(pairs(spark, sf), ["run"], ["px", "py"], 4), ["run"], digits=4)
+
+
+@query("n22_bin_diluted", _I + " SELECT img, px // 3 AS px, py // 3 AS py, round(sum(v) / 9, 7) + 0.0 AS v FROM images GROUP BY ALL")
+def n22(spark, sf):
+    return io.bin_volume(images(spark, sf), ["img"], ["px", "py"], 3).withColumn("v", clean0(F.col("v"), 7))
+
+
+_VIEWS = "views AS (SELECT s_suppkey AS proj, cos(radians(-60 + s_suppkey * 15.0)) AS m00, sin(radians(-60 + s_suppkey * 15.0)) AS m02 FROM supplier WHERE s_suppkey < 9)"
+
+
+def views(spark, sf):
+    tilts = table(spark, sf, "supplier").filter("s_suppkey < 9").select(F.col("s_suppkey").alias("proj"), (F.col("s_suppkey") * 15.0 - 60).alias("tilt"))
+    return cv.tilt_views(tilts).drop("tilt")
+
+
+@query("n23_reproject", f"""WITH {VOXELS_SQL}, {_VIEWS}, a AS (SELECT vol_id, proj, y, v, (x - 1.5) * m00 + (z - 1.5) * m02 + 1.5 AS pos FROM voxels, views),
+s AS (SELECT vol_id, proj, floor(pos)::INT AS px, y, v, 1 - (pos - floor(pos)) AS w FROM a UNION ALL SELECT vol_id, proj, floor(pos)::INT + 1, y, v, pos - floor(pos) FROM a)
+SELECT vol_id, proj, px, y AS py, round(sum(v * w) / sum(w), 5) + 0.0 AS v FROM s WHERE w > 1e-9 AND px BETWEEN 0 AND 3 GROUP BY ALL""")
+def n23(spark, sf):
+    return cv.reproject(voxels(spark, sf), views(spark, sf), ["vol_id"], 1.5, 4).withColumn("v", clean0(F.col("v"), 5))
+
+
+@query("n24_project_points", f"WITH {_VIEWS} SELECT o_orderkey, proj, round((o_orderkey % 100 - 50) * m00 + (o_custkey % 60 - 50) * m02 + 50, 6) AS px, (o_orderkey % 70)::DOUBLE AS py FROM orders, views")
+def n24(spark, sf):
+    k = F.col("o_orderkey")
+    points = table(spark, sf, "orders").select(k, (k % 100).alias("x"), (k % 70).alias("y"), (F.col("o_custkey") % 60).alias("z"), F.lit(0).alias("series"))
+    seen = cv.project_points(points, F.broadcast(views(spark, sf).withColumn("series", F.lit(0))), 50.0)  # nine views
+    return seen.select("o_orderkey", "proj", F.round("px", 6).alias("px"), "py")
+
+
+@query("n25_tilt_views", f"WITH {_VIEWS} SELECT proj, round(m00, 8) + 0.0 AS m00, round(m02, 8) + 0.0 AS m02 FROM views")
+def n25(spark, sf):
+    return views(spark, sf).select("proj", clean0(F.col("m00"), 8).alias("m00"), clean0(F.col("m02"), 8).alias("m02"))
+
+
+@query("n26_footprint", f"WITH {VOXELS_SQL}, {_VIEWS} SELECT DISTINCT proj, round_even(round((x - 1.5) * m00 + (z - 1.5) * m02 + 1.5, 6), 0)::INT AS px, y AS py FROM voxels, views WHERE x BETWEEN 1 AND 2 AND z BETWEEN 1 AND 3 AND vol_id < 100")
+def n26(spark, sf):
+    region = voxels(spark, sf).filter("x between 1 and 2 and z between 1 and 3 and vol_id < 100").select("z", "x", "y").distinct()
+    seen = cv.project_points(region.withColumn("series", F.lit(0)), F.broadcast(views(spark, sf).withColumn("series", F.lit(0))), 1.5)
+    return seen.select("proj", F.rint(F.round("px", 6)).cast("int").alias("px"), F.col("y").alias("py")).distinct()
+
+
+@query("n27_log_intensity", f"{_I} SELECT img, {_T.format(v='ln(v + 1.5)')} FROM images GROUP BY img")
+def n27(spark, sf):
+    base = F.col("v") + 1.5
+    return total(images(spark, sf).withColumn("v", F.when(base > 0, F.ln(base)).otherwise(F.raise_error(F.lit("the logarithm needs positive values")))), ["img"])
+
+
+@query("n28_bead_score", f"{_I}, sc AS (SELECT a.img, a.px, a.py, -sum(b.v) AS v FROM images a JOIN images b ON a.img = b.img AND abs(a.px - b.px) <= 1 AND abs(a.py - b.py) <= 1 GROUP BY ALL), st AS (SELECT img, avg(v) + 2 * stddev_pop(v) AS cut FROM sc GROUP BY img) SELECT sc.img, px, py, round(v, 6) + 0.0 AS v FROM sc JOIN st USING (img) WHERE v >= cut")
+def n28(spark, sf):
+    df = images(spark, sf)
+    spread = df.withColumn("px", F.explode(F.sequence(F.col("px") - 1, F.col("px") + 1))).withColumn("py", F.explode(F.sequence(F.col("py") - 1, F.col("py") + 1)))
+    score = spread.filter("px between 0 and 7 and py between 0 and 7").groupBy("img", "px", "py").agg((-F.sum("v")).alias("v"))
+    cut = score.groupBy("img").agg((F.avg("v") + 2 * F.stddev_pop("v")).alias("cut"))
+    return score.join(cut, "img").filter("v >= cut").select("img", "px", "py", clean0(F.col("v"), 6).alias("v"))
+
+
+@query("n29_peaks", f"""{_I}, tops AS (SELECT img, px // 3 AS tx, py // 3 AS ty, max(v) AS v FROM images WHERE v >= 0.05 GROUP BY ALL), p AS (SELECT t.img, i.px, i.py, t.v FROM tops t JOIN images i ON i.img = t.img AND i.v = t.v AND i.px // 3 = tx AND i.py // 3 = ty)
+SELECT img, px, py, round(v, 7) AS v FROM p WHERE NOT EXISTS (SELECT 1 FROM p q WHERE q.img = p.img AND (q.px - p.px) ** 2 + (q.py - p.py) ** 2 < 9 AND q.v > p.v)""")
+def n29(spark, sf):
+    return cv.pick_peaks(images(spark, sf), ["img"], ["px", "py"], 3, F.lit(0.05)).select("img", "px", "py", F.round("v", 7).alias("v"))
+
+
+@query("n30_unbin", "SELECT o_orderkey, (o_orderkey % 100) * f + (f - 1) / 2 AS x FROM (SELECT *, greatest(o_custkey % 12 // 3, 1) AS f FROM orders)")
+def n30(spark, sf):
+    f = F.greatest(F.floor(F.col("o_custkey") % 12 / 3), F.lit(1))
+    return table(spark, sf, "orders").select("o_orderkey", (F.col("o_orderkey") % 100 * f + (f - 1) / 2).alias("x"))
+
+
+_C = "centres AS (SELECT img, b AS bead, (img * 3 + b * 4) % 8 AS cx, (img * 5 + b * 3) % 8 AS cy FROM (SELECT DISTINCT img FROM images), (SELECT unnest([0, 1, 2]) AS b))"
+
+
+def centres(spark, sf):
+    ids = table(spark, sf, "embeddings").select(F.col("vec_id").alias("img"), F.explode(F.array(*[F.lit(b) for b in range(3)])).alias("bead"))
+    return ids.select("img", "bead", ((F.col("img") * 3 + F.col("bead") * 4) % 8).cast("int").alias("cx"), ((F.col("img") * 5 + F.col("bead") * 3) % 8).cast("int").alias("cy"))
+
+
+_RING = f"{_I}, {_C}, d AS (SELECT i.img, bead, px, py, v, (px - cx) ** 2 + (py - cy) ** 2 AS d2 FROM images i JOIN centres c ON i.img = c.img), rings AS (SELECT img, bead, avg(v) AS mean, stddev_pop(v) AS std, count(*) AS n FROM d WHERE d2 BETWEEN 4 AND 16 GROUP BY ALL)"
+
+
+@query("n31_ring_stats", _RING + " SELECT img, bead, round(mean, 7) + 0.0 AS mean, round(std, 7) AS std, n FROM rings")
+def n31(spark, sf):
+    return cv.ring_stats(images(spark, sf), centres(spark, sf), ["img"], 2).select("img", "bead", clean0(F.col("mean"), 7).alias("mean"), F.round("std", 7).alias("std"), "n")
+
+
+@query("n32_erase_beads", _RING + f", fill AS (SELECT d.img, px, py, arg_max(mean, d.bead) AS fill FROM d JOIN rings USING (img, bead) WHERE d2 <= 4 GROUP BY ALL) SELECT i.img, round(sum(coalesce(fill, v) * (1 + i.px * 8 + i.py)), 6) + 0.0 AS total FROM images i LEFT JOIN fill f ON f.img = i.img AND f.px = i.px AND f.py = i.py GROUP BY i.img")
+def n32(spark, sf):
+    return total(cv.erase_beads(images(spark, sf), centres(spark, sf), ["img"], 2), ["img"])
+
+
+@query("n33_drop_and_swap", f"WITH {_CURVES} SELECT run, proj::INT AS proj, round(sum(value * s), 6) AS total FROM flat WHERE proj NOT IN (3, 8) GROUP BY ALL")
+def n33(spark, sf):
+    gone = spark.createDataFrame([(3,), (8,)], "proj int")
+    return curves(spark, sf).join(F.broadcast(gone), "proj", "left_anti").groupBy("run", "proj").agg(F.round(F.sum(F.col("value") * F.col("s")), 6).alias("total"))
+
+
+@query("n34_count_check", f"WITH {_CURVES} SELECT run, count(DISTINCT proj) AS n_proj, count(DISTINCT tilt) AS n_tilt, count(DISTINCT proj) = count(DISTINCT tilt) AS consistent FROM flat GROUP BY run")
+def n34(spark, sf):
+    counts = curves(spark, sf).groupBy("run").agg(F.count_distinct("proj").alias("n_proj"), F.count_distinct("tilt").alias("n_tilt"))
+    return counts.withColumn("consistent", F.col("n_proj") == F.col("n_tilt"))
+
+
+_DRIVER = _TRI.replace("FROM images, ks", "FROM (SELECT img, label, px, py, (CASE WHEN " + _SPH + " THEN v ELSE bg END - m) / sd AS v FROM images JOIN rs USING (img)) images, ks").replace(", ks AS (", _RS + ", ks AS (", 1)
+
+
+@query("n35_cross_validation_driver", _DRIVER + f", g AS (SELECT proj % 10 AS run, idx, sum(cm) AS cm, sum(mm) AS mm, sum(cf) AS cf, sum(ff) AS ff FROM sums GROUP BY ALL) SELECT run, idx, round({_RATIO.format(low=0)}, 2) + 0.0 AS value FROM g")
+def n35(spark, sf):
+    """Mask, rescale, transform, sums by projection, ratio over all of a run."""
+    from ..operators.fourier import dft
+
+    df = images(spark, sf)
+    joined = df.join(cv.region_stats(df, ["img"], sphere(3)), "img")
+    ready = joined.withColumn("v", (F.when(sphere(3), F.col("v")).otherwise(F.col("background")) - F.col("avg")) / F.col("std")).withColumnsRenamed({"px": "dx", "py": "dy"})
+    ft = dft(ready, ["img"], [("x", 8), ("y", 8)])
+    side = F.col("img") % 3
+    three = ft.groupBy(F.floor(F.col("img") / 3).alias("proj"), "kx", "ky").agg(*[F.max(F.when(side == i, F.col(c))).alias(f"{c}{i}") for i in range(3) for c in ("re", "im")], F.count(F.lit(1)).alias("n")).filter("n = 3")
+    sums = cv.nloo2d_sums(three, ["proj"], R2).withColumn("run", F.col("proj") % 10)
+    return cv.nloo3d(sums, ["run"]).select("run", "idx", clean0(F.col("value"), 2).alias("value"))
+
+
+@query("n36_even_odd_driver", _FSC.replace("FROM (SELECT *, 1 AS w FROM voxels)", "FROM (SELECT voxels.*, 1 / sd AS w FROM voxels JOIN (SELECT vol_id, stddev_pop(v) AS sd FROM voxels GROUP BY vol_id) USING (vol_id))") + ", c AS (SELECT run, idx, value AS raw, idx / 4 AS s, CASE WHEN idx = 0 THEN 1 ELSE 2 * value / (value + 1) END AS value FROM q), st AS (SELECT *, lag(value) OVER (PARTITION BY run ORDER BY idx) AS v0, lag(s) OVER (PARTITION BY run ORDER BY idx) AS s0 FROM c) SELECT run, round(coalesce(1 / arg_max(s0 + (s - s0) * (v0 - 0.3) / (v0 - value), idx) FILTER (v0 >= 0.3 AND value < 0.3), 0), 3) AS res FROM st GROUP BY run")
+def n36(spark, sf):
+    """Rescaled halves, correlation of the whole from that of the halves, last crossing."""
+    from ..operators.fourier import dft
+    from .fourier import AXES, tiles
+
+    df = tiles(spark, sf)
+    scaled = io.with_stats(df, ["vol_id"]).withColumn("v", F.col("v") / F.col("std"))
+    ft = halves(dft(scaled, ["vol_id"], AXES), "vol_id", ["kz", "kx", "ky"])
+    curve = cv.fsc_physical(ft, ["run"], R3, even_odd=True).withColumn("s", F.col("idx") / 4)
+    return cv.last_crossings(curve, ["run"], [0.3]).select("run", F.round("res", 3).alias("res"))
+
+
+@query("n37_resolution_limit", "SELECT p_partkey, coalesce(CASE WHEN p_size % 3 = 0 THEN p_size::DOUBLE END, p_retailprice / (p_size + 1)) AS res FROM part")
+def n37(spark, sf):
+    option = F.when(F.col("p_size") % 3 == 0, F.col("p_size").cast("double"))
+    return table(spark, sf, "part").select("p_partkey", F.coalesce(option, F.col("p_retailprice") / (F.col("p_size") + 1)).alias("res"))
+
+
+@query("n38_fill_ratio", f"{_I} SELECT img, round(count(*) FILTER ({_SPH}) / count(*), 6) AS ratio FROM images GROUP BY img")
+def n38(spark, sf):
+    return images(spark, sf).groupBy("img").agg(F.round(F.count_if(sphere(3)) / F.count(F.lit(1)), 6).alias("ratio"))
