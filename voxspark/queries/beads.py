@@ -1 +1,305 @@
-"""."""
+"""D: point-source resolution."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import columns as C
+from ..operators import beads as bd
+from ..plans.grids import roi_plan
+from .fourier import clean0
+from .proxies import VOXELS_SQL, voxels
+from .registry import query, table
+
+_V = f"WITH {VOXELS_SQL}"
+# measurements of beads: a bead for each order, its number and reconstruction from the line
+_FITS = """fits AS (SELECT l_orderkey AS bead, 'tomo' || (l_suppkey % 7)::VARCHAR AS tomogram, 'r' || l_linenumber::VARCHAR AS recon,
+  CASE WHEN l_tax > 0.07 THEN NULL ELSE l_quantity / 10 END AS fwhm_x, l_discount * 50 + 1 AS fwhm_y, l_extendedprice / 20000 AS fwhm_z, 1 - l_discount * 4 AS r2_x, 1 - l_tax * 4 AS r2_y, 1 - l_tax * 5 AS r2_z FROM lineitem)"""
+
+
+def fits(spark, sf):
+    tax, off = F.col("l_tax"), F.col("l_discount")
+    return table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("bead"), F.concat(F.lit("tomo"), (F.col("l_suppkey") % 7).cast("string")).alias("tomogram"), F.concat(F.lit("r"), F.col("l_linenumber").cast("string")).alias("recon"),
+        F.when(tax <= 0.07, F.col("l_quantity") / 10).alias("fwhm_x"), (off * 50 + 1).alias("fwhm_y"), (F.col("l_extendedprice") / 20000).alias("fwhm_z"),
+        (1 - off * 4).alias("r2_x"), (1 - tax * 4).alias("r2_y"), (1 - tax * 5).alias("r2_z"),
+    )
+
+
+_LONG = _FITS + ", long AS (SELECT tomogram, recon, bead, axis, value FROM (SELECT *, unnest(['x', 'y', 'z']) AS axis, unnest([fwhm_x, fwhm_y, fwhm_z]) AS value FROM fits))"
+
+
+def long(spark, sf):
+    axes = F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), F.col(f"fwhm_{a}").alias("value")) for a in "xyz"]))
+    return fits(spark, sf).withColumn("e", axes).select("tomogram", "recon", "bead", "e.axis", "e.value")
+
+
+# profiles with known parameters: a dark bead on a bright ground
+_PLANT = "plant AS (SELECT o_orderkey AS bead, -(1.0 + o_custkey % 5)::DOUBLE AS a, 10.0 + (o_orderkey % 7) * 0.5::DOUBLE AS x0, 2.0 + (o_custkey % 10) * 0.2::DOUBLE AS s, 10.0::DOUBLE AS c FROM orders)"
+_SAMPLES = _PLANT + ", samples AS (SELECT *, i, a * exp(-((i - x0) ** 2) / (2 * s ** 2)) + c AS v FROM (SELECT *, unnest(range(24)) AS i FROM plant))"
+
+
+def planted(spark, sf):
+    k, u = F.col("o_orderkey"), F.col("o_custkey")
+    return table(spark, sf, "orders").select(k.alias("bead"), (-(u % 5 + 1.0)).alias("a"), (k % 7 * 0.5 + 10.0).alias("x0"), (u % 10 * 0.2 + 2.0).alias("s"), F.lit(10.0).alias("c"))
+
+
+def profiles(spark, sf):
+    at = F.sequence(F.lit(0), F.lit(23))
+    return planted(spark, sf).withColumn("samples", F.transform(at, lambda i: C.gaussian(i.cast("double"), F.col("a"), F.col("x0"), F.col("s"), F.col("c"))))
+
+
+_BOXES = "boxes AS (SELECT vec_id AS bead, vec_id AS vol_id, (vec_id % 4 - 2)::INT AS z0, (vec_id // 4 % 4 - 2)::INT AS x0, (vec_id // 16 % 4 - 2)::INT AS y0 FROM embeddings), grid AS (SELECT a.i::INT AS dz, b.i::INT AS dx, c.i::INT AS dy FROM range(4) a(i), range(4) b(i), range(4) c(i))"
+
+
+@query("d01_roi_padded", f"{_V}, {_BOXES} SELECT bead, count(*) AS n, count(v) AS n_inside, round(sum(v * (1 + dz * 16 + dx * 4 + dy)), 6) + 0.0 AS total FROM boxes CROSS JOIN grid LEFT JOIN voxels ON voxels.vol_id = boxes.vol_id AND z = z0 + dz AND x = x0 + dx AND y = y0 + dy GROUP BY bead")
+def d01(spark, sf):
+    k = F.col("vec_id")
+    points = table(spark, sf, "embeddings").select(k.alias("bead"), k.alias("vol_id"), *[(F.floor(k / d) % 4).cast("int").alias(a) for a, d in (("z", 1), ("x", 4), ("y", 16))])
+    boxes = roi_plan(points, 4, "plain")
+    roi = bd.extract_roi(voxels(spark, sf), boxes, 4)
+    weight = 1 + F.col("dz") * 16 + F.col("dx") * 4 + F.col("dy")
+    return roi.groupBy("bead").agg(F.count(F.lit(1)).alias("n"), F.count("v").alias("n_inside"), clean0(F.sum(F.col("v") * weight), 6).alias("total"))
+
+
+@query("d02_roi_inside", f"{_V}, b AS (SELECT vec_id AS vol_id, greatest(least(vec_id % 4 + 1, 3) - 2, 0) AS z0, greatest(least(vec_id // 4 % 4 + 1, 3) - 2, 0) AS x0, greatest(least(vec_id // 16 % 4 + 1, 3) - 2, 0) AS y0 FROM embeddings) SELECT b.vol_id AS bead, count(v) AS n, round(sum(v), 6) + 0.0 AS total FROM b JOIN voxels USING (vol_id) WHERE z BETWEEN z0 AND z0 + 1 AND x BETWEEN x0 AND x0 + 1 AND y BETWEEN y0 AND y0 + 1 GROUP BY b.vol_id")
+def d02(spark, sf):
+    k = F.col("vec_id")
+    points = table(spark, sf, "embeddings").select(k.alias("bead"), k.alias("vol_id"), *[(F.floor(k / d) % 4).cast("int").alias(a) for a, d in (("z", 1), ("x", 4), ("y", 16))], *[F.lit(4).alias(f"n{a}") for a in "xyz"])
+    roi = bd.extract_roi(voxels(spark, sf), roi_plan(points, 2, "shift").filter("fits"), 2)
+    return roi.groupBy("bead").agg(F.count("v").alias("n"), clean0(F.sum("v"), 6).alias("total"))
+
+
+@query("d03_plan_all_recons", f"WITH {_FITS} SELECT tomogram, recon, count(DISTINCT bead) AS n FROM fits GROUP BY ALL")
+def d03(spark, sf):
+    return fits(spark, sf).groupBy("tomogram", "recon").agg(F.count_distinct("bead").alias("n"))
+
+
+def roi(spark, sf):
+    return voxels(spark, sf).select(F.col("vol_id").alias("bead"), F.col("z").alias("dz"), F.col("x").alias("dx"), F.col("y").alias("dy"), "v")
+
+
+def joined_samples(df, digits=6):
+    return df.withColumn("samples", F.transform("samples", lambda v: F.round(v, digits) + 0.0)).select("bead", "axis", *[F.get("samples", F.lit(i)).alias(f"s{i}") for i in range(4)])
+
+
+def _profile_sql(low, high):
+    parts = [f"SELECT vol_id AS bead, '{a}' AS axis, {a} AS i, avg(v) AS v FROM voxels WHERE {b} BETWEEN {low} AND {high} AND {c} BETWEEN {low} AND {high} GROUP BY ALL" for a, b, c in (("x", "y", "z"), ("y", "x", "z"), ("z", "x", "y"))]
+    return f"{_V}, p AS ({' UNION ALL '.join(parts)}) SELECT bead, axis, " + ", ".join(f"round(max(v) FILTER (i = {i}), 6) + 0.0 AS s{i}" for i in range(4)) + " FROM p GROUP BY bead, axis"
+
+
+@query("d04_centre_profiles", _profile_sql(2, 2))
+def d04(spark, sf):
+    return joined_samples(bd.centre_profiles(roi(spark, sf), ["bead"], 4))
+
+
+@query("d05_thick_profiles", _profile_sql(1, 3))
+def d05(spark, sf):
+    return joined_samples(bd.centre_profiles(roi(spark, sf), ["bead"], 4, 2))
+
+
+@query("d06_exact_width_profiles", _profile_sql(1, 2))
+def d06(spark, sf):
+    return joined_samples(bd.centre_profiles(roi(spark, sf), ["bead"], 4, 2, exact=True))
+
+
+@query("d07_moving_average", "SELECT vec_id, i::INT AS i, round((v0 + v1 + v2 + v3) / 4, 7) + 0.0 AS v FROM (SELECT vec_id, i, e[greatest(i - 2, 0) + 1]::DOUBLE AS v0, e[greatest(i - 1, 0) + 1]::DOUBLE AS v1, e[i + 1]::DOUBLE AS v2, e[least(i + 1, 63) + 1]::DOUBLE AS v3 FROM (SELECT vec_id, embedding AS e, unnest(range(64)) AS i FROM embeddings))")
+def d07(spark, sf):
+    smooth = C.moving_average(F.col("embedding").cast("array<double>"), 4)
+    return table(spark, sf, "embeddings").select("vec_id", F.posexplode(smooth).alias("i", "v")).withColumn("v", clean0(F.col("v"), 7))
+
+
+_TRIM = "t AS (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN abs(x) < 0.05 THEN NULL ELSE x END)[1:16] AS e FROM embeddings), f AS (SELECT vec_id, e, list_position(list_transform(e, lambda x: x IS NOT NULL), true) AS a, 17 - list_position(list_transform(list_reverse(e), lambda x: x IS NOT NULL), true) AS b FROM t)"
+
+
+@query("d08_trim_nan", f"WITH {_TRIM} SELECT vec_id, CASE WHEN a IS NULL OR b - a + 1 < 7 THEN 0 ELSE b - a + 1 END::INT AS n FROM f")
+def d08(spark, sf):
+    holes = F.slice(F.transform(F.col("embedding").cast("array<double>"), lambda v: F.when(F.abs(v.cast("float")) < F.lit(0.05), None).otherwise(v)), 1, 16)
+    return table(spark, sf, "embeddings").select("vec_id", F.size(C.trim_nan(holes)).alias("n"))
+
+
+@query("d09_gaussian_model", f"WITH {_SAMPLES} SELECT bead, i::INT AS i, round(v, 7) AS v FROM samples")
+def d09(spark, sf):
+    return profiles(spark, sf).select("bead", F.posexplode("samples").alias("i", "v")).withColumn("v", F.round("v", 7))
+
+
+@query("d10_initial_guess", f"WITH {_SAMPLES} SELECT bead, round(max(v) - min(v), 7) AS amplitude, arg_min(i, (v, i))::DOUBLE AS centre, 3.0::DOUBLE AS sigma, round(max(v), 7) AS offset_ FROM samples GROUP BY bead")
+def d10(spark, sf):
+    g = profiles(spark, sf).select("bead", bd.guess(F.col("samples")).alias("g"))
+    return g.select("bead", F.round("g.amplitude", 7).alias("amplitude"), F.col("g.centre").alias("centre"), F.col("g.sigma").alias("sigma"), F.round("g.offset", 7).alias("offset_"))
+
+
+def fitted(spark, sf):
+    return bd.fit_gaussians(profiles(spark, sf), ["bead"])
+
+
+@query("d11_gaussian_fit", f"WITH {_PLANT} SELECT bead, round(a, 4) AS amplitude, round(x0, 4) AS centre, round(s, 4) AS sigma, round(c, 4) AS offset_ FROM plant")
+def d11(spark, sf):
+    return fitted(spark, sf).select("bead", *[F.round(c, 4).alias("offset_" if c == "offset" else c) for c in ("amplitude", "centre", "sigma", "offset")])
+
+
+@query("d12_fwhm", f"WITH {_PLANT} SELECT bead, round(2.355::DOUBLE * s, 4) AS fwhm FROM plant")
+def d12(spark, sf):
+    return fitted(spark, sf).select("bead", F.round(bd.fwhm(F.col("sigma")), 4).alias("fwhm"))
+
+
+@query("d13_r_squared", f"WITH {_PLANT} SELECT bead, 1.0::DOUBLE AS r2 FROM plant")
+def d13(spark, sf):
+    return fitted(spark, sf).select("bead", F.round("r2", 6).alias("r2"))
+
+
+@query("d14_deconvolve", f"WITH {_FITS} SELECT bead, recon, CASE WHEN (fwhm_y / 2.355 * 4.9) ** 2 - 15.0 ** 2 / 12 > 0 THEN round(2.355::DOUBLE * sqrt((fwhm_y / 2.355 * 4.9) ** 2 - 15.0 ** 2 / 12), 5) END AS nm FROM fits")
+def d14(spark, sf):
+    return fits(spark, sf).select("bead", "recon", F.round(C.deconvolve(F.col("fwhm_y"), F.lit(15.0), F.lit(4.9)), 5).alias("nm"))
+
+
+@query("d15_keep_good", f"WITH {_FITS} SELECT tomogram, recon, bead FROM fits WHERE r2_x >= 0.8 AND r2_z >= 0.8")
+def d15(spark, sf):
+    return bd.keep_good(fits(spark, sf), 0.8).select("tomogram", "recon", "bead")
+
+
+_SKIP = _FITS + ", skip AS (SELECT tomogram, bead FROM fits GROUP BY ALL HAVING bool_or(NOT (r2_x >= 0.75) OR NOT (r2_y >= 0.75)) OR count(DISTINCT recon) < 1)"
+
+
+def skip(spark, sf):
+    return bd.skip_beads(fits(spark, sf), 0.75, F.lit(1))
+
+
+@query("d16_skip_set", f"WITH {_SKIP} SELECT * FROM skip")
+def d16(spark, sf):
+    return skip(spark, sf)
+
+
+@query("d17_kept", f"WITH {_SKIP} SELECT tomogram, recon, bead, round(fwhm_y, 6) AS fwhm_y FROM fits ANTI JOIN skip USING (tomogram, bead)")
+def d17(spark, sf):
+    return bd.exclude(fits(spark, sf), skip(spark, sf)).select("tomogram", "recon", "bead", F.round("fwhm_y", 6).alias("fwhm_y"))
+
+
+@query("d18_tidy_table", f"WITH {_SKIP}, kept AS (SELECT * FROM fits ANTI JOIN skip USING (tomogram, bead)), n AS (SELECT tomogram, count(DISTINCT bead) AS n_total FROM fits GROUP BY 1), p AS (SELECT tomogram, count(DISTINCT bead) AS n_pass FROM kept GROUP BY 1) SELECT tomogram, recon, bead, n_total, n_pass, round(100.0 * n_pass / n_total, 6) AS percent, round(fwhm_z * 4.9, 8) AS res_nm_z FROM kept JOIN n USING (tomogram) JOIN p USING (tomogram)")
+def d18(spark, sf):
+    everything = fits(spark, sf)
+    kept = bd.exclude(everything, skip(spark, sf))
+    n = everything.groupBy("tomogram").agg(F.count_distinct("bead").alias("n_total"))
+    p = kept.groupBy("tomogram").agg(F.count_distinct("bead").alias("n_pass"))
+    tidy = kept.join(n, "tomogram").join(p, "tomogram")
+    return tidy.select("tomogram", "recon", "bead", "n_total", "n_pass", F.round(100.0 * F.col("n_pass") / F.col("n_total"), 6).alias("percent"), F.round(F.col("fwhm_z") * 4.9, 8).alias("res_nm_z"))
+
+
+@query("d19_count_mismatch", f"WITH {_FITS}, n AS (SELECT tomogram, recon, count(DISTINCT bead) AS n FROM fits GROUP BY ALL) SELECT tomogram, min(n) AS least, max(n) AS most FROM n GROUP BY 1 HAVING min(n) < max(n)")
+def d19(spark, sf):
+    return bd.count_mismatch(fits(spark, sf))
+
+
+_PLANES = " UNION ALL ".join(f"SELECT vol_id AS bead, '{p}' AS plane, {r} AS row, {c} AS col, v FROM voxels WHERE {f} = 2" for p, f, r, c in (("xy", "z", "x", "y"), ("yz", "x", "y", "z"), ("zx", "y", "z", "x")))
+
+
+@query("d20_mid_planes", f"{_V} SELECT bead, plane, row, col, round(v, 7) + 0.0 AS v FROM ({_PLANES})")
+def d20(spark, sf):
+    return bd.mid_planes(roi(spark, sf), 4).withColumn("v", clean0(F.col("v"), 7))
+
+
+@query("d21_rotated_views", f"{_V} SELECT bead, plane, 3 - col AS row, row AS col, round(v, 7) + 0.0 AS v FROM ({_PLANES})")
+def d21(spark, sf):
+    return bd.rot90(bd.mid_planes(roi(spark, sf), 4), 4).select("bead", "plane", "row", "col", clean0(F.col("v"), 7).alias("v"))
+
+
+@query("d22_contrast", f"{_V} SELECT bead, plane, round(quantile_cont(v, 0.01), 7) + 0.0 AS low, round(quantile_cont(v, 0.99), 7) + 0.0 AS high FROM ({_PLANES}) GROUP BY ALL")
+def d22(spark, sf):
+    limits = bd.contrast(bd.mid_planes(roi(spark, sf), 4), ["bead", "plane"], 1, 99)
+    return limits.select("bead", "plane", clean0(F.col("low"), 7).alias("low"), clean0(F.col("high"), 7).alias("high"))
+
+
+@query("d23_profile_traces", "WITH t AS (SELECT vec_id, label, (dense_rank() OVER (PARTITION BY label ORDER BY vec_id) - 1) * 0.2 AS lift, list_min(embedding)::DOUBLE AS lo, list_max(embedding)::DOUBLE AS hi, embedding FROM embeddings) SELECT vec_id, round(sum((v - lo) / (hi - lo) + lift), 4) AS total FROM (SELECT vec_id, lift, lo, hi, unnest(embedding)::DOUBLE AS v FROM t) GROUP BY vec_id")
+def d23(spark, sf):
+    p = table(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("samples"))
+    traces = bd.profile_traces(p, ["label"], "vec_id")
+    return traces.select("vec_id", F.round(F.aggregate("traces", F.lit(0.0), lambda s, v: s + v), 4).alias("total"))
+
+
+@query("d24_dense_fit", f"WITH {_PLANT}, k AS (SELECT *, unnest(range(47)) AS k FROM plant) SELECT bead, k::INT AS k, round(a * exp(-((k * 0.5::DOUBLE - x0) ** 2) / (2 * s ** 2)) + c, 4) AS value FROM k")
+def d24(spark, sf):
+    return bd.dense_fit(fitted(spark, sf), 47, 23.0).select("bead", "k", F.round("value", 4).alias("value"))
+
+
+@query("d25_spot_check", f"WITH {_FITS} SELECT recon, round(fwhm_x, 6) AS fwhm_x, round(fwhm_z, 6) AS fwhm_z, round(r2_x, 6) AS r2_x, round(r2_z, 6) AS r2_z FROM fits WHERE bead = 77")
+def d25(spark, sf):
+    return fits(spark, sf).filter("bead = 77").select("recon", *[F.round(c, 6).alias(c) for c in ("fwhm_x", "fwhm_z", "r2_x", "r2_z")])
+
+
+@query("d26_sigma_outliers", f"WITH {_LONG}, st AS (SELECT axis, avg(value) AS m, stddev_pop(value) AS sd FROM long GROUP BY axis) SELECT tomogram, bead, axis, round(value, 6) AS value FROM long JOIN st USING (axis) WHERE abs(value - m) > 1.5 * sd")
+def d26(spark, sf):
+    return bd.sigma_outliers(long(spark, sf), ["axis"], "value", 1.5).select("tomogram", "bead", "axis", F.round("value", 6).alias("value"))
+
+
+@query("d27_joint_outliers", f"WITH {_FITS} SELECT tomogram, recon, bead FROM fits WHERE fwhm_x > 0 AND fwhm_x <= 4 AND fwhm_y > 0 AND fwhm_y <= 4 AND fwhm_z > 0 AND fwhm_z <= 4")
+def d27(spark, sf):
+    return bd.joint_outliers(fits(spark, sf), ["fwhm_x", "fwhm_y", "fwhm_z"], 4.0).select("tomogram", "recon", "bead")
+
+
+@query("d28_value_range", f"WITH {_LONG} SELECT tomogram, recon, bead, axis FROM long WHERE value BETWEEN 1 AND 3")
+def d28(spark, sf):
+    return long(spark, sf).filter("value between 1 and 3").select("tomogram", "recon", "bead", "axis")
+
+
+@query("d29_drop_empty", f"WITH {_LONG}, full_ AS (SELECT bead FROM long WHERE value IS NOT NULL GROUP BY bead HAVING count(DISTINCT axis) = 3) SELECT bead, count(*) AS n FROM long SEMI JOIN full_ USING (bead) GROUP BY bead")
+def d29(spark, sf):
+    return bd.drop_empty(long(spark, sf), "bead").groupBy("bead").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("d30_named_groups", f"WITH {_LONG}, g(grp, part) AS (VALUES ('thin', 'tomo1'), ('thin', 'tomo2'), ('thick', 'omo5'), ('all', 'tomo'), ('all', 'o')), m AS (SELECT DISTINCT grp, long.* FROM long JOIN g ON contains(tomogram, part)) SELECT grp, axis, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, count(value) AS n FROM m GROUP BY ALL")
+def d30(spark, sf):
+    names = spark.createDataFrame([("thin", "tomo1"), ("thin", "tomo2"), ("thick", "omo5"), ("all", "tomo"), ("all", "o")], "grp string, part string")
+    met = bd.group_by_name(long(spark, sf).distinct(), names, "tomogram")
+    return bd.summary(met, ["grp", "axis"], "value").select("grp", "axis", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "n")
+
+
+@query("d31_summary", f"WITH {_LONG} SELECT tomogram, axis, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, count(value) AS n, round(avg(value) * 4.9, 5) AS mean_nm FROM long GROUP BY ALL")
+def d31(spark, sf):
+    return bd.summary(long(spark, sf), ["tomogram", "axis"], "value").select("tomogram", "axis", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "n", F.round(F.col("mean") * 4.9, 5).alias("mean_nm"))
+
+
+@query("d32_anisotropy", f"WITH {_FITS} SELECT tomogram, round(avg(fwhm_z / fwhm_y), 6) AS mean, round(stddev_pop(fwhm_z / fwhm_y), 6) AS std, count(*) AS n FROM fits WHERE fwhm_y > 0.1 AND fwhm_z < 5 AND fwhm_y < 5 GROUP BY 1")
+def d32(spark, sf):
+    return bd.ratio_stats(fits(spark, sf), ["tomogram"], "fwhm_z", "fwhm_y", 5.0).select("tomogram", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "n")
+
+
+@query("d33_zx_ratio", f"WITH {_FITS} SELECT bead, recon, round(CASE WHEN fwhm_x > 0 THEN fwhm_z / fwhm_x END, 6) AS zx FROM fits")
+def d33(spark, sf):
+    return fits(spark, sf).select("bead", "recon", F.round(F.when(F.col("fwhm_x") > 0, F.col("fwhm_z") / F.col("fwhm_x")), 6).alias("zx"))
+
+
+@query("d34_filtered_summary", f"WITH {_FITS} SELECT tomogram, round(avg(fwhm_z * 4.9), 6) AS estimate, round((quantile_cont(fwhm_z * 4.9, 0.75) - quantile_cont(fwhm_z * 4.9, 0.25)) / 2, 7) AS iqr_half, count(*) AS n FROM fits WHERE fwhm_z * 4.9 < 20 GROUP BY 1")
+def d34(spark, sf):
+    from ..operators.report import iqr_half
+
+    nm = fits(spark, sf).withColumn("nm", F.col("fwhm_z") * 4.9).filter("nm < 20")
+    return iqr_half(nm, ["tomogram"], "nm").select("tomogram", F.round("estimate", 6).alias("estimate"), F.round("iqr_half", 7).alias("iqr_half"), "n")
+
+
+@query("d35_r2_trend", f"WITH {_FITS} SELECT tomogram, round(regr_slope(fwhm_z, r2_z), 5) + 0.0 AS slope, round(regr_intercept(fwhm_z, r2_z), 5) AS intercept, count(*) AS n FROM fits GROUP BY 1")
+def d35(spark, sf):
+    return bd.trend(fits(spark, sf), ["tomogram"], "r2_z", "fwhm_z").select("tomogram", clean0(F.col("slope"), 5).alias("slope"), F.round("intercept", 5).alias("intercept"), "n")
+
+
+@query("d36_histogram", f"WITH {_FITS}, e AS (SELECT tomogram, min(fwhm_z) AS lo, max(fwhm_z) AS hi FROM fits GROUP BY 1) SELECT tomogram, least(floor((fwhm_z - lo) / (hi - lo) * 20), 19)::INT AS bin, count(*) AS n FROM fits JOIN e USING (tomogram) GROUP BY ALL")
+def d36(spark, sf):
+    return bd.histogram(fits(spark, sf), ["tomogram"], "fwhm_z", 20)
+
+
+@query("d37_linewidth_scan", " UNION ALL ".join("SELECT * FROM (" + _profile_sql(lo, hi).replace(" SELECT bead, axis,", f" SELECT {w} AS linewidth, bead, axis,") + ")" for w, lo, hi in ((1, 2, 2), (2, 1, 2), (3, 1, 3))))
+def d37(spark, sf):
+    parts = [joined_samples(bd.centre_profiles(roi(spark, sf), ["bead"], 4, w, exact=True)).withColumn("linewidth", F.lit(w)) for w in (1, 2, 3)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("d38_fit_grid", f"WITH {_PLANT} SELECT bead, round(s, 4) AS sigma FROM plant WHERE bead % 5 <> 0")
+def d38(spark, sf):
+    p = profiles(spark, sf)
+    gone = p.filter("bead % 5 = 0").select("bead")
+    return bd.fit_gaussians(p.join(gone, "bead", "left_anti"), ["bead"]).select("bead", F.round("sigma", 4).alias("sigma"))
+
+
+@query("d39_montage", f"{_V} SELECT bead, plane, round(sum(v * (1 + row * 4 + col)), 6) + 0.0 AS total FROM ({_PLANES}) WHERE bead % 3 = 0 GROUP BY ALL")
+def d39(spark, sf):
+    chosen = roi(spark, sf).filter("bead % 3 = 0")  # the beads of a montage
+    return bd.mid_planes(chosen, 4).groupBy("bead", "plane").agg(clean0(F.sum(F.col("v") * (1 + F.col("row") * 4 + F.col("col"))), 6).alias("total"))

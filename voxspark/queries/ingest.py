@@ -1 +1,143 @@
-"""."""
+"""S, K, X: sources, sinks and the streaming extension, on lines and rows that Spark derives from the tables."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from ..functions import columns as C
+from ..plans import grids
+from ..sources import results as src
+from .crossval import _CURVES, _LAST, curves
+from .registry import query, table
+
+_LINES = "lines AS (SELECT l_orderkey, l_linenumber, (l_partkey % 400)::VARCHAR || ', ' || (l_suppkey % 900)::VARCHAR || ', 25, ' || l_quantity::INT::VARCHAR || CASE l_linenumber % 3 WHEN 0 THEN ' ' ELSE ', ' END || l_suppkey::VARCHAR || CASE l_linenumber % 3 WHEN 1 THEN CASE WHEN l_tax > 0.07 THEN ', nan' ELSE ', 1' END ELSE '' END AS value FROM lineitem)"
+
+
+def lines(spark, sf):
+    m = F.col("l_linenumber") % 3
+    text = lambda c: c.cast("string")
+    value = F.concat(text(F.col("l_partkey") % 400), F.lit(", "), text(F.col("l_suppkey") % 900), F.lit(", 25, "), text(F.col("l_quantity").cast("int")), F.when(m == 0, " ").otherwise(", "), text(F.col("l_suppkey")), F.when(m == 1, F.when(F.col("l_tax") > 0.07, ", nan").otherwise(", 1")).otherwise(""))
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", value.alias("value"))
+
+
+@query("s02_result_rows", f"WITH {_LINES}, p AS (SELECT *, string_split_regex(trim(value), '[,\\s]+') AS f FROM lines) SELECT l_orderkey, l_linenumber, f[1]::DOUBLE AS z, f[2]::DOUBLE AS x, f[4]::DOUBLE AS res, f[5]::DOUBLE AS mean, CASE WHEN isnan(try_cast(f[6] AS DOUBLE)) THEN NULL ELSE try_cast(f[6] AS DOUBLE) END AS corr FROM p")
+def s02(spark, sf):
+    rows = src.parse_result_lines(lines(spark, sf))
+    return rows.select("l_orderkey", "l_linenumber", "z", "x", "res", "mean", F.when(~F.isnan("corr"), F.col("corr")).alias("corr"))
+
+
+@query("s03_kind_by_fields", "SELECT CASE l_linenumber % 3 WHEN 0 THEN 'cli' WHEN 1 THEN '3d' ELSE '2d' END AS kind, count(*) AS n FROM lineitem GROUP BY 1")
+def s03(spark, sf):
+    return src.parse_result_lines(lines(spark, sf)).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+_PATHS = "paths AS (SELECT o_orderkey, '/r/' || CASE WHEN o_orderkey % 5 = 0 THEN 'dt' ELSE '' END || 'FSC' || (2 + o_orderkey % 2)::VARCHAR || 'D_' || CASE o_custkey % 3 WHEN 0 THEN 'refa_' WHEN 1 THEN 'refb_' ELSE '' END || '250nm_Mouse_A1S1_tomo' || (o_custkey % 30)::VARCHAR || '_' || (o_orderkey % 6 * 10 + 11)::VARCHAR || CASE WHEN o_orderkey % 4 = 0 THEN '-limited' ELSE '-limited%5B' || (o_custkey % 6 * 10 + 10)::VARCHAR || '.0_-' || (o_custkey % 6 * 10 + 10)::VARCHAR || '.0%5D.csv' END AS path FROM orders)"
+
+
+@query("s04_run_keys", f"WITH {_PATHS} SELECT o_orderkey, (2 + o_orderkey % 2)::INT AS dim, CASE o_custkey % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' END AS ref, 'Mouse_A1S1_tomo' || (o_custkey % 30)::VARCHAR AS tomogram, (o_orderkey % 6 * 10 + 11)::INT AS num_ang, CASE WHEN o_orderkey % 4 <> 0 THEN (o_custkey % 6 * 10 + 10)::DOUBLE END AS max_ang FROM paths JOIN orders USING (o_orderkey)")
+def s04(spark, sf):
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    angle = (c % 6 * 10 + 10).cast("string")
+    path = F.concat(F.lit("/r/"), F.when(k % 5 == 0, "dt").otherwise(""), F.lit("FSC"), (k % 2 + 2).cast("string"), F.lit("D_"), F.when(c % 3 == 0, "refa_").when(c % 3 == 1, "refb_").otherwise(""), F.lit("250nm_Mouse_A1S1_tomo"), (c % 30).cast("string"), F.lit("_"), (k % 6 * 10 + 11).cast("string"), F.when(k % 4 == 0, "-limited").otherwise(F.concat(F.lit("-limited%5B"), angle, F.lit(".0_-"), angle, F.lit(".0%5D.csv"))))
+    keys = C.run_keys(path)
+    return table(spark, sf, "orders").select("o_orderkey", *[keys[n].alias(n) for n in ("dim", "ref", "tomogram", "num_ang", "max_ang")])
+
+
+@query("s05_bead_config", "SELECT p_partkey, box_size, pos::INT AS pos, label FROM (SELECT p_partkey, coalesce(CASE WHEN p_size > 25 THEN p_size END, 36) AS box_size, unnest([0, 1, 2]) AS pos, unnest([p_brand, p_type, p_name]) AS label FROM part)")
+def s05(spark, sf):
+    box = F.coalesce(F.when(F.col("p_size") > 25, F.col("p_size")), F.lit(36))
+    return table(spark, sf, "part").select("p_partkey", box.alias("box_size"), F.posexplode(F.array("p_brand", "p_type", "p_name")).alias("pos", "label"))
+
+
+@query("s08_settings", "SELECT l_orderkey, max(l_quantity::INT::VARCHAR) FILTER (l_linenumber = 1) AS \"LOG\", arg_max(l_suppkey::VARCHAR, l_linenumber) FILTER (l_linenumber IN (2, 3)) AS \"SCALE\" FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity) AS rn FROM lineitem) WHERE rn = 1 GROUP BY l_orderkey")
+def s08(spark, sf):
+    from pyspark.sql import Window
+
+    rank = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_quantity"))
+    first = table(spark, sf, "lineitem").withColumn("rn", rank).filter("rn = 1")
+    n = F.col("l_linenumber")
+    text = F.when(n == 1, F.concat(F.lit("LOG  "), F.col("l_quantity").cast("int").cast("string"))).when(n.isin(2, 3), F.concat(F.lit("SCALE "), F.col("l_suppkey").cast("string"))).otherwise("# none")
+    return src.settings_of(first.select("l_orderkey", n.alias("line"), text.alias("value")), ["l_orderkey"], ["LOG", "SCALE"])
+
+
+@query("s09_curve_text", "SELECT o_custkey, o_orderkey AS line, (count(*) FILTER (o_orderkey % 5 = 0) OVER w)::INT AS n_before, (o_orderkey % 7)::DOUBLE AS radius FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey) QUALIFY o_orderkey % 5 > 1 AND n_before > 0")
+def s09(spark, sf):
+    from pyspark.sql import Window
+
+    k = F.col("o_orderkey")
+    order = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    seen = F.count_if(k % 5 == 0).over(order).cast("string")
+    text = F.when(k % 5 == 0, F.concat(F.lit("Projection # "), seen, F.lit(" - Tilt angle: -60.00"))).when(k % 5 == 1, "Radius s Res").otherwise(F.concat((k % 7).cast("string"), F.lit("\t0.1\t10\t0.5")))
+    rows = table(spark, sf, "orders").select("o_custkey", k.alias("line"), text.alias("value"))
+    return src.parse_curves(rows, ["o_custkey"]).filter("proj is not null").select("o_custkey", "line", F.col("proj").alias("n_before"), "radius")
+
+
+@query("s11_annotation_nodes", "SELECT o_custkey, count(*) AS n, sum(o_orderkey % 100)::BIGINT AS x FROM orders GROUP BY o_custkey")
+def s11(spark, sf):
+    position = F.struct((F.col("o_orderkey") % 100).alias("x"), (F.col("o_orderkey") % 60).alias("z"))
+    nodes = table(spark, sf, "orders").groupBy("o_custkey", (F.col("o_orderkey") % 3).alias("tree")).agg(F.collect_list(F.struct(position.alias("position"))).alias("nodes"))
+    trees = nodes.groupBy("o_custkey").agg(F.collect_list(F.struct("nodes")).alias("trees"))
+    flat = trees.select("o_custkey", F.explode(src.points_of(F.col("trees"))).alias("p"))
+    return flat.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.sum("p.x").alias("x"))
+
+
+@query("s12_integer_lists", "SELECT p_partkey, list_aggregate(l, 'string_agg', ',') AS list, len(l)::INT AS n, list_max(l)::INT AS most FROM (SELECT p_partkey, list_concat(range(p_size, p_size + p_partkey % 4 + 1), [45, 59]) AS l FROM part)")
+def s12(spark, sf):
+    text = F.concat(F.col("p_size").cast("string"), F.lit("-"), (F.col("p_size") + F.col("p_partkey") % 4).cast("string"), F.lit(",45,59"))
+    l = C.expand_int_list(text)  # noqa: E741
+    return table(spark, sf, "part").select("p_partkey", F.array_join(l.cast("array<string>"), ",").alias("list"), F.size(l).alias("n"), F.array_max(l).alias("most"))
+
+
+@query("k01_result_text", "SELECT l_orderkey, l_linenumber, (l_partkey % 400)::VARCHAR || ', ' || (l_suppkey % 900)::VARCHAR || ', 25, ' || l_quantity::INT::VARCHAR || ', 3, nan' AS line FROM lineitem")
+def k01(spark, sf):
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 400).alias("z"), (F.col("l_suppkey") % 900).alias("x"), F.lit(25).alias("y"), F.col("l_quantity").cast("int").alias("res"), F.lit(3).alias("mean"), F.lit(None).cast("double").alias("corr"))
+    return rows.select("l_orderkey", "l_linenumber", src.result_line().alias("line"))
+
+
+@query("k02_result_text_2d", "SELECT l_orderkey, l_linenumber, (l_partkey % 400)::VARCHAR || ', 7, 25, 1, 3' AS line FROM lineitem")
+def k02(spark, sf):
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 400).alias("z"), F.lit(7).alias("x"), F.lit(25).alias("y"), F.lit(1).alias("res"), F.lit(3).alias("mean"))
+    return rows.select("l_orderkey", "l_linenumber", src.result_line(corr=False).alias("line"))
+
+
+@query("k03_run_parameters", "SELECT p_partkey, p_size AS cube_size, 'n' || p_size::VARCHAR AS name FROM part")
+def k03(spark, sf):
+    schema = "cube_size int, name string"
+    packed = table(spark, sf, "part").select("p_partkey", F.to_json(F.struct(F.col("p_size").alias("cube_size"), F.concat(F.lit("n"), F.col("p_size").cast("string")).alias("name"))).alias("json"))
+    return packed.withColumn("p", F.from_json("json", schema)).select("p_partkey", "p.cube_size", "p.name")
+
+
+@query("k05_pending_runs", "SELECT DISTINCT o_custkey, o_orderpriority FROM orders o WHERE NOT EXISTS (SELECT 1 FROM orders d WHERE d.o_custkey = o.o_custkey AND d.o_orderpriority = o.o_orderpriority AND d.o_orderstatus = 'F')")
+def k05(spark, sf):
+    orders = table(spark, sf, "orders")
+    keys = ["o_custkey", "o_orderpriority"]
+    return grids.pending(orders.select(*keys).distinct(), orders.filter("o_orderstatus = 'F'"), keys)
+
+
+@query("k06_estimate_text", f"WITH {_CURVES}, top AS (SELECT run, proj, max(value) AS v FROM flat GROUP BY ALL) SELECT run, proj::INT AS proj, printf('%.3f', v) AS line FROM top")
+def k06(spark, sf):
+    top = curves(spark, sf).groupBy("run", "proj").agg(F.max("value").alias("v"))
+    return top.select("run", "proj", F.format_string("%.3f", "v").alias("line"))
+
+
+@query("k07_tilt_resolution_table", f"WITH {_CURVES}, long AS (" + _LAST.format(src="flat").replace(", st AS", "WITH st AS", 1) + ") SELECT run, proj, max(res) FILTER (threshold = 0.3) AS t30, max(res) FILTER (threshold = 0.5) AS t50 FROM long GROUP BY ALL")
+def k07(spark, sf):
+    from ..operators.crossval import last_crossings
+
+    found = last_crossings(curves(spark, sf), ["run", "proj"], [0.3, 0.5]).withColumn("res", F.round("res", 6))
+    return src.wide_estimates(found, ["run", "proj"], [0.3, 0.5])
+
+
+@query("x01_streamed_stats", "SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1")
+def x01(spark, sf):
+    """The events as a stream of files, into a table in memory once all have arrived."""
+    from ..streaming.results import running_stats, stream_results
+
+    schema = table(spark, sf, "events").schema
+    stream = stream_results(spark, f"{sf}/events.parquet*", schema)
+    name = f"stream_{uuid.uuid4().hex}"
+    run = running_stats(stream, ["event_type"], "value").writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.table(name).select("event_type", "n", F.round("mean", 6).alias("mean"))
