@@ -1,0 +1,408 @@
+"""The training-data operators against brute force, planted cases, round trips and held-out accuracy."""
+
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from voxspark.llm import chat, chroma, components, decontam, langid, minhash, mixing, pii, queries, sharding, tokens, toxicity
+from voxspark.llm.scratch import Scratch
+
+from ..conftest import SF
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, one string, label string, copies int, rank int"
+
+
+@pytest.fixture(scope="module")
+def scratch(spark):
+    return Scratch(spark, "tests")
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+def odd_rows():
+    long = "x" * 5000 + " " + "word " * 3000
+    rows = [(1, None, None, None), (2, "", None, "s"), (None, "null id text here now", "en", None), (3, "  \t\n", "en", "s"), (4, "a b c", "de", "s"), (5, "a b c", "de", "s"), (6, long, "en", "t"), (6, long, "en", "t"), (7, "13 11 %% !!", "en", "t")]
+    return [(*r, 1, "a", "b", 9, 9) for r in rows]
+
+
+@pytest.fixture(scope="module", params=["odd", "empty"])
+def edge(request, spark):
+    return spark.createDataFrame(odd_rows() if request.param == "odd" else [], DOCS)
+
+
+# --- near duplicates ---------------------------------------------------------------------------------
+
+
+def brute_classes(texts, k, percent):
+    def shingles(t):
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
+        return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
+
+    sets = {i: shingles(t) for i, t in texts.items()}
+    parent = {i: i for i in sets}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    ids = sorted(sets)
+    for n, a in enumerate(ids):
+        for b in ids[n + 1 :]:
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    return {i: (len(sets[i]), find(i)) for i in ids}
+
+
+def near_group(rng, base, n, edits):
+    out = []
+    for _ in range(n):
+        words = list(base)
+        for _ in range(rng.randrange(edits + 1)):
+            words[rng.randrange(len(words))] = f"new{rng.randrange(10**6)}"
+        out.append(" ".join(words))
+    return out
+
+
+def test_near_duplicates_equal_brute_force(spark, scratch):
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(400)]
+    texts = [" ".join(rng.choices(vocabulary, k=rng.randrange(1, 120))) for _ in range(80)]
+    for _ in range(4):
+        base = rng.choices(vocabulary, k=100)
+        texts += near_group(rng, base, 25, 7)
+    texts += [texts[0]] * 5 + ["", "   ", "one", "one", "One", "two words", "two words more"]
+    rows = dict(enumerate(texts))
+    df = spark.createDataFrame([*rows.items(), (1000, None)], "doc_id long, text string")
+    want = brute_classes(rows | {1000: None}, 4, 80)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(df, scratch).collect()}
+    assert got == want
+
+
+def test_links_between_members_that_fail_the_head_are_found(spark, scratch):
+    base = [f"b{i}" for i in range(100)]
+    far = base.copy()
+    far[10], far[40], far[70], far[90] = "p", "q", "r", "s"  # 16 shingles of 97 gone: too far from the base
+    other = far.copy()
+    other[42] = "t"
+    df = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(far)), (3, " ".join(other))], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df, scratch).collect()}
+    assert got == {1: 1, 2: 2, 3: 2}
+
+
+def test_sketch_estimates_similarity_and_fills_every_bin():
+    rng = np.random.default_rng(0)
+    for n in (1, 2, 5, 50, 1000):
+        assert (minhash.fast_similarity_sketch(rng.integers(1, 2**62, n).astype(np.uint64), 96) != np.uint64(2**64 - 1)).all()
+    same = []
+    for _ in range(60):
+        x = np.unique(rng.integers(1, 2**62, 400).astype(np.uint64))
+        a, b = x[:350], x[50:]
+        same.append((minhash.fast_similarity_sketch(a, 96) == minhash.fast_similarity_sketch(b, 96)).mean())
+    assert abs(np.mean(same) - 0.75) < 0.02
+
+
+def test_components_of_paths_and_loops(spark, scratch):
+    edges = [(i, i + 1) for i in range(20)] + [(50, 50), (61, 60), (60, 61), (30, 20)]
+    got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long"), scratch).collect()}
+    assert got == {**{i: 0 for i in range(21)}, 30: 0, 60: 60, 61: 60}
+
+
+# --- tokens -------------------------------------------------------------------------------------------
+
+
+@given(st.lists(st.lists(st.integers(0, 2**32 - 1), max_size=300), max_size=5))
+@settings(max_examples=30, deadline=None)
+def test_token_files_round_trip(docs_):
+    import io
+
+    out = io.BytesIO()
+    writer = tokens.Writer(out)
+    for i, ids in enumerate(docs_):
+        writer.add(i, np.array(ids, np.uint32))
+    writer.close()
+    reader = tokens.Reader(out, len(out.getvalue()))
+    assert [reader.ids(i).tolist() for i in range(len(docs_))] == docs_
+
+
+@given(st.lists(st.integers(0, 50_000), min_size=1, max_size=tokens.BLOCK), st.integers(0, 2**31))
+@settings(max_examples=30, deadline=None)
+def test_blocks_with_outliers(values, outlier):
+    ids = np.array([*values[:-1], outlier], np.uint32)
+    assert tokens.decode_block(tokens.encode_block(ids)).tolist() == ids.tolist()
+
+
+@given(st.text(st.characters(exclude_categories=["Cs"]), max_size=60))
+@settings(max_examples=300, deadline=None)
+def test_word_encoder_equals_the_tokenizer(text):
+    from tokenizers import Tokenizer
+
+    path = queries.vocabulary("word_bpe_49k.json")
+    encoder = tokens._encoder(path, False)
+    tokenizer = tokens._ENCODERS.setdefault("whole", Tokenizer.from_file(path))
+    assert encoder.encode(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_tokens_of_all_documents(spark, docs, scratch):
+    from tokenizers import Tokenizer
+
+    tokenizer, start = Tokenizer.from_file(queries.vocabulary("word_bpe_49k.json")), 0
+    got = {r["doc_id"]: r for r in queries.op4_token_blocks(spark, SF).collect()}
+    for r in docs.orderBy("doc_id").collect():
+        ids = [*tokenizer.encode(r["text"] or "", add_special_tokens=False).ids, 2]
+        g = got[r["doc_id"]]
+        assert (g["start"], g["n_tokens"], g["ids_crc32"]) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+
+
+# --- language, toxicity ---------------------------------------------------------------------------------
+
+
+def test_forward_sums_all_segmentations():
+    vocabulary = langid.Vocabulary.of(["▁", "a", "b", "ab", "▁a"])
+    p = np.array([[0.1], [0.2], [0.3], [0.15], [0.25], [0.0]])
+    got = np.exp(langid.log_probabilities(vocabulary, p, ["ab", "b"]))[:, 0]
+    assert got[0] == pytest.approx(0.1 * 0.2 * 0.3 + 0.1 * 0.15 + 0.25 * 0.3, rel=1e-6)
+    assert got[1] == pytest.approx(0.1 * 0.3, rel=1e-6)
+    counts = langid.expected_counts(vocabulary, p, ["ab"], np.array([0]), np.array([2.0]))
+    whole = 0.1 * 0.2 * 0.3 + 0.1 * 0.15 + 0.25 * 0.3
+    assert counts[3, 0] == pytest.approx(2 * 0.1 * 0.15 / whole, rel=1e-5)
+
+
+def test_language_of_held_out_documents(spark, docs):
+    joined = queries.op8_language_id(spark, SF).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
+    assert len(joined) > 20 and np.mean([r["lang"] == r["lang_pred"] for r in joined]) > 0.97
+
+
+def test_classifier_learns_stems_it_has_seen_with_other_endings():
+    rng = random.Random(3)
+    plain = [f"{a}{b}" for a in ("won", "lat", "rem", "sol", "tir") for b in ("er", "ing", "ed", "a", "os")]
+    endings = ["ung", "heit", "ich", "aro", "elt", "imo", "ast", "ute"]
+    sample = []
+    for i in range(600):
+        words, bad = rng.choices(plain, k=60), i % 5 == 0
+        if bad:
+            words[rng.randrange(60)] = "vilstra" + rng.choice(endings[:5])
+        sample.append((i, int(bad), "en", " ".join(words)))
+    net = toxicity.train_on(sample, {0: 480, 1: 120})
+
+    def score(words):
+        rows = toxicity.features(words)
+        z = toxicity.logits_of(net, [np.arange(len(words))], toxicity.embed(net, rows))[0]
+        return 1 / (1 + np.exp(-(net.scale * z + net.shift)))
+
+    assert score([*plain, "vilstraute"]) > 0.3 > score(plain)
+
+
+# --- mixing, sharding ------------------------------------------------------------------------------------
+
+
+def test_targets_stop_at_twice_the_size_and_reshare(spark):
+    sizes = spark.createDataFrame([("a", 100), ("b", 1000), ("c", 10), (None, 500)], "source string, source_size long")
+    got = {r["source"]: r["target"] for r in mixing.source_targets(sizes).collect()}
+    assert sum(got.values()) == pytest.approx(1.5 * 1610) and got["a"] == 200 and got["c"] == 20
+    assert got[None] == 1000 and got["b"] == pytest.approx(2415 - 1220)  # the excess goes to b alone
+
+
+def test_mix_comes_near_its_targets(spark, docs, scratch):
+    rows = mixing.mix(docs, scratch).collect()
+    by = {}
+    for r in rows:
+        assert 0 <= r["taken"] <= 2 * r["size"]
+        by.setdefault(r["source"], []).append(r)
+    for rs in by.values():
+        assert abs(sum(r["taken"] for r in rs) - rs[0]["target"]) <= max(r["size"] for r in rs) / 2 + 1e-6
+    assert mixing.mixed(docs, scratch).count() == sum(r["copies"] for r in rows)
+
+
+def test_hilbert_curve_visits_neighbours(spark):
+    i = F.col("id")
+    cells = spark.range(512).select((i % 8).alias("a"), (F.floor(i / 8) % 8).alias("b"), F.floor(i / 64).alias("c"))
+    walk = cells.select("*", sharding.hilbert_index([F.col("a"), F.col("b"), F.col("c")], 3).alias("h")).orderBy("h").collect()
+    assert [r["h"] for r in walk] == list(range(512))
+    assert all(abs(p["a"] - q["a"]) + abs(p["b"] - q["b"]) + abs(p["c"] - q["c"]) == 1 for p, q in zip(walk, walk[1:]))
+
+
+def test_shards_are_even_gapless_and_in_curve_order(spark, docs, scratch):
+    rows = sharding.shard(docs, scratch).collect()
+    assert len({r["doc_id"] for r in rows}) == docs.count()
+    by = {}
+    for r in rows:
+        by.setdefault(r["shard"], []).append(r)
+    sizes = [len(v) for v in by.values()]
+    assert set(by) == set(range(24)) and max(sizes) - min(sizes) <= 1
+    for v in by.values():
+        assert sorted(r["slot"] for r in v) == list(range(len(v)))
+    order = [r["hilbert"] for r in sorted(rows, key=lambda r: (r["shard"], r["slot"]))]
+    assert order == sorted(order)
+
+
+# --- decontamination --------------------------------------------------------------------------------------
+
+
+def test_reparameterised_items_and_chance_matches(spark, scratch):
+    item = "Every morning the old train leaves Berlin with 12 red wagons and returns at night with 7 wagons and 5 km of rope while 12 people wait"
+    filler = " ".join(f"filler{i}" for i in range(30))
+    swapped = item.replace("12", "40").replace("7", "9").replace("Berlin", "Madrid")
+    broken = item.replace("12", "40", 1).replace("12", "41", 1)  # one value became two
+    texts = {1: f"{filler} {item}. {filler}", 2: f"{filler}. {swapped} {filler}", 3: filler, 4: f"{filler} {broken}", 5: item.upper().replace("BERLIN", "Berlin"), 6: None}
+    docs_ = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    bench = spark.createDataFrame([(9, item), (10, "some other question about nothing at all in here")], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["kind"] for r in decontam.contaminated(docs_, bench, scratch).collect()}
+    assert got == {(1, 9): "verbatim", (2, 9): "reparameterised", (5, 9): "verbatim"}
+
+
+def test_every_passage_that_stands_in_a_document_is_found(spark, docs, scratch):
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    flat = lambda t: " " + " ".join(re.findall(r"[^\W_]+", t.lower())) + " "
+    items = {r["item_id"]: flat(r["text"]) for r in bench.collect()}
+    want = {(r["doc_id"], i) for r in docs.collect() for i, t in items.items() if t in flat(r["text"])}
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(docs, bench, scratch).collect()}
+    assert want <= got and len(got - want) <= max(1, len(want) // 20)
+
+
+# --- personal data ---------------------------------------------------------------------------------------
+
+
+def test_surrogates_keep_format_and_distinctness():
+    rng = random.Random(1)
+    for kind, make in (("phone", lambda: f"+1 ({rng.randrange(100, 1000)}) 555-{rng.randrange(10**4):04d}"), ("ipv4", lambda: ".".join(str(rng.randrange(256)) for _ in range(4))), ("card", lambda: f"{rng.randrange(10**16):016d}"), ("secret", lambda: f"{rng.randrange(16**40):040x}")):
+        values = {make() for _ in range(2000)}
+        made = {v: pii.surrogate(b"k", kind, v) for v in values}
+        assert len(set(made.values())) == len(values)
+        assert all(re.sub(r"[0-9a-f]", "", v) == re.sub(r"[0-9a-f]", "", m) for v, m in made.items())
+        assert all(re.fullmatch(pii.PATTERNS[kind], m) for m in made.values())
+        assert made != {v: pii.surrogate(b"other", kind, v) for v in values}
+
+
+def test_names_keep_gender_script_and_coreference():
+    text = "Dear Mrs. Anna Meyer, MR JOHN is out. Frau Anna Meyer wrote to Meyer; Mr Пётр Смирнов too."
+    new, found = pii.replace(text, b"k", {})
+    kinds = [k for k, *_ in found]
+    assert kinds == ["given_f", "surname", "given_f", "surname", "surname", "given_m_cyrillic", "surname"]
+    assert found[0][3].lower() in pii.FEMALE and found[0][3] == found[2][3] and found[1][3] == found[3][3] == found[4][3]
+    assert found[5][3].lower() in pii.MALE_CYRILLIC and re.fullmatch("[А-Яа-яё]+", found[6][3])
+    assert all(new[a:b] == s for _, a, b, s in found)
+
+
+@given(st.integers(0, 2**30), st.lists(st.integers(1, 6), min_size=1, max_size=4))
+@settings(max_examples=20, deadline=None)
+def test_permutation_is_one_to_one(key, radix):
+    from itertools import product
+
+    every = list(product(*map(range, radix)))
+    assert len({tuple(pii.permute(str(key).encode(), "t", list(v), radix)) for v in every}) == len(every)
+
+
+def test_no_surrogate_is_real(spark, scratch):
+    rows = [(i, f"call +1 (555) 555-{i:04d} or 10.0.{i % 256}.{i // 256}") for i in range(600)]
+    out = pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), scratch, b"k").collect()
+    real = {v for _, t in rows for *_, v in pii.detect(t)}
+    made = {e["surrogate"] for r in out for e in r["entities"]}
+    assert not made & real and len(made) == len(real) and all(r["n_entities"] == 2 for r in out)
+
+
+# --- audio -----------------------------------------------------------------------------------------------
+
+
+def test_excerpts_find_their_recordings(spark, scratch):
+    vectors = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").filter("vec_id < 120")
+    recordings = chroma.melodies(vectors)
+    asked = chroma.excerpts(recordings.filter("rec_id % 10 = 0"))
+    got = {(r["query_id"], r["match_id"]) for r in chroma.search(asked, recordings, scratch).collect()}
+    # brute force: the least bit error rate over all offsets
+    prints = {r["rec_id"]: np.array(r["codes"], np.int32) for r in chroma.fingerprints(recordings).collect()}
+    want = set()
+    for r in chroma.fingerprints(asked).collect():
+        q = np.array(r["codes"], np.int32)
+        for i, p in prints.items():
+            for o in range(len(p) - 19):
+                n = min(len(q), len(p) - o)
+                if n >= 20 and np.bitwise_count((q[:n] ^ p[o : o + n]).view(np.uint32)).sum() <= 0.25 * 32 * n:
+                    want.add((r["rec_id"], i))
+    own = {(i, i) for i in range(0, 120, 10)}
+    assert own <= want and len(got & want) >= 0.9 * len(want) and own <= got
+
+
+# --- chat ------------------------------------------------------------------------------------------------
+
+
+@given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "system"]), st.text(st.sampled_from("ab \\\n</s>[INST]|im_startend<<SYS>>"), max_size=25)), max_size=6))
+@settings(max_examples=150, deadline=None)
+def test_formatting_reads_back(turns):
+    formatted, spans = chat.locate(chat.inst_template, turns)
+    assert chat.parse_inst(formatted) == turns
+    assert [chat.unescape(formatted[s[3] : s[4]]) for s in spans] == [t for _, t in turns]
+    assert [s[:3] for s in spans] == [(r, a, b) for (r, _), a, b in zip(turns, [0, *[s[2] for s in spans]], [s[2] for s in spans])]
+    assert not any(s[5] for s in spans)
+
+
+def test_templates_that_rewrite_history_are_marked():
+    _, spans = chat.locate(chat.last_turn_only, [("user", "first words"), ("assistant", "second")])
+    assert [s[5] for s in spans] == [False, True]
+
+
+# --- odd and empty tables -----------------------------------------------------------------------------------
+
+
+def test_odd_and_empty_tables(spark, scratch, edge):
+    n = edge.count()
+    labels = spark.createDataFrame([(4, 1), (5, 0), (1, None), (None, 1)] if n else [], "doc_id long, toxic int")
+    bench = spark.createDataFrame([(1, "a b c"), (2, None), (3, ""), (None, "x y z")] if n else [], "item_id long, text string")
+    scores = toxicity.classify(edge, toxicity.train(edge, labels, scratch)).collect()
+    assert len(scores) == n and all(0 <= r["score"] <= 1 for r in scores)
+    near = minhash.near_duplicates(edge, scratch).collect()
+    assert len(near) == n and {r["component_id"] for r in near if r["doc_id"] in (4, 5)} == ({4} if n else set())
+    assert pii.pseudonymise(edge, scratch, b"k").count() == n
+    folder = scratch.folder("tokens")
+    manifest = tokens.write_tokens(edge, scratch, queries.vocabulary("word_bpe_49k.json"), folder)
+    read = tokens.read_tokens(manifest, folder, tokens.crc32_of_ids, "long").orderBy("start").collect()
+    assert len(read) == n and [r["start"] for r in read] == np.cumsum([0, *[r["n_tokens"] for r in read]])[:-1].tolist()
+    mixed = mixing.mix(edge, scratch).collect()
+    assert len(mixed) == n and all(r["copies"] <= 2 for r in mixed)
+    assert mixing.mixed(edge, scratch).columns == edge.columns
+    assert sorted((r["shard"], r["slot"]) for r in sharding.shard(edge, scratch).collect()) == [(k * 24 // 9, 0) for k in range(n)]
+    model = langid.train(edge, scratch, queries.vocabulary("piece_bpe_32k.model"))
+    found = langid.predict(edge, model).collect()
+    assert len(found) == n and all(r["lang_pred"] == "und" for r in found if r["doc_id"] in (1, 2, 3, 7))
+    assert langid.filtered(edge, model).columns == edge.columns
+    assert {r["doc_id"] for r in decontam.contaminated(edge, bench, scratch).collect()} == ({4, 5} if n else set())
+
+
+def test_odd_conversations_and_vectors(spark, scratch):
+    turns = spark.createDataFrame([(1, 0, None, None), (1, 1, "assistant", "<s>\\"), (None, None, "user", "x"), (1, 1, "assistant", "<s>\\")], "conv_id long, turn long, role string, text string")
+    read = {r["conv_id"]: r for r in chat.read_back(chat.format_conversations(turns)).collect()}
+    assert len(read[1]["turns"]) == 3 and read[1]["loss_texts"] == ["<s>\\", "<s>\\"] and read[None]["loss_texts"] == []
+    vectors = spark.createDataFrame([(0, None), (100, []), (200, [None] * 64)], "vec_id long, embedding array<float>")
+    recordings = chroma.melodies(vectors)
+    assert chroma.search(chroma.excerpts(recordings), recordings, scratch).filter("query_id < 200").count() == 0
+
+
+# --- pipeline ---------------------------------------------------------------------------------------------
+
+
+def test_pipeline_stage_by_stage(spark, docs, scratch):
+    import corpus_pipeline as cp
+
+    assert [n for n, _ in cp.STAGES] == ["language_id", "near_dedup", "decontaminate", "mix_sources", "write_tokens"]
+    rows, columns = docs, docs.columns
+    seen = {}
+    for name, stage in cp.STAGES:
+        rows = scratch.keep(stage(spark, rows, SF), name)
+        seen[name] = rows
+        assert name == "write_tokens" or rows.columns == columns
+    texts = {r["doc_id"]: r["text"] for r in seen["language_id"].collect()}
+    assert set(texts) == {r["doc_id"] for r in docs.collect() if r["text"] and langid.LETTERS.search(r["text"])}
+    classes = brute_classes(texts, 5, 80)
+    assert {r["doc_id"] for r in seen["near_dedup"].collect()} == {i for i, (n, c) in classes.items() if c == i}
+    assert seen["write_tokens"].count() == seen["mix_sources"].count()

@@ -116,8 +116,8 @@ def log_probabilities(vocabulary: Vocabulary, probability: np.ndarray, words: li
     """Log probability of each word (a run of letters) under each model."""
     out = np.zeros((len(words), probability.shape[1]))
     for n, places in _by_length(words).items():
-        for a in range(0, len(places), 20_000):
-            part = places[a : a + 20_000]
+        for a in range(0, len(places), 5_000):
+            part = places[a : a + 5_000]
             alpha = forward(lattice(vocabulary, [words[k] for k in part]), n + 1, probability)[-1]
             out[part] = np.log(np.maximum(alpha, 1e-300))
     return out
@@ -128,8 +128,8 @@ def expected_counts(vocabulary: Vocabulary, probability: np.ndarray, words: list
     out = np.zeros(probability.size)
     models = probability.shape[1]
     for n, places in _by_length(words).items():
-        for a in range(0, len(places), 20_000):
-            part = np.array(places[a : a + 20_000])
+        for a in range(0, len(places), 5_000):
+            part = np.array(places[a : a + 5_000])
             found, which = lattice(vocabulary, [words[k] for k in part]), model[part]
             size = n + 1
             prob = {key: probability[rows, which] for key, rows in found.items()}

@@ -95,7 +95,8 @@ def mixed(docs: DataFrame, scratch: Scratch, **options) -> DataFrame:
     joined = packed.join(thresholds(rows, scratch, **options), F.col("row.source").eqNullSafe(F.col("mix_source")))
     copies = F.col("whole") + (id_hash(F.col("row.doc_id")) < F.col("threshold")).cast("long")
     # sequence(1, 0) would count down
-    return joined.select("row", copies.alias("copies")).filter("copies > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")).select("row.*")
+    times = F.when(copies > 0, F.sequence(F.lit(1).cast("long"), copies)).otherwise(F.array().cast("array<long>"))
+    return joined.select("row", F.explode(times).alias("nth")).select("row.*")
 
 
 def _refine(rows: DataFrame, bounds: DataFrame, above: int, shift: int) -> DataFrame:

@@ -182,7 +182,7 @@ class WordEncoder:
     tokenizers to which white space matters.
     """
 
-    def __init__(self, path: str, limit: int = 400_000, whole: bool = False):
+    def __init__(self, path: str, limit: int = 200_000, whole: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

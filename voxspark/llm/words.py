@@ -15,7 +15,7 @@ class WordTable:
     holds ``limit`` words, so memory is bounded whatever the input; results do not depend on it.
     """
 
-    def __init__(self, features: Callable[[list], np.ndarray], limit: int = 300_000):
+    def __init__(self, features: Callable[[list], np.ndarray], limit: int = 120_000):
         self.features, self.limit = features, limit
         self.rows: dict = {}
         self.values: np.ndarray | None = None
@@ -49,7 +49,7 @@ def in_blocks(items: list, size: Callable[[object], int], most: int) -> Iterable
 
 
 #: Characters of text that a task splits into words at a time.
-BLOCK_CHARS = 2_000_000
+BLOCK_CHARS = 1_000_000
 
 
 def split_blocks(frame: pd.DataFrame, split: Callable[[str], list] = str.split, column: str = "text") -> Iterable[tuple[pd.DataFrame, list[list]]]:
