@@ -226,9 +226,9 @@ def d25(spark, sf):
     return fits(spark, sf).filter("bead = 77").select("recon", *[F.round(c, 6).alias(c) for c in ("fwhm_x", "fwhm_z", "r2_x", "r2_z")])
 
 
-@query("d26_sigma_outliers", f"WITH {_LONG}, st AS (SELECT axis, avg(value) AS m, stddev_pop(value) AS sd FROM long GROUP BY axis) SELECT tomogram, bead, axis, round(value, 6) AS value FROM long JOIN st USING (axis) WHERE abs(value - m) > 1.5 * sd")
+@query("d26_sigma_outliers", f"WITH {_LONG}, st AS (SELECT axis, avg(value) AS m, stddev_pop(value) AS sd FROM long GROUP BY axis) SELECT tomogram, bead, axis, round(value, 9) AS value FROM long JOIN st USING (axis) WHERE abs(value - m) > 1.5 * sd")
 def d26(spark, sf):
-    return bd.sigma_outliers(long(spark, sf), ["axis"], "value", 1.5).select("tomogram", "bead", "axis", F.round("value", 6).alias("value"))
+    return bd.sigma_outliers(long(spark, sf), ["axis"], "value", 1.5).select("tomogram", "bead", "axis", F.round("value", 9).alias("value"))
 
 
 @query("d27_joint_outliers", f"WITH {_FITS} SELECT tomogram, recon, bead FROM fits WHERE fwhm_x > 0 AND fwhm_x <= 4 AND fwhm_y > 0 AND fwhm_y <= 4 AND fwhm_z > 0 AND fwhm_z <= 4")
@@ -263,9 +263,9 @@ def d32(spark, sf):
     return bd.ratio_stats(fits(spark, sf), ["tomogram"], "fwhm_z", "fwhm_y", 5.0).select("tomogram", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "n")
 
 
-@query("d33_zx_ratio", f"WITH {_FITS} SELECT bead, recon, round(CASE WHEN fwhm_x > 0 THEN fwhm_z / fwhm_x END, 6) AS zx FROM fits")
+@query("d33_zx_ratio", f"WITH {_FITS} SELECT bead, recon, round(CASE WHEN fwhm_x > 0 THEN fwhm_z / fwhm_x END, 9) AS zx FROM fits")
 def d33(spark, sf):
-    return fits(spark, sf).select("bead", "recon", F.round(F.when(F.col("fwhm_x") > 0, F.col("fwhm_z") / F.col("fwhm_x")), 6).alias("zx"))
+    return fits(spark, sf).select("bead", "recon", F.round(F.when(F.col("fwhm_x") > 0, F.col("fwhm_z") / F.col("fwhm_x")), 9).alias("zx"))
 
 
 @query("d34_filtered_summary", f"WITH {_FITS} SELECT tomogram, round(avg(fwhm_z * 4.9), 6) AS estimate, round((quantile_cont(fwhm_z * 4.9, 0.75) - quantile_cont(fwhm_z * 4.9, 0.25)) / 2, 7) AS iqr_half, count(*) AS n FROM fits WHERE fwhm_z * 4.9 < 20 GROUP BY 1")

@@ -15,7 +15,12 @@ from .registry import query, table
 _I = f"WITH {IMAGES_SQL}"
 _P2 = _I + ", pairs AS (SELECT a.img // 2 AS run, a.px, a.py, a.v AS v1, b.v AS v2 FROM images a JOIN images b ON b.img = a.img + 1 AND a.px = b.px AND a.py = b.py WHERE a.img % 2 = 0)"
 _R = "sqrt(kz * kz + kx * kx + ky * ky)"
-R3 = F.sqrt(F.col("kz") * F.col("kz") + F.col("kx") * F.col("kx") + F.col("ky") * F.col("ky"))
+
+
+def radius(*axes):
+    """Length of a frequency."""
+    return F.sqrt(sum((F.col(a) * F.col(a) for a in axes), F.lit(0)))
+
 
 
 def _shelled(radius):
@@ -28,12 +33,12 @@ _FSC = _PLAIN + _shelled(_R).replace("{src}", "fts") + ", p AS (SELECT run, idx:
 
 @query("n01_fsc_physical", _FSC + " SELECT run, idx, round(value, 4) + 0.0 AS value FROM q")
 def n01(spark, sf):
-    return cv.fsc_physical(pairs_ft(spark, sf), ["run"], R3).select("run", "idx", clean0(F.col("value"), 4).alias("value"))
+    return cv.fsc_physical(pairs_ft(spark, sf), ["run"], radius("kz", "kx", "ky")).select("run", "idx", clean0(F.col("value"), 4).alias("value"))
 
 
 @query("n02_even_odd", _FSC + " SELECT run, idx, round(CASE WHEN idx = 0 THEN 1 ELSE 2 * value / (value + 1) END, 4) + 0.0 AS value FROM q")
 def n02(spark, sf):
-    return cv.fsc_physical(pairs_ft(spark, sf), ["run"], R3, even_odd=True).select("run", "idx", clean0(F.col("value"), 4).alias("value"))
+    return cv.fsc_physical(pairs_ft(spark, sf), ["run"], radius("kz", "kx", "ky"), even_odd=True).select("run", "idx", clean0(F.col("value"), 4).alias("value"))
 
 
 @query("n03_shell_axis", "SELECT p_partkey, round(res, 6) AS res, trunc(2 + extent / res)::INT AS shells FROM (SELECT *, least(greatest(p_retailprice / 200, 2 * u), extent / 2) AS res FROM (SELECT *, (p_size + 20) * u AS extent FROM (SELECT *, 1.0::DOUBLE + p_partkey % 5 AS u FROM part)))")
@@ -91,7 +96,6 @@ def n07(spark, sf):
 _K8 = "ks AS (SELECT unnest([-4, -3, -2, -1, 0, 1, 2, 3]) AS k), ft AS (SELECT img, any_value(label) AS label, a.k AS kx, b.k AS ky, sum(v * cos(2 * pi() * (a.k * px + b.k * py) / 8)) AS re, sum(-v * sin(2 * pi() * (a.k * px + b.k * py) / 8)) AS im FROM images, ks a, ks b GROUP BY img, kx, ky)"
 _TRI = f"{_I}, {_K8}, t AS (SELECT a.img // 3 AS proj, a.kx, a.ky, a.re AS re0, a.im AS im0, b.re AS re1, b.im AS im1, c.re AS re2, c.im AS im2 FROM ft a JOIN ft b ON b.img = a.img + 1 AND a.kx = b.kx AND a.ky = b.ky JOIN ft c ON c.img = a.img + 2 AND a.kx = c.kx AND a.ky = c.ky WHERE a.img % 3 = 0)" + _shelled("sqrt(kx * kx + ky * ky)").replace("{src}", "t") + ", sums AS (SELECT proj, idx::INT AS idx, sum(re0 * re1 + im0 * im1) AS cm, sum(re1 ** 2 + im1 ** 2) AS mm, sum(re0 * re2 + im0 * im2) AS cf, sum(re2 ** 2 + im2 ** 2) AS ff FROM e GROUP BY ALL)"
 _RATIO = "CASE WHEN abs(cf) < 1e-30 OR mm < 1e-30 OR ff < 1e-30 THEN 0 ELSE greatest(least(cm * sqrt(ff) / (cf * sqrt(mm)), 1), {low}) END"
-R2 = F.sqrt(F.col("kx") * F.col("kx") + F.col("ky") * F.col("ky"))
 
 
 def triples(spark, sf):
@@ -105,7 +109,7 @@ def triples(spark, sf):
 
 
 def nloo_sums(spark, sf):
-    return cv.nloo2d_sums(triples(spark, sf), ["proj"], R2)
+    return cv.nloo2d_sums(triples(spark, sf), ["proj"], radius("kx", "ky"))
 
 
 @query("n08_nloo2d", _TRI + f" SELECT proj, idx, round({_RATIO.format(low=0)}, 3) + 0.0 AS value FROM sums")
@@ -163,14 +167,20 @@ def n14(spark, sf):
     return cv.smooth_over_tilt(estimates, ["run"], 5).select("run", "proj", clean0(F.col("value"), 6).alias("value"))
 
 
-BOX = [(F.col("px"), F.lit(1), F.lit(6)), (F.col("py"), F.lit(2), F.lit(5))]
+
+
+def faces():
+    """Axis, start and size of a box."""
+    return [(F.col("px"), F.lit(1), F.lit(6)), (F.col("py"), F.lit(2), F.lit(5))]
+
+
 _BOX = "(px BETWEEN 1 AND 6 AND py BETWEEN 2 AND 6)"
 _SPH = "((px - 4) ** 2 + (py - 4) ** 2 <= 9)"
 _INNER = "((px - 4) ** 2 + (py - 4) ** 2 <= 1)"
 
 
 def box():
-    return cv.inside_box(BOX)
+    return cv.inside_box(faces())
 
 
 def sphere(radius):
@@ -188,13 +198,13 @@ _DIST = "least(abs(px - 1), abs(px - 6), abs(py - 2), abs(py - 6))"
 
 @query("n16_border_distance", f"{_I} SELECT img, sum({_DIST})::BIGINT AS total, count(*) FILTER ({_DIST} = 0 AND {_BOX}) AS n_frame FROM images GROUP BY img")
 def n16(spark, sf):
-    d = cv.border_distance(BOX)
+    d = cv.border_distance(faces())
     return images(spark, sf).groupBy("img").agg(F.sum(d).alias("total"), F.count_if((d == 0) & box()).alias("n_frame"))
 
 
 @query("n17_taper", f"{_I} SELECT img, {_T.format(v=f'CASE WHEN {_BOX} THEN 0.1 + (v - 0.1) * CASE WHEN {_DIST} >= 2 THEN 1.0 ELSE 0.5 - 0.5 * cos(pi() * {_DIST} / 2) END ELSE 0.1 END')} FROM images GROUP BY img")
 def n17(spark, sf):
-    return total(images(spark, sf).withColumn("v", cv.taper(F.col("v"), F.lit(0.1), cv.border_distance(BOX), box(), 2.0)), ["img"])
+    return total(images(spark, sf).withColumn("v", cv.taper(F.col("v"), F.lit(0.1), cv.border_distance(faces()), box(), 2.0)), ["img"])
 
 
 _RS = f", rs AS (SELECT img, avg(v) FILTER ({_SPH}) AS m, stddev_pop(v) FILTER ({_SPH}) AS sd, avg(v) FILTER (NOT {_SPH}) AS bg FROM images GROUP BY img)"
@@ -339,7 +349,7 @@ def n35(spark, sf):
     ft = dft(ready, ["img"], [("x", 8), ("y", 8)])
     side = F.col("img") % 3
     three = ft.groupBy(F.floor(F.col("img") / 3).alias("proj"), "kx", "ky").agg(*[F.max(F.when(side == i, F.col(c))).alias(f"{c}{i}") for i in range(3) for c in ("re", "im")], F.count(F.lit(1)).alias("n")).filter("n = 3")
-    sums = cv.nloo2d_sums(three, ["proj"], R2).withColumn("run", F.col("proj") % 10)
+    sums = cv.nloo2d_sums(three, ["proj"], radius("kx", "ky")).withColumn("run", F.col("proj") % 10)
     return cv.nloo3d(sums, ["run"]).select("run", "idx", clean0(F.col("value"), 2).alias("value"))
 
 
@@ -352,7 +362,7 @@ def n36(spark, sf):
     df = tiles(spark, sf)
     scaled = io.with_stats(df, ["vol_id"]).withColumn("v", F.col("v") / F.col("std"))
     ft = halves(dft(scaled, ["vol_id"], AXES), "vol_id", ["kz", "kx", "ky"])
-    curve = cv.fsc_physical(ft, ["run"], R3, even_odd=True).withColumn("s", F.col("idx") / 4)
+    curve = cv.fsc_physical(ft, ["run"], radius("kz", "kx", "ky"), even_odd=True).withColumn("s", F.col("idx") / 4)
     return cv.last_crossings(curve, ["run"], [0.3]).select("run", F.round("res", 3).alias("res"))
 
 

@@ -32,7 +32,7 @@ def both(name, expression, column):
 
     @query(name, f"{_P} SELECT run, {_T.format(v='(' + expression + ')')} FROM pairs GROUP BY run")
     def run(spark, sf):
-        return total(pairs(spark, sf).withColumn("v", column()), RUN)
+        return total(pairs(spark, sf).withColumn("v", column(F.col("v1"), F.col("v2"))), RUN)
 
 
 def single(name, expression, column):
@@ -40,10 +40,9 @@ def single(name, expression, column):
 
     @query(name, f"{_S} SELECT img, {_T.format(v='(' + expression + ')')} FROM s GROUP BY img")
     def run(spark, sf):
-        return total(io.with_stats(images(spark, sf), ["img"]).withColumn("v", column()), ["img"])
+        return total(io.with_stats(images(spark, sf), ["img"]).withColumn("v", column(F.col("v"))), ["img"])
 
 
-v, v1, v2 = F.col("v"), F.col("v1"), F.col("v2")
 
 
 @query("v01_compatible", "SELECT a.p_partkey AS a FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1 AND b.p_size = a.p_size")
@@ -53,26 +52,26 @@ def v01(spark, sf):
     return part.join(other, "p_partkey").filter("p_size = size_b").select(F.col("p_partkey").alias("a"))
 
 
-both("v02_add_scaled", "v1 + v2 * 1.5 + 0.25", lambda: v1 + v2 * 1.5 + 0.25)
+both("v02_add_scaled", "v1 + v2 * 1.5 + 0.25", lambda v1, v2: v1 + v2 * 1.5 + 0.25)
 
 
 @query("v03_weighted_sum", _I + ", w AS (SELECT label, px, py, sum(v * (1 + img % 3)) AS s, sum(v * v * (1 + img % 3)) AS q, sum(1 + img % 3) AS w FROM images GROUP BY ALL) SELECT label, px, py, round(s, 6) + 0.0 AS v, round(sqrt(greatest(q / w - (s / w) ** 2, 0)), 6) AS sd FROM w")
 def v03(spark, sf):
     weighted = images(spark, sf).withColumn("w", F.col("img") % 3 + 1)
     out = io.weighted_sum(weighted, ["label", "px", "py"], "w")
-    return out.select("label", "px", "py", clean0(v, 6).alias("v"), F.round("sd", 6).alias("sd"))
+    return out.select("label", "px", "py", clean0(F.col("v"), 6).alias("v"), F.round("sd", 6).alias("sd"))
 
 
 @query("v04_place_small", _P + f" SELECT run, {_T.format(v='CASE WHEN (px - 4) ** 2 + (py - 4) ** 2 <= 9 THEN least(v1, v2) ELSE v1 END')} FROM pairs GROUP BY run")
 def v04(spark, sf):
     p = pairs(spark, sf)
     inside = (F.col("px") - 4) * (F.col("px") - 4) + (F.col("py") - 4) * (F.col("py") - 4) <= 9
-    small = p.filter("(px - 4) * (px - 4) + (py - 4) * (py - 4) <= 9").select("run", "px", "py", v2.alias("v"))
-    return total(io.place_small(p.select("run", "px", "py", v1.alias("v")), small, ["run", "px", "py"], inside), RUN)
+    small = p.filter("(px - 4) * (px - 4) + (py - 4) * (py - 4) <= 9").select("run", "px", "py", F.col("v2").alias("v"))
+    return total(io.place_small(p.select("run", "px", "py", F.col("v1").alias("v")), small, ["run", "px", "py"], inside), RUN)
 
 
-both("v05_multiply_scaled", "v1 * (v2 * 2 + 0.5)", lambda: v1 * (v2 * 2 + 0.5))
-both("v06_largest_smallest", "greatest(v1, v2) + 2 * least(v1, v2)", lambda: F.greatest(v1, v2) + 2 * F.least(v1, v2))
+both("v05_multiply_scaled", "v1 * (v2 * 2 + 0.5)", lambda v1, v2: v1 * (v2 * 2 + 0.5))
+both("v06_largest_smallest", "greatest(v1, v2) + 2 * least(v1, v2)", lambda v1, v2: F.greatest(v1, v2) + 2 * F.least(v1, v2))
 
 _FIT = "SELECT {by}, regr_slope(v2, v1) AS b, regr_intercept(v2, v1) AS a, regr_syy(v2, v1) AS syy, regr_sxy(v2, v1) AS sxy FROM {src} GROUP BY ALL"
 _FITTED = "SELECT run, round(a, 6) + 0.0 AS a, round(b, 6) + 0.0 AS b, round(sqrt(greatest(syy - b * sxy, 0) / syy), 6) AS r FROM "
@@ -111,7 +110,7 @@ def v10(spark, sf):
     return io.pearson(kept, RUN).select("run", clean0(F.col("corr"), 6).alias("corr"))
 
 
-both("v11_correlation_image", "(v1 - 0.1) * (v2 + 0.2)", lambda: (v1 - 0.1) * (v2 + 0.2))
+both("v11_correlation_image", "(v1 - 0.1) * (v2 + 0.2)", lambda v1, v2: (v1 - 0.1) * (v2 + 0.2))
 
 
 @query("v12_histogram_match", _P + """, h AS (SELECT run, s, least(greatest(floor((v + 1) / 2 * 16), 0), 15)::INT AS bin FROM (SELECT run, 1 AS s, v1 AS v FROM pairs UNION ALL SELECT run, 2, v2 FROM pairs)),
@@ -119,10 +118,10 @@ c AS (SELECT run, s, bin, sum(count(*)) OVER (PARTITION BY run, s ORDER BY bin)
 SELECT a.run, a.bin, min(b.bin) AS mapped FROM c a JOIN c b ON a.run = b.run AND a.s = 1 AND b.s = 2 AND b.upto >= a.upto GROUP BY a.run, a.bin""")
 def v12(spark, sf):
     p = pairs(spark, sf)
-    return io.histogram_match(p.select("run", v1.alias("v")), p.select("run", v2.alias("v")), RUN, 16, -1.0, 1.0)
+    return io.histogram_match(p.select("run", F.col("v1").alias("v")), p.select("run", F.col("v2").alias("v")), RUN, 16, -1.0, 1.0)
 
 
-both("v13_mask_by_threshold", "CASE WHEN v2 > 0.05 THEN v1 ELSE 0 END", lambda: F.when(v2 > 0.05, v1).otherwise(0.0))
+both("v13_mask_by_threshold", "CASE WHEN v2 > 0.05 THEN v1 ELSE 0 END", lambda v1, v2: F.when(v2 > 0.05, v1).otherwise(0.0))
 
 
 @query("v14_blend", _P + f", s AS (SELECT *, unnest(range(5)) AS step FROM pairs) SELECT run, step::INT AS step, {_T.format(v='(v1 + (v2 - v1) * step / 4)')} FROM s GROUP BY run, step")
@@ -130,8 +129,8 @@ def v14(spark, sf):
     return total(io.blend(pairs(spark, sf), 5), ["run", "step"])
 
 
-single("v15_invert", "lo + hi - v", lambda: F.col("min") + F.col("max") - v)
-single("v15_to_min_max", "10 + (v - lo) * 90 / (hi - lo)", lambda: 10 + (v - F.col("min")) * 90 / (F.col("max") - F.col("min")))
+single("v15_invert", "lo + hi - v", lambda v: F.col("min") + F.col("max") - v)
+single("v15_to_min_max", "10 + (v - lo) * 90 / (hi - lo)", lambda v: 10 + (v - F.col("min")) * 90 / (F.col("max") - F.col("min")))
 
 
 @query("v15_to_avg_std", f"{_S} SELECT img, {_T.format(v='((v - m) * 2 / sd + 5)')} FROM s GROUP BY img")
@@ -139,9 +138,9 @@ def v15_avg_std(spark, sf):
     return total(io.rescale_to(images(spark, sf), ["img"], 5.0, 2.0), ["img"])
 
 
-single("v16_square_log", "v * v + ln(v + 2)", lambda: v * v + F.ln(v + 2))
-single("v17_truncate", "CASE WHEN v < -0.1 THEN -0.1 WHEN v > 0.1 THEN 0.1 ELSE v END + CASE WHEN v < -0.2 OR v > 0.2 THEN m ELSE v END", lambda: F.greatest(F.least(v, F.lit(0.1)), F.lit(-0.1)) + F.when((v < -0.2) | (v > 0.2), F.col("avg")).otherwise(v))
-single("v18_quantise", "255.0 / 15 * floor((v - lo) * (0.999 * 16) / (hi - lo))", lambda: io.quantise(v, F.col("min"), F.col("max"), 16))
+single("v16_square_log", "v * v + ln(v + 2)", lambda v: v * v + F.ln(v + 2))
+single("v17_truncate", "CASE WHEN v < -0.1 THEN -0.1 WHEN v > 0.1 THEN 0.1 ELSE v END + CASE WHEN v < -0.2 OR v > 0.2 THEN m ELSE v END", lambda v: F.greatest(F.least(v, F.lit(0.1)), F.lit(-0.1)) + F.when((v < -0.2) | (v > 0.2), F.col("avg")).otherwise(v))
+single("v18_quantise", "255.0 / 15 * floor((v - lo) * (0.999 * 16) / (hi - lo))", lambda v: io.quantise(v, F.col("min"), F.col("max"), 16))
 
 
 @query("v19_statistics", _S.replace(", s AS (SELECT * FROM images JOIN st USING (img))", "") + " SELECT img, round(lo, 7) AS min, round(hi, 7) AS max, round(m, 7) + 0.0 AS avg, round(sd, 7) AS std FROM st")
@@ -156,16 +155,18 @@ def v19_radii(spark, sf):
     return out.select("img", "ring", clean0(F.col("avg"), 7).alias("avg"), F.round("std", 7).alias("std"), "n")
 
 
+RI = ("re1", "im1", "re2", "im2")
+
+
 def complex_(name, re, im, sql):
     @query(name, _PLAIN + f" SELECT run, {sql} FROM fts GROUP BY run")
     def run(spark, sf):
-        return pairs_ft(spark, sf).groupBy("run").agg(clean0(F.sum(re()), 4).alias("a"), clean0(F.sum(im()), 4).alias("b"))
+        return pairs_ft(spark, sf).groupBy("run").agg(clean0(F.sum(re(*map(F.col, RI))), 4).alias("a"), clean0(F.sum(im(*map(F.col, RI))), 4).alias("b"))
 
 
-r1, i1, r2, i2 = (F.col(c) for c in ("re1", "im1", "re2", "im2"))
 _AB = "round(sum({a}), 4) + 0.0 AS a, round(sum({b}), 4) + 0.0 AS b"
-complex_("v20_complex_product", lambda: r1 * r2 + i1 * i2, lambda: (i1 * r2 - r1 * i2) * (i1 * r2 - r1 * i2), _AB.format(a="re1 * re2 + im1 * im2", b="(im1 * re2 - re1 * im2) ** 2"))
-complex_("v20_amplitude_intensity", lambda: F.hypot(r1, i1), lambda: r2 * r2 + i2 * i2, _AB.format(a="sqrt(re1 * re1 + im1 * im1)", b="re2 * re2 + im2 * im2"))
+complex_("v20_complex_product", lambda r1, i1, r2, i2: r1 * r2 + i1 * i2, lambda r1, i1, r2, i2: (i1 * r2 - r1 * i2) * (i1 * r2 - r1 * i2), _AB.format(a="re1 * re2 + im1 * im2", b="(im1 * re2 - re1 * im2) ** 2"))
+complex_("v20_amplitude_intensity", lambda r1, i1, r2, i2: F.hypot(r1, i1), lambda r1, i1, r2, i2: r2 * r2 + i2 * i2, _AB.format(a="sqrt(re1 * re1 + im1 * im1)", b="re2 * re2 + im2 * im2"))
 
 
 @query("v22_cross_correlation_shift", f"""WITH {IMAGES_SQL}, p AS (SELECT a.img // 2 AS run, (b.px - a.px + 8) % 8 AS sx, (b.py - a.py + 8) % 8 AS sy, sum(a.v * b.v) AS c FROM images a JOIN images b ON b.img = a.img + 1 WHERE a.img % 2 = 0 GROUP BY ALL)
@@ -178,9 +179,9 @@ def v22(spark, sf):
 
 @query("v23_phase_difference", _PLAIN + ", d AS (SELECT *, sqrt((re1 ** 2 + im1 ** 2) * (re2 ** 2 + im2 ** 2)) AS n FROM fts WHERE kz ** 2 + kx ** 2 + ky ** 2 BETWEEN 1 AND 4) SELECT run, round(avg(acos(greatest(least((re1 * re2 + im1 * im2) / n, 1), -1))), 3) AS phase FROM d WHERE n > 1e-9 GROUP BY run")
 def v23(spark, sf):
-    n = F.sqrt((r1 * r1 + i1 * i1) * (r2 * r2 + i2 * i2))
+    n = F.sqrt((F.col("re1") * F.col("re1") + F.col("im1") * F.col("im1")) * (F.col("re2") * F.col("re2") + F.col("im2") * F.col("im2")))
     band = pairs_ft(spark, sf).filter("kz * kz + kx * kx + ky * ky between 1 and 4").withColumn("n", n).filter("n > 1e-9")
-    cosine = F.greatest(F.least((r1 * r2 + i1 * i2) / F.col("n"), F.lit(1.0)), F.lit(-1.0))
+    cosine = F.greatest(F.least((F.col("re1") * F.col("re2") + F.col("im1") * F.col("im2")) / F.col("n"), F.lit(1.0)), F.lit(-1.0))
     return band.groupBy("run").agg(F.round(F.avg(F.acos(cosine)), 3).alias("phase"))
 
 
@@ -192,7 +193,7 @@ def v24(spark, sf):
 
 @query("v25_median_bin", _I + " SELECT img, px // 2 AS px, py // 2 AS py, round(quantile_cont(v, 0.5), 7) + 0.0 AS v FROM images GROUP BY ALL")
 def v25(spark, sf):
-    return io.median_bin(images(spark, sf), ["img"], ["px", "py"], 2).withColumn("v", clean0(v, 7))
+    return io.median_bin(images(spark, sf), ["img"], ["px", "py"], 2).withColumn("v", clean0(F.col("v"), 7))
 
 
 @query("v26_integer_shift", _I + f" SELECT img, {_T.format(v='v').replace('px', '((px + 3) % 8)').replace('py', '((py + 6) % 8)')} FROM images GROUP BY img")
@@ -202,7 +203,7 @@ def v26(spark, sf):
 
 @query("v27_merge_amplitude_phase", _PLAIN + " SELECT run, round(sum(sqrt(re1 ** 2 + im1 ** 2) * re2 / sqrt(re2 ** 2 + im2 ** 2)), 3) + 0.0 AS re FROM fts WHERE sqrt(re2 ** 2 + im2 ** 2) > 1e-9 GROUP BY run")
 def v27(spark, sf):
-    return io.merge_amplitude_phase(pairs_ft(spark, sf).filter(F.hypot(r2, i2) > 1e-9)).groupBy("run").agg(clean0(F.sum("re"), 3).alias("re"))
+    return io.merge_amplitude_phase(pairs_ft(spark, sf).filter(F.hypot(F.col("re2"), F.col("im2")) > 1e-9)).groupBy("run").agg(clean0(F.sum("re"), 3).alias("re"))
 
 
 @query("v28_crop_transform", _PLAIN + " SELECT vol_id, count(*) AS n, round(sum(re * re + im * im), 4) AS power FROM ft WHERE greatest(abs(kz), abs(kx), abs(ky)) <= 1 GROUP BY vol_id")
@@ -224,7 +225,7 @@ def v29(spark, sf):
 @query("v30_slices_as_images", f"WITH {VOXELS_SQL} SELECT vol_id * 4 + z AS img, count(*) AS n, round(sum(v * (1 + x * 4 + y)), 6) + 0.0 AS total FROM voxels GROUP BY 1")
 def v30(spark, sf):
     flat = voxels(spark, sf).select((F.col("vol_id") * 4 + F.col("z")).alias("img"), "x", "y", "v")
-    return flat.groupBy("img").agg(F.count(F.lit(1)).alias("n"), clean0(F.sum(v * (1 + F.col("x") * 4 + F.col("y"))), 6).alias("total"))
+    return flat.groupBy("img").agg(F.count(F.lit(1)).alias("n"), clean0(F.sum(F.col("v") * (1 + F.col("x") * 4 + F.col("y"))), 6).alias("total"))
 
 
 @query("v31_metadata", "SELECT p_partkey, p_retailprice / 1000 AS ux, (least(p_size + 20, 40) // 2)::INT AS radius FROM part WHERE p_retailprice > 0")
