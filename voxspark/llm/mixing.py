@@ -119,11 +119,3 @@ def _refine(rows: DataFrame, bounds: DataFrame, above: int, shift: int) -> DataF
     end = F.col("low") + F.lit(1 << above) if shift else F.col("low")
     low = F.coalesce(F.col("at_low"), end)
     return joined.select("of", low.alias("low"), (F.col("budget") - F.coalesce(F.col("before"), F.lit(0))).alias("budget"))
-
-
-def mixed(docs: DataFrame, scratch: Scratch, **options) -> DataFrame:
-    """The rows of ``docs``, each as many times as the mix takes it."""
-    rows = scratch.keep(docs, "rows")
-    plan = mix(rows, scratch, **options).select(F.col("doc_id").alias("of_id"), F.col("source").alias("of_source"), "copies").distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("of_id")) & F.col("source").eqNullSafe(F.col("of_source"))
-    return rows.join(plan, same).filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
