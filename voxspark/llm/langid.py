@@ -167,7 +167,8 @@ def train(docs: DataFrame, scratch: Scratch, vocabulary_path: str, per_language:
     language. Without labelled text the model has no languages and calls everything undetermined.
     """
     labelled = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    # as a table of known size it is broadcast, and no text is shuffled
+    counts = scratch.keep(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "counts")
     draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1_000_000))
     sample = labelled.join(counts.withColumnRenamed("lang", "of"), F.col("lang") == F.col("of")).filter(draw * F.col("n") < per_language * 1_000_000)
 

@@ -237,15 +237,16 @@ def write_tokens(docs: DataFrame, scratch: Scratch, tokenizer: str, folder: str,
     """Encodes ``docs`` (doc_id, text) and writes files in ``folder``; returns the manifest.
 
     Ids rise from file to file and within each; null ids come first, null texts are empty, and each
-    document ends with ``end_id``. Rows that share an id stand side by side, ordered by text. ``folder`` is
+    document ends with ``end_id``. Rows that share an id stand side by side, by a hash of their text. ``folder`` is
     a URI that Arrow's file systems open on every executor. A file gets its name when it is complete,
     and a repeated task writes under another name; the manifest, itself a table, names those that count.
     An empty table gives an empty manifest. Other columns are left alone.
     """
-    order = [F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()]
-    rows = docs.select("doc_id", "text")
+    # the keys are small, as the ranges come from a sample of them on the driver
+    order = [F.col("doc_id").asc_nulls_first(), F.col("tie").asc()]
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("tie"))
     dealt = rows.repartitionByRange(partitions, *order) if partitions else rows.repartitionByRange(*order)
-    dealt = dealt.sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    dealt = dealt.sortWithinPartitions(*order).drop("tie").withColumn("part", F.spark_partition_id())
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder, out, system = _encoder(tokenizer, whole), None, None
