@@ -16,7 +16,7 @@ def spark():
 
     work = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     session = (
-        SparkSession.builder.master("local[8]").appName("tests")
+        SparkSession.builder.master("local[4]").appName("tests")
         .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "6g").config("spark.sql.warehouse.dir", f"{work}/warehouse")
         .config("spark.local.dir", work).config("spark.checkpoint.dir", f"file://{work}/checkpoints").getOrCreate()

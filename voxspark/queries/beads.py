@@ -263,9 +263,9 @@ def d32(spark, sf):
     return bd.ratio_stats(fits(spark, sf), ["tomogram"], "fwhm_z", "fwhm_y", 5.0).select("tomogram", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "n")
 
 
-@query("d33_zx_ratio", f"WITH {_FITS} SELECT bead, recon, round(CASE WHEN fwhm_x > 0 THEN fwhm_z / fwhm_x END, 9) AS zx FROM fits")
+@query("d33_zx_ratio", f"WITH {_FITS} SELECT bead, recon, CASE WHEN fwhm_x > 0 THEN fwhm_z / fwhm_x END AS zx FROM fits")
 def d33(spark, sf):
-    return fits(spark, sf).select("bead", "recon", F.round(F.when(F.col("fwhm_x") > 0, F.col("fwhm_z") / F.col("fwhm_x")), 9).alias("zx"))
+    return fits(spark, sf).select("bead", "recon", F.when(F.col("fwhm_x") > 0, F.col("fwhm_z") / F.col("fwhm_x")).alias("zx"))
 
 
 @query("d34_filtered_summary", f"WITH {_FITS} SELECT tomogram, round(avg(fwhm_z * 4.9), 6) AS estimate, round((quantile_cont(fwhm_z * 4.9, 0.75) - quantile_cont(fwhm_z * 4.9, 0.25)) / 2, 7) AS iqr_half, count(*) AS n FROM fits WHERE fwhm_z * 4.9 < 20 GROUP BY 1")
