@@ -285,6 +285,21 @@ def test_surrogates_keep_format_and_distinctness():
         assert made != {v: pii.surrogate(b"other", kind, v) for v in values}
 
 
+def test_secrets_of_any_case_are_replaced_in_their_case():
+    rng = random.Random(2)
+    lower = [f"{rng.randrange(16**n):0{n}x}" for n in (32, 40, 64) for _ in range(100)]
+    mixed = ["".join(rng.choice((c.lower(), c.upper())) for c in v) for v in lower]
+    for values, form in ((lower, "[0-9a-f]+"), ([v.upper() for v in lower], "[0-9A-F]+"), (mixed, "[0-9A-Fa-f]+")):
+        made = []
+        for v in values:
+            new, found = pii.replace(f'TOKEN = "{v}";', b"k", {})
+            assert [kind for kind, *_ in found] == ["secret"] and v not in new and re.fullmatch(form, found[0][3]) and len(found[0][3]) == len(v)
+            made.append(found[0][3])
+        assert len(set(made)) == len(values)
+        if values is mixed:
+            assert all([(c.isupper(), c.islower()) for c in v] == [(c.isupper(), c.islower()) for c in m] for v, m in zip(values, made))
+
+
 def test_names_keep_gender_script_and_coreference():
     text = "Dear Mrs. Anna Meyer, MR JOHN is out. Frau Anna Meyer wrote to Meyer; Mr Пётр Смирнов too."
     new, found = pii.replace(text, b"k", {})

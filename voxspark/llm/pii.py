@@ -40,7 +40,7 @@ _ROUNDS = 8
 _NAME = r"[^\W\d_]+(?:['’-][^\W\d_]+)*"
 PATTERNS = {
     "email": r"(?<![\w.+-])[A-Za-z0-9_][\w.+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
-    "secret": r"(?<![0-9A-Za-z])[0-9a-f]{32,64}(?![0-9A-Za-z])",
+    "secret": r"(?<![0-9A-Za-z])[0-9A-Fa-f]{32,64}(?![0-9A-Za-z])",
     "ipv4": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])",
     "phone": r"(?<![\w+])\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\w+(])\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?!\d)",
@@ -91,15 +91,22 @@ def permute(key: bytes, tweak: str, digits: list[int], radix: list[int]) -> list
     return out
 
 
+def _hexadecimal(text: str) -> list[str]:
+    """The digits that each character of ``text`` may become: all sixteen where its letters are of one case;
+    in mixed case a figure stays a figure, and a letter one of its case."""
+    kinds = {c.islower() for c in text if c.isalpha()}
+    if len(kinds) < 2:
+        return ["0123456789ABCDEF" if kinds == {False} else "0123456789abcdef"] * len(text)
+    return ["0123456789" if c.isdigit() else "abcdef" if c.islower() else "ABCDEF" for c in text]
+
+
 def _characters(key: bytes, tweak: str, text: str, fixed: set[int], hexadecimal: bool = False) -> str:
     """``text`` with each free character sent to another of its class: digits, or letters of its script,
     case and kind. Places in ``fixed``, and what has no class, stay."""
-    groups: list[str] = []
-    for i, c in enumerate(text):
+    groups: list[str] = _hexadecimal(text) if hexadecimal else []
+    for i, c in enumerate(text if not hexadecimal else ""):
         if i in fixed:
             groups.append("")
-        elif hexadecimal:
-            groups.append("0123456789abcdef" if c in "0123456789abcdef" else "")
         elif c.isascii() and c.isdigit():
             groups.append("0123456789")
         else:
