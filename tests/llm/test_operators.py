@@ -349,6 +349,48 @@ def test_excerpts_find_their_recordings(spark, scratch):
     assert own <= want and len(got & want) >= 0.9 * len(want) and own <= got
 
 
+def repeated_passages():
+    """Recordings of the form A A B and with held notes and rests, and where a query begins, in notes."""
+    rng = np.random.default_rng(4)
+    notes = lambda n: list((rng.integers(0, 12, n) + 0.5) / 97.0)
+    out = []
+    for i in range(24):
+        a, b = notes(20), notes(24)
+        out.append(([*a, *a, *b], 22))
+        out.append(([*notes(4), *[0.5 / 97.0] * 20, *notes(14), *[0.5 / 97.0] * 20, *notes(6)], 24))
+        out.append(([*notes(10), *[None] * 16, *notes(12), *[None] * 16, *notes(10)], 26))
+    return out
+
+
+def test_repeated_passages_equal_brute_force(spark, scratch):
+    made = repeated_passages()
+    vectors = spark.createDataFrame([(i, [None if x is None else float(x) for x in v]) for i, (v, _) in enumerate(made)], "vec_id long, embedding array<float>")
+    recordings = chroma.melodies(vectors)
+    rng = np.random.default_rng(5)
+    cut = []
+    for r in recordings.collect():
+        at = made[r["rec_id"]][1] * 256
+        part = chroma.samples_of(r["media"])[at : at + 28 * 256]
+        cut.append((r["rec_id"], bytearray(chroma.wav(part * 0.5 + rng.normal(0, 0.001, len(part))))))
+    asked = spark.createDataFrame(cut, "rec_id long, media binary")
+    got = {(r["query_id"], r["match_id"]): (r["offset"], r["n_frames"], r["bit_error_rate"]) for r in chroma.search(asked, recordings, scratch).collect()}
+    prints = {r["rec_id"]: np.array(r["codes"], np.int32) for r in chroma.fingerprints(recordings).collect()}
+    want = {}
+    for r in chroma.fingerprints(asked).collect():
+        q = np.array(r["codes"], np.int32)
+        for i, p in prints.items():
+            tried = []
+            for o in range(-len(q), len(p)):
+                x, y = q[max(-o, 0) :], p[max(o, 0) :]
+                n = min(len(x), len(y))
+                if n >= 20 and (x[:n] == y[:n]).any():
+                    tried.append((np.bitwise_count((x[:n] ^ y[:n]).view(np.uint32)).sum() / (32 * n), -n, o))
+            if tried and min(tried)[0] <= 0.25:
+                e, n, o = min(tried)
+                want[r["rec_id"], i] = (o, -n, pytest.approx(e))
+    assert {(i, i) for i in range(len(made))} <= set(want) and got == want
+
+
 # --- chat ------------------------------------------------------------------------------------------------
 
 
