@@ -262,6 +262,31 @@ def test_reparameterised_items_and_chance_matches(spark, scratch):
     assert got == {(1, 9): "verbatim", (2, 9): "reparameterised", (5, 9): "verbatim"}
 
 
+def test_merged_values_short_items_and_items_of_few_literals(spark, scratch):
+    merged = "Tom put 3 apples and 5 pears into the old box and gave it to the man at the gate"
+    free = "the old mill stands by the river and every morning its wheel turns slowly while 6 men carry 6 sacks"
+    bench = [(1, merged), (2, "What is 12 + 7?"), (3, "name the largest planet"), (4, "17 23 31 47 59 83"), (5, free), (6, "Sum 4 9 2 6 8 1 5"), (7, None)]
+    pad = " ".join(f"filler{i}" for i in range(30))
+    texts = {
+        1: f"{pad}. {merged.replace('3', '4').replace('5', '4')}. {pad}",
+        2: f"{pad}. What is 12 + 7? {pad}",
+        3: f"{pad}. What is 30 + 4? {pad}",
+        4: f"{pad} name the largest planet {pad}",
+        5: f"{pad} 17 23 31 47 59 83 {pad}",
+        6: f"{pad} 18 24 32 48 60 84 {pad}",  # other numbers, nothing of the item
+        7: f"{pad} {free.replace('6', '8', 1)} {pad}",  # a value became two: the windows without slots still cover it
+        8: f"{pad}. Sum 5 5 3 7 9 2 6 {pad}",
+        9: pad,
+        10: "name the largest planet",
+        11: f"{pad} name the largest {pad} planet",
+    }
+    docs_ = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["kind"] for r in decontam.contaminated(docs_, spark.createDataFrame(bench, "item_id long, text string"), scratch).collect()}
+    want = {(2, 2): "verbatim", (4, 3): "verbatim", (5, 4): "verbatim", (10, 3): "verbatim"}
+    want |= {k: "reparameterised" for k in ((1, 1), (3, 2), (7, 5), (8, 6))}
+    assert got == want
+
+
 def test_every_passage_that_stands_in_a_document_is_found(spark, docs, scratch):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     flat = lambda t: " " + " ".join(re.findall(r"[^\W_]+", t.lower())) + " "

@@ -4,7 +4,7 @@ Words are lower-cased and stripped of marks; numbers, units and names become typ
 that a question with other values has the same template. Windows of template tokens are hashed. A
 Bloom filter of the benchmark's windows, of a fixed number of bits, passes over the documents; the
 few windows that it lets through are joined by hash with those of the benchmark. Along each alignment
-of a document with an item the slots are compared: values that map one to one are a verbatim or a
+of a document with an item the slots are compared: values that map to one value each are a verbatim or a
 re-parameterised copy; where a value maps to several, the placeholders matched by chance.
 """
 
@@ -32,7 +32,7 @@ LITERAL, NUMBER, UNIT, NAME, NOTHING = range(5)
 #: Bits of the flags beside a word's hash.
 _TITLE, _END, _NUM, _UNIT, _EMPTY = 1, 2, 4, 8, 16
 _FEATURE = np.dtype([("literal", "<u8"), ("flags", "<u1")])
-HITS = "doc_id long, place long, window long, slots array<string>"
+HITS = "doc_id long, place long, width int, literal int, window long, slots array<string>"
 
 
 def _features(words: list[str]) -> np.ndarray:
@@ -73,18 +73,37 @@ def template(words: list[str], row: np.ndarray, values: np.ndarray) -> tuple[np.
     return np.where(kinds == LITERAL, f["literal"][solid], kinds.astype(np.uint64)), kinds, solid
 
 
-def windows(tokens: np.ndarray, kinds: np.ndarray, width: int, least_literal: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and places of windows with enough literal words; a shorter text is one window."""
-    w = min(width, len(tokens))
-    if not w:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+def windows(tokens: np.ndarray, kinds: np.ndarray, literals: np.ndarray, w: int, least: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes and places of the windows of ``w`` tokens with ``least`` literal words, and how many each has.
+
+    A window of placeholders alone is like any other of its kinds, so it is hashed by its values (``literals``).
+    """
     n = len(tokens) - w + 1
+    if w < 1 or n < 1:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    total = np.concatenate([[0], np.cumsum(kinds == LITERAL)])
+    n_literal = total[w:] - total[:-w]
     h = np.full(n, w, np.uint64)
     for i in range(w):
         h = mix64(h + tokens[i : i + n])
-    literal = np.concatenate([[0], np.cumsum(kinds == LITERAL)])
-    keep = np.flatnonzero(literal[w:] - literal[:-w] >= min(least_literal, w))
-    return h[keep], keep
+    bare = np.flatnonzero(n_literal == 0) if least == 0 else ()
+    if len(bare):
+        exact = np.full(len(bare), w, np.uint64)
+        for i in range(w):
+            exact = mix64(exact + mix64(literals[bare + i] + tokens[bare + i]))
+        h[bare] = exact
+    places = np.flatnonzero(n_literal >= least)
+    return h[places], places, n_literal[places]
+
+
+def own_windows(n_literal: np.ndarray, w: int, least_literal: int) -> np.ndarray:
+    """Places of the windows that stand for an item: those with enough literal words; where it has none, those
+    with a literal word; where it has none of these either, all."""
+    for least in (min(least_literal, w), 1, 0):
+        places = np.flatnonzero(n_literal >= least)
+        if len(places):
+            break
+    return places
 
 
 def _slots(words: list[str], kinds: np.ndarray, solid: np.ndarray, place: int, w: int) -> list[str]:
@@ -122,13 +141,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, width:
 
     An item is held when alignments with consistent slots cover ``coverage`` of its distinct windows. ``kind``
     is ``verbatim`` if all slot values agree, else ``reparameterised``. Null ids and null, empty or blank
-    texts hold nothing; an item shorter than ``width`` words is one window, found only in a text of as many; repeated
-    rows do not count twice; other columns are left alone; an empty table gives an empty result.
+    texts hold nothing; an item shorter than ``width`` words is one window, looked up at its own width in every text; an
+    item of placeholders alone is held where its values are; repeated rows do not count twice; other columns are left alone; an empty table gives an empty result.
     """
     # at most one row for each word of the benchmark
-    items = scratch.keep(_hits(benchmark.select(F.col("item_id").alias("doc_id"), "text"), None, width, least_literal), "items")
+    items = scratch.keep(_hits(benchmark.select(F.col("item_id").alias("doc_id"), "text"), None, {width: 0}, least_literal), "items")
+    # equal windows have equally many literal words; ``width`` rows at most
+    widths = {r["width"]: r["least"] for r in items.groupBy("width").agg(F.min("literal").alias("least")).collect()}
     bloom = docs.sparkSession.sparkContext.broadcast(_bloom(items))
-    hits = _hits(docs, bloom, width, least_literal)
+    hits = _hits(docs, bloom, widths, least_literal).drop("width", "literal")
     sizes = items.groupBy(F.col("doc_id").alias("item_id")).agg(F.count_distinct("window").alias("n_windows"))
     item = items.select(F.col("doc_id").alias("item_id"), F.col("place").alias("item_place"), F.col("window").alias("of"), F.col("slots").alias("item_slots"))
     met = scratch.keep(hits.join(item, F.col("window") == F.col("of")).drop("of"), "met")
@@ -138,10 +159,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, width:
     pair = aligned.select(*run, F.explode(F.arrays_zip("item_slots", "slots")).alias("slot"))
     value = lambda c: F.substring_index(c, "|", -1)
     values = pair.select(*run, value(F.col("slot.item_slots")).alias("was"), value(F.col("slot.slots")).alias("now")).distinct()
-    # one value each way: a function of the item's values, and no two of them made one
-    ways = values.groupBy(*run).agg(F.count(F.lit(1)).alias("n_slots"), F.count_distinct("was").alias("n_was"), F.count_distinct("now").alias("n_now"), F.sum((F.col("was") != F.col("now")).cast("int")).alias("changed"))
-    checked = aligned.join(ways, run, "left").filter(F.col("n_slots").isNull() | ((F.col("n_slots") == F.col("n_was")) & (F.col("n_slots") == F.col("n_now"))))
-    per_run = checked.groupBy(*run).agg(F.max(F.coalesce("n_slots", F.lit(0))).alias("n_slots"), F.max(F.coalesce("changed", F.lit(0))).alias("changed"))
+    # a function of the item's values; two of them may become equal
+    ways = values.groupBy(*run).agg(F.count(F.lit(1)).alias("n_slots"), F.count_distinct("was").alias("n_was"), F.sum((F.col("was") != F.col("now")).cast("int")).alias("changed"))
+    # windows without slots count whatever the others of their run hold
+    agrees = F.col("n_slots").isNull() | (F.col("n_slots") == F.col("n_was"))
+    checked = aligned.join(ways, run, "left").filter(agrees | (F.size("slots") == 0))
+    per_run = checked.groupBy(*run).agg(F.max(F.when(agrees, F.coalesce("n_slots", F.lit(0))).otherwise(0)).alias("n_slots"), F.max(F.coalesce("changed", F.lit(0))).alias("changed"))
     covered = checked.groupBy("doc_id", "item_id").agg(F.count_distinct("window").alias("n_met"))
     slots = per_run.groupBy("doc_id", "item_id").agg(F.sum("n_slots").alias("n_slots"), F.max("changed").alias("changed"))
     share = covered.join(sizes, "item_id").withColumn("coverage", F.col("n_met") / F.col("n_windows")).filter(F.col("coverage") >= coverage)
@@ -149,27 +172,30 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, width:
     return share.join(slots, ["doc_id", "item_id"]).select("doc_id", "item_id", "coverage", kind.alias("kind"), F.col("n_slots").cast("long").alias("n_slots"))
 
 
-def _hits(docs: DataFrame, bloom, width: int, least_literal: int) -> DataFrame:
-    """Windows of ``docs`` that the broadcast filter lets through; all of them without one."""
+def _hits(docs: DataFrame, bloom, widths: dict[int, int], least_literal: int) -> DataFrame:
+    """Windows of ``docs`` of all ``widths``, each with its least number of literal words, that the broadcast filter lets through; without one, the windows that
+    stand for each text, of the one width or the text's own where that is less."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table, held = WordTable(_features), bloom.value if bloom is not None else None
         for frame in frames:
             for part, words in split_blocks(frame):
                 rows, values = table.look_up(words)
-                yield _found(part["doc_id"], words, rows, values, width, least_literal, held)
+                yield _found(part["doc_id"], words, rows, values, widths, least_literal, held)
 
     return docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInPandas(run, HITS)
 
 
-def _found(ids, split: list[list[str]], rows: list[np.ndarray], values: np.ndarray, width: int, least_literal: int, held: np.ndarray | None) -> pd.DataFrame:
+def _found(ids, split: list[list[str]], rows: list[np.ndarray], values: np.ndarray, widths: dict[int, int], least_literal: int, held: np.ndarray | None) -> pd.DataFrame:
     out = []
     for doc_id, words, row in zip(ids, split, rows):
         tokens, kinds, solid = template(words, row, values)
-        h, places = windows(tokens, kinds, width, least_literal)
-        if held is not None and len(h):
-            found = in_bloom(held, h)
-            h, places = h[found], places[found]
-        w = min(width, len(tokens))
-        out += [(doc_id, int(p), x, _slots(words, kinds, solid, p, w)) for p, x in zip(places, h.view(np.int64).tolist())]
-    return pd.DataFrame(out, columns=["doc_id", "place", "window", "slots"])
+        literals = values["literal"][row[solid]]
+        for w, least in widths.items():
+            w = w if held is not None else min(w, len(tokens))
+            h, places, n_literal = windows(tokens, kinds, literals, w, least)
+            if not len(h):
+                continue
+            kept = np.flatnonzero(in_bloom(held, h)) if held is not None else own_windows(n_literal, w, least_literal)
+            out += [(doc_id, int(p), w, int(n), x, _slots(words, kinds, solid, p, w)) for p, n, x in zip(places[kept], n_literal[kept], h[kept].view(np.int64).tolist())]
+    return pd.DataFrame(out, columns=["doc_id", "place", "width", "literal", "window", "slots"])
