@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -147,10 +148,21 @@ def test_blocks_with_outliers(values, outlier):
 def test_word_encoder_equals_the_tokenizer(text):
     from tokenizers import Tokenizer
 
-    path = queries.vocabulary("word_bpe_49k.json")
-    encoder = tokens._encoder(path, False)
-    tokenizer = tokens._ENCODERS.setdefault("whole", Tokenizer.from_file(path))
-    assert encoder.encode(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    for name, by_words in (("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)):
+        path = queries.vocabulary(name)
+        encoder = tokens._encoder(path)
+        tokenizer = tokens._ENCODERS.setdefault(name, Tokenizer.from_file(path))
+        ids, at = encoder.encode_all(pa.array(["x", text, None, text + " the"]))
+        want = [tokenizer.encode(t, add_special_tokens=False).ids for t in ("x", text, "", text + " the")]
+        assert encoder.by_words == by_words and [ids[a:b].tolist() for a, b in zip(at, at[1:])] == want
+
+
+def test_null_and_least_ids_stay_apart(spark, scratch):
+    rows = spark.createDataFrame([(None, "a"), (-(1 << 63), "b c"), ((1 << 53) + 1, None), ((1 << 63) - 1, "d")], "doc_id long, text string")
+    folder = scratch.folder("tokens")
+    manifest = tokens.write_tokens(rows, scratch, queries.vocabulary("word_bpe_49k.json"), folder, partitions=3)
+    read = tokens.read_tokens(manifest, folder, len, "int").orderBy("start")
+    assert [(r["doc_id"], r["n_tokens"]) for r in read.collect()] == [(None, 2), (-(1 << 63), 3), ((1 << 53) + 1, 1), ((1 << 63) - 1, 2)]
 
 
 def test_tokens_of_all_documents(spark, docs, scratch):
