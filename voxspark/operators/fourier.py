@@ -70,33 +70,59 @@ def same_shape(headers: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFra
 # --- windows ----------------------------------------------------------------------------------------
 
 
-def axis_hann(n: int, i: Column, unmodified: int = 0) -> Column:
-    """Hann window over ``n`` points with ``unmodified`` flat ones in the middle."""
-    if not unmodified:
-        return 0.5 - 0.5 * F.cos(2 * np.pi * i / (n - 1)) if n > 1 else F.lit(1.0)
-    edge = (n - unmodified) / 2
-    down = F.least(i, F.lit(n - 1) - i)
-    return F.when(down >= edge, 1.0).otherwise(0.5 - 0.5 * F.cos(np.pi * down / edge))
+def plain_hann(n: int, i: Column) -> Column:
+    """Hann window over ``n`` points, zero at both ends."""
+    return 0.5 - 0.5 * F.cos(2 * np.pi * i / (n - 1)) if n > 1 else F.lit(1.0)
+
+
+def fractional_hann(n: int, i: Column, flat: int = 0) -> Column:
+    """Cosine window of period ``n`` with its top at place 0, as FFT order has it.
+
+    With ``flat`` points left as they are, the edge has a period of ``n + 1 - flat`` and begins ``(flat - 1) // 2``
+    places from the corner; the places before it, and those from ``n + 3 - flat`` after it on, are one.
+    """
+    if not flat:
+        return 0.5 + 0.5 * F.cos(2 * np.pi * i / n)
+    first = (flat - 1) // 2
+    return F.when((i < first) | (i >= first + n + 3 - flat), 1.0).otherwise(0.5 + 0.5 * F.cos(2 * np.pi * (i - first) / (n + 1 - flat)))
+
+
+def hann_padded(n: int, size: int, i: Column, flat: int) -> Column:
+    """The fractional window of ``size`` points, its top in the middle, among ``n`` places that are zero elsewhere."""
+    if size > n or flat > size:
+        raise ValueError("the window must fit, and its flat part must fit into it")
+    j = i - round(n / 2 - size / 2)
+    return F.when((j >= 0) & (j < size), fractional_hann(size, F.pmod(j - size // 2, F.lit(size)), max(flat, 0))).otherwise(0.0)
 
 
 def circle(nx: int, ny: int, x: Column, y: Column, taper: int) -> Column:
-    """One within a radius, a cosine edge of ``taper`` beyond it, zero outside; about the middle rounded half to even."""
+    """One within a radius, a cosine edge of ``taper`` beyond it, zero outside; about the middle rounded half to even.
+
+    The radius comes from the first axis given."""
     free = round(nx / 2) - taper
     r = F.sqrt((x - round(nx / 2)) * (x - round(nx / 2)) + (y - round(ny / 2)) * (y - round(ny / 2)))
     return F.when(r <= free, 1.0).when(r >= free + taper, 0.0).otherwise(0.5 + 0.5 * F.cos(np.pi * (r - free) / taper)) if taper else F.when(r <= free, 1.0).otherwise(0.0)
 
 
-def hann_padded(n: int, size: int, i: Column, unmodified: int) -> Column:
-    """A Hann edge window of ``size`` points in the middle of ``n`` zeros, rolled by half, as FFT order has it."""
-    if size > n or max(unmodified, 0) > size:
-        raise ValueError("the window must fit, and its flat part must fit into it")
-    j = F.pmod(i + F.lit(n // 2), F.lit(n)) - (n - size) // 2
-    return F.when((j >= 0) & (j < size), axis_hann(size, j, max(unmodified, 0))).otherwise(0.0)
-
-
 def window3d(nz: int, nx: int, ny: int, rad: int, ax: int) -> Column:
-    """Circle over x and y times a Hann edge along z, on columns ``dz, dx, dy``."""
-    return circle(nx, ny, F.col("dx"), F.col("dy"), rad) * axis_hann(nz, F.col("dz"), max(nz - 2 * ax, 0))
+    """Circle over x and y, of y's radius, times a cosine window along z, on columns ``dz, dx, dy``."""
+    return circle(ny, nx, F.col("dy"), F.col("dx"), rad) * hann_padded(nz, nz, F.col("dz"), max(nz - 2 * ax, 0))
+
+
+def window_array(shape: tuple[int, ...], rad: int, ax: int) -> np.ndarray:
+    """``window3d`` as an array, the circle alone for two axes."""
+    *rest, nx, ny = shape
+    x, y = np.arange(nx)[:, None] - np.round(nx / 2), np.arange(ny)[None, :] - np.round(ny / 2)
+    r, free = np.hypot(x, y), np.round(ny / 2) - rad
+    disc = np.where(r <= free, 1.0, np.where(r >= free + rad, 0.0, 0.5 + 0.5 * np.cos(np.pi * (r - free) / max(rad, 1))))
+    if not rest:
+        return disc
+    n, flat = rest[0], max(rest[0] - 2 * ax, 0)
+    i, first = (np.arange(n) - n // 2) % n, (flat - 1) // 2 if flat else 0
+    edge = 0.5 + 0.5 * np.cos(2 * np.pi * (i - first) / (n + 1 - flat if flat else n))
+    if flat:
+        edge = np.where((i < first) | (i >= first + n + 3 - flat), 1.0, edge)
+    return edge[:, None, None] * disc[None]
 
 
 # --- transform --------------------------------------------------------------------------------------
@@ -125,26 +151,53 @@ def dft(tiles: DataFrame, by: Sequence[str], axes: Sequence[tuple[str, int]]) ->
 
 def fft_kernel(rows: DataFrame, by: str, values: str, shape: tuple[int, ...]) -> DataFrame:
     """``by, re, im`` with arrays in centred frequency order, by FFT on Arrow batches; ``values``: a row-major array."""
+    return fft_arrays(rows, by, [values], shape).withColumnsRenamed({"re1": "re", "im1": "im"})
+
+
+def fft_arrays(rows: DataFrame, by: str, values: Sequence[str], shape: tuple[int, ...]) -> DataFrame:
+    """``by, re1, im1, re2, im2, ...``: the transforms of several row-major arrays of a row, together."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            cube = np.stack([np.asarray(v, dtype=np.float64).reshape(shape) for v in frame[values]]) if len(frame) else np.zeros((0, *shape))
-            axes = tuple(range(1, cube.ndim))
-            made = np.fft.fftshift(np.fft.fftn(cube, axes=axes), axes=axes).reshape(len(frame), -1)
-            yield pd.DataFrame({by: frame[by], "re": list(made.real), "im": list(made.imag)})
+            out = {by: frame[by]}
+            for n, name in enumerate(values, 1):
+                cube = np.stack([np.asarray(v, dtype=np.float64).reshape(shape) for v in frame[name]]) if len(frame) else np.zeros((0, *shape))
+                axes = tuple(range(1, cube.ndim))
+                made = np.fft.fftshift(np.fft.fftn(cube, axes=axes), axes=axes).reshape(len(frame), -1)
+                out |= {f"re{n}": list(made.real), f"im{n}": list(made.imag)}
+            yield pd.DataFrame(out)
+
+    fields = ", ".join(f"re{n} array<double>, im{n} array<double>" for n in range(1, len(values) + 1))
+    return rows.select(by, *values).mapInPandas(run, f"{by} long, {fields}")
 
-    return rows.select(by, values).mapInPandas(run, f"{by} long, re array<double>, im array<double>")
+
+def frequencies(spectra: DataFrame, by: Sequence[str], axes: Sequence[tuple[str, int]]) -> DataFrame:
+    """A row for each frequency of ``fft_arrays``: ``by..., k<axis>...`` and the values."""
+    names = [c for c in spectra.columns if c not in by]
+    flat = spectra.select(*by, F.posexplode(F.arrays_zip(*names)).alias("i", "c"))
+    place, below = {}, 1
+    for axis, n in reversed(axes):
+        place[f"k{axis}"] = (F.floor(F.col("i") / below) % n - n // 2).cast("int")
+        below *= n
+    return flat.select(*by, *[place[f"k{a}"].alias(f"k{a}") for a, _ in axes], *[F.col(f"c.{c}").alias(c) for c in names])
 
 
 # --- shells -----------------------------------------------------------------------------------------
 
 
-def shell_index(axes: Sequence[tuple[str, int]]) -> Column:
-    """Radius of a centred frequency, axes scaled to the longest, rounded half to even."""
+def shell_index(axes: Sequence[tuple[str, int]], compat: bool = False) -> Column:
+    """Radius of a centred frequency, axes scaled to the longest, rounded half to even.
+
+    ``compat`` counts an axis of odd size from one place beside its zero, the last place wrapped round, as results
+    made with the inverse shift in place of the forward one do.
+    """
     longest = max(n for _, n in axes)
     total = None
     for a, n in axes:
-        k = F.col(f"k{a}") * F.lit((longest // 2) / (n // 2) if n > 1 else 0.0)
+        k = F.col(f"k{a}")
+        if compat and n % 2:
+            k = F.when(k < n // 2, k + 1).otherwise(-(n // 2))
+        k = k * F.lit((longest // 2) / (n // 2) if n > 1 else 0.0)
         total = k * k if total is None else total + k * k
     return F.rint(F.sqrt(total)).cast("int")
 
@@ -158,6 +211,11 @@ def shell_sums(pairs: DataFrame, by: Sequence[str], index: Column, rings: int, n
         F.sum(F.col("re2") * F.col("re2") + F.col("im2") * F.col("im2")).alias("c2"),
         F.count(F.lit(1)).alias("npts"),
     )
+    return rings_of(exact, by, rings, nyquist)
+
+
+def rings_of(exact: DataFrame, by: Sequence[str], rings: int, nyquist: int) -> DataFrame:
+    """Sums by exact index spread over the rings that hold it."""
     near = F.explode(F.sequence(F.col("index") - rings // 2, F.col("index") + rings // 2))
     spread = exact.withColumn("f", near).filter(F.col("f").between(0, nyquist))
     return spread.groupBy(*by, "f").agg(*[F.sum(c).alias(c) for c in ("cr", "ci", "c1", "c2", "npts")])
@@ -202,3 +260,130 @@ def crossing(curve: DataFrame, by: Sequence[str], nyquist: Column, mode: str = "
 def to_resolution(df: DataFrame, pixel_size: Column) -> DataFrame:
     """``res`` = pixel size over ``x``."""
     return df.withColumn("res", F.try_divide(pixel_size, "x"))
+
+
+# --- the measurement as a job -------------------------------------------------------------------------
+
+
+def _as_array(data) -> np.ndarray:
+    return np.frombuffer(data, "<f4") if isinstance(data, (bytes, bytearray, memoryview)) else np.asarray(data, np.float32)
+
+
+def crop_bricks(bricks: DataFrame, plan: DataFrame, edges: tuple[int, int, int], shape: tuple[int, int, int]) -> DataFrame:
+    """``tile, side, places, values``: the parts of each tile of ``plan`` (tile, side, vol_id, z, x, y: its start).
+
+    ``bricks`` (vol_id, bz, bx, by, z0, x0, y0, nz, nx, ny, data: binary of floats, or an array) have ``edges`` voxels a
+    side, less at the end of a volume. Tiles and bricks meet on the brick number, and a tile's part is cut out of
+    the brick where they meet, so only voxels of tiles are shuffled after that. ``places``: start and size of the part in the tile.
+    """
+    tiles = plan.select("tile", "side", "vol_id", *[F.col(a).alias(f"t{a}") for a in "zxy"])
+    for a, edge, size in zip("zxy", edges, shape):
+        tiles = tiles.withColumn(f"b{a}", F.explode(F.sequence(F.floor(F.col(f"t{a}") / edge), F.floor((F.col(f"t{a}") + size - 1) / edge))))
+    met = bricks.withColumns({f"b{a}": F.col(f"b{a}").cast("long") for a in "zxy"}).join(tiles, ["vol_id", "bz", "bx", "by"])
+    columns = ["tile", "side", *[f"t{a}" for a in "zxy"], *[f"{a}0" for a in "zxy"], *[f"n{a}" for a in "zxy"], "data"]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for tile, side, *numbers, data in frame[columns].itertuples(index=False):
+                first, at, size = numbers[:3], numbers[3:6], numbers[6:9]
+                low = [max(f, z) for f, z in zip(first, at)]
+                high = [min(f + n, z + m) for f, n, z, m in zip(first, shape, at, size)]
+                if all(a < b for a, b in zip(low, high)):
+                    part = _as_array(data).reshape(size)[tuple(slice(a - z, b - z) for a, b, z in zip(low, high, at))]
+                    out.append((tile, side, [*[a - f for a, f in zip(low, first)], *part.shape], part.ravel()))
+            yield pd.DataFrame(out, columns=["tile", "side", "places", "values"])
+
+    return met.select(*columns).mapInPandas(run, "tile long, side int, places array<int>, values array<float>")
+
+
+def assemble(parts: Sequence, shape: tuple[int, int, int], sides: int) -> tuple[np.ndarray, bool]:
+    """``sides`` tiles from their parts, and whether these cover them; NaN where none does."""
+    out = np.full((sides, *shape), np.nan, np.float32)
+    n = 0
+    for p in parts:
+        z, x, y, a, b, c = p["places"]
+        out[p["side"] - 1, z : z + a, x : x + b, y : y + c] = np.asarray(p["values"], np.float32).reshape(a, b, c)
+        n += a * b * c
+    return out, n >= out.size
+
+
+def measure_tile(pair: np.ndarray, window: np.ndarray, index: np.ndarray) -> tuple:
+    """Mean, status, correlation, and shell sums by exact index of two arrays of one shape."""
+    a, b = pair.astype(np.float64)
+    mean = (a.mean() + b.mean()) / 2
+    spread = a.std() * b.std()
+    corr = float(((a - a.mean()) * (b - b.mean())).mean() / spread) if spread > 0 else None
+    if not (a.max() > 0 and b.max() > 0):
+        return float(mean), "empty", corr, []
+    f1, f2 = (np.fft.fftshift(np.fft.fftn(v * window)).ravel() for v in (a, b))
+    cross = f1 * np.conj(f2)
+    sums = [np.bincount(index, w) for w in (cross.real, cross.imag, np.abs(f1) ** 2, np.abs(f2) ** 2)]
+    counts = np.bincount(index)
+    found = [{"index": int(i), "cr": float(sums[0][i]), "ci": float(sums[1][i]), "c1": float(sums[2][i]), "c2": float(sums[3][i]), "npts": int(counts[i])} for i in np.flatnonzero(counts)]
+    return float(mean), "ok", corr, found
+
+
+def index_array(shape: tuple[int, ...], compat: bool = False) -> np.ndarray:
+    """``shell_index`` of every place of a centred transform, in row-major order."""
+    longest, total = max(shape), 0.0
+    for d, n in enumerate(shape):
+        k = np.arange(n) - n // 2
+        if compat and n % 2:
+            k = np.where(k < n // 2, k + 1, -(n // 2))
+        scaled = k * ((longest // 2) / (n // 2) if n > 1 else 0.0)
+        total = total + (scaled**2).reshape([-1 if i == d else 1 for i in range(len(shape))])
+    return np.round(np.sqrt(total)).astype(np.int64).ravel()
+
+
+def tile_curves(bricks: DataFrame, pairs: DataFrame, edges: tuple[int, int, int], shape: tuple[int, int, int], ring: int = 6, rad: int = 60, ax: int = 60, snr: float = 0.2071, compat: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(``tile, mean_pix, status, corr``, ``tile, f, fsc, t, ...``) for tiles of two volumes.
+
+    ``pairs``: tile, a, b (volumes), z, x, y (start). ``shape`` (z, x, y) may have one axis of size 1: a slice, whose
+    window is the circle alone. A tile beyond its volumes, or in one only, has the status ``incomplete``; an
+    ``empty`` one has no positive voxel in one of them.
+    """
+    measured = _measured(bricks, pairs, edges, shape, rad, ax, compat)
+    return measured.select("tile", "mean_pix", "status", "corr"), _curves(measured, shape, ring, snr)
+
+
+def _measured(bricks: DataFrame, pairs: DataFrame, edges, shape, rad: int, ax: int, compat: bool) -> DataFrame:
+    side = F.explode(F.array(F.struct(F.lit(1).alias("side"), F.col("a").alias("vol_id")), F.struct(F.lit(2).alias("side"), F.col("b").alias("vol_id"))))
+    plan = pairs.select("tile", "z", "x", "y", side.alias("s")).select("tile", "s.side", "s.vol_id", "z", "x", "y")
+    parts = crop_bricks(bricks, plan, edges, shape)
+    # a tile's parts: its own voxels, twice
+    tiles = parts.groupBy("tile").agg(F.collect_list(F.struct("side", "places", "values")).alias("parts"))
+    flat = tuple(n for n in shape if n > 1)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        window, index = window_array(flat, rad, ax), index_array(flat, compat)
+        for frame in frames:
+            out = []
+            for tile, found in zip(frame["tile"], frame["parts"]):
+                pair, whole = assemble(found, shape, 2)
+                out.append((tile, *(measure_tile(pair.reshape(2, *flat), window, index) if whole else (None, "incomplete", None, []))))
+            yield pd.DataFrame(out, columns=["tile", "mean_pix", "status", "corr", "sums"])
+
+    return tiles.mapInPandas(run, "tile long, mean_pix double, status string, corr double, sums array<struct<index:int,cr:double,ci:double,c1:double,c2:double,npts:long>>")
+
+
+def _curves(measured: DataFrame, shape: tuple[int, int, int], ring: int, snr: float) -> DataFrame:
+    sums = measured.select("tile", F.inline("sums"))
+    return fsc(rings_of(sums, ["tile"], ring, max(shape) // 2), snr)
+
+
+def resolution_measure(bricks: DataFrame, pairs: DataFrame, edges: tuple[int, int, int], shape: tuple[int, int, int], pixel_size: float, ring: int = 6, rad: int = 60, ax: int = 60, snr: float = 0.2071, compat: bool = False) -> DataFrame:
+    """Result rows ``tile, z, x, y, res, mean, corr, status`` of the tiles of ``pairs``; z, x, y are their centres.
+
+    The whole measurement: tiles are cut from bricks, transformed, summed over shells and rings, and the first
+    crossing of the threshold gives the resolution. ``res`` is -1 for an empty tile and null where the curve does
+    not cross (``compat``: what wrapping round gives there, and the centring of odd sizes that goes with it).
+    Options are those of ``tile_curves``.
+    """
+    measured = _measured(bricks, pairs, edges, shape, rad, ax, compat)
+    found = crossing(_curves(measured, shape, ring, snr), ["tile"], F.lit(max(shape) // 2), compat=compat).select("tile", F.col("x").alias("crossed"))
+    rows = measured.select("tile", "mean_pix", "status", "corr").join(found, "tile", "left")
+    rows = rows.join(pairs.select("tile", *[(F.col(a) + half(F.lit(n))).alias(a) for a, n in zip("zxy", shape)]), "tile")
+    res = F.when(F.col("status") == "empty", -1.0).otherwise(F.try_divide(F.lit(float(pixel_size)), "crossed"))
+    status = F.when((F.col("status") == "ok") & F.col("crossed").isNull(), "no_crossing").otherwise(F.col("status"))
+    return rows.select("tile", "z", "x", "y", res.alias("res"), F.col("mean_pix").alias("mean"), "corr", status.alias("status"))

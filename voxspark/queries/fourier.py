@@ -46,16 +46,31 @@ curve AS (SELECT *, sqrt(cr * cr + ci * ci) / nullif(sqrt(c1 * c2), 0) AS fsc,
 _PLAIN = _FT.replace("{window}", "1").replace("{rings}", "0").replace("{s}", "0.2071::DOUBLE")
 
 
-def pairs_ft(spark, sf, window=None):
-    t = tiles(spark, sf)
-    if window is not None:
-        t = t.withColumn("v", F.col("v") * window)
-    ft = fo.dft(t, ["vol_id"], AXES)
-    return halves(ft, "vol_id", ["kz", "kx", "ky"])
+def arrays(spark, sf, members=2):
+    """``run, v1, v2, ...``: vectors ``members * run``, the next one and so on, of runs that have them all."""
+    side = F.col("vec_id") % members
+    out = table(spark, sf, "embeddings").groupBy(F.floor(F.col("vec_id") / members).alias("run")).agg(
+        *[F.max(F.when(side == i, F.col("embedding"))).alias(f"v{i + 1}") for i in range(members)], F.count(F.lit(1)).alias("sides"))
+    return out.filter(F.col("sides") == members).drop("sides")
 
 
-def curve(spark, sf, rings=0, window=None, snr=0.2071):
-    return fo.fsc(fo.shell_sums(pairs_ft(spark, sf, window), PAIR, fo.shell_index(AXES), rings, 2), snr)
+def pairs_ft(spark, sf):
+    return fo.frequencies(fo.fft_arrays(arrays(spark, sf), "run", ["v1", "v2"], (4, 4, 4)), PAIR, AXES)
+
+
+def curve(spark, sf, rings=0, snr=0.2071):
+    return fo.fsc(fo.shell_sums(pairs_ft(spark, sf), PAIR, fo.shell_index(AXES), rings, 2), snr)
+
+
+def bricks(spark, sf):
+    """Each vector as the one brick of a 4 x 4 x 4 volume."""
+    zeros, fours = [F.lit(0).alias(c) for c in ("bz", "bx", "by", "z0", "x0", "y0")], [F.lit(4).alias(c) for c in ("nz", "nx", "ny")]
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("vol_id"), *zeros, *fours, F.col("embedding").alias("data"))
+
+
+def pairs_of(spark, sf):
+    k = F.col("vec_id")
+    return table(spark, sf, "embeddings").filter(k % 2 == 0).select(F.floor(k / 2).alias("tile"), k.alias("a"), (k + 1).alias("b"), *[F.lit(0).alias(a) for a in "zxy"])
 
 
 @query("f01_crop_tiles", _V + " SELECT vol_id * 8 + a.tz * 4 + a.tx * 2 + a.ty AS tile, count(*) AS n, round(sum(v), 6) + 0.0 AS total FROM voxels, (SELECT tz, tx, ty FROM (SELECT unnest([0, 1]) AS tz) p, (SELECT unnest([0, 1]) AS tx) q, (SELECT unnest([0, 1]) AS ty) r) a WHERE z BETWEEN tz * 2 AND tz * 2 + 1 AND x BETWEEN tx AND tx + 1 AND y BETWEEN ty AND ty + 1 GROUP BY 1")
@@ -63,7 +78,9 @@ def f01(spark, sf):
     two = F.array(F.lit(0), F.lit(1))
     plan = table(spark, sf, "embeddings").select(F.col("vec_id").alias("vol_id")).withColumn("tz", F.explode(two)).withColumn("tx", F.explode(two)).withColumn("ty", F.explode(two))
     plan = plan.select((F.col("vol_id") * 8 + F.col("tz") * 4 + F.col("tx") * 2 + F.col("ty")).alias("tile"), "vol_id", (F.col("tz") * 2).alias("z"), F.col("tx").alias("x"), F.col("ty").alias("y"))
-    return fo.crop(voxels(spark, sf), plan, 2).groupBy("tile").agg(F.count(F.lit(1)).alias("n"), clean0(F.sum("v"), 6).alias("total"))
+    parts = fo.crop_bricks(bricks(spark, sf), plan.withColumn("side", F.lit(1)), (4, 4, 4), (2, 2, 2))
+    total = F.aggregate("values", F.lit(0.0), lambda s, v: s + v)
+    return parts.groupBy("tile").agg(F.sum(F.size("values")).alias("n"), clean0(F.sum(total), 6).alias("total"))
 
 
 @query("f02_tile_centres", "SELECT l_orderkey, l_linenumber, l_partkey % 400 + floor(size / 2.0)::INT AS z FROM (SELECT *, CASE WHEN l_linenumber > 5 THEN -1 ELSE l_linenumber * 15 END AS size FROM lineitem)")
@@ -110,24 +127,35 @@ def _hann(i, n=8):
     return f"(0.5 - 0.5 * cos(2 * pi() * {i} / {n - 1}))"
 
 
-def _edge(i, n, u):
-    e = (n - u) / 2
-    return f"CASE WHEN least({i}, {n - 1} - {i}) >= {e} THEN 1.0 ELSE 0.5 - 0.5 * cos(pi() * least({i}, {n - 1} - {i}) / {e}) END"
+# the windows as they are written down for the measurement: period n from the corner; with 4 flat points a period of
+# 8 + 1 - 4 from place floor((4 - 1) / 2) on, and ones before that place
+def _corner(i):
+    return f"((1 + cos(2 * pi() * {i} / 8)) / 2)"
 
 
-@query("f07_fractional_hann", f"WITH {IMAGES_SQL} SELECT img, round(sum(v * {_hann('px')} * {_hann('py')}), 7) + 0.0 AS whole, round(sum(v * {_edge('px', 8, 4)} * {_edge('py', 8, 4)}), 7) + 0.0 AS edge FROM images GROUP BY img")
+def _flat4(i):
+    return f"CASE WHEN {i} < 1 THEN 1.0 ELSE (1 + cos(2 * pi() * ({i} - 1) / 5)) / 2 END"
+
+
+@query("f07_fractional_hann", f"WITH {IMAGES_SQL} SELECT img, round(sum(v * {_corner('px')} * {_corner('py')}), 7) + 0.0 AS whole, round(sum(v * {_flat4('px')} * {_flat4('py')}), 7) + 0.0 AS edge FROM images GROUP BY img")
 def f07(spark, sf):
-    whole = fo.axis_hann(8, F.col("px")) * fo.axis_hann(8, F.col("py"))
-    edge = fo.axis_hann(8, F.col("px"), 4) * fo.axis_hann(8, F.col("py"), 4)
+    whole = fo.fractional_hann(8, F.col("px")) * fo.fractional_hann(8, F.col("py"))
+    edge = fo.fractional_hann(8, F.col("px"), 4) * fo.fractional_hann(8, F.col("py"), 4)
     return images(spark, sf).groupBy("img").agg(clean0(F.sum(F.col("v") * whole), 7).alias("whole"), clean0(F.sum(F.col("v") * edge), 7).alias("edge"))
 
 
-@query("f08_padded_hann", f"WITH {IMAGES_SQL}, w AS (SELECT *, (px + 4) % 8 - 1 AS j FROM images) SELECT img, round(sum(v * CASE WHEN j >= 0 AND j < 6 THEN {_edge('j', 6, 2)} ELSE 0 END), 7) + 0.0 AS total FROM w GROUP BY img")
+def _padded(i):
+    """Six places from 1 on, 2 of them flat, rolled by three so that the top is in the middle."""
+    return f"CASE WHEN {i} BETWEEN 1 AND 6 THEN (1 + cos(2 * pi() * (({i} - 1 + 3) % 6) / 5)) / 2 ELSE 0 END"
+
+
+@query("f08_padded_hann", f"WITH {IMAGES_SQL} SELECT img, round(sum(v * {_padded('px')} * {_padded('py')}), 7) + 0.0 AS total FROM images GROUP BY img")
 def f08(spark, sf):
-    return images(spark, sf).groupBy("img").agg(clean0(F.sum(F.col("v") * fo.hann_padded(8, 6, F.col("px"), 2)), 7).alias("total"))
+    w = fo.hann_padded(8, 6, F.col("px"), 2) * fo.hann_padded(8, 6, F.col("py"), 2)
+    return images(spark, sf).groupBy("img").agg(clean0(F.sum(F.col("v") * w), 7).alias("total"))
 
 
-_W4 = f"(CASE WHEN sqrt((x - 2) ** 2 + (y - 2) ** 2) <= 1 THEN 1.0 WHEN sqrt((x - 2) ** 2 + (y - 2) ** 2) >= 2 THEN 0.0 ELSE 0.5 + 0.5 * cos(pi() * (sqrt((x - 2) ** 2 + (y - 2) ** 2) - 1)) END * {_edge('z', 4, 2)})"
+_W4 = "(CASE WHEN sqrt((x - 2) ** 2 + (y - 2) ** 2) <= 1 THEN 1.0 WHEN sqrt((x - 2) ** 2 + (y - 2) ** 2) >= 2 THEN 0.0 ELSE 0.5 + 0.5 * cos(pi() * (sqrt((x - 2) ** 2 + (y - 2) ** 2) - 1)) END * (1 + cos(2 * pi() * ((z + 2) % 4) / 3)) / 2)"
 
 
 @query("f09_window_3d", f"{_V} SELECT vol_id, round(sum(v * {_W4}), 7) + 0.0 AS total FROM voxels GROUP BY vol_id")
@@ -138,7 +166,7 @@ def f09(spark, sf):
 
 @query("f10_separable_hann", f"{_V} SELECT vol_id, round(sum(v * {_hann('z', 4)} * {_hann('x', 4)} * {_hann('y', 4)}), 7) + 0.0 AS total FROM voxels GROUP BY vol_id")
 def f10(spark, sf):
-    w = fo.axis_hann(4, F.col("z")) * fo.axis_hann(4, F.col("x")) * fo.axis_hann(4, F.col("y"))
+    w = fo.plain_hann(4, F.col("z")) * fo.plain_hann(4, F.col("x")) * fo.plain_hann(4, F.col("y"))
     return voxels(spark, sf).groupBy("vol_id").agg(clean0(F.sum(F.col("v") * w), 7).alias("total"))
 
 
@@ -223,10 +251,9 @@ def f20(spark, sf):
 @query("f21_resolution_job", _FT.replace("{window}", _W4).replace("{rings}", "2").replace("{s}", "0.2071::DOUBLE") + _CROSS + """, s AS (SELECT run, avg(v1) / 2 + avg(v2) / 2 AS m, max(v1) AS a, max(v2) AS b, covar_pop(v1, v2) / nullif(sqrt(var_pop(v1) * var_pop(v2)), 0) AS corr FROM pairs GROUP BY run)
 SELECT run, CASE WHEN NOT (a > 0 AND b > 0) THEN -1 ELSE round(4.9::DOUBLE / x, 3) END AS res, round(m, 6) + 0.0 AS mean, round(corr, 6) + 0.0 AS corr FROM x JOIN s USING (run)""")
 def f21(spark, sf):
-    found = fo.to_resolution(fo.crossing(curve(spark, sf, 2, fo.window3d(4, 4, 4, 1, 1)), PAIR, F.lit(2)), F.lit(4.9)).select("run", "res")
-    joined = found.join(stats(spark, sf), "run")
-    res = F.when(F.col("status") == "empty", -1.0).otherwise(F.round("res", 3))
-    return joined.select("run", res.alias("res"), clean0(F.col("mean_pix"), 6).alias("mean"), clean0(F.col("corr"), 6).alias("corr"))
+    found = fo.resolution_measure(bricks(spark, sf), pairs_of(spark, sf), (4, 4, 4), (4, 4, 4), 4.9, ring=2, rad=1, ax=1)
+    whole = found.filter("status <> 'incomplete'")
+    return whole.select(F.col("tile").alias("run"), F.round("res", 3).alias("res"), clean0(F.col("mean"), 6).alias("mean"), clean0(F.col("corr"), 6).alias("corr"))
 
 
 @query("f22_curve", _PLAIN + " SELECT run, f / 2 AS x, round(fsc, 5) + 0.0 AS fsc, round(t, 5) AS t FROM curve")
