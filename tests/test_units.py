@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxspark.functions import columns as C
-from voxspark.operators import beads, crossval, fourier
+from voxspark.operators import beads, crossval, fourier, imageops, report
 from voxspark.plans import grids
 from voxspark.sources import mrc, results
 
@@ -117,3 +117,262 @@ def test_stream_drops_repeated_runs(spark, tmp_path):
     q = once.writeStream.format("memory").queryName("once").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(r["run"] for r in spark.table("once").collect()) == [1, 2]
+
+
+# --- windows and the measurement ------------------------------------------------------------------------
+
+
+def hann_by_hand(n, flat):
+    """One axis of the window as it is defined, its top at place 0."""
+    i = np.arange(n)
+    if flat == 0:
+        return (1 + np.cos(2 * np.pi * i / n)) / 2
+    first = int(np.floor((flat - 1) / 2))
+    w = (1 + np.cos(2 * np.pi * (i - first) / (n + 1 - flat))) / 2
+    if first > 0:
+        w[:first] = 1
+    w[first + n + 3 - flat :] = 1
+    return w
+
+
+@pytest.mark.parametrize(("n", "flat"), [(8, 0), (8, 4), (45, 0), (45, 4), (45, 33)])
+def test_windows(spark, n, flat):
+    i = spark.range(n).select(F.col("id").cast("int").alias("i"))
+    rows = i.select(fourier.fractional_hann(n, F.col("i"), flat).alias("a"), fourier.hann_padded(n, n, F.col("i"), flat).alias("b"), "i").orderBy("i").collect()
+    want = hann_by_hand(n, flat)
+    assert np.allclose([r["a"] for r in rows], want) and np.allclose([r["b"] for r in rows], np.fft.fftshift(want))
+
+
+def test_window_of_a_box_as_columns_and_as_an_array(spark):
+    shape = (6, 7, 8)
+    cells = spark.range(6 * 7 * 8).select((F.floor(F.col("id") / 56)).alias("dz"), (F.floor(F.col("id") / 8) % 7).alias("dx"), (F.col("id") % 8).alias("dy"), "id")
+    got = [r["w"] for r in cells.select(fourier.window3d(*shape, 2, 2).alias("w"), "id").orderBy("id").collect()]
+    assert np.allclose(np.reshape(got, shape), fourier.window_array(shape, 2, 2))
+
+
+def bricks_of(name, cube, edge):
+    for z in range(0, cube.shape[0], edge):
+        for x in range(0, cube.shape[1], edge):
+            for y in range(0, cube.shape[2], edge):
+                part = cube[z : z + edge, x : x + edge, y : y + edge].astype("<f4")
+                yield (name, z // edge, x // edge, y // edge, z, x, y, *part.shape, bytearray(part.tobytes()))
+
+
+def resolution_by_hand(a, b, pixel, ring, rad, ax, compat):
+    """Every ring by a scan of the whole cube."""
+    n = a.shape[0]
+    w = fourier.window_array(a.shape, rad, ax)
+    shift = np.fft.ifftshift if compat else np.fft.fftshift
+    f1, f2 = (shift(np.fft.fftn(np.fft.fftshift(v * w))) for v in (a, b))
+    k = np.arange(-(n // 2), (n + 1) // 2)
+    index = np.round(np.sqrt(k[:, None, None] ** 2 + k[None, :, None] ** 2 + k[None, None, :] ** 2))
+    d = []
+    for f in range(n // 2 + 1):
+        m = abs(index - f) <= ring // 2
+        c = abs((f1[m] * np.conj(f2[m])).sum()) / np.sqrt((abs(f1[m]) ** 2).sum() * (abs(f2[m]) ** 2).sum())
+        s, npts = 0.2071, m.sum()
+        t = (s + 2 * np.sqrt(s) / np.sqrt(npts + np.spacing(1)) + 1 / np.sqrt(npts)) / (s + 2 * np.sqrt(s) / np.sqrt(npts + np.spacing(1)) + 1)
+        d.append(c - t)
+    hit = next((i for i, v in enumerate(d) if v < 0), None)
+    return None if not hit else pixel / ((hit - 1 + d[hit - 1] / (d[hit - 1] - d[hit])) / (n // 2))
+
+
+@pytest.mark.parametrize("compat", [False, True])
+def test_resolution_of_tiles_cut_from_bricks(spark, compat):
+    from voxspark.schemas import BRICKS
+
+    rng = np.random.default_rng(4)
+    k = np.fft.fftfreq(54)
+    low = 1 / (1 + (np.sqrt(k[:, None, None] ** 2 + k[None, :, None] ** 2 + k[None, None, :] ** 2) / 0.12) ** 8)
+    signal = np.fft.ifftn(np.fft.fftn(rng.normal(size=(54, 54, 54))) * low).real
+    a, b = (signal + 0.25 * signal.std() * rng.normal(size=signal.shape) for _ in range(2))
+    bricks = spark.createDataFrame([*bricks_of("a", a, 20), *bricks_of("b", b, 20), *bricks_of("zero", np.zeros((54, 54, 54)), 20)], BRICKS)
+    pairs = spark.createDataFrame([(1, "a", "b", 0, 0, 0), (2, "a", "b", 9, 5, 7), (3, "a", "zero", 0, 0, 0), (4, "a", "b", 20, 0, 0), (5, "a", "a", 0, 0, 0)], "tile long, a string, b string, z int, x int, y int")
+    got = {r["tile"]: r for r in fourier.resolution_measure(bricks, pairs, (20, 20, 20), (45, 45, 45), 4.9, ring=6, rad=60, ax=60, compat=compat).collect()}
+    for tile, (z, x, y) in ((1, (0, 0, 0)), (2, (9, 5, 7))):
+        parts = [v.astype(np.float32).astype(float)[z : z + 45, x : x + 45, y : y + 45] for v in (a, b)]
+        want = resolution_by_hand(*parts, 4.9, 6, 60, 60, compat)
+        r = got[tile]
+        assert r["status"] == "ok" and r["res"] == pytest.approx(want, rel=1e-6) and (r["z"], r["x"], r["y"]) == (z + 22, x + 22, y + 22)
+        assert r["corr"] == pytest.approx(np.corrcoef(parts[0].ravel(), parts[1].ravel())[0, 1], rel=1e-6) and r["mean"] == pytest.approx((parts[0].mean() + parts[1].mean()) / 2, abs=1e-6)
+    assert (got[3]["res"], got[3]["status"]) == (-1.0, "empty") and (got[4]["res"], got[4]["status"]) == (None, "incomplete")
+    assert got[5]["status"] == "no_crossing" and (got[5]["res"] is not None) == compat
+    flat = fourier.resolution_measure(bricks, pairs.filter("tile = 2"), (20, 20, 20), (1, 40, 40), 4.9, ring=2, rad=10).first()
+    assert flat["status"] in ("ok", "no_crossing") and flat["z"] == 9
+
+
+def test_boxes_of_bricks_hold_nan_beyond_the_volume(spark):
+    from voxspark.schemas import BRICKS
+
+    cube = np.arange(7 * 7 * 7, dtype=np.float32).reshape(7, 7, 7)
+    bricks = spark.createDataFrame(list(bricks_of("v", cube, 4)), BRICKS)
+    boxes = spark.createDataFrame([(1, "v", 2, 1, 3), (2, "v", -2, 5, 0), (3, "v", 40, 0, 0)], "bead long, vol_id string, z0 int, x0 int, y0 int")
+    padded = np.full((60, 60, 60), np.nan, np.float32)
+    padded[10:17, 10:17, 10:17] = cube
+    rows = {r["bead"]: r for r in beads.roi_arrays(bricks, boxes, (4, 4, 4), 4).collect()}
+    for bead, (z, x, y) in {1: (2, 1, 3), 2: (-2, 5, 0), 3: (40, 0, 0)}.items():
+        want = padded[z + 10 : z + 14, x + 10 : x + 14, y + 10 : y + 14]
+        assert np.array_equal(np.array(rows[bead]["values"], np.float32).reshape(4, 4, 4), want, equal_nan=True)
+
+
+def test_beads_that_lack_a_reconstruction_or_fail_in_x_or_z(spark):
+    rows = [("t", r, b, 0.9, 0.1, 0.9) for r in "pq" for b in range(5)] + [("t", "p", 5, 0.9, 0.9, 0.9), ("u", "p", 0, 0.9, 0.9, 0.9)]
+    rows = [(t, r, b, None if b == 1 and r == "q" else x, y, 0.2 if b == 2 and r == "p" else float("nan") if b == 3 else z) for t, r, b, x, y, z in rows]
+    fits = spark.createDataFrame(rows, "tomogram string, recon string, bead int, r2_x double, r2_y double, r2_z double")
+    assert sorted(map(tuple, beads.skip_beads(fits, 0.6).collect())) == [("t", 1), ("t", 2), ("t", 3), ("t", 5)]
+
+
+# --- images and peaks -----------------------------------------------------------------------------------
+
+
+def best_fit_by_hand(x, y, most):
+    """As it is told: 0, 1, 2 ... % of the voxels are cut off by a histogram of the residuals, again and again."""
+    keep, best = [True] * len(x), (0, 0, 1e30, 0)
+    for step in range(round(most * 100) + 1):
+        xs, ys = [a for a, k in zip(x, keep) if k], [b for b, k in zip(y, keep) if k]
+        b = np.cov(xs, ys, bias=True)[0, 1] / np.var(xs)
+        a = np.mean(ys) - b * np.mean(xs)
+        r = np.sqrt(sum((a + b * u - v) ** 2 for u, v in zip(xs, ys)) / sum((v - np.mean(ys)) ** 2 for v in ys))
+        if r < best[2]:
+            best = a, b, r, len(x) - len(xs)
+        off = [abs(a + b * u - v) for u, v in zip(x, y)]
+        bins = [min(int(1000 * o / max(off)), 999) for o in off]
+        i, j = 999, bins.count(999)
+        while i > 1 and j < len(x) * step / 100 - 1e-9:
+            i -= 1
+            j += bins.count(i)
+        keep = [o <= i * max(off) / 1000 for o in off]
+    return best
+
+
+def test_best_fit_leaves_out_the_worst(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=300)
+    y = 2 + 3 * x + 0.1 * rng.normal(size=300)
+    y[::20] += 30
+    want = best_fit_by_hand(x.tolist(), y.tolist(), 0.1)
+    mask = [1.0] * 300
+    df = spark.createDataFrame([(1, x.tolist(), y.tolist(), mask), (2, [*x.tolist(), 5.0], [*y.tolist(), 900.0], [*mask, 0.0])], "run long, v1 array<double>, v2 array<double>, m array<double>")
+    for r in imageops.robust_fit(df, "run", 0.1, "m").collect():
+        assert (r["a"], r["b"], r["r"], r["n_left_out"]) == pytest.approx(want)
+        assert r["difference"][7] == pytest.approx(want[0] + want[1] * x[7] - y[7]) and (r["run"] == 1 or r["difference"][-1] == 0)
+
+
+def test_shift_is_found_and_refined(spark):
+    n = 32
+    g = lambda cx, cy: np.exp(-((np.arange(n)[:, None] - cx) ** 2 + (np.arange(n)[None, :] - cy) ** 2) / 18)
+    df = spark.createDataFrame([(1, g(16, 16).ravel().tolist(), g(19.3, 12).ravel().tolist())], "run long, v1 array<double>, v2 array<double>")
+    assert crossval.best_shift(df, "run", (n, n)).first()["shift"] == [3.0, -4.0]
+    fine = crossval.best_shift(df, "run", (n, n), band=(0, 8), refine=True).first()["shift"]
+    assert fine == pytest.approx([3.3, -4.0], abs=0.15)
+    assert crossval.best_shift(df, "run", (n, n), within=2).first()["shift"] != [3.0, -4.0]
+    assert crossval.best_shift(df.withColumn("v2", F.col("v1")), "run", (n, n)).first()["shift"] == [0.0, 0.0]
+
+
+def test_erasing_with_noise_stays_within_the_disc(spark):
+    images = spark.createDataFrame([(1, x, y, 100.0 if (x - 10) ** 2 + (y - 10) ** 2 < 9 else float((x * 7 + y * 3) % 5)) for x in range(21) for y in range(21)], "img int, px int, py int, v double")
+    centres = spark.createDataFrame([(1, 1, 10, 10)], "img int, bead int, cx int, cy int")
+    old = {(r["px"], r["py"]): r["v"] for r in images.collect()}
+    new = {(r["px"], r["py"]): r["v"] for r in crossval.erase_beads(images, centres, ["img"], 3, noise=1).collect()}
+    disc = {p for p in old if (p[0] - 10) ** 2 + (p[1] - 10) ** 2 < 3.6**2}
+    assert {p for p in old if old[p] != new[p]} <= disc and max(new[p] for p in disc) < 20 and len({new[p] for p in disc}) == len(disc)
+
+
+def test_counts_that_differ_and_volumes_without_boxes_are_errors(spark):
+    p = spark.createDataFrame([(1, 0), (1, 1), (2, 0)], "run int, proj int")
+    a = spark.createDataFrame([(1, 0.0), (1, 3.0), (2, 0.0), (2, 3.0)], "run int, tilt double")
+    assert crossval.assert_counts(p.filter("run = 1"), a.filter("run = 1"), ["run"]).first()["n_proj"] == 2
+    with pytest.raises(Exception, match="1 projections but 2 angles"):
+        crossval.assert_counts(p, a, ["run"]).collect()
+    vols = spark.createDataFrame([(1,), (2,)], "vol int")
+    with pytest.raises(Exception, match="volume 2 has no box"):
+        grids.box_counts(vols, spark.createDataFrame([(1, "x")], "vol int, box_id string"), "vol").collect()
+
+
+def test_runs_without_any_file_are_rejected(spark):
+    files = spark.createDataFrame([(1, "a", "p"), (1, "b", "q"), (1, "b", "r")], "run int, role string, path string")
+    wanted = spark.createDataFrame([(r, x) for r in (1, 2) for x in "ab"], "run int, role string")
+    good, bad = grids.exactly_one(files, ["run", "role"], wanted)
+    assert [tuple(r) for r in good.collect()] == [(1, "a", "p")]
+    assert sorted(map(tuple, bad.collect())) == [(1, "b", 2, "several files"), (2, "a", 0, "no file"), (2, "b", 0, "no file")]
+
+
+def test_approximate_percentiles_come_near(spark):
+    df = spark.range(5000).select((F.col("id") % 2).alias("g"), (F.col("id") * 7919 % 5003).cast("double").alias("v"))
+    for exact, near in zip(report.point_stats(df, ["g"], "v", "median").orderBy("g").collect(), report.point_stats(df, ["g"], "v", "median", exact=False).orderBy("g").collect()):
+        assert near["n"] == exact["n"] and all(near[c] == pytest.approx(exact[c], abs=6) for c in ("estimate", "low", "high"))
+
+
+# --- files ------------------------------------------------------------------------------------------------
+
+
+def test_big_endian_volumes_and_stacks(spark, tmp_path):
+    cube = np.random.default_rng(3).integers(-500, 500, size=(3, 5, 4)).astype(">i2")
+    header = bytearray(1024)
+    header[:16] = np.array((4, 5, 3, 1), ">i4").tobytes()
+    header[212:214] = b"\x11\x11"
+    (tmp_path / "b.mrc").write_bytes(bytes(header) + cube.tobytes())
+    spark.dataSource.register(mrc.MrcSource)
+    bricks = spark.read.format("mrc").option("brick", 2).option("slab", 2).load(f"{tmp_path}/b.mrc")
+    voxels = mrc.explode_bricks(bricks).collect()
+    assert len(voxels) == cube.size and all(cube[r["z"], r["x"], r["y"]] == r["v"] for r in voxels)
+    images = {r["proj"]: r for r in mrc.read_projections(spark, f"{tmp_path}/b.mrc").collect()}
+    assert set(images) == {0, 1, 2} and np.array_equal(np.frombuffer(images[1]["data"], "<f4").reshape(5, 4), cube[1])
+
+
+def test_settings_files(spark, tmp_path):
+    (tmp_path / "a.com").write_text("# tilt\nTHICKNESS 200\nLOG 1.5\nXAXISTILT -2.5\nEXCLUDELIST 1-3, 9\nTHICKNESS 300\n")
+    (tmp_path / "b.com").write_text("MODE 2\n")
+    rows = {r["file"]: r for r in results.read_tilt_configs(spark, str(tmp_path)).collect()}
+    assert (rows["a.com"]["THICKNESS"], rows["a.com"]["log_base"], rows["a.com"]["x_tilt"], rows["a.com"]["excluded"]) == ("300", 1.5, -2.5, [1, 2, 3, 9])
+    assert rows["b.com"]["MODE"] == "2" and rows["b.com"]["LOG"] is None
+
+
+def test_bead_configuration(spark, tmp_path):
+    entries = {"tomograms": [{"tomogram": "t", "thickness": 250, "pxl_size": 4.9, "recon_labels": ["11_lim15", "21_lim30"]}, {"tomogram": "u", "box_size": 20, "recon_labels": []}]}
+    rows = results.config_labels(results.bead_config(spark, entries)).collect()
+    assert [(r["tomogram"], r["box_size"], r["pos"], r["label"], r["thickness"]) for r in rows] == [("t", 36, 0, "11_lim15", 250.0), ("t", 36, 1, "21_lim30", 250.0)]
+    with pytest.raises(ValueError, match="tomograms"):
+        results.bead_config(spark, {})
+    pytest.importorskip("yaml")
+    (tmp_path / "c.yaml").write_text("tomograms:\n- tomogram: t\n  pxl_size: 1.4\n  recon_labels: [a, b]\n")
+    assert results.read_bead_config(spark, str(tmp_path / "c.yaml")).first()["recon_labels"] == ["a", "b"]
+
+
+def test_boxes_written_read_and_imported(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    (tmp_path / "npz" / "tomo 1").mkdir(parents=True)
+    stack, points = rng.normal(size=(3, 4, 4, 4)).astype(np.float32), np.array([[1, 2, 3], [4, 5, 6], [7, 8, 9]])
+    np.savez_compressed(tmp_path / "npz" / "tomo 1" / "11_lim15.npz", subvolumes=stack, points=points)
+    results.write_roi(results.import_roi(spark, str(tmp_path / "npz")), str(tmp_path / "roi"))
+    rows = results.read_roi(spark, str(tmp_path / "roi"), "tomo 1", "11_lim15").orderBy("bead").collect()
+    assert [(r["bead"], r["x"], r["z"], r["size"]) for r in rows] == [(0, 1, 3, 4), (1, 4, 6, 4), (2, 7, 9, 4)]
+    assert np.array_equal(np.array(rows[2]["values"], np.float32).reshape(4, 4, 4), stack[2])
+    assert results.read_roi(spark, str(tmp_path / "roi"), "other").count() == 0
+
+
+def test_curves_tilts_and_parameters_round_trip(spark, tmp_path):
+    rows = [("r", p, -60.0 + 3 * p, i, i / 100, 100 / max(i, 1), 1 - i / 10) for p in range(3) for i in range(5)]
+    curves = spark.createDataFrame(rows, "run string, proj int, tilt double, idx int, s double, res double, value double")
+    results.write_curves(curves, ["run", "proj", "tilt"], str(tmp_path / "curves"), titled=True)
+    lines = [p for p in (tmp_path / "curves" / "run=r").iterdir() if p.name.startswith("part")]
+    assert len(lines) == 1 and lines[0].read_text().splitlines()[:3] == ["Projection # 1 - Tilt angle: -60.00", "Radius\ts(1/A)\tRes(A)\tNLOO2D", "0\t0.00000\t  100.000\t  1.0000"]
+    back = results.read_nloo2d(spark, str(tmp_path / "curves" / "run=r")).collect()
+    assert sorted((r["proj"] - 1, r["idx"], r["value"]) for r in back) == sorted((p, i, round(v, 4)) for _, p, _, i, _, _, v in rows)
+    tilts = spark.createDataFrame([(0, -60.04), (1, -0.04), (2, 0.06), (3, 59.96)], "proj int, tilt double")
+    results.write_tilt_angles(tilts, str(tmp_path / "tilts"))
+    text = next(p for p in (tmp_path / "tilts").iterdir() if p.name.startswith("part")).read_text()
+    assert [float(x) for x in text.split()] == [-60.0, 0.0, 0.1, 60.0]
+    results.write_params(spark, {"cube_size": 45, "rt": 6}, str(tmp_path / "params"))
+    assert results.use_params(spark, str(tmp_path / "params"), {"rt": 2, "snr": 0.5}) == {"cube_size": 45, "rt": 6, "snr": 0.5}
+
+
+def test_results_written_as_text_and_by_run(spark, tmp_path):
+    rows = spark.createDataFrame([(1.0, 2.0, 3.0, 4.5, 6.0, None, "3.3k", 11), (1.0, 2.0, 9.0, -1.0, 6.0, 0.5, "11k", 21)], "z double, x double, y double, res double, mean double, corr double, magnification string, num_ang int")
+    results.write_results(rows, str(tmp_path / "FSC3D_text"), text=True)
+    text = "".join(p.read_text() for p in (tmp_path / "FSC3D_text").iterdir() if p.name.startswith("part"))
+    assert sorted(text.splitlines()) == ["1.0, 2.0, 3.0, 4.5, 6.0, nan", "1.0, 2.0, 9.0, -1.0, 6.0, 0.5"]
+    keys = ["magnification", "num_ang"]
+    results.write_results(rows, str(tmp_path / "table"))
+    results.overwrite_runs(rows.filter("num_ang = 21").withColumn("res", F.lit(7.0)), str(tmp_path / "table"), keys)
+    assert sorted((r["num_ang"], r["res"]) for r in spark.read.parquet(str(tmp_path / "table")).collect()) == [(11, 4.5), (21, 7.0)]

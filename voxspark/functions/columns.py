@@ -87,6 +87,15 @@ def gaussian(x: Column, amplitude: Column, centre: Column, sigma: Column, offset
     return amplitude * F.exp(-((x - centre) * (x - centre)) / (2 * sigma * sigma)) + offset
 
 
+def r_squared(samples: Column, model: Column) -> Column:
+    """1 - SSres / SStot of two arrays of one length; null where the samples are constant."""
+    add = lambda s, v: s + v
+    zero = F.lit(0.0)
+    mean = F.aggregate(samples, zero, add) / F.size(samples)
+    rest = F.aggregate(F.zip_with(samples, model, lambda a, b: (a - b) * (a - b)), zero, add)
+    return 1 - F.try_divide(rest, F.aggregate(F.transform(samples, lambda v: (v - mean) * (v - mean)), zero, add))
+
+
 def deconvolve(fwhm_px: Column, diameter_nm: Column, pixel_nm: Column) -> Column:
     """FWHM in nm without a top hat of the bead's diameter; null where nothing is left."""
     sigma = fwhm_px / FWHM_PER_SIGMA * pixel_nm

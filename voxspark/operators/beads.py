@@ -9,20 +9,46 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import FWHM_PER_SIGMA, finite
+from ..functions.columns import FWHM_PER_SIGMA, deconvolve, finite, gaussian, parse_recon_label, trim_nan
+from ..plans.grids import roi_plan
+from .fourier import assemble, crop_bricks
 
 KEYS = ("tomogram", "recon", "bead")
 
 
-def extract_roi(voxels: DataFrame, boxes: DataFrame, size: int) -> DataFrame:
-    """``dz, dx, dy, v`` of the box of ``size`` voxels at ``z0, x0, y0`` of each row of ``boxes`` (bead, vol_id, ...).
+def roi_arrays(bricks: DataFrame, boxes: DataFrame, edges: tuple[int, int, int], size: int) -> DataFrame:
+    """``bead, vol_id, values`` (row-major, z first) of the box of ``size`` voxels at ``z0, x0, y0`` of each row of
+    ``boxes`` (bead, vol_id, ...). Places outside the volume are NaN; beads keep their ids.
 
-    Places outside the volume are null; beads keep their ids. Each place of a box meets its voxel by an equi-join.
+    Boxes meet bricks by number (``fourier.crop_bricks``), so only voxels of boxes are shuffled.
     """
-    cells = boxes.select("bead", "vol_id", "z0", "x0", "y0")
-    for a in "zxy":
-        cells = cells.withColumn(f"d{a}", F.explode(F.sequence(F.lit(0), F.lit(size - 1)))).withColumn(a, F.col(f"{a}0") + F.col(f"d{a}"))
-    return cells.join(voxels.select("vol_id", "z", "x", "y", "v"), ["vol_id", "z", "x", "y"], "left").select("bead", "vol_id", "dz", "dx", "dy", "v")
+    plan = boxes.select(F.col("bead").alias("tile"), F.lit(1).alias("side"), "vol_id", *[F.col(f"{a}0").alias(a) for a in "zxy"])
+    parts = crop_bricks(bricks, plan, edges, (size,) * 3).groupBy("tile").agg(F.collect_list(F.struct("side", "places", "values")).alias("parts"))
+    placed = boxes.select("bead", "vol_id").join(parts, F.col("bead") == F.col("tile"), "left").drop("tile")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            cubes = [assemble(p if p is not None else [], (size,) * 3, 1)[0].ravel() for p in frame["parts"]]
+            yield frame[["bead", "vol_id"]].assign(values=cubes)
+
+    ids = {f.name: f.dataType.simpleString() for f in boxes.select("bead", "vol_id").schema}
+    return placed.mapInPandas(run, f"bead {ids['bead']}, vol_id {ids['vol_id']}, values array<float>")
+
+
+def roi_voxels(boxes: DataFrame, size: int) -> DataFrame:
+    """``dz, dx, dy, v`` of the rows of ``roi_arrays``; null in place of NaN."""
+    flat = boxes.select("bead", "vol_id", F.posexplode("values").alias("i", "v"))
+    place = [(F.floor(F.col("i") / size**k) % size).cast("int").alias(f"d{a}") for a, k in zip("zxy", (2, 1, 0))]
+    return flat.select("bead", "vol_id", *place, F.when(~F.isnan("v"), F.col("v").cast("double")).alias("v"))
+
+
+def plan_all_recons(config: DataFrame, points: DataFrame, size: int, mode: str = "pad") -> DataFrame:
+    """A box for each point and each reconstruction label of its tomogram, in one plan.
+
+    ``config``: tomogram, recon_labels; ``points``: tomogram, bead_id, x, y, z, nx, ny, nz. ``order`` is the label's place.
+    """
+    labels = config.select("tomogram", F.posexplode("recon_labels").alias("order", "recon_label"))
+    return roi_plan(points.join(labels, "tomogram"), size, mode)
 
 
 def centre_profiles(roi: DataFrame, by: Sequence[str], size: int, linewidth: int = 1, exact: bool = False) -> DataFrame:
@@ -152,13 +178,22 @@ def keep_good(fits: DataFrame, cutoff: float, axes: Sequence[str] = ("x", "z"))
     return fits.filter(good)
 
 
-def skip_beads(fits: DataFrame, cutoff: float, recons: Column, axes: Sequence[str] = ("x", "y")) -> DataFrame:
-    """``tomogram, bead`` of beads that fail in some reconstruction or lack one; ``recons``: how many there should be."""
+def skip_beads(fits: DataFrame, cutoff: float, axes: Sequence[str] = ("x", "z"), recons: DataFrame | None = None) -> DataFrame:
+    """``tomogram, bead`` of beads that fail along one of ``axes`` in some reconstruction, or lack one.
+
+    ``recons`` (tomogram, wanted): how many reconstructions there should be; by default those that ``fits`` has.
+    """
+    judged = fits.groupBy("tomogram", "bead").agg(F.bool_or(_fails(cutoff, axes)).alias("bad"), F.count_distinct("recon").alias("n"))
+    if recons is None:
+        recons = fits.groupBy("tomogram").agg(F.count_distinct("recon").alias("wanted"))
+    return judged.join(recons, "tomogram").filter(F.col("bad") | (F.col("n") < F.col("wanted"))).select("tomogram", "bead")
+
+
+def _fails(cutoff: float, axes: Sequence[str]) -> Column:
     bad = F.lit(False)
     for a in axes:
         bad = bad | ~(F.coalesce(finite(F.col(f"r2_{a}")), F.lit(-1.0)) >= cutoff)
-    judged = fits.groupBy("tomogram", "bead").agg(F.bool_or(bad).alias("bad"), F.count_distinct("recon").alias("n"), F.first(recons).alias("wanted"))
-    return judged.filter(F.col("bad") | (F.col("n") < F.col("wanted"))).select("tomogram", "bead")
+    return bad
 
 
 def exclude(df: DataFrame, skip: DataFrame) -> DataFrame:
@@ -170,6 +205,56 @@ def by_axis(fits: DataFrame, by: Sequence[str], values: Sequence[str]) -> DataFr
     return fits.groupBy(*by).agg(*[F.max(F.when(F.col("axis") == a, F.col(v))).alias(f"{v}_{a}") for v in values for a in "xyz"])
 
 
+def fit_beads(roi: DataFrame, by: Sequence[str], size: int, linewidth: int = 1, exact: bool = False, diameter_nm: float = 0.0, pixel_nm: Column | None = None) -> DataFrame:
+    """``fwhm_<axis>, r2_<axis>`` of the beads of ``roi`` (by..., dz, dx, dy, v): profiles through the centre, trimmed, fitted.
+
+    A profile of fewer than seven samples, or a fit that fails, gives null. With a diameter, widths are in nm and
+    without its top hat; ``pixel_nm`` is then a column of ``by``.
+    """
+    profiles = centre_profiles(roi, by, size, linewidth, exact).withColumn("samples", trim_nan(F.col("samples")))
+    fits = fit_gaussians(profiles, [*by, "axis"])
+    width = fwhm(F.col("sigma")) if not diameter_nm else deconvolve(fwhm(F.col("sigma")), F.lit(float(diameter_nm)), pixel_nm)
+    return by_axis(fits.withColumn("fwhm", width), by, ["fwhm", "r2"])
+
+
+def linewidth_scan(roi: DataFrame, by: Sequence[str], size: int, widths: Sequence[int]) -> DataFrame:
+    """``fit_beads`` for each of ``widths``, a few numbers."""
+    parts = [fit_beads(roi, by, size, w, exact=True).withColumn("linewidth", F.lit(w)) for w in widths]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+BEAD_TABLE = ("tomogram", "thickness", "pxl_size", "recon_label", "num_proj", "max_angle", "bead_id", "n_beads_total", "n_beads_pass", "fwhm_x", "fwhm_y", "fwhm_z", "res_nm_x", "res_nm_y", "res_nm_z")
+
+
+def bead_table(config: DataFrame, fits: DataFrame, cutoff: float = 0.6) -> DataFrame:
+    """The tidy table of kept beads, a row for each reconstruction: the columns of ``BEAD_TABLE``.
+
+    ``config``: tomogram, thickness, pxl_size, recon_labels; ``fits``: tomogram, recon (label), bead, fwhm_<axis>,
+    r2_<axis>, a row for each. A bead goes from all reconstructions if X or Z fails in one, or one lacks it. The
+    total counts the beads of the first label. The flag is a window over a bead's rows: one pass over ``fits``.
+    """
+    head = config.select("tomogram", "thickness", "pxl_size", F.get("recon_labels", F.lit(0)).alias("first"), F.size("recon_labels").alias("wanted"))
+    bead = Window.partitionBy("tomogram", "bead")
+    flagged = fits.join(head, "tomogram").withColumn("fails", F.bool_or(_fails(cutoff, ("x", "z"))).over(bead) | (F.count(F.lit(1)).over(bead) < F.col("wanted")))
+    lead = F.col("recon") == F.col("first")
+    counts = flagged.groupBy("tomogram").agg(F.count_if(lead).alias("n_beads_total"), F.count_if(lead & ~F.col("fails")).alias("n_beads_pass"))
+    num, angle = parse_recon_label(F.col("recon"))
+    kept = flagged.filter(~F.col("fails")).join(counts, "tomogram").withColumns({"recon_label": F.col("recon"), "num_proj": num, "max_angle": angle, "bead_id": F.col("bead")})
+    return kept.withColumns({f"res_nm_{a}": finite(F.col(f"fwhm_{a}")) * finite(F.col("pxl_size")) for a in "xyz"}).select(*BEAD_TABLE)
+
+
+def fit_grid(profiles: DataFrame, skip: DataFrame) -> DataFrame:
+    """``bead, i, value, fit`` of the profiles (bead, samples) of beads that are not in ``skip``: samples and fitted curve."""
+    kept = profiles.select("bead", "samples").join(skip.select("bead").distinct(), "bead", "left_anti")
+    both = kept.join(fit_gaussians(kept, ["bead"]), "bead")
+    curve = gaussian(F.col("i").cast("double"), *[F.col(c) for c in ("amplitude", "centre", "sigma", "offset")])
+    flat = both.select("bead", "amplitude", "centre", "sigma", "offset", F.posexplode("samples").alias("i", "value"))
+    return flat.select("bead", "i", "value", curve.alias("fit"))
+
+
 def count_mismatch(beads: DataFrame) -> DataFrame:
     """Tomograms whose reconstructions differ in their number of beads."""
     n = beads.groupBy("tomogram", "recon").agg(F.count_distinct("bead").alias("n"))
@@ -207,8 +292,6 @@ def profile_traces(profiles: DataFrame, by: Sequence[str], order: str, step: flo
 
 def dense_fit(fits: DataFrame, points: int, span: float) -> DataFrame:
     """The fitted curve at ``points`` places from 0 to ``span``."""
-    from ..functions.columns import gaussian
-
     placed = fits.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("at", F.col("k") * (span / (points - 1)))
     return placed.withColumn("value", gaussian(F.col("at"), F.col("amplitude"), F.col("centre"), F.col("sigma"), F.col("offset")))
 
@@ -228,6 +311,15 @@ def joint_outliers(fits: DataFrame, columns: Sequence[str], most: float) -> Data
     return fits.filter(keep)
 
 
+def value_range(values: DataFrame, low: float, high: float) -> DataFrame:
+    """Rows whose ``value`` lies within; beads keep their ids, so axes stay aligned."""
+    return values.filter(F.col("value").between(low, high))
+
+
+def zx_ratio(fits: DataFrame) -> DataFrame:
+    return fits.withColumn("zx", F.when(F.col("fwhm_x") > 0, F.col("fwhm_z") / F.col("fwhm_x")))
+
+
 def drop_empty(values: DataFrame, by: str, axes: int = 3) -> DataFrame:
     """Rows of the groups that have values on all axes."""
     full = values.filter(F.col("value").isNotNull()).groupBy(by).agg(F.count_distinct("axis").alias("n")).filter(F.col("n") == axes)

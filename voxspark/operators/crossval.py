@@ -3,22 +3,57 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .fourier import fft_arrays, frequencies
 
-def best_shift(pairs: DataFrame, by: Sequence[str], n: int) -> DataFrame:
-    """The shift ``sx, sy`` (wrapped to half the size) at which the second image fits the first best.
 
-    ``pairs`` has px, py, v1, v2. Rows of an image meet rows of the same image only, ``n**4`` products for each:
-    for small images; larger ones go through the transform.
+def best_shift(pairs: DataFrame, by: str, shape: tuple[int, ...], band: tuple[float, float] | None = None, mask: np.ndarray | None = None, within: float | None = None, refine: bool = False) -> DataFrame:
+    """``by, shift, peak``: the shift, wrapped to half the size, at which ``v2`` fits ``v1`` best.
+
+    ``pairs`` has row-major arrays ``v1, v2``; with the same array twice this is the auto-correlation. The product
+    of the transforms gives all shifts of a pair in one kernel call. ``band``: least and largest length of the
+    frequencies that count, ``mask``: frequencies that count, in centred order; ``within``: the largest shift. ``refine`` fits a quadratic
+    (constant, and a slope and a curvature for each axis) to the values within five voxels of the peak and takes
+    its top where that lies within two of the peak.
     """
-    a, b = pairs.select(*by, F.col("px").alias("ax"), F.col("py").alias("ay"), "v1"), pairs.select(*by, "px", "py", "v2")
-    shift = a.join(b, list(by)).groupBy(*by, F.pmod(F.col("px") - F.col("ax"), F.lit(n)).alias("sx"), F.pmod(F.col("py") - F.col("ay"), F.lit(n)).alias("sy")).agg(F.sum(F.col("v1") * F.col("v2")).alias("c"))
-    wrapped = [F.when(F.col(s) > n // 2, F.col(s) - n).otherwise(F.col(s)).cast("int").alias(s) for s in ("sx", "sy")]
-    return shift.groupBy(*by).agg(F.max_by(F.struct(*wrapped), "c").alias("at"), F.max("c").alias("peak")).select(*by, "at.sx", "at.sy", "peak")
+    keep = np.ones(shape, bool) if mask is None else np.asarray(mask, bool).reshape(shape)
+    axes = np.meshgrid(*[np.arange(n) - n // 2 for n in shape], indexing="ij")
+    if band is not None:
+        length = np.sqrt(sum(a.astype(float) ** 2 for a in axes))
+        keep = keep & (length >= band[0]) & (length <= band[1])
+    near = np.ones(shape, bool) if within is None else sum(a.astype(float) ** 2 for a in axes) <= within**2
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for key, one, two in zip(frame[by], frame["v1"], frame["v2"]):
+                f1, f2 = (np.fft.fftn(np.asarray(v, np.float64).reshape(shape)) for v in (one, two))
+                map_ = np.fft.fftshift(np.fft.ifftn(np.conj(f1) * f2 * np.fft.ifftshift(keep)).real)
+                best = np.unravel_index(np.where(near, map_, -np.inf).argmax(), shape)
+                shift = [float(b - n // 2) for b, n in zip(best, shape)]
+                out.append((key, refined(map_, best, shift) if refine else shift, float(map_[best])))
+            yield pd.DataFrame(out, columns=[by, "shift", "peak"])
+
+    return pairs.select(by, "v1", "v2").mapInPandas(run, f"{by} long, shift array<double>, peak double")
+
+
+def refined(map_: np.ndarray, best: Sequence[int], shift: list[float], reach: int = 5, most: float = 2.0) -> list[float]:
+    """The top of the quadratic through the values about a peak, or the peak where that is no top or too far away."""
+    offsets = np.stack(np.meshgrid(*[np.arange(-min(reach, n // 2), min(reach, (n - 1) // 2) + 1) for n in map_.shape], indexing="ij"), axis=-1).reshape(-1, map_.ndim).astype(float)
+    values = map_[tuple(((offsets + np.array(best)) % np.array(map_.shape)).astype(int).T)]
+    terms = np.concatenate([np.ones((len(offsets), 1)), offsets, offsets**2], axis=1)
+    fit, *_ = np.linalg.lstsq(terms, values, rcond=None)
+    slope, bend = fit[1 : 1 + map_.ndim], fit[1 + map_.ndim :]
+    if (bend >= 0).any():
+        return shift
+    move = -slope / (2 * bend)
+    return [a + float(m) for a, m in zip(shift, move)] if np.sqrt((move**2).sum()) <= most else shift
 
 
 # --- curves -----------------------------------------------------------------------------------------
@@ -70,11 +105,14 @@ def last_crossings(curve: DataFrame, by: Sequence[str], thresholds: Sequence[flo
 
 
 def wedge_mask(kx: Column, ky: Column, kz: Column, tmin: float, tmax: float, xtilt: float = 0.0) -> Column:
-    """Whether a frequency lies in the missing wedge: its angle, in radians, outside the tilt range. The origin never does."""
+    """Whether a frequency lies in the missing wedge: its angle, in radians, outside the tilt range. The origin never does.
+
+    Where kx is 0 the angle is a right one, or none where kz is 0 too, whatever the x tilt.
+    """
     low, high = min(tmin, tmax), max(tmin, tmax)
     up = kz * F.lit(math.cos(xtilt)) + ky * F.lit(math.sin(xtilt))
-    angle = F.atan(F.try_divide(up, kx))
-    outside = F.when(kx == 0, up != 0).otherwise((angle < low) | (angle > high))
+    angle = F.when(kx != 0, F.atan(F.try_divide(up, kx))).when(kz == 0, 0.0).otherwise(math.pi / 2)
+    outside = (angle < low) | (angle > high)
     return F.when((kx == 0) & (ky == 0) & (kz == 0), False).otherwise(outside)
 
 
@@ -100,6 +138,26 @@ def nloo3d(sums: DataFrame, by: Sequence[str]) -> DataFrame:
     return nloo_ratio(sums.groupBy(*by, "idx").agg(*[F.sum(c).alias(c) for c in ("cm", "mm", "cf", "ff")]))
 
 
+def frequency_correlation(pairs: DataFrame, least: float = 1e-9) -> DataFrame:
+    """``c``: the correlation of each frequency, clipped to 0..1; frequencies without power in one of both go."""
+    power = (F.col("re1") * F.col("re1") + F.col("im1") * F.col("im1")) * (F.col("re2") * F.col("re2") + F.col("im2") * F.col("im2"))
+    c = (F.col("re1") * F.col("re2") + F.col("im1") * F.col("im2")) / F.sqrt(power)
+    return pairs.filter(power > least).withColumn("c", F.greatest(F.least(c, F.lit(1.0)), F.lit(0.0)))
+
+
+def nloo_coefficient(triples: DataFrame, by: Sequence[str], length: Column, low: float, high: float) -> DataFrame:
+    """``value``: the leave-one-out ratio of the frequencies between two lengths, in any order, -1..1."""
+    band = triples.filter(length.between(min(low, high), max(low, high)))
+    return nloo_ratio(nloo2d_sums(band, by, F.lit(1.0)).drop("idx"), -1.0)
+
+
+def nloo_volume(triples: DataFrame, by: Sequence[str], tilt: Column) -> DataFrame:
+    """``hx, hy, hz, value``: frequencies (kx, ky) of projections turned back by ``tilt`` radians about y to the
+    nearest place of the volume, summed there, -1..1."""
+    placed = triples.withColumn("hx", F.rint(F.col("kx") * F.cos(tilt)).cast("int")).withColumn("hy", F.col("ky")).withColumn("hz", F.rint(F.col("kx") * F.sin(tilt)).cast("int"))
+    return nloo_ratio(nloo2d_sums(placed, [*by, "hx", "hy", "hz"], F.lit(1.0)), -1.0)
+
+
 def tilt_weights(projections: DataFrame, by: Sequence[str], width: int) -> DataFrame:
     """``centre, near, w`` for projections (proj from 0, tilt) of each series: weights over an odd window, of sum 1.
 
@@ -151,21 +209,32 @@ def border_distance(places: Sequence[tuple[Column, Column, Column]]) -> Column:
     return F.least(*[F.least(F.abs(c - start), F.abs(c - (start + size - 1))) for c, start, size in places])
 
 
+#: Part of half the shortest side of a region that its edge takes.
+TAPER_SHARE = 0.15
+
+
+def taper_size(sizes: Sequence[float], inner: float = 0.0, radius: bool = False) -> float:
+    """Width of the edge of a box of ``sizes``, or of a sphere of radius ``sizes[0]``, about an inner region ``inner`` wide."""
+    return 0.5 * (2 * sizes[0] - inner if radius else min(n - inner for n in sizes if n - inner > 1)) * TAPER_SHARE
+
+
 def taper(v: Column, background: Column, distance: Column, inside: Column, width: float) -> Column:
     """Cosine edge from ``v`` to ``background`` over ``width`` at the border, background outside."""
-    w = F.when(distance >= width, 1.0).otherwise(0.5 - 0.5 * F.cos(F.lit(3.141592653589793) * distance / width))
+    w = F.when(distance >= width, 1.0).otherwise(0.5 - 0.5 * F.cos(F.lit(math.pi) * distance / width))
     return F.when(inside, background + (v - background) * w).otherwise(background)
 
 
-def region_stats(df: DataFrame, by: Sequence[str], inside: Column) -> DataFrame:
-    """Mean and deviation inside, and the mean outside as background."""
-    return df.groupBy(*by).agg(F.avg(F.when(inside, F.col("v"))).alias("avg"), F.stddev_pop(F.when(inside, F.col("v"))).alias("std"), F.avg(F.when(~inside, F.col("v"))).alias("background"))
+def region_stats(df: DataFrame, by: Sequence[str], inside: Column, background: str = "outside", frame: Column | None = None) -> DataFrame:
+    """Mean and deviation inside, and as ``background`` the mean ``outside``, of the ``frame`` (a predicate), or ``inside``."""
+    where = {"outside": ~inside, "inside": inside, "frame": frame}[background]
+    return df.groupBy(*by).agg(F.avg(F.when(inside, F.col("v"))).alias("avg"), F.stddev_pop(F.when(inside, F.col("v"))).alias("std"), F.avg(F.when(where, F.col("v"))).alias("background"))
 
 
-def rescale_ls(pairs: DataFrame, by: Sequence[str], axes: Sequence[str], factor: int) -> DataFrame:
-    """``v2`` brought to ``v1`` by a line fitted on binned data: the columns and ``v``."""
+def rescale_ls(pairs: DataFrame, by: Sequence[str], axes: Sequence[str], factor: int, inside: Column | None = None) -> DataFrame:
+    """``v2`` brought to ``v1`` by a line fitted on binned data, of a region where one is given: the columns and ``v``."""
     cells = [F.floor(F.col(a) / factor).alias(a) for a in axes]
-    binned = pairs.groupBy(*by, *cells).agg(F.avg("v1").alias("v1"), F.avg("v2").alias("v2"))
+    region = pairs if inside is None else pairs.filter(inside)
+    binned = region.groupBy(*by, *cells).agg(F.avg("v1").alias("v1"), F.avg("v2").alias("v2"))
     fit = binned.groupBy(*by).agg(F.regr_slope("v1", "v2").alias("slope"), F.regr_intercept("v1", "v2").alias("offset"))
     return pairs.join(fit, list(by)).withColumn("v", F.col("offset") + F.col("slope") * F.col("v2")).drop("slope", "offset")
 
@@ -174,38 +243,130 @@ def rescale_ls(pairs: DataFrame, by: Sequence[str], axes: Sequence[str], factor:
 
 
 def tilt_views(tilts: DataFrame) -> DataFrame:
-    """Rotation about y by ``tilt`` degrees as columns ``m00, m02`` (new x from x and z); y stays."""
-    a = F.radians("tilt")
-    return tilts.withColumn("m00", F.cos(a)).withColumn("m02", F.sin(a))
+    """Rotations to the views of tilts (``tilt`` and ``xtilt``, in degrees) as columns ``m00 .. m22``: rows give new
+    x, y and z from old x, y and z. A view is a turn by ``tilt`` about y, then by ``-xtilt`` about x; a projection takes its inverse."""
+    c, s, cx, sx = F.cos(F.radians("tilt")), F.sin(F.radians("tilt")), F.cos(F.radians("xtilt")), F.sin(F.radians("xtilt"))
+    rows = [[c, -s * sx, -s * cx], [F.lit(0.0), cx, -sx], [s, c * sx, c * cx]]
+    return tilts.withColumns({f"m{i}{j}": v for i, row in enumerate(rows) for j, v in enumerate(row)})
 
 
-def project_points(points: DataFrame, views: DataFrame, centre: float) -> DataFrame:
+def _turned(row: int, centre: Sequence[float]) -> Column:
+    """New coordinate ``row`` (0: x, 1: y) of a point x, y, z turned about ``centre`` (x, y, z)."""
+    old = [F.col(a) - F.lit(float(o)) for a, o in zip("xyz", centre)]
+    return sum((o * F.col(f"m{row}{j}") for j, o in enumerate(old)), F.lit(float(centre[row])))
+
+
+def project_points(points: DataFrame, views: DataFrame, centre: Sequence[float]) -> DataFrame:
     """``px, py`` of each point (x, y, z) in each view; both belong to a ``series``."""
-    met = points.join(views, "series")
-    px = (F.col("x") - centre) * F.col("m00") + (F.col("z") - centre) * F.col("m02") + centre
-    return met.withColumn("px", px).withColumn("py", F.col("y").cast("double"))
+    return points.join(views, "series").withColumn("px", _turned(0, centre)).withColumn("py", _turned(1, centre))
+
+
+def reproject(voxels: DataFrame, views: DataFrame, by: Sequence[str], centre: Sequence[float], shape: tuple[int, int], inside: Column | None = None, background: float = 0.0, exponent: tuple[float, float] | None = None) -> DataFrame:
+    """Projections ``proj, px, py, v`` of volumes (by..., series, x, y, z, v) in the views of their ``series``.
+
+    Each voxel, of a region where one is given, is split over four pixels by nearness and sums are divided by the
+    weights that fell on a pixel; the background is taken off before and added after. ``exponent``: least and
+    largest value of a volume of logarithms, whose projections go back to intensities. Voxels that fall outside ``shape`` (x, y) are lost.
+    """
+    region = voxels if inside is None else voxels.filter(inside)
+    met = region.join(views, "series").withColumn("ax", _turned(0, centre)).withColumn("ay", _turned(1, centre))
+    near = lambda a: F.array(F.struct(F.floor(a).alias("p"), (1 - (F.col(a) - F.floor(a))).alias("w")), F.struct((F.floor(a) + 1).alias("p"), (F.col(a) - F.floor(a)).alias("w")))
+    landed = met.filter((F.floor("ax").between(0, shape[0] - 1)) & (F.floor("ay").between(0, shape[1] - 1)))
+    split = landed.withColumn("at_x", F.explode(near("ax"))).withColumn("at_y", F.explode(near("ay"))).withColumn("w", F.col("at_x.w") * F.col("at_y.w"))
+    flat = split.select(*by, "proj", F.col("at_x.p").cast("int").alias("px"), F.col("at_y.p").cast("int").alias("py"), (F.col("v") - background).alias("v"), "w")
+    flat = flat.filter((F.col("w") > 1e-12) & (F.col("px") < shape[0]) & (F.col("py") < shape[1]))
+    v = F.sum(F.col("v") * F.col("w")) / F.sum("w") + background
+    if exponent is not None:
+        low, high = exponent
+        v = F.exp((v - low) / (high - low)) * (high - low)
+    return flat.groupBy(*by, "proj", "px", "py").agg(v.alias("v"))
+
+
+def _pixels(views: DataFrame, shape: tuple[int, int]) -> DataFrame:
+    grid = views
+    for name, n in zip(("px", "py"), shape):
+        grid = grid.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    return grid
+
+
+def box_footprint(views: DataFrame, start: Sequence[float], size: Sequence[float], centre: Sequence[float], shape: tuple[int, int]) -> DataFrame:
+    """Pixels ``px, py`` of an image of ``shape`` (x, y) within the projection of a box (x, y, z) in each view.
+
+    The projected box is what lies between the three pairs of parallel lines along its projected edges.
+    """
+    middle = [s + (n - 1) / 2 for s, n in zip(start, size)]
+    turned = views.withColumns({a: F.lit(float(m)) for a, m in zip("xyz", middle)}).withColumn("mx", _turned(0, centre)).withColumn("my", _turned(1, centre))
+    edges = [(F.col(f"m0{k}") * float(n - 1), F.col(f"m1{k}") * float(n - 1)) for k, n in enumerate(size)]
+    inside = F.lit(True)
+    for gx, gy in edges:
+        across = lambda x, y, gx=gx, gy=gy: F.abs(y * gx - x * gy)
+        reach = sum((across(ex, ey) for ex, ey in edges), F.lit(0.0)) / 2
+        inside = inside & (across(F.col("px") - F.col("mx"), F.col("py") - F.col("my")) <= reach + 1e-6)
+    return _pixels(turned, shape).filter(inside).drop("x", "y", "z", "mx", "my")
+
+
+def sphere_footprint(views: DataFrame, middle: Sequence[float], radius: float, centre: Sequence[float], shape: tuple[int, int]) -> DataFrame:
+    """Pixels within a circle of the sphere's radius about its projected middle."""
+    turned = views.withColumns({a: F.lit(float(m)) for a, m in zip("xyz", middle)}).withColumn("mx", _turned(0, centre)).withColumn("my", _turned(1, centre))
+    dx, dy = F.col("px") - F.col("mx"), F.col("py") - F.col("my")
+    return _pixels(turned, shape).filter(dx * dx + dy * dy <= radius * radius + 1e-6).drop("x", "y", "z", "mx", "my")
+
+
+def wedge_array(shape: tuple[int, int, int], tmin: float, tmax: float, xtilt: float = 0.0) -> np.ndarray:
+    """``wedge_mask`` at every frequency (z, x, y) of a transform in FFT order."""
+    kz, kx, ky = np.meshgrid(*[np.fft.fftfreq(n) for n in shape], indexing="ij")
+    with np.errstate(divide="ignore", invalid="ignore"):
+        angle = np.where(kx != 0, np.arctan((kz * math.cos(xtilt) + ky * math.sin(xtilt)) / kx), np.where(kz == 0, 0.0, math.pi / 2))
+    outside = (angle < min(tmin, tmax)) | (angle > max(tmin, tmax))
+    outside[0, 0, 0] = False
+    return outside
+
+
+def bead_score(volumes: DataFrame, by: str, values: str, shape: tuple[int, int, int], diameter: float, wedge: tuple[float, float, float] | None = None) -> DataFrame:
+    """``by, score``: correlation with a sphere of -1 of ``diameter`` voxels, round the edges, by transform.
+
+    Rows are whole volumes or boxes of them (``fourier.crop_bricks`` with a margin of half a diameter). ``wedge``:
+    tilt range and x tilt in radians; frequencies in its missing wedge do not count.
+    """
+    reach = int(diameter)
+    offsets = np.stack(np.meshgrid(*[np.arange(-reach, reach)] * 3, indexing="ij"), axis=-1).reshape(-1, 3)
+    ball = offsets[(offsets**2).sum(axis=1) <= 0.25 * diameter**2]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        template = np.zeros(shape)
+        np.put(template, np.unique(np.ravel_multi_index((ball % np.array(shape)).T, shape)), -1.0)
+        other = np.fft.fftn(template)
+        if wedge is not None:
+            other = other * ~wedge_array(shape, *wedge)
+        for frame in frames:
+            found = [np.fft.ifftn(np.fft.fftn(np.asarray(v, np.float64).reshape(shape)) * other).real.ravel() for v in frame[values]]
+            yield pd.DataFrame({by: frame[by], "score": found})
 
+    return volumes.select(by, values).mapInPandas(run, f"{by} long, score array<double>")
 
-def reproject(voxels: DataFrame, views: DataFrame, by: Sequence[str], centre: float, size: int) -> DataFrame:
-    """Projections ``proj, px, py, v`` of volumes: each voxel is split over two pixels of its row by nearness, and
-    sums are divided by the weights that fell on a pixel."""
-    met = voxels.crossJoin(F.broadcast(views))  # views: one row for each tilt of a series
-    at = (F.col("x") - centre) * F.col("m00") + (F.col("z") - centre) * F.col("m02") + centre
-    low = F.floor("at")
-    split = met.withColumn("at", at).withColumn("part", F.explode(F.array(F.struct(low.alias("px"), (1 - (F.col("at") - low)).alias("w")), F.struct((low + 1).alias("px"), (F.col("at") - low).alias("w")))))
-    flat = split.select(*by, "proj", F.col("part.px").cast("int").alias("px"), F.col("y").alias("py"), "v", F.col("part.w").alias("w")).filter((F.col("w") > 0) & F.col("px").between(0, size - 1))
-    return flat.groupBy(*by, "proj", "px", "py").agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("v"))
 
+def above_deviation(score: DataFrame, by: Sequence[str], k: float) -> DataFrame:
+    """Rows whose ``v`` exceeds the mean of their volume by more than ``k`` population deviations."""
+    cut = score.groupBy(*by).agg((F.avg("v") + k * F.stddev_pop("v")).alias("cut"))
+    return score.join(cut, list(by)).filter("v > cut").drop("cut")
 
-def pick_peaks(score: DataFrame, by: Sequence[str], axes: Sequence[str], radius: int, least: Column) -> DataFrame:
-    """Places whose score is the largest of their tile and of all tile maxima nearer than ``radius``.
 
-    A peak goes if a stronger one (ties: the smaller place) is near; neighbours meet on tile numbers, an equi-join
-    over the adjoining tiles.
+def pick_peaks(score: DataFrame, by: Sequence[str], sizes: dict[str, int], radius: int, least: Column) -> DataFrame:
+    """Places whose score, above ``least``, is the largest of their tile and of all tile maxima nearer than ``radius``.
+
+    ``sizes``: the axes, the slowest first, and how long each is. Tiles of ``radius`` begin at that distance from the
+    start of an axis and before that distance from its end; a shorter axis is one tile. A peak goes if a stronger
+    one (ties: the smaller place) is near; neighbours meet on tile numbers, an equi-join over the adjoining tiles.
     """
-    tiles = [F.floor(F.col(a) / radius).cast("int").alias(f"t{a}") for a in axes]
+    axes = list(sizes)
+    tiles, within = [], F.lit(True)
+    for a, n in sizes.items():
+        first = radius if radius < n else 0
+        tile = F.floor((F.col(a) - first) / radius).cast("int")
+        tiles.append(tile.alias(f"t{a}"))
+        within = within & (F.col(a) >= first) & (first + tile * radius < max(n - radius, 1))
     place = F.struct("v", *[(-F.col(a)).alias(a) for a in axes])
-    best = score.filter(F.col("v") >= least).groupBy(*by, *tiles).agg(F.max(place).alias("top"))
+    best = score.filter((F.col("v") > least) & within).groupBy(*by, *tiles).agg(F.max(place).alias("top"))
     flat = best.select(*by, *[f"t{a}" for a in axes], F.col("top.v").alias("v"), *[(-F.col(f"top.{a}")).alias(a) for a in axes])
     around = flat
     for a in axes:
@@ -217,23 +378,126 @@ def pick_peaks(score: DataFrame, by: Sequence[str], axes: Sequence[str], radius:
     return flat.select(*by, *axes, "v").join(beaten, [*by, *axes], "left_anti")
 
 
-def ring_stats(images: DataFrame, centres: DataFrame, by: Sequence[str], radius: int) -> DataFrame:
-    """Mean and deviation of the pixels between ``radius`` and twice that from each centre (bead, cx, cy)."""
+def ring_stats(images: DataFrame, centres: DataFrame, by: Sequence[str], radius: float) -> DataFrame:
+    """Mean and deviation of the pixels from ``radius`` to less than twice that from each centre (bead, cx, cy)."""
     d = discs(images, centres, by, 2 * radius)
     return d.filter(F.col("d2") >= radius * radius).groupBy(*by, "bead").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.count(F.lit(1)).alias("n"))
 
 
-def discs(images: DataFrame, centres: DataFrame, by: Sequence[str], reach: int) -> DataFrame:
-    """Pixels within ``reach`` of each centre with the squared distance ``d2``; they meet on buckets of that size."""
-    c = centres.withColumn("bx", F.explode(F.sequence(F.floor((F.col("cx") - reach) / reach), F.floor((F.col("cx") + reach) / reach)))).withColumn("by_", F.explode(F.sequence(F.floor((F.col("cy") - reach) / reach), F.floor((F.col("cy") + reach) / reach))))
-    p = images.withColumn("bx", F.floor(F.col("px") / reach)).withColumn("by_", F.floor(F.col("py") / reach))
+def discs(images: DataFrame, centres: DataFrame, by: Sequence[str], reach: float) -> DataFrame:
+    """Pixels nearer than ``reach`` to each centre with the squared distance ``d2``; they meet on buckets of that size."""
+    edge = math.ceil(reach)
+    c = centres.withColumn("bx", F.explode(F.sequence(F.floor((F.col("cx") - reach) / edge), F.floor((F.col("cx") + reach) / edge)))).withColumn("by_", F.explode(F.sequence(F.floor((F.col("cy") - reach) / edge), F.floor((F.col("cy") + reach) / edge))))
+    p = images.withColumn("bx", F.floor(F.col("px") / edge)).withColumn("by_", F.floor(F.col("py") / edge))
     d2 = (F.col("px") - F.col("cx")) * (F.col("px") - F.col("cx")) + (F.col("py") - F.col("cy")) * (F.col("py") - F.col("cy"))
-    return p.join(c, [*by, "bx", "by_"]).withColumn("d2", d2).filter(F.col("d2") <= reach * reach).drop("bx", "by_")
+    return p.join(c, [*by, "bx", "by_"]).withColumn("d2", d2).filter(F.col("d2") < reach * reach).drop("bx", "by_")
+
+
+#: A bead is erased over this many times its radius.
+ERASE = 1.2
+
+
+def erase_beads(images: DataFrame, centres: DataFrame, by: Sequence[str], radius: float, noise: int | None = None) -> DataFrame:
+    """Pixels nearer than 1.2 ``radius`` to a centre take that bead's ring mean; where discs overlap, the last bead's.
+
+    With ``noise``, a seed, they take normal noise of the ring's mean and deviation. Rings are taken from the images as they are given.
+    """
+    rings = ring_stats(images, centres, by, radius).select(*by, "bead", "mean", "std")
+    hit = discs(images, centres, by, ERASE * radius).select(*by, "px", "py", "bead").join(rings, [*by, "bead"])
+    fill = hit.groupBy(*by, "px", "py").agg(F.max_by(F.struct("mean", "std"), "bead").alias("fill"))
+    value = F.col("fill.mean") if noise is None else F.col("fill.mean") + F.col("fill.std") * F.randn(noise)
+    return images.join(fill, [*by, "px", "py"], "left").withColumn("v", F.coalesce(value, "v")).drop("fill")
+
+
+# --- whole measurements -------------------------------------------------------------------------------
+
+
+def _stats(image: np.ndarray, inside: np.ndarray) -> tuple[float, float, float]:
+    """Mean and deviation inside, mean outside (0 where there is no outside)."""
+    return float(image[inside].mean()), float(image[inside].std()), float(image[~inside].mean()) if (~inside).any() else 0.0
+
+
+def _rescaled(image: np.ndarray, own: tuple[float, float, float], like: tuple[float, float, float], inside: np.ndarray) -> np.ndarray:
+    """``image`` with the mean and deviation of ``like`` inside and its background outside."""
+    scale = like[1] / own[1] if own[1] > 0 else 0.0
+    return np.where(inside, (image - own[0]) * scale + like[0], like[2])
+
+
+def prepared(rows: DataFrame, by: str, values: Sequence[str], shape: tuple[int, ...], inside: np.ndarray, like: int, edge: tuple[np.ndarray, float] | None = None) -> DataFrame:
+    """The arrays of each row, masked by a region and rescaled to the one at place ``like``: mean, deviation, background.
+
+    ``edge``: distance to the region's border and the width of a cosine edge towards the background there.
+    """
+    inside = np.asarray(inside, bool).reshape(shape)
+    weight = None if edge is None else np.where(edge[0].reshape(shape) < edge[1], 0.5 - 0.5 * np.cos(np.pi * edge[0].reshape(shape) / edge[1]), 1.0)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = {v: [] for v in values}
+            for row in zip(*[frame[v] for v in values]):
+                images = [np.asarray(v, np.float64).reshape(shape) for v in row]
+                stats = [_stats(i, inside) for i in images]
+                for k, (name, image) in enumerate(zip(values, images)):
+                    made = np.where(inside, image, stats[k][2]) if k == like else _rescaled(image, stats[k], stats[like], inside)
+                    if weight is not None:
+                        made = np.where(inside, (made - stats[like][2]) * weight + stats[like][2], made)
+                    out[name].append(made.ravel())
+            yield pd.DataFrame({by: frame[by], **out})
+
+    return rows.select(by, *values).mapInPandas(run, f"{by} long, " + ", ".join(f"{v} array<double>" for v in values))
+
+
+def cross_validate(projections: DataFrame, shape: tuple[int, int], inside: np.ndarray, bin_size: float = 1.0) -> DataFrame:
+    """Leave-one-out sums ``proj, idx, cm, mm, cf, ff`` of projections (proj, input, miss, full: arrays, x by y).
+
+    The input and the reprojection without its tilt are masked and rescaled to that of the whole volume; shells by
+    physical frequency. ``nloo_ratio`` of the sums gives each projection's curve, ``nloo3d`` that of a series, and
+    ``last_crossings`` their tables.
+    """
+    ready = prepared(projections, "proj", ["input", "miss", "full"], shape, inside, like=2)
+    flat = frequencies(fft_arrays(ready, "proj", ["input", "miss", "full"], shape), ["proj"], [("x", shape[0]), ("y", shape[1])])
+    triples = flat.withColumnsRenamed({f"{c}{k}": f"{c}{k - 1}" for k in (1, 2, 3) for c in ("re", "im")})
+    return nloo2d_sums(triples, ["proj"], F.sqrt((F.col("kx") * F.col("kx") + F.col("ky") * F.col("ky")).cast("double")), bin_size)
+
+
+def even_odd_resolution(halves: DataFrame, by: str, shape: tuple[int, int, int], inside: np.ndarray, edge: tuple[np.ndarray, float] | None = None, wedge: tuple[float, float, float] | None = None, mask: DataFrame | None = None, bin_size: float = 1.0, whole: bool = True) -> DataFrame:
+    """``by, idx, value``: correlation of two half-data volumes (v1, v2: arrays, z first), by physical frequency.
+
+    The first is rescaled to the second within the region, both get a cosine edge, frequencies of the missing wedge
+    and those not in ``mask`` (kz, kx, ky) go; ``whole`` turns it into the correlation of the whole data.
+    """
+    ready = prepared(halves, by, ["v1", "v2"], shape, inside, like=1, edge=edge)
+    flat = frequencies(fft_arrays(ready, by, ["v1", "v2"], shape), [by], list(zip("zxy", shape)))
+    if wedge is not None:
+        flat = flat.filter(~wedge_mask(F.col("kx"), F.col("ky"), F.col("kz"), *wedge))
+    if mask is not None:
+        flat = flat.join(mask, ["kz", "kx", "ky"], "left_semi")
+    radius = F.sqrt((F.col("kz") * F.col("kz") + F.col("kx") * F.col("kx") + F.col("ky") * F.col("ky")).cast("double"))
+    return fsc_physical(flat, [by], radius, bin_size, even_odd=whole)
+
+
+def resolution_limit(option: Column, unit: Column, limit: Column) -> Column:
+    """The resolution asked for, else what the settings allow: the unit over the limit."""
+    return F.coalesce(option, F.try_divide(unit, limit))
+
+
+def scale_region(shapes: DataFrame, factor: int, columns: Sequence[str]) -> DataFrame:
+    """Starts and sizes of regions on binned data."""
+    return shapes.withColumns({c: F.col(c) / factor for c in columns})
+
+
+def drop_excluded(images: DataFrame, excluded: DataFrame, swap: Column | None = None, key: str = "proj") -> DataFrame:
+    """Images without the excluded projections; where ``swap`` holds, the tilt axis is the other one: px and py change places."""
+    kept = images.join(excluded.select(key).distinct(), key, "left_anti")
+    if swap is None:
+        return kept
+    return kept.withColumns({"px": F.when(swap, F.col("py")).otherwise(F.col("px")), "py": F.when(swap, F.col("px")).otherwise(F.col("py"))})
 
 
-def erase_beads(images: DataFrame, centres: DataFrame, by: Sequence[str], radius: int) -> DataFrame:
-    """Pixels within ``radius`` of a centre take that bead's ring mean; where discs overlap, the last bead's."""
-    rings = ring_stats(images, centres, by, radius).select(*by, "bead", "mean")
-    hit = discs(images, centres, by, radius).select(*by, "px", "py", "bead").join(rings, [*by, "bead"])
-    fill = hit.groupBy(*by, "px", "py").agg(F.max_by("mean", "bead").alias("fill"))
-    return images.join(fill, [*by, "px", "py"], "left").withColumn("v", F.coalesce("fill", "v")).drop("fill")
+def assert_counts(projections: DataFrame, angles: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``by..., n_proj, n_tilt`` of series; one whose numbers of projections and of angles differ raises an error."""
+    p = projections.groupBy(*by).agg(F.count_distinct("proj").alias("n_proj"))
+    a = angles.groupBy(*by).agg(F.count(F.lit(1)).alias("n_tilt"))
+    both = p.join(a, list(by), "full").select(*by, F.coalesce("n_proj", F.lit(0)).alias("n_proj"), F.coalesce("n_tilt", F.lit(0)).alias("n_tilt"))
+    wrong = F.raise_error(F.format_string("%d projections but %d angles", "n_proj", "n_tilt"))
+    return both.withColumn("n_proj", F.when(F.col("n_proj") == F.col("n_tilt"), F.col("n_proj")).otherwise(wrong))

@@ -381,9 +381,9 @@ def resolution_measure(bricks: DataFrame, pairs: DataFrame, edges: tuple[int, in
     Options are those of ``tile_curves``.
     """
     measured = _measured(bricks, pairs, edges, shape, rad, ax, compat)
-    found = crossing(_curves(measured, shape, ring, snr), ["tile"], F.lit(max(shape) // 2), compat=compat).select("tile", F.col("x").alias("crossed"))
+    found = crossing(_curves(measured, shape, ring, snr), ["tile"], F.lit(max(shape) // 2), compat=compat).select("tile", F.col("x").alias("crossed"), F.col("status").alias("curve"))
     rows = measured.select("tile", "mean_pix", "status", "corr").join(found, "tile", "left")
     rows = rows.join(pairs.select("tile", *[(F.col(a) + half(F.lit(n))).alias(a) for a, n in zip("zxy", shape)]), "tile")
     res = F.when(F.col("status") == "empty", -1.0).otherwise(F.try_divide(F.lit(float(pixel_size)), "crossed"))
-    status = F.when((F.col("status") == "ok") & F.col("crossed").isNull(), "no_crossing").otherwise(F.col("status"))
+    status = F.when(F.col("status") == "ok", F.coalesce("curve", F.lit("no_crossing"))).otherwise(F.col("status"))
     return rows.select("tile", "z", "x", "y", res.alias("res"), F.col("mean_pix").alias("mean"), "corr", status.alias("status"))

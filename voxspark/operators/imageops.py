@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -38,17 +40,20 @@ def quantise(v: Column, low: Column, high: Column, levels: int) -> Column:
     return 255.0 / (levels - 1) * F.floor((v - low) * (0.999 * levels) / (high - low))
 
 
-def weighted_sum(df: DataFrame, keys: Sequence[str], weight: str) -> DataFrame:
-    """Weighted sum over images by place, and the weighted deviation."""
+def weighted_sum(df: DataFrame, keys: Sequence[str], weight: str, image: Sequence[str] | None = None) -> DataFrame:
+    """Weighted sum over images by place, and the weighted deviation; images, by the keys ``image``, are brought to
+    mean 0 and deviation 1 first."""
+    if image is not None:
+        df = rescale_to(df, image, 0.0, 1.0)
     w, v = F.col(weight), F.col("v")
     sums = df.groupBy(*keys).agg(F.sum(w * v).alias("s"), F.sum(w * v * v).alias("q"), F.sum(w).alias("w"))
     mean = F.col("s") / F.col("w")
     return sums.select(*keys, F.col("s").alias("v"), F.sqrt(F.greatest(F.col("q") / F.col("w") - mean * mean, F.lit(0.0))).alias("sd"))
 
 
-def place_small(large: DataFrame, small: DataFrame, keys: Sequence[str], inside: Column) -> DataFrame:
-    """The smaller of both values where the small image lies ``inside``; the large one elsewhere."""
-    other = small.withColumnRenamed("v", "v_small")
+def place_small(large: DataFrame, small: DataFrame, keys: Sequence[str], inside: Column, at: dict[str, int] | None = None) -> DataFrame:
+    """The smaller of both values where the small image, moved by ``at``, lies ``inside``; the large one elsewhere."""
+    other = small.withColumns({a: F.col(a) + d for a, d in (at or {}).items()}).withColumnRenamed("v", "v_small")
     joined = large.join(other, list(keys), "left")
     return joined.withColumn("v", F.when(inside & F.col("v_small").isNotNull(), F.least("v", "v_small")).otherwise(F.col("v"))).drop("v_small")
 
@@ -60,13 +65,47 @@ def linear_fit(pairs: DataFrame, by: Sequence[str]) -> DataFrame:
     return fit.select(*by, "a", "b", F.sqrt(F.try_divide(rest, "syy")).alias("r"))
 
 
-def robust_fit(pairs: DataFrame, by: Sequence[str], percent: float) -> DataFrame:
-    """The fit without the ``percent`` worst residuals of a first fit. Residuals are ranked by an exact percentile
-    for each image; images too large for that take ``percentile_approx``."""
-    first = linear_fit(pairs, by).select(*by, "a", "b")
-    off = pairs.join(first, list(by)).withColumn("off", F.abs(F.col("v2") - F.col("a") - F.col("b") * F.col("v1"))).drop("a", "b")
-    cut = off.groupBy(*by).agg(F.percentile("off", 1 - percent / 100).alias("cut"))
-    return linear_fit(off.join(cut, list(by)).filter("off <= cut"), by)
+def best_fit(v1: np.ndarray, v2: np.ndarray, most: float = 0.5, mask: np.ndarray | None = None, step: float = 0.01) -> tuple[float, float, float, int, np.ndarray]:
+    """``a, b, r, n_left_out`` of the best fit ``a + b * v1`` to ``v2`` as more of the worst residuals are left out, and
+    the difference image, 0 where masked.
+
+    Shares go from 0 to ``most`` (half at most) by ``step``. After each fit the places whose residual exceeds a cut
+    are left out of the next one; the cut is the edge of the highest of 1000 bins at and above which the share lies.
+    """
+    use = np.ones(len(v1), bool) if mask is None else np.asarray(mask, bool)
+    x, y = np.asarray(v1, np.float64)[use], np.asarray(v2, np.float64)[use]
+    kept, best = np.ones(len(x), bool), (0.0, 0.0, np.inf, 0)
+    for k in range(round(min(most, 0.5) / step) + 1 if len(x) else 0):
+        n, sx, sxx = kept.sum(), x[kept].sum(), (x[kept] ** 2).sum()
+        sy, sxy = y[kept].sum(), (x[kept] * y[kept]).sum()
+        det = n * sxx - sx * sx
+        a, b = ((sxx * sy - sx * sxy) / det, (n * sxy - sx * sy) / det) if det else (0.0, 0.0)
+        off = np.abs(a + b * x - y)
+        rest, total = (off[kept] ** 2).sum(), ((y[kept] - sy / n) ** 2).sum()
+        r = 0.0 if rest < 1e-30 else float(np.sqrt(rest / total)) if total else np.inf
+        if r < best[2]:
+            best = float(a), float(b), r, int(len(x) - n)
+        top = off.max() if off.max() >= 1e-30 else 1.0
+        upto = np.cumsum(np.bincount(np.minimum((1000 * off / top).astype(int), 999), minlength=1000)[::-1])  # from the highest bin down
+        down = int(np.searchsorted(upto, len(x) * k * step - 1e-9))
+        kept = off <= max(999 - down, 1) * top / 1000
+    difference = np.zeros(len(use))
+    difference[use] = best[0] + best[1] * x - y
+    return (*best, difference)
+
+
+def robust_fit(pairs: DataFrame, by: str, most: float = 0.5, mask: str | None = None) -> DataFrame:
+    """``by, a, b, r, n_left_out, difference`` of ``best_fit`` for each row of ``pairs`` (v1, v2: arrays, and a mask of 0 and 1)."""
+    columns = ["v1", "v2", *([mask] if mask else [])]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            found = [best_fit(np.asarray(r[0]), np.asarray(r[1]), most, np.asarray(r[2]) > 0 if mask else None) for r in zip(*[frame[c] for c in columns])]
+            out = pd.DataFrame(found, columns=["a", "b", "r", "n_left_out", "difference"])
+            out.insert(0, by, frame[by].to_numpy())
+            yield out
+
+    return pairs.select(by, *columns).mapInPandas(run, f"{by} long, a double, b double, r double, n_left_out long, difference array<double>")
 
 
 def r_factor(pairs: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -80,18 +119,41 @@ def pearson(pairs: DataFrame, by: Sequence[str]) -> DataFrame:
     return pairs.groupBy(*by).agg(c.alias("corr"))
 
 
-def histogram_match(source: DataFrame, target: DataFrame, by: Sequence[str], bins: int, low: float, high: float) -> DataFrame:
-    """For each bin of ``source`` the first bin of ``target`` whose running share reaches its own: ``bin, mapped``."""
-    def running(df: DataFrame, name: str) -> DataFrame:
-        b = F.least(F.greatest(F.floor((F.col("v") - low) / (high - low) * bins), F.lit(0)), F.lit(bins - 1)).cast("int")
-        counted = df.groupBy(*by, b.alias(name)).agg(F.count(F.lit(1)).alias("n"))
-        order = Window.partitionBy(*by).orderBy(name)
-        return counted.select(*by, name, F.sum("n").over(order).alias("upto"), F.sum("n").over(Window.partitionBy(*by)).alias("all"))
+def histogram_match(pairs: DataFrame, by: Sequence[str], bins: int) -> DataFrame:
+    """``pairs`` (by..., v1, v2, ...) with ``v``: the second image with the densities of the first.
 
-    s, t = running(source, "bin"), running(target, "mapped").withColumnsRenamed({"upto": "upto_t", "all": "all_t"})
-    # both sides are histograms: a row for each image and bin
-    reach = s.join(t, list(by)).filter(F.col("upto_t") * F.col("all") >= F.col("upto") * F.col("all_t"))
-    return reach.groupBy(*by, "bin").agg(F.min("mapped").alias("mapped"))
+    Counts at and above each bin, over each image's own range, are compared: a bin of the second image takes the
+    density of the last bin of the first that has more above it, moved by how far the counts lie between two bins.
+    A histogram is an array of ``bins`` numbers; nothing else of an image is gathered.
+    """
+    def bin_of(v: Column, low: Column, high: Column) -> Column:
+        return F.least(F.greatest(F.floor(F.coalesce(F.try_divide((v - low) * bins, high - low), F.lit(0))), F.lit(0)), F.lit(bins - 1)).cast("int")
+
+    ranges = pairs.groupBy(*by).agg(*[f(c).alias(f"{n}_{c}") for c in ("v1", "v2") for n, f in (("lo", F.min), ("hi", F.max))])
+    placed = pairs.join(ranges, list(by)).withColumns({f"b{k}": bin_of(F.col(f"v{k}"), F.col(f"lo_v{k}"), F.col(f"hi_v{k}")) for k in (1, 2)})
+    side = F.explode(F.array(F.struct(F.lit(1).alias("side"), F.col("b1").alias("bin")), F.struct(F.lit(2).alias("side"), F.col("b2").alias("bin"))))
+    counts = placed.select(*by, side.alias("s")).groupBy(*by, "s.side", "s.bin").agg(F.count(F.lit(1)).alias("n"))
+    held = counts.groupBy(*by).agg(*[F.collect_list(F.when(F.col("side") == k, F.struct("bin", "n"))).alias(f"c{k}") for k in (1, 2)])
+    places = F.sequence(F.lit(0), F.lit(bins))
+
+    def above(c: str) -> Column:
+        """How many lie in each bin and above; 0 beyond the last."""
+        return F.transform(places, lambda i: F.aggregate(c, F.lit(0).cast("long"), lambda s, e: s + F.when(e["bin"] >= i, e["n"]).otherwise(0)))
+
+    held = held.select(*by, above("c1").alias("h1"), above("c2").alias("h2"))
+    at = lambda h, i: F.get(h, i)
+    more = lambda h2: F.greatest(F.size(F.filter(F.slice("h1", 1, bins), lambda c: c > at("h2", h2))) - 1, F.lit(0))
+    held = held.withColumn("map", F.transform(F.slice(places, 1, bins), more))
+
+    def density(i: Column) -> Column:
+        m = at("map", i)
+        inner = at("h1", m + 1) - at("h1", m) - at("h2", i + 1) + at("h2", i)
+        last = at("h1", m) - F.coalesce(at("h1", F.greatest(m - 1, F.lit(0))), F.lit(0)) - at("h2", i) + at("h2", F.greatest(i - 1, F.lit(0)))
+        return i + F.coalesce(F.try_divide((at("h2", i) - at("h1", m)).cast("double"), F.when(i < bins - 1, inner).otherwise(last)), F.lit(0.5))
+
+    held = held.withColumn("place", F.transform(F.slice(places, 1, bins), density)).select(*by, "map", "place")
+    value = at("place", at("map", F.col("b2"))) * (F.col("hi_v1") - F.col("lo_v1")) / bins + F.col("lo_v1")
+    return placed.join(held, list(by)).withColumn("v", value).select(*pairs.columns, "v")
 
 
 def bin_volume(df: DataFrame, by: Sequence[str], axes: Sequence[str], factor: int) -> DataFrame:
@@ -110,6 +172,120 @@ def shift_image(df: DataFrame, shifts: dict[str, int], sizes: dict[str, int]) ->
     return df.withColumns({a: F.pmod(F.col(a) + s, F.lit(sizes[a])).cast("int") for a, s in shifts.items()})
 
 
+def triangle_sample(df: DataFrame, by: Sequence[str], sizes: dict[str, int], factor: int) -> DataFrame:
+    """Images on a grid ``factor`` times as wide, each place the mean of those about it with weights that fall off to ``factor``.
+
+    The new sizes are odd, and the middles fall together.
+    """
+    out = df.withColumn("w", F.lit(1.0))
+    for a, n in sizes.items():
+        new = (n + 1) // factor
+        new -= 1 - new % 2
+        d = F.col(a) - n // 2
+        low = F.floor(d / factor)
+        far = d - low * factor
+        near = F.array(F.struct(low.alias("k"), ((factor - far) / factor**2).alias("f")), F.struct((low + 1).alias("k"), (far / factor**2).alias("f")))
+        out = out.withColumn("n", F.explode(near)).withColumn(a, (F.col("n.k") + new // 2).cast("int")).withColumn("w", F.col("w") * F.col("n.f"))
+        out = out.filter((F.col("w") > 0) & F.col(a).between(0, new - 1)).drop("n")
+    return out.groupBy(*by, *sizes).agg(F.sum(F.col("v") * F.col("w")).alias("v"))
+
+
+def rotate(df: DataFrame, by: Sequence[str], sizes: tuple[int, int], degrees: float, scale: float = 1.0, move: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
+    """Images (px, py, v) turned about their middle, scaled and moved: each pixel is split over the four places it
+    lands between, and sums are divided by the weights there; places that nothing reaches are absent."""
+    c, s = float(np.cos(np.radians(degrees))) * scale, float(np.sin(np.radians(degrees))) * scale
+    mx, my = (sizes[0] - 1) / 2, (sizes[1] - 1) / 2
+    dx, dy = F.col("px") - mx, F.col("py") - my
+    out = df.withColumn("ax", F.round(dx * c - dy * s + mx + move[0], 9)).withColumn("ay", F.round(dx * s + dy * c + my + move[1], 9))
+    for new, at in (("qx", "ax"), ("qy", "ay")):
+        low, far = F.floor(at), F.col(at) - F.floor(at)
+        out = out.withColumn(new, F.explode(F.array(F.struct(low.alias("p"), (1 - far).alias("w")), F.struct((low + 1).alias("p"), far.alias("w")))))
+    w = F.col("qx.w") * F.col("qy.w")
+    flat = out.select(*by, F.col("qx.p").cast("int").alias("px"), F.col("qy.p").cast("int").alias("py"), "v", w.alias("w"))
+    kept = flat.filter((F.col("w") > 1e-9) & F.col("px").between(0, sizes[0] - 1) & F.col("py").between(0, sizes[1] - 1))
+    return kept.groupBy(*by, "px", "py").agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("v"))
+
+
+def resize_transform(df: DataFrame, by: Sequence[str], sizes: dict[str, tuple[int, int]]) -> DataFrame:
+    """A transform (k<axis>, re, im) cut or padded with zeros to new sizes; ``sizes``: old and new size of each axis.
+
+    As many frequencies stay on either side as the smaller size has.
+    """
+    kept, grid = df, df.select(*by).distinct()
+    for a, (old, new) in sizes.items():
+        half, upto = (min(old, new) - 1) // 2, min(old, new) // 2
+        kept = kept.filter(F.col(f"k{a}").between(-upto, half))
+        grid = grid.withColumn(f"k{a}", F.explode(F.sequence(F.lit(-(new // 2)), F.lit((new - 1) // 2))))
+    keys = [*by, *[f"k{a}" for a in sizes]]
+    return grid.join(kept.select(*keys, "re", "im"), keys, "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("re", "im")})
+
+
+def whole_spectrum(half: DataFrame, by: Sequence[str], sizes: dict[str, int]) -> DataFrame:
+    """All frequencies from those whose last axis is not negative (or at its least, for even sizes): the others are the
+    conjugates of their opposites."""
+    axes = list(sizes)
+    last, n = axes[-1], sizes[axes[-1]]
+    opposite = {f"k{a}": (F.pmod(-F.col(f"k{a}") + m // 2, F.lit(m)) - m // 2).cast("int") for a, m in sizes.items()}
+    mirrored = half.filter((F.col(f"k{last}") > 0) & (F.col(f"k{last}") * 2 != n)).withColumns({**opposite, "im": -F.col("im")})
+    return half.unionByName(mirrored)
+
+
+def centred(k: Column, n: int) -> Column:
+    """A frequency in FFT order, 0 to n - 1, as one about 0; ``standard`` is the way back."""
+    return (F.pmod(k + n // 2, F.lit(n)) - n // 2).cast("int")
+
+
+def standard(k: Column, n: int) -> Column:
+    return F.pmod(k, F.lit(n)).cast("int")
+
+
+def polar(df: DataFrame) -> DataFrame:
+    """``amp, phi`` from ``re, im``."""
+    return df.withColumn("amp", F.hypot("re", "im")).withColumn("phi", F.atan2("im", "re"))
+
+
+def cartesian(df: DataFrame) -> DataFrame:
+    """``re, im`` from ``amp, phi``."""
+    return df.withColumn("re", F.col("amp") * F.cos("phi")).withColumn("im", F.col("amp") * F.sin("phi"))
+
+
+def complex_product(pairs: DataFrame, mask: Column | None = None) -> DataFrame:
+    """``re, im`` of the first transform times the conjugate of the second, 0 where masked out."""
+    re, im = F.col("re1") * F.col("re2") + F.col("im1") * F.col("im2"), F.col("im1") * F.col("re2") - F.col("re1") * F.col("im2")
+    if mask is not None:
+        re, im = F.when(mask, re).otherwise(0.0), F.when(mask, im).otherwise(0.0)
+    return pairs.withColumn("re", re).withColumn("im", im)
+
+
+def phase_difference(pairs: DataFrame, least: float = 1e-9) -> DataFrame:
+    """``cosine`` and ``phase`` of the difference in phase at each frequency; those without power in one of both go."""
+    n = F.hypot("re1", "im1") * F.hypot("re2", "im2")
+    cosine = F.greatest(F.least((F.col("re1") * F.col("re2") + F.col("im1") * F.col("im2")) / F.col("power"), F.lit(1.0)), F.lit(-1.0))
+    return pairs.withColumn("power", n).filter(F.col("power") > least).withColumn("cosine", cosine).withColumn("phase", F.acos("cosine")).drop("power")
+
+
+def extract_region(df: DataFrame, region: dict[str, tuple[int, int]]) -> DataFrame:
+    """The places within start and size of each axis, counted from the start."""
+    for a, (start, size) in region.items():
+        df = df.filter(F.col(a).between(start, start + size - 1)).withColumn(a, F.col(a) - start)
+    return df
+
+
+def slices_as_images(voxels: DataFrame, depth: int) -> DataFrame:
+    """Each section of a volume as an image ``vol_id * depth + z``."""
+    return voxels.withColumn("img", F.col("vol_id") * depth + F.col("z")).drop("vol_id", "z")
+
+
+def images_as_slices(images: DataFrame, depth: int) -> DataFrame:
+    return images.withColumn("vol_id", F.floor(F.col("img") / depth)).withColumn("z", (F.col("img") % depth).cast("int")).drop("img")
+
+
+def metadata(volumes: DataFrame) -> DataFrame:
+    """``oz, ox, oy``: the middle as origin; ``unit``: one sampling for all axes, the smallest; ``radius``: of the largest sphere inside."""
+    middle = {f"o{a}": (F.col(f"n{a}") - 1) / 2 for a in "zxy"}
+    return volumes.withColumns({**middle, "unit": F.least("uz", "ux", "uy"), "radius": F.floor(F.least("nz", "nx", "ny") / 2).cast("int")})
+
+
 def blend(pairs: DataFrame, steps: int) -> DataFrame:
     """``steps`` images from v1 to v2."""
     k = F.explode(F.sequence(F.lit(0), F.lit(steps - 1)))

@@ -81,10 +81,27 @@ def pair_runs(files: DataFrame, keys: Sequence[str], mode: str = "ab") -> DataFr
     return left.join(files.filter(F.col("role") == second).select(*keys, F.col("path").alias("path2")), list(keys))
 
 
-def exactly_one(files: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """(keys with one file, keys with another number and that number)."""
+def exactly_one(files: DataFrame, keys: Sequence[str], expected: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(keys and path where there is one file, keys with another number ``n`` and the ``reason``).
+
+    ``expected`` has the keys that there should be; of those without any file nothing else knows.
+    """
     counted = files.groupBy(*keys).agg(F.count("path").alias("n"), F.min("path").alias("path"))
-    return counted.filter("n = 1").drop("n"), counted.filter("n <> 1").select(*keys, "n")
+    if expected is not None:
+        counted = expected.select(*keys).distinct().join(counted, list(keys), "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+    reason = F.when(F.col("n") == 0, "no file").otherwise("several files")
+    return counted.filter("n = 1").drop("n"), counted.filter("n <> 1").select(*keys, "n", reason.alias("reason"))
+
+
+def box_counts(volumes: DataFrame, boxes: DataFrame, key: str) -> DataFrame:
+    """``key, n_boxes`` for each volume; a volume without a box raises an error."""
+    n = volumes.select(key).join(boxes.groupBy(key).agg(F.count(F.lit(1)).alias("n")), key, "left")
+    return n.select(key, F.when(F.col("n").isNull(), F.raise_error(F.format_string("volume %s has no box", F.col(key).cast("string")))).otherwise(F.col("n")).alias("n_boxes"))
+
+
+def path_of(ccdb: Column, microscopy: Column, num_ang: Column, max_ang: Column, root: str = "/data/ccdb") -> Column:
+    """Folder of a reconstruction from its catalog numbers and its parameters."""
+    return F.format_string(root + "%d/microscopy_%d/%d-limited[%.1f_-%.1f]", ccdb, microscopy, num_ang, max_ang, max_ang)
 
 
 def pending(plan: DataFrame, existing: DataFrame, keys: Sequence[str], overwrite: bool = False) -> DataFrame:

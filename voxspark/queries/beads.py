@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..operators import beads as bd
 from ..plans.grids import roi_plan
-from .fourier import clean0
+from .fourier import bricks, clean0
 from .proxies import VOXELS_SQL, voxels
 from .registry import query, table
 
@@ -57,7 +57,7 @@ def d01(spark, sf):
     k = F.col("vec_id")
     points = table(spark, sf, "embeddings").select(k.alias("bead"), k.alias("vol_id"), *[(F.floor(k / d) % 4).cast("int").alias(a) for a, d in (("z", 1), ("x", 4), ("y", 16))])
     boxes = roi_plan(points, 4, "plain")
-    roi = bd.extract_roi(voxels(spark, sf), boxes, 4)
+    roi = bd.roi_voxels(bd.roi_arrays(bricks(spark, sf), boxes, (4, 4, 4), 4), 4)
     weight = 1 + F.col("dz") * 16 + F.col("dx") * 4 + F.col("dy")
     return roi.groupBy("bead").agg(F.count(F.lit(1)).alias("n"), F.count("v").alias("n_inside"), clean0(F.sum(F.col("v") * weight), 6).alias("total"))
 
@@ -66,13 +66,19 @@ def d01(spark, sf):
 def d02(spark, sf):
     k = F.col("vec_id")
     points = table(spark, sf, "embeddings").select(k.alias("bead"), k.alias("vol_id"), *[(F.floor(k / d) % 4).cast("int").alias(a) for a, d in (("z", 1), ("x", 4), ("y", 16))], *[F.lit(4).alias(f"n{a}") for a in "xyz"])
-    roi = bd.extract_roi(voxels(spark, sf), roi_plan(points, 2, "shift").filter("fits"), 2)
+    roi = bd.roi_voxels(bd.roi_arrays(bricks(spark, sf), roi_plan(points, 2, "shift").filter("fits"), (4, 4, 4), 2), 2)
     return roi.groupBy("bead").agg(F.count("v").alias("n"), clean0(F.sum("v"), 6).alias("total"))
 
 
-@query("d03_plan_all_recons", f"WITH {_FITS} SELECT tomogram, recon, count(DISTINCT bead) AS n FROM fits GROUP BY ALL")
+@query("d03_plan_all_recons", """WITH points AS (SELECT o_custkey % 16 AS tomogram, o_orderkey AS bead_id, (o_orderkey * 7 % 100)::INT AS x, (o_orderkey % 60)::INT AS z FROM orders), labels_ AS (SELECT tomogram, unnest(range(1 + tomogram % 3)) AS k FROM (SELECT DISTINCT tomogram FROM points))
+SELECT tomogram, (k * 10 + 11)::VARCHAR || '_lim15' AS recon_label, bead_id, greatest(x - 18, 0) AS x0, greatest(least(x + 18, 100) - greatest(x - 18, 0), 0) AS x_size, greatest(z - 18, 0) AS z0 FROM points JOIN labels_ USING (tomogram)""")
 def d03(spark, sf):
-    return fits(spark, sf).groupBy("tomogram", "recon").agg(F.count_distinct("bead").alias("n"))
+    from .planning import points
+
+    p = points(spark, sf)
+    labels = F.transform(F.sequence(F.lit(0), (F.col("tomogram") % 3).cast("int")), lambda k: F.concat((k * 10 + 11).cast("string"), F.lit("_lim15")))
+    config = p.select("tomogram").distinct().select("tomogram", labels.alias("recon_labels"))
+    return bd.plan_all_recons(config, p, 36).select("tomogram", "recon_label", "bead_id", "x0", "x_size", "z0")
 
 
 def roi(spark, sf):
@@ -143,9 +149,10 @@ def d12(spark, sf):
     return fitted(spark, sf).select("bead", F.round(bd.fwhm(F.col("sigma")), 4).alias("fwhm"))
 
 
-@query("d13_r_squared", f"WITH {_PLANT} SELECT bead, 1.0::DOUBLE AS r2 FROM plant")
+@query("d13_r_squared", f"WITH {_SAMPLES}, n AS (SELECT bead, v AS m, v + ((bead * 31 + i * 17) % 7 - 3) * 0.05 AS v FROM samples), g AS (SELECT bead, avg(v) AS mean FROM n GROUP BY bead) SELECT bead, round(1 - sum((v - m) ** 2) / sum((v - mean) ** 2), 6) AS r2 FROM n JOIN g USING (bead) GROUP BY bead")
 def d13(spark, sf):
-    return fitted(spark, sf).select("bead", F.round("r2", 6).alias("r2"))
+    noisy = F.transform("samples", lambda v, i: v + ((F.col("bead") * 31 + i * 17) % 7 - 3) * 0.05)
+    return profiles(spark, sf).select("bead", F.round(C.r_squared(noisy, F.col("samples")), 6).alias("r2"))
 
 
 @query("d14_deconvolve", f"WITH {_FITS} SELECT bead, recon, CASE WHEN (fwhm_y / 2.355 * 4.9) ** 2 - 15.0 ** 2 / 12 > 0 THEN round(2.355::DOUBLE * sqrt((fwhm_y / 2.355 * 4.9) ** 2 - 15.0 ** 2 / 12), 5) END AS nm FROM fits")
@@ -158,11 +165,27 @@ def d15(spark, sf):
     return bd.keep_good(fits(spark, sf), 0.8).select("tomogram", "recon", "bead")
 
 
-_SKIP = _FITS + ", skip AS (SELECT tomogram, bead FROM fits GROUP BY ALL HAVING bool_or(NOT (r2_x >= 0.75) OR NOT (r2_y >= 0.75)) OR count(DISTINCT recon) < 1)"
+# beads of orders in up to four reconstructions; some lack the last one, some fits fail
+_RECONS = """config AS (SELECT 'tomo' || k::VARCHAR AS tomogram, 250.0 * (k + 1) AS thickness, 1.4 + k AS pxl_size FROM (SELECT unnest(range(7)) AS k)),
+wide AS (SELECT 'tomo' || (o_custkey % 7)::VARCHAR AS tomogram, (r * 10 + 11)::VARCHAR || '_lim' || (r * 15 + 15)::VARCHAR || '_16bit' AS recon, r, o_orderkey AS bead, (1 + o_orderkey % 5 + r / 4)::DOUBLE AS fwhm_x, (1 + o_orderkey % 4 + r / 8)::DOUBLE AS fwhm_y, (2 + o_orderkey % 9 + r / 2)::DOUBLE AS fwhm_z,
+  CASE WHEN (o_orderkey * 7 + r) % 13 = 0 THEN NULL ELSE 1 - ((o_orderkey * 3 + r) % 8) / 20 END::DOUBLE AS r2_x, (1 - ((o_orderkey + r) % 10) / 10)::DOUBLE AS r2_y, (1 - ((o_orderkey * 5 + r) % 9) / 20)::DOUBLE AS r2_z
+  FROM (SELECT *, unnest(range(CASE WHEN o_orderkey % 11 = 0 THEN 3 ELSE 4 END)) AS r FROM orders))"""
+_SKIP = _RECONS + ", skip AS (SELECT tomogram, bead FROM wide GROUP BY ALL HAVING bool_or(r2_x IS NULL OR r2_x < 0.7 OR r2_z < 0.7) OR count(DISTINCT recon) < 4)"
+
+
+def recons(spark, sf):
+    k, r = F.col("o_orderkey"), F.col("r")
+    each = table(spark, sf, "orders").withColumn("r", F.explode(F.sequence(F.lit(0), F.when(k % 11 == 0, 2).otherwise(3))))
+    label = F.concat((r * 10 + 11).cast("string"), F.lit("_lim"), (r * 15 + 15).cast("string"), F.lit("_16bit"))
+    return each.select(
+        F.concat(F.lit("tomo"), (F.col("o_custkey") % 7).cast("string")).alias("tomogram"), label.alias("recon"), k.alias("bead"),
+        (1 + k % 5 + r / 4).alias("fwhm_x"), (1 + k % 4 + r / 8).alias("fwhm_y"), (2 + k % 9 + r / 2).alias("fwhm_z"),
+        F.when((k * 7 + r) % 13 != 0, 1 - (k * 3 + r) % 8 / 20).alias("r2_x"), (1 - (k + r) % 10 / 10).alias("r2_y"), (1 - (k * 5 + r) % 9 / 20).alias("r2_z"),
+    )
 
 
 def skip(spark, sf):
-    return bd.skip_beads(fits(spark, sf), 0.75, F.lit(1))
+    return bd.skip_beads(recons(spark, sf), 0.7)
 
 
 @query("d16_skip_set", f"WITH {_SKIP} SELECT * FROM skip")
@@ -170,19 +193,21 @@ def d16(spark, sf):
     return skip(spark, sf)
 
 
-@query("d17_kept", f"WITH {_SKIP} SELECT tomogram, recon, bead, round(fwhm_y, 6) AS fwhm_y FROM fits ANTI JOIN skip USING (tomogram, bead)")
+@query("d17_kept", f"WITH {_SKIP} SELECT tomogram, recon, bead, round(fwhm_y, 6) AS fwhm_y FROM wide ANTI JOIN skip USING (tomogram, bead)")
 def d17(spark, sf):
-    return bd.exclude(fits(spark, sf), skip(spark, sf)).select("tomogram", "recon", "bead", F.round("fwhm_y", 6).alias("fwhm_y"))
+    return bd.exclude(recons(spark, sf), skip(spark, sf)).select("tomogram", "recon", "bead", F.round("fwhm_y", 6).alias("fwhm_y"))
 
 
-@query("d18_tidy_table", f"WITH {_SKIP}, kept AS (SELECT * FROM fits ANTI JOIN skip USING (tomogram, bead)), n AS (SELECT tomogram, count(DISTINCT bead) AS n_total FROM fits GROUP BY 1), p AS (SELECT tomogram, count(DISTINCT bead) AS n_pass FROM kept GROUP BY 1) SELECT tomogram, recon, bead, n_total, n_pass, round(100.0 * n_pass / n_total, 6) AS percent, round(fwhm_z * 4.9, 8) AS res_nm_z FROM kept JOIN n USING (tomogram) JOIN p USING (tomogram)")
+@query("d18_tidy_table", f"""WITH {_SKIP}, kept AS (SELECT * FROM wide ANTI JOIN skip USING (tomogram, bead)), n AS (SELECT tomogram, count(*) AS n_beads_total FROM wide WHERE r = 0 GROUP BY 1), p AS (SELECT tomogram, count(*) AS n_beads_pass FROM kept WHERE r = 0 GROUP BY 1)
+SELECT tomogram, thickness::DOUBLE AS thickness, pxl_size::DOUBLE AS pxl_size, recon AS recon_label, (r * 10 + 11)::DOUBLE AS num_proj, (r * 15 + 15)::DOUBLE AS max_angle, bead AS bead_id, n_beads_total, coalesce(n_beads_pass, 0) AS n_beads_pass, fwhm_x, fwhm_y, fwhm_z, round(fwhm_x * pxl_size::DOUBLE, 8) AS res_nm_x, round(fwhm_y * pxl_size::DOUBLE, 8) AS res_nm_y, round(fwhm_z * pxl_size::DOUBLE, 8) AS res_nm_z
+FROM kept JOIN config USING (tomogram) JOIN n USING (tomogram) LEFT JOIN p USING (tomogram)""")
 def d18(spark, sf):
-    everything = fits(spark, sf)
-    kept = bd.exclude(everything, skip(spark, sf))
-    n = everything.groupBy("tomogram").agg(F.count_distinct("bead").alias("n_total"))
-    p = kept.groupBy("tomogram").agg(F.count_distinct("bead").alias("n_pass"))
-    tidy = kept.join(n, "tomogram").join(p, "tomogram")
-    return tidy.select("tomogram", "recon", "bead", "n_total", "n_pass", F.round(100.0 * F.col("n_pass") / F.col("n_total"), 6).alias("percent"), F.round(F.col("fwhm_z") * 4.9, 8).alias("res_nm_z"))
+    k = F.col("k")
+    labels = F.array(*[F.lit(f"{r * 10 + 11}_lim{r * 15 + 15}_16bit") for r in range(4)])
+    tomograms = table(spark, sf, "orders").select((F.col("o_custkey") % 7).alias("k")).distinct()
+    config = tomograms.select(F.concat(F.lit("tomo"), k.cast("string")).alias("tomogram"), (250.0 * (k + 1)).alias("thickness"), (1.4 + k).alias("pxl_size"), labels.alias("recon_labels"))
+    tidy = bd.bead_table(config, recons(spark, sf), 0.7)
+    return tidy.withColumns({f"res_nm_{a}": F.round(f"res_nm_{a}", 8) for a in "xyz"})
 
 
 @query("d19_count_mismatch", f"WITH {_FITS}, n AS (SELECT tomogram, recon, count(DISTINCT bead) AS n FROM fits GROUP BY ALL) SELECT tomogram, min(n) AS least, max(n) AS most FROM n GROUP BY 1 HAVING min(n) < max(n)")
@@ -221,9 +246,10 @@ def d24(spark, sf):
     return bd.dense_fit(fitted(spark, sf), 47, 23.0).select("bead", "k", F.round("value", 4).alias("value"))
 
 
-@query("d25_spot_check", f"WITH {_FITS} SELECT recon, round(fwhm_x, 6) AS fwhm_x, round(fwhm_z, 6) AS fwhm_z, round(r2_x, 6) AS r2_x, round(r2_z, 6) AS r2_z FROM fits WHERE bead = 77")
+@query("d25_spot_check", f"WITH {_PLANT} SELECT bead, round(2.355::DOUBLE * s, 4) AS fwhm, 1.0::DOUBLE AS r2 FROM plant WHERE bead = 77")
 def d25(spark, sf):
-    return fits(spark, sf).filter("bead = 77").select("recon", *[F.round(c, 6).alias(c) for c in ("fwhm_x", "fwhm_z", "r2_x", "r2_z")])
+    one = profiles(spark, sf).filter("bead = 77")  # the bead that is looked at
+    return bd.fit_gaussians(one, ["bead"]).select("bead", F.round(bd.fwhm(F.col("sigma")), 4).alias("fwhm"), F.round("r2", 6).alias("r2"))
 
 
 @query("d26_sigma_outliers", f"WITH {_LONG}, st AS (SELECT axis, avg(value) AS m, stddev_pop(value) AS sd FROM long GROUP BY axis) SELECT tomogram, bead, axis, round(value, 9) AS value FROM long JOIN st USING (axis) WHERE abs(value - m) > 1.5 * sd")
@@ -238,7 +264,7 @@ def d27(spark, sf):
 
 @query("d28_value_range", f"WITH {_LONG} SELECT tomogram, recon, bead, axis FROM long WHERE value BETWEEN 1 AND 3")
 def d28(spark, sf):
-    return long(spark, sf).filter("value between 1 and 3").select("tomogram", "recon", "bead", "axis")
+    return bd.value_range(long(spark, sf), 1, 3).select("tomogram", "recon", "bead", "axis")
 
 
 @query("d29_drop_empty", f"WITH {_LONG}, full_ AS (SELECT bead FROM long WHERE value IS NOT NULL GROUP BY bead HAVING count(DISTINCT axis) = 3) SELECT bead, count(*) AS n FROM long SEMI JOIN full_ USING (bead) GROUP BY bead")
@@ -265,7 +291,7 @@ def d32(spark, sf):
 
 @query("d33_zx_ratio", f"WITH {_FITS} SELECT bead, recon, CASE WHEN fwhm_x > 0 THEN fwhm_z / fwhm_x END AS zx FROM fits")
 def d33(spark, sf):
-    return fits(spark, sf).select("bead", "recon", F.when(F.col("fwhm_x") > 0, F.col("fwhm_z") / F.col("fwhm_x")).alias("zx"))
+    return bd.zx_ratio(fits(spark, sf)).select("bead", "recon", "zx")
 
 
 @query("d34_filtered_summary", f"WITH {_FITS} SELECT tomogram, round(avg(fwhm_z * 4.9), 6) AS estimate, round((quantile_cont(fwhm_z * 4.9, 0.75) - quantile_cont(fwhm_z * 4.9, 0.25)) / 2, 7) AS iqr_half, count(*) AS n FROM fits WHERE fwhm_z * 4.9 < 20 GROUP BY 1")
@@ -286,20 +312,34 @@ def d36(spark, sf):
     return bd.histogram(fits(spark, sf), ["tomogram"], "fwhm_z", 20)
 
 
-@query("d37_linewidth_scan", " UNION ALL ".join("SELECT * FROM (" + _profile_sql(lo, hi).replace(" SELECT bead, axis,", f" SELECT {w} AS linewidth, bead, axis,") + ")" for w, lo, hi in ((1, 2, 2), (2, 1, 2), (3, 1, 3))))
+# a bead of separable Gaussians for each supplier: thick profiles keep the width, whatever the linewidth
+_WIDTHS = " UNION ALL ".join(f"SELECT s_suppkey AS bead, {w} AS linewidth, round(2.355::DOUBLE * (1.2 + s_suppkey % 5 * 0.1), 2) AS fwhm_x, round(2.355::DOUBLE * (1.3 + s_suppkey % 3 * 0.1), 2) AS fwhm_y, round(2.355::DOUBLE * (1.5 + s_suppkey % 4 * 0.2), 2) AS fwhm_z FROM supplier" for w in (1, 2, 3))
+
+
+def planted_boxes(spark, sf, size=11):
+    k, c = F.col("s_suppkey"), size // 2
+    sigma = {"x": 1.2 + k % 5 * 0.1, "y": 1.3 + k % 3 * 0.1, "z": 1.5 + k % 4 * 0.2}
+    out = table(spark, sf, "supplier").select(k, k.alias("bead"))
+    for a in "zxy":
+        out = out.withColumn(f"d{a}", F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
+    depth = F.lit(0.0)
+    for a in "zxy":
+        depth = depth - (F.col(f"d{a}") - c) * (F.col(f"d{a}") - c) / (2 * sigma[a] * sigma[a])
+    return out.select("bead", "dz", "dx", "dy", (10 - 5 * F.exp(depth)).alias("v"))
+
+
+@query("d37_linewidth_scan", _WIDTHS)
 def d37(spark, sf):
-    parts = [joined_samples(bd.centre_profiles(roi(spark, sf), ["bead"], 4, w, exact=True)).withColumn("linewidth", F.lit(w)) for w in (1, 2, 3)]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    scan = bd.linewidth_scan(planted_boxes(spark, sf), ["bead"], 11, (1, 2, 3))
+    return scan.select("bead", "linewidth", *[F.round(f"fwhm_{a}", 2).alias(f"fwhm_{a}") for a in "xyz"])
 
 
-@query("d38_fit_grid", f"WITH {_PLANT} SELECT bead, round(s, 4) AS sigma FROM plant WHERE bead % 5 <> 0")
+@query("d38_fit_grid", f"WITH {_SAMPLES}, gone AS (SELECT DISTINCT bead FROM plant WHERE x0 > 12.5 OR s > 3.5) SELECT bead, i::INT AS i, round(v, 5) AS value, round(v, 4) AS fit FROM samples ANTI JOIN gone USING (bead)")
 def d38(spark, sf):
-    p = profiles(spark, sf)
-    gone = p.filter("bead % 5 = 0").select("bead")
-    return bd.fit_gaussians(p.join(gone, "bead", "left_anti"), ["bead"]).select("bead", F.round("sigma", 4).alias("sigma"))
+    gone = planted(spark, sf).filter("x0 > 12.5 or s > 3.5").select("bead")
+    return bd.fit_grid(profiles(spark, sf), gone).select("bead", "i", F.round("value", 5).alias("value"), F.round("fit", 4).alias("fit"))
 
 
-@query("d39_montage", f"{_V} SELECT bead, plane, round(sum(v * (1 + row * 4 + col)), 6) + 0.0 AS total FROM ({_PLANES}) WHERE bead % 3 = 0 GROUP BY ALL")
+@query("d39_montage", f"{_V} SELECT bead, plane, round(sum(v * (1 + row * 4 + col)), 6) + 0.0 AS total FROM ({_PLANES}) GROUP BY ALL")
 def d39(spark, sf):
-    chosen = roi(spark, sf).filter("bead % 3 = 0")  # the beads of a montage
-    return bd.mid_planes(chosen, 4).groupBy("bead", "plane").agg(clean0(F.sum(F.col("v") * (1 + F.col("row") * 4 + F.col("col"))), 6).alias("total"))
+    return bd.mid_planes(roi(spark, sf), 4).groupBy("bead", "plane").agg(clean0(F.sum(F.col("v") * (1 + F.col("row") * 4 + F.col("col"))), 6).alias("total"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import crossval as cv
+from ..operators import fourier as fo
 from ..operators import imageops as io
-from .fourier import _PLAIN, clean0, halves, pairs_ft
+from ..plans.grids import tilt_series
+from .fourier import _PLAIN, arrays, clean0, pairs_ft
 from .images import _T, pairs, total
 from .proxies import IMAGES_SQL, VOXELS_SQL, images, voxels
 from .registry import query, table
@@ -70,24 +73,27 @@ def n04(spark, sf):
 
 @query("n05_frequency_correlation", _PLAIN + " SELECT run, kz, kx, ky, round(greatest(least((re1 * re2 + im1 * im2) / sqrt((re1 ** 2 + im1 ** 2) * (re2 ** 2 + im2 ** 2)), 1), 0), 3) + 0.0 AS c FROM fts WHERE (re1 ** 2 + im1 ** 2) * (re2 ** 2 + im2 ** 2) > 1e-9")
 def n05(spark, sf):
-    n = (F.col("re1") ** 2 + F.col("im1") ** 2) * (F.col("re2") ** 2 + F.col("im2") ** 2)
-    c = (F.col("re1") * F.col("re2") + F.col("im1") * F.col("im2")) / F.sqrt(n)
-    return pairs_ft(spark, sf).filter(n > 1e-9).select("run", "kz", "kx", "ky", clean0(F.greatest(F.least(c, F.lit(1.0)), F.lit(0.0)), 3).alias("c"))
+    return cv.frequency_correlation(pairs_ft(spark, sf)).select("run", "kz", "kx", "ky", clean0(F.col("c"), 3).alias("c"))
 
 
-_WEDGE = "CASE WHEN kx = 0 AND ky = 0 AND kz = 0 THEN false WHEN kx = 0 THEN kz <> 0 ELSE atan(kz::DOUBLE / kx) < -1.0 OR atan(kz::DOUBLE / kx) > 1.0 END"
+# 57 degrees either way and an x tilt of 5 degrees; where kx is 0 the angle is a right one, or none where kz is 0 too
+_WEDGE = "CASE WHEN kx = 0 AND ky = 0 AND kz = 0 THEN false WHEN kx = 0 THEN kz <> 0 ELSE abs(atan((kz * cos(radians(5)) + ky * sin(radians(5))) / kx)) > 1.0 END"
+_WEDGE_RANGE = (1.0, -1.0, 0.08726646259971647)
 
 
-@query("n06_missing_wedge", _PLAIN + f" SELECT run, count(*) FILTER ({_WEDGE}) AS n_missing, count(*) AS n FROM fts GROUP BY run")
+def wedge():
+    return cv.wedge_mask(F.col("kx"), F.col("ky"), F.col("kz"), *_WEDGE_RANGE)
+
+
+@query("n06_missing_wedge", _PLAIN + f" SELECT run, count(*) FILTER ({_WEDGE}) AS n_missing, count(*) AS n, round(sum(re1) FILTER ({_WEDGE}), 4) + 0.0 AS re FROM fts GROUP BY run")
 def n06(spark, sf):
-    missing = cv.wedge_mask(F.col("kx"), F.col("ky"), F.col("kz"), 1.0, -1.0)
-    return pairs_ft(spark, sf).groupBy("run").agg(F.count_if(missing).alias("n_missing"), F.count(F.lit(1)).alias("n"))
+    return pairs_ft(spark, sf).groupBy("run").agg(F.count_if(wedge()).alias("n_missing"), F.count(F.lit(1)).alias("n"), clean0(F.sum(F.when(wedge(), F.col("re1"))), 4).alias("re"))
 
 
 @query("n07_reciprocal_mask", _PLAIN + f" SELECT run, round(sum(re1 * re2 + im1 * im2), 4) + 0.0 AS c FROM fts WHERE NOT ({_WEDGE}) GROUP BY run")
 def n07(spark, sf):
     ft = pairs_ft(spark, sf)
-    mask = ft.select("kz", "kx", "ky").distinct().filter(~cv.wedge_mask(F.col("kx"), F.col("ky"), F.col("kz"), -1.0, 1.0))
+    mask = ft.select("kz", "kx", "ky").distinct().filter(~wedge())
     kept = ft.join(mask, ["kz", "kx", "ky"], "left_semi")
     return kept.groupBy("run").agg(clean0(F.sum(F.col("re1") * F.col("re2") + F.col("im1") * F.col("im2")), 4).alias("c"))
 
@@ -99,13 +105,9 @@ _RATIO = "CASE WHEN abs(cf) < 1e-30 OR mm < 1e-30 OR ff < 1e-30 THEN 0 ELSE grea
 
 
 def triples(spark, sf):
-    from ..operators.fourier import dft
-
-    flat = images(spark, sf).withColumnsRenamed({"px": "dx", "py": "dy"})
-    ft = dft(flat, ["img"], [("x", 8), ("y", 8)])
-    side = F.col("img") % 3
-    out = ft.groupBy(F.floor(F.col("img") / 3).alias("proj"), "kx", "ky").agg(*[F.max(F.when(side == i, F.col(c))).alias(f"{c}{i}") for i in range(3) for c in ("re", "im")], F.count(F.lit(1)).alias("n"))
-    return out.filter("n = 3").drop("n")
+    three = arrays(spark, sf, 3).withColumnRenamed("run", "proj")
+    flat = fo.frequencies(fo.fft_arrays(three, "proj", ["v1", "v2", "v3"], (8, 8)), ["proj"], [("x", 8), ("y", 8)])
+    return flat.withColumnsRenamed({f"{c}{k}": f"{c}{k - 1}" for k in (1, 2, 3) for c in ("re", "im")})
 
 
 def nloo_sums(spark, sf):
@@ -125,9 +127,7 @@ def n09(spark, sf):
 
 @query("n10_nloo_band", _TRI + f", g AS (SELECT proj, sum(re0 * re1 + im0 * im1) AS cm, sum(re1 ** 2 + im1 ** 2) AS mm, sum(re0 * re2 + im0 * im2) AS cf, sum(re2 ** 2 + im2 ** 2) AS ff FROM t WHERE kx * kx + ky * ky BETWEEN 1 AND 9 GROUP BY proj) SELECT proj, round({_RATIO.format(low=-1)}, 3) + 0.0 AS value FROM g")
 def n10(spark, sf):
-    band = triples(spark, sf).filter("kx * kx + ky * ky between 1 and 9")
-    sums = cv.nloo2d_sums(band, ["proj"], F.lit(1.0)).drop("idx")
-    return cv.nloo_ratio(sums, -1.0).select("proj", clean0(F.col("value"), 3).alias("value"))
+    return cv.nloo_coefficient(triples(spark, sf), ["proj"], radius("kx", "ky"), 3.0, 1.0).select("proj", clean0(F.col("value"), 3).alias("value"))
 
 
 @query("n11_nloo_volume", _TRI + f""", m AS (SELECT proj % 10 AS run, round_even(kx * cos(radians((proj // 10) * 3.0)), 0)::INT AS hx, ky AS hy, round_even(kx * sin(radians((proj // 10) * 3.0)), 0)::INT AS hz, * FROM t),
@@ -135,9 +135,8 @@ g AS (SELECT run, hx, hy, hz, sum(re0 * re1 + im0 * im1) AS cm, sum(re1 ** 2 + i
 SELECT run, hx, hy, hz, round({_RATIO.format(low=-1)}, 2) + 0.0 AS value FROM g WHERE abs(cf) > 1e-6""")
 def n11(spark, sf):
     tilt = F.radians(F.floor(F.col("proj") / 10) * 3.0)
-    placed = triples(spark, sf).withColumn("run", F.col("proj") % 10).withColumn("hx", F.rint(F.col("kx") * F.cos(tilt)).cast("int")).withColumn("hy", F.col("ky")).withColumn("hz", F.rint(F.col("kx") * F.sin(tilt)).cast("int"))
-    sums = cv.nloo2d_sums(placed, ["run", "hx", "hy", "hz"], F.lit(1.0)).filter("abs(cf) > 1e-6")
-    return cv.nloo_ratio(sums, -1.0).select("run", "hx", "hy", "hz", clean0(F.col("value"), 2).alias("value"))
+    found = cv.nloo_volume(triples(spark, sf).withColumn("run", F.col("proj") % 10), ["run"], tilt).filter("abs(cf) > 1e-6")
+    return found.select("run", "hx", "hy", "hz", clean0(F.col("value"), 2).alias("value"))
 
 
 _WEIGHTS = """, tl AS (SELECT DISTINCT run, proj, tilt FROM flat), ln AS (SELECT run, max(proj) + 1 AS np FROM tl GROUP BY run),
@@ -176,6 +175,7 @@ def faces():
 
 _BOX = "(px BETWEEN 1 AND 6 AND py BETWEEN 2 AND 6)"
 _SPH = "((px - 4) ** 2 + (py - 4) ** 2 <= 9)"
+_INNER2 = "((px - 4) ** 2 + (py - 4) ** 2 <= 4)"
 _INNER = "((px - 4) ** 2 + (py - 4) ** 2 <= 1)"
 
 
@@ -202,17 +202,20 @@ def n16(spark, sf):
     return images(spark, sf).groupBy("img").agg(F.sum(d).alias("total"), F.count_if((d == 0) & box()).alias("n_frame"))
 
 
-@query("n17_taper", f"{_I} SELECT img, {_T.format(v=f'CASE WHEN {_BOX} THEN 0.1 + (v - 0.1) * CASE WHEN {_DIST} >= 2 THEN 1.0 ELSE 0.5 - 0.5 * cos(pi() * {_DIST} / 2) END ELSE 0.1 END')} FROM images GROUP BY img")
+@query("n17_taper", f"{_I} SELECT img, {_T.format(v=f'CASE WHEN {_BOX} THEN 0.1 + (v - 0.1) * CASE WHEN {_DIST} >= 0.375 THEN 1.0 ELSE 0.5 - 0.5 * cos(pi() * {_DIST} / 0.375) END ELSE 0.1 END')} FROM images GROUP BY img")
 def n17(spark, sf):
-    return total(images(spark, sf).withColumn("v", cv.taper(F.col("v"), F.lit(0.1), cv.border_distance(faces()), box(), 2.0)), ["img"])
+    return total(images(spark, sf).withColumn("v", cv.taper(F.col("v"), F.lit(0.1), cv.border_distance(faces()), box(), cv.taper_size((6, 5)))), ["img"])
 
 
 _RS = f", rs AS (SELECT img, avg(v) FILTER ({_SPH}) AS m, stddev_pop(v) FILTER ({_SPH}) AS sd, avg(v) FILTER (NOT {_SPH}) AS bg FROM images GROUP BY img)"
 
 
-@query("n18_region_stats", _I + _RS + " SELECT img, round(m, 7) + 0.0 AS avg, round(sd, 7) AS std, round(bg, 7) + 0.0 AS background FROM rs")
+@query("n18_region_stats", _I + _RS + f", fr AS (SELECT img, avg(v) FILTER ({_SPH} AND NOT {_INNER2}) AS frame FROM images GROUP BY img) SELECT img, round(m, 7) + 0.0 AS avg, round(sd, 7) AS std, round(bg, 7) + 0.0 AS background, round(frame, 7) + 0.0 AS frame FROM rs JOIN fr USING (img)")
 def n18(spark, sf):
-    return cv.region_stats(images(spark, sf), ["img"], sphere(3)).select("img", *[clean0(F.col(c), 7).alias(c) for c in ("avg", "std", "background")])
+    df = images(spark, sf)
+    outside = cv.region_stats(df, ["img"], sphere(3))
+    frame = cv.region_stats(df, ["img"], sphere(3), "frame", sphere(3) & ~sphere(2)).select("img", F.col("background").alias("frame"))
+    return outside.join(frame, "img").select("img", *[clean0(F.col(c), 7).alias(c) for c in ("avg", "std", "background", "frame")])
 
 
 @query("n19_mask", _I + _RS + f" SELECT img, {_T.format(v=f'CASE WHEN {_SPH} THEN v ELSE bg END')} FROM images JOIN rs USING (img) GROUP BY img")
@@ -230,9 +233,9 @@ def n20(spark, sf):
     return total(joined.withColumn("v", F.greatest(F.least(scaled, F.lit(255.0)), F.lit(0.0))), ["img"])
 
 
-@query("n21_rescale_least_squares", _P2 + f", b AS (SELECT run, px // 4 AS bx, py // 4 AS by_, avg(v1) AS v1, avg(v2) AS v2 FROM pairs GROUP BY ALL), f AS (SELECT run, regr_slope(v1, v2) AS slope, regr_intercept(v1, v2) AS off FROM b GROUP BY run) SELECT run, round(sum((off + slope * v2) * (1 + px * 8 + py)), 4) + 0.0 AS total FROM pairs JOIN f USING (run) GROUP BY run")
+@query("n21_rescale_least_squares", _P2 + f", b AS (SELECT run, px // 4 AS bx, py // 4 AS by_, avg(v1) AS v1, avg(v2) AS v2 FROM pairs WHERE {_SPH} GROUP BY ALL), f AS (SELECT run, regr_slope(v1, v2) AS slope, regr_intercept(v1, v2) AS off FROM b GROUP BY run) SELECT run, round(sum((off + slope * v2) * (1 + px * 8 + py)), 4) + 0.0 AS total FROM pairs JOIN f USING (run) GROUP BY run")
 def n21(spark, sf):
-    return total(cv.rescale_ls(pairs(spark, sf), ["run"], ["px", "py"], 4), ["run"], digits=4)
+    return total(cv.rescale_ls(pairs(spark, sf), ["run"], ["px", "py"], 4, sphere(3)), ["run"], digits=4)
 
 
 @query("n22_bin_diluted", _I + " SELECT img, px // 3 AS px, py // 3 AS py, round(sum(v) / 9, 7) + 0.0 AS v FROM images GROUP BY ALL")
@@ -240,39 +243,63 @@ def n22(spark, sf):
     return io.bin_volume(images(spark, sf), ["img"], ["px", "py"], 3).withColumn("v", clean0(F.col("v"), 7))
 
 
-_VIEWS = "views AS (SELECT s_suppkey AS proj, cos(radians(-60 + s_suppkey * 15.0)) AS m00, sin(radians(-60 + s_suppkey * 15.0)) AS m02 FROM supplier WHERE s_suppkey < 9)"
+# a tilt series for each supplier, its x tilt and its steps from the key
+_VIEWS = """tilts AS (SELECT s_suppkey AS series, proj::INT AS proj, (CASE WHEN raw >= 0 THEN floor(raw + 0.5) ELSE ceil(raw - 0.5) END / 10) AS tilt, (s_suppkey % 5 - 2)::DOUBLE AS xtilt
+  FROM (SELECT s_suppkey, proj, (amin + proj * step) * 10 AS raw FROM (SELECT s_suppkey, amin, step, unnest(range(0, floor((60.0 - amin) / step + 0.5)::INT + 1)) AS proj FROM (SELECT s_suppkey, (-60 + s_suppkey % 20)::DOUBLE AS amin, (20 + s_suppkey % 4 * 5)::DOUBLE AS step FROM supplier)))),
+views AS (SELECT series, proj, cos(radians(tilt)) AS m00, -sin(radians(tilt)) * sin(radians(xtilt)) AS m01, -sin(radians(tilt)) * cos(radians(xtilt)) AS m02, 0.0::DOUBLE AS m10, cos(radians(xtilt)) AS m11, -sin(radians(xtilt)) AS m12, sin(radians(tilt)) AS m20, cos(radians(tilt)) * sin(radians(xtilt)) AS m21, cos(radians(tilt)) * cos(radians(xtilt)) AS m22 FROM tilts)"""
 
 
 def views(spark, sf):
-    tilts = table(spark, sf, "supplier").filter("s_suppkey < 9").select(F.col("s_suppkey").alias("proj"), (F.col("s_suppkey") * 15.0 - 60).alias("tilt"))
-    return cv.tilt_views(tilts).drop("tilt")
+    k = F.col("s_suppkey")
+    runs = table(spark, sf, "supplier").select(k.alias("series"), (k % 20 - 60).cast("double").alias("amin"), F.lit(60.0).alias("amax"), (k % 4 * 5 + 20).cast("double").alias("step"), (k % 5 - 2).cast("double").alias("xtilt"))
+    return cv.tilt_views(tilt_series(runs)).drop("tilt", "xtilt", "amin", "amax", "step")
 
 
-@query("n23_reproject", f"""WITH {VOXELS_SQL}, {_VIEWS}, a AS (SELECT vol_id, proj, y, v, (x - 1.5) * m00 + (z - 1.5) * m02 + 1.5 AS pos FROM voxels, views),
-s AS (SELECT vol_id, proj, floor(pos)::INT AS px, y, v, 1 - (pos - floor(pos)) AS w FROM a UNION ALL SELECT vol_id, proj, floor(pos)::INT + 1, y, v, pos - floor(pos) FROM a)
-SELECT vol_id, proj, px, y AS py, round(sum(v * w) / sum(w), 5) + 0.0 AS v FROM s WHERE w > 1e-9 AND px BETWEEN 0 AND 3 GROUP BY ALL""")
+def of_series(df, key, spark, sf):
+    """``series`` of each row, dealt over all suppliers."""
+    n = table(spark, sf, "supplier").agg(F.count(F.lit(1)).alias("n_series"))  # one row
+    return df.crossJoin(F.broadcast(n)).withColumn("series", F.col(key) % F.col("n_series")).drop("n_series")
+
+
+@query("n23_reproject", f"""WITH {VOXELS_SQL}, {_VIEWS}, n AS (SELECT count(*) AS n FROM supplier), a AS (SELECT vol_id, proj, v - 0.5 AS v, (x - 1.5) * m00 + (y - 1.5) * m01 + (z - 1.5) * m02 + 1.5 AS ax, (x - 1.5) * m10 + (y - 1.5) * m11 + (z - 1.5) * m12 + 1.5 AS ay FROM voxels JOIN n ON true JOIN views ON series = vol_id % n WHERE z >= 1),
+l AS (SELECT * FROM a WHERE floor(ax) BETWEEN 0 AND 3 AND floor(ay) BETWEEN 0 AND 3),
+s AS (SELECT vol_id, proj, v, (floor(ax) + i)::INT AS px, (floor(ay) + j)::INT AS py, CASE i WHEN 0 THEN 1 - (ax - floor(ax)) ELSE ax - floor(ax) END * CASE j WHEN 0 THEN 1 - (ay - floor(ay)) ELSE ay - floor(ay) END AS w FROM l, (SELECT unnest([0, 1]) AS i) p, (SELECT unnest([0, 1]) AS j) q)
+SELECT vol_id, proj, px, py, round(sum(v * w) / sum(w) + 0.5, 5) + 0.0 AS v FROM s WHERE w > 1e-12 AND px < 4 AND py < 4 GROUP BY ALL""")
 def n23(spark, sf):
-    return cv.reproject(voxels(spark, sf), views(spark, sf), ["vol_id"], 1.5, 4).withColumn("v", clean0(F.col("v"), 5))
+    volumes = of_series(voxels(spark, sf), "vol_id", spark, sf)
+    return cv.reproject(volumes, views(spark, sf), ["vol_id"], (1.5, 1.5, 1.5), (4, 4), F.col("z") >= 1, 0.5).withColumn("v", clean0(F.col("v"), 5))
 
 
-@query("n24_project_points", f"WITH {_VIEWS} SELECT o_orderkey, proj, round((o_orderkey % 100 - 50) * m00 + (o_custkey % 60 - 50) * m02 + 50, 6) AS px, (o_orderkey % 70)::DOUBLE AS py FROM orders, views")
+@query("n24_project_points", f"""WITH {_VIEWS}, p AS (SELECT l_suppkey AS series, l_orderkey % 100 AS x, l_partkey % 70 AS y, l_linenumber * 8 AS z FROM lineitem)
+SELECT series, proj, count(*) AS n, round(sum((x - 50) * m00 + (y - 35) * m01 + (z - 30) * m02 + 50), 3) + 0.0 AS px, round(sum((x - 50) * m10 + (y - 35) * m11 + (z - 30) * m12 + 35), 3) + 0.0 AS py FROM p JOIN views USING (series) GROUP BY ALL""")
 def n24(spark, sf):
-    k = F.col("o_orderkey")
-    points = table(spark, sf, "orders").select(k, (k % 100).alias("x"), (k % 70).alias("y"), (F.col("o_custkey") % 60).alias("z"), F.lit(0).alias("series"))
-    seen = cv.project_points(points, F.broadcast(views(spark, sf).withColumn("series", F.lit(0))), 50.0)  # nine views
-    return seen.select("o_orderkey", "proj", F.round("px", 6).alias("px"), "py")
+    points = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("series"), (F.col("l_orderkey") % 100).alias("x"), (F.col("l_partkey") % 70).alias("y"), (F.col("l_linenumber") * 8).alias("z"))
+    seen = cv.project_points(points, views(spark, sf), (50.0, 35.0, 30.0))
+    return seen.groupBy("series", "proj").agg(F.count(F.lit(1)).alias("n"), clean0(F.sum("px"), 3).alias("px"), clean0(F.sum("py"), 3).alias("py"))
+
 
+_M = [f"m{i}{j}" for i in range(3) for j in range(3)]
 
-@query("n25_tilt_views", f"WITH {_VIEWS} SELECT proj, round(m00, 8) + 0.0 AS m00, round(m02, 8) + 0.0 AS m02 FROM views")
+
+@query("n25_tilt_views", f"WITH {_VIEWS} SELECT series, proj, " + ", ".join(f"round({m}, 8) + 0.0 AS {m}" for m in _M) + " FROM views")
 def n25(spark, sf):
-    return views(spark, sf).select("proj", clean0(F.col("m00"), 8).alias("m00"), clean0(F.col("m02"), 8).alias("m02"))
+    return views(spark, sf).select("series", "proj", *[clean0(F.col(m), 8).alias(m) for m in _M])
+
+
+_GEN = [(f"m0{k} * {n - 1}", f"m1{k} * {n - 1}") for k, n in enumerate((5, 4, 3))]
+_FOOT = " AND ".join(f"abs((py - my) * {gx} - (px - mx) * {gy}) <= (" + " + ".join(f"abs({ey} * {gx} - {ex} * {gy})" for ex, ey in _GEN) + ") / 2 + 1e-6" for gx, gy in _GEN)
 
 
-@query("n26_footprint", f"WITH {VOXELS_SQL}, {_VIEWS} SELECT DISTINCT proj, round_even(round((x - 1.5) * m00 + (z - 1.5) * m02 + 1.5, 6), 0)::INT AS px, y AS py FROM voxels, views WHERE x BETWEEN 1 AND 2 AND z BETWEEN 1 AND 3 AND vol_id < 100")
+@query("n26_footprint", f"""WITH {_VIEWS}, g AS (SELECT *, (4 - 5.5) * m00 + (4.5 - 5.5) * m01 + (6 - 5.5) * m02 + 5.5 AS mx, (4 - 5.5) * m10 + (4.5 - 5.5) * m11 + (6 - 5.5) * m12 + 5.5 AS my, px, py FROM views, (SELECT unnest(range(12)) AS px) a, (SELECT unnest(range(12)) AS py) b)
+SELECT series, proj, px::INT AS px, py::INT AS py FROM g WHERE {_FOOT}""")
 def n26(spark, sf):
-    region = voxels(spark, sf).filter("x between 1 and 2 and z between 1 and 3 and vol_id < 100").select("z", "x", "y").distinct()
-    seen = cv.project_points(region.withColumn("series", F.lit(0)), F.broadcast(views(spark, sf).withColumn("series", F.lit(0))), 1.5)
-    return seen.select("proj", F.rint(F.round("px", 6)).cast("int").alias("px"), F.col("y").alias("py")).distinct()
+    return cv.box_footprint(views(spark, sf), (2, 3, 5), (5, 4, 3), (5.5, 5.5, 5.5), (12, 12)).select("series", "proj", "px", "py")
+
+
+@query("n26_sphere_footprint", f"""WITH {_VIEWS}, g AS (SELECT *, (4 - 5.5) * m00 + (4.5 - 5.5) * m01 + (6 - 5.5) * m02 + 5.5 AS mx, (4 - 5.5) * m10 + (4.5 - 5.5) * m11 + (6 - 5.5) * m12 + 5.5 AS my, px, py FROM views, (SELECT unnest(range(12)) AS px) a, (SELECT unnest(range(12)) AS py) b)
+SELECT series, proj, px::INT AS px, py::INT AS py FROM g WHERE (px - mx) ** 2 + (py - my) ** 2 <= 6.25 + 1e-6""")
+def n26_sphere(spark, sf):
+    return cv.sphere_footprint(views(spark, sf), (4, 4.5, 6), 2.5, (5.5, 5.5, 5.5), (12, 12)).select("series", "proj", "px", "py")
 
 
 @query("n27_log_intensity", f"{_I} SELECT img, {_T.format(v='ln(v + 1.5)')} FROM images GROUP BY img")
@@ -281,19 +308,28 @@ def n27(spark, sf):
     return total(images(spark, sf).withColumn("v", F.when(base > 0, F.ln(base)).otherwise(F.raise_error(F.lit("the logarithm needs positive values")))), ["img"])
 
 
-@query("n28_bead_score", f"{_I}, sc AS (SELECT a.img, a.px, a.py, -sum(b.v) AS v FROM images a JOIN images b ON a.img = b.img AND abs(a.px - b.px) <= 1 AND abs(a.py - b.py) <= 1 GROUP BY ALL), st AS (SELECT img, avg(v) + 2 * stddev_pop(v) AS cut FROM sc GROUP BY img) SELECT sc.img, px, py, round(v, 6) + 0.0 AS v FROM sc JOIN st USING (img) WHERE v >= cut")
+_BALL = "SELECT unnest([-1, 0, 0, 0, 0, 0, 1]) AS oz, unnest([0, -1, 0, 0, 0, 1, 0]) AS ox, unnest([0, 0, -1, 0, 1, 0, 0]) AS oy"
+
+
+# a ball of diameter 2 has the centre and its six neighbours; the transform of minus it, without the wedge, times that of the volume
+@query("n28_bead_score", _PLAIN + f""", ball AS ({_BALL}), tmpl AS (SELECT kz, kx, ky, CASE WHEN {_WEDGE} THEN 0 ELSE sum(-cos(2 * pi() * (kz * oz + kx * ox + ky * oy) / 4)) END AS t FROM freq, ball GROUP BY kz, kx, ky),
+prod AS (SELECT vol_id, kz, kx, ky, re * t AS re, im * t AS im FROM ft JOIN tmpl USING (kz, kx, ky)),
+sc AS (SELECT p.vol_id, v.z, v.x, v.y, sum(re * cos(2 * pi() * (kz * z + kx * x + ky * y) / 4) - im * sin(2 * pi() * (kz * z + kx * x + ky * y) / 4)) / 64 AS v FROM prod p, (SELECT a.i::INT AS z, b.i::INT AS x, c.i::INT AS y FROM range(4) a(i), range(4) b(i), range(4) c(i)) v GROUP BY ALL),
+st AS (SELECT vol_id, avg(v) + 2 * stddev_pop(v) AS cut FROM sc GROUP BY vol_id) SELECT sc.vol_id, z, x, y, round(v, 5) + 0.0 AS v FROM sc JOIN st USING (vol_id) WHERE v > cut""")
 def n28(spark, sf):
-    df = images(spark, sf)
-    spread = df.withColumn("px", F.explode(F.sequence(F.col("px") - 1, F.col("px") + 1))).withColumn("py", F.explode(F.sequence(F.col("py") - 1, F.col("py") + 1)))
-    score = spread.filter("px between 0 and 7 and py between 0 and 7").groupBy("img", "px", "py").agg((-F.sum("v")).alias("v"))
-    cut = score.groupBy("img").agg((F.avg("v") + 2 * F.stddev_pop("v")).alias("cut"))
-    return score.join(cut, "img").filter("v >= cut").select("img", "px", "py", clean0(F.col("v"), 6).alias("v"))
+    volumes = table(spark, sf, "embeddings").withColumnRenamed("vec_id", "vol_id")
+    made = cv.bead_score(volumes, "vol_id", "embedding", (4, 4, 4), 2.0, _WEDGE_RANGE)
+    flat = made.select("vol_id", F.posexplode("score").alias("i", "v"))
+    i = F.col("i")
+    score = flat.select("vol_id", F.floor(i / 16).cast("int").alias("z"), (F.floor(i / 4) % 4).cast("int").alias("x"), (i % 4).cast("int").alias("y"), "v")
+    return cv.above_deviation(score, ["vol_id"], 2.0).withColumn("v", clean0(F.col("v"), 5))
 
 
-@query("n29_peaks", f"""{_I}, tops AS (SELECT img, px // 3 AS tx, py // 3 AS ty, max(v) AS v FROM images WHERE v >= 0.05 GROUP BY ALL), p AS (SELECT t.img, i.px, i.py, t.v FROM tops t JOIN images i ON i.img = t.img AND i.v = t.v AND i.px // 3 = tx AND i.py // 3 = ty)
-SELECT img, px, py, round(v, 7) AS v FROM p WHERE NOT EXISTS (SELECT 1 FROM p q WHERE q.img = p.img AND (q.px - p.px) ** 2 + (q.py - p.py) ** 2 < 9 AND q.v > p.v)""")
+# tiles of 2 x 2 from place 2 to place 5 of each axis
+@query("n29_peaks", f"""{_I}, tops AS (SELECT img, px // 2 AS tx, py // 2 AS ty, max(v) AS v FROM images WHERE v > 0.05 AND px BETWEEN 2 AND 5 AND py BETWEEN 2 AND 5 GROUP BY ALL), p AS (SELECT t.img, i.px, i.py, t.v FROM tops t JOIN images i ON i.img = t.img AND i.v = t.v AND i.px // 2 = tx AND i.py // 2 = ty)
+SELECT img, px, py, round(v, 7) AS v FROM p WHERE NOT EXISTS (SELECT 1 FROM p q WHERE q.img = p.img AND (q.px - p.px) ** 2 + (q.py - p.py) ** 2 < 4 AND q.v > p.v)""")
 def n29(spark, sf):
-    return cv.pick_peaks(images(spark, sf), ["img"], ["px", "py"], 3, F.lit(0.05)).select("img", "px", "py", F.round("v", 7).alias("v"))
+    return cv.pick_peaks(images(spark, sf), ["img"], {"px": 8, "py": 8}, 2, F.lit(0.05)).select("img", "px", "py", F.round("v", 7).alias("v"))
 
 
 @query("n30_unbin", "SELECT o_orderkey, (o_orderkey % 100) * f + (f - 1) / 2 AS x FROM (SELECT *, greatest(o_custkey % 12 // 3, 1) AS f FROM orders)")
@@ -310,7 +346,7 @@ def centres(spark, sf):
     return ids.select("img", "bead", ((F.col("img") * 3 + F.col("bead") * 4) % 8).cast("int").alias("cx"), ((F.col("img") * 5 + F.col("bead") * 3) % 8).cast("int").alias("cy"))
 
 
-_RING = f"{_I}, {_C}, d AS (SELECT i.img, bead, px, py, v, (px - cx) ** 2 + (py - cy) ** 2 AS d2 FROM images i JOIN centres c ON i.img = c.img), rings AS (SELECT img, bead, avg(v) AS mean, stddev_pop(v) AS std, count(*) AS n FROM d WHERE d2 BETWEEN 4 AND 16 GROUP BY ALL)"
+_RING = f"{_I}, {_C}, d AS (SELECT i.img, bead, px, py, v, (px - cx) ** 2 + (py - cy) ** 2 AS d2 FROM images i JOIN centres c ON i.img = c.img), rings AS (SELECT img, bead, avg(v) AS mean, stddev_pop(v) AS std, count(*) AS n FROM d WHERE d2 >= 4 AND d2 < 16 GROUP BY ALL)"
 
 
 @query("n31_ring_stats", _RING + " SELECT img, bead, round(mean, 7) + 0.0 AS mean, round(std, 7) AS std, n FROM rings")
@@ -318,58 +354,74 @@ def n31(spark, sf):
     return cv.ring_stats(images(spark, sf), centres(spark, sf), ["img"], 2).select("img", "bead", clean0(F.col("mean"), 7).alias("mean"), F.round("std", 7).alias("std"), "n")
 
 
-@query("n32_erase_beads", _RING + f", fill AS (SELECT d.img, px, py, arg_max(mean, d.bead) AS fill FROM d JOIN rings USING (img, bead) WHERE d2 <= 4 GROUP BY ALL) SELECT i.img, round(sum(coalesce(fill, v) * (1 + i.px * 8 + i.py)), 6) + 0.0 AS total FROM images i LEFT JOIN fill f ON f.img = i.img AND f.px = i.px AND f.py = i.py GROUP BY i.img")
+@query("n32_erase_beads", _RING + f", fill AS (SELECT d.img, px, py, arg_max(mean, d.bead) AS fill FROM d JOIN rings USING (img, bead) WHERE d2 < 5.76 GROUP BY ALL) SELECT i.img, round(sum(coalesce(fill, v) * (1 + i.px * 8 + i.py)), 6) + 0.0 AS total FROM images i LEFT JOIN fill f ON f.img = i.img AND f.px = i.px AND f.py = i.py GROUP BY i.img")
 def n32(spark, sf):
     return total(cv.erase_beads(images(spark, sf), centres(spark, sf), ["img"], 2), ["img"])
 
 
-@query("n33_drop_and_swap", f"WITH {_CURVES} SELECT run, proj::INT AS proj, round(sum(value * s), 6) AS total FROM flat WHERE proj NOT IN (3, 8) GROUP BY ALL")
+@query("n33_drop_and_swap", f"WITH {_CURVES} SELECT run, proj::INT AS proj, round(sum(value * CASE WHEN run % 2 = 1 THEN idx % 8 ELSE idx // 8 END), 6) AS total FROM flat WHERE proj NOT IN (3, 8) GROUP BY ALL")
 def n33(spark, sf):
     gone = spark.createDataFrame([(3,), (8,)], "proj int")
-    return curves(spark, sf).join(F.broadcast(gone), "proj", "left_anti").groupBy("run", "proj").agg(F.round(F.sum(F.col("value") * F.col("s")), 6).alias("total"))
+    placed = curves(spark, sf).withColumn("px", F.floor(F.col("idx") / 8).cast("int")).withColumn("py", F.col("idx") % 8)
+    out = cv.drop_excluded(placed, gone, swap=F.col("run") % 2 == 1)
+    return out.groupBy("run", "proj").agg(F.round(F.sum(F.col("value") * F.col("px")), 6).alias("total"))
 
 
 @query("n34_count_check", f"WITH {_CURVES} SELECT run, count(DISTINCT proj) AS n_proj, count(DISTINCT tilt) AS n_tilt, count(DISTINCT proj) = count(DISTINCT tilt) AS consistent FROM flat GROUP BY run")
 def n34(spark, sf):
-    counts = curves(spark, sf).groupBy("run").agg(F.count_distinct("proj").alias("n_proj"), F.count_distinct("tilt").alias("n_tilt"))
-    return counts.withColumn("consistent", F.col("n_proj") == F.col("n_tilt"))
+    flat = curves(spark, sf)
+    return cv.assert_counts(flat.select("run", "proj"), flat.select("run", "tilt").distinct(), ["run"]).select("run", "n_proj", "n_tilt", F.lit(True).alias("consistent"))
+
 
+# images 3k, 3k + 1 and 3k + 2: input, miss and full; the first two rescaled to the third within a circle
+_MASKED = f"""{_I}, st AS (SELECT img, avg(v) FILTER ({_SPH}) AS m, stddev_pop(v) FILTER ({_SPH}) AS sd, avg(v) FILTER (NOT {_SPH}) AS bg FROM images GROUP BY img),
+ready AS (SELECT i.img, px, py, CASE WHEN NOT {_SPH} THEN f.bg WHEN i.img % 3 = 2 THEN v ELSE (v - s.m) / s.sd * f.sd + f.m END AS v FROM images i JOIN st s ON s.img = i.img JOIN st f ON f.img = i.img // 3 * 3 + 2)"""
+_DRIVER = _MASKED + _TRI.replace(_I, "", 1).replace("any_value(label) AS label, ", "").replace("FROM images, ks", "FROM ready, ks")
 
-_DRIVER = _TRI.replace("FROM images, ks", "FROM (SELECT img, label, px, py, (CASE WHEN " + _SPH + " THEN v ELSE bg END - m) / sd AS v FROM images JOIN rs USING (img)) images, ks").replace(", ks AS (", _RS + ", ks AS (", 1)
+
+def disc(n=8, c=4, r=3):
+    x, y = np.mgrid[0:n, 0:n] - c
+    return x * x + y * y <= r * r
 
 
 @query("n35_cross_validation_driver", _DRIVER + f", g AS (SELECT proj % 10 AS run, idx, sum(cm) AS cm, sum(mm) AS mm, sum(cf) AS cf, sum(ff) AS ff FROM sums GROUP BY ALL) SELECT run, idx, round({_RATIO.format(low=0)}, 2) + 0.0 AS value FROM g")
 def n35(spark, sf):
-    """Mask, rescale, transform, sums by projection, ratio over all of a run."""
-    from ..operators.fourier import dft
+    return cv.nloo3d(validated(spark, sf).withColumn("run", F.col("proj") % 10), ["run"]).select("run", "idx", clean0(F.col("value"), 2).alias("value"))
 
-    df = images(spark, sf)
-    joined = df.join(cv.region_stats(df, ["img"], sphere(3)), "img")
-    ready = joined.withColumn("v", (F.when(sphere(3), F.col("v")).otherwise(F.col("background")) - F.col("avg")) / F.col("std")).withColumnsRenamed({"px": "dx", "py": "dy"})
-    ft = dft(ready, ["img"], [("x", 8), ("y", 8)])
-    side = F.col("img") % 3
-    three = ft.groupBy(F.floor(F.col("img") / 3).alias("proj"), "kx", "ky").agg(*[F.max(F.when(side == i, F.col(c))).alias(f"{c}{i}") for i in range(3) for c in ("re", "im")], F.count(F.lit(1)).alias("n")).filter("n = 3")
-    sums = cv.nloo2d_sums(three, ["proj"], radius("kx", "ky")).withColumn("run", F.col("proj") % 10)
-    return cv.nloo3d(sums, ["run"]).select("run", "idx", clean0(F.col("value"), 2).alias("value"))
 
+def validated(spark, sf):
+    three = arrays(spark, sf, 3).withColumnsRenamed({"run": "proj", "v1": "input", "v2": "miss", "v3": "full"})
+    return cv.cross_validate(three, (8, 8), disc())
+
+
+@query("n35_projection_table", _DRIVER + f", c AS (SELECT proj, idx, idx / 8 AS s, round({_RATIO.format(low=0)}, 6) AS value FROM sums), steps_ AS (SELECT *, lag(value) OVER (PARTITION BY proj ORDER BY idx) AS v0, lag(s) OVER (PARTITION BY proj ORDER BY idx) AS s0 FROM c) SELECT proj, round(coalesce(1 / arg_max(s0 + (s - s0) * (v0 - 0.3) / (v0 - value), idx) FILTER (v0 >= 0.3 AND value < 0.3), 0), 2) AS res FROM steps_ GROUP BY proj")
+def n35_table(spark, sf):
+    curve = cv.nloo_ratio(validated(spark, sf)).select("proj", "idx", (F.col("idx") / 8).alias("s"), F.round("value", 6).alias("value"))
+    return cv.last_crossings(curve, ["proj"], [0.3]).select("proj", F.round("res", 2).alias("res"))
 
-@query("n36_even_odd_driver", _FSC.replace("FROM (SELECT *, 1 AS w FROM voxels)", "FROM (SELECT voxels.*, 1 / sd AS w FROM voxels JOIN (SELECT vol_id, stddev_pop(v) AS sd FROM voxels GROUP BY vol_id) USING (vol_id))") + ", c AS (SELECT run, idx, value AS raw, idx / 4 AS s, CASE WHEN idx = 0 THEN 1 ELSE 2 * value / (value + 1) END AS value FROM q), st AS (SELECT *, lag(value) OVER (PARTITION BY run ORDER BY idx) AS v0, lag(s) OVER (PARTITION BY run ORDER BY idx) AS s0 FROM c) SELECT run, round(coalesce(1 / arg_max(s0 + (s - s0) * (v0 - 0.3) / (v0 - value), idx) FILTER (v0 >= 0.3 AND value < 0.3), 0), 3) AS res FROM st GROUP BY run")
-def n36(spark, sf):
-    """Rescaled halves, correlation of the whole from that of the halves, last crossing."""
-    from ..operators.fourier import dft
-    from .fourier import AXES, tiles
 
-    df = tiles(spark, sf)
-    scaled = io.with_stats(df, ["vol_id"]).withColumn("v", F.col("v") / F.col("std"))
-    ft = halves(dft(scaled, ["vol_id"], AXES), "vol_id", ["kz", "kx", "ky"])
-    curve = cv.fsc_physical(ft, ["run"], radius("kz", "kx", "ky"), even_odd=True).withColumn("s", F.col("idx") / 4)
-    return cv.last_crossings(curve, ["run"], [0.3]).select("run", F.round("res", 3).alias("res"))
+_BALL3 = "(z - 2) ** 2 + (x - 2) ** 2 + (y - 2) ** 2"
+# v1 rescaled to v2 in a ball of radius 2, both with an edge of 0.3 at its border
+_HALVES = _PLAIN.replace("FROM (SELECT *, 1 AS w FROM voxels)", f"""FROM (SELECT i.vol_id, z, x, y, 1 AS w, CASE WHEN {_BALL3} > 4 THEN l.bg ELSE (CASE WHEN i.vol_id % 2 = 1 THEN v ELSE (v - s.m) / s.sd * l.sd + l.m END - l.bg) * CASE WHEN 2 - sqrt({_BALL3}) < 0.3 THEN 0.5 - 0.5 * cos(pi() * (2 - sqrt({_BALL3})) / 0.3) ELSE 1 END + l.bg END AS v
+  FROM voxels i JOIN hs s ON s.vol_id = i.vol_id JOIN hs l ON l.vol_id = i.vol_id // 2 * 2 + 1)""").replace(", ks AS", f", hs AS (SELECT vol_id, avg(v) FILTER ({_BALL3} <= 4) AS m, stddev_pop(v) FILTER ({_BALL3} <= 4) AS sd, avg(v) FILTER ({_BALL3} > 4) AS bg FROM voxels GROUP BY vol_id), ks AS", 1)
+_EVEN_ODD = _HALVES + _shelled(_R).replace("{src}", f"(SELECT * FROM fts WHERE NOT ({_WEDGE}))") + ", p AS (SELECT run, idx::INT AS idx, sum(re1 * re2 + im1 * im2) AS c, sum(re1 ** 2 + im1 ** 2) AS c1, sum(re2 ** 2 + im2 ** 2) AS c2 FROM e GROUP BY ALL), q AS (SELECT run, idx, CASE WHEN idx = 0 THEN 1 ELSE greatest(least(coalesce(c / nullif(sqrt(c1 * c2), 0), 0), 1), 0) END AS value FROM p)"
+
+
+@query("n36_even_odd_driver", _EVEN_ODD + ", c AS (SELECT run, idx, idx / 4 AS s, round(CASE WHEN idx = 0 THEN 1 ELSE 2 * value / (value + 1) END, 6) AS value FROM q), st AS (SELECT *, lag(value) OVER (PARTITION BY run ORDER BY idx) AS v0, lag(s) OVER (PARTITION BY run ORDER BY idx) AS s0 FROM c) SELECT run, round(coalesce(1 / arg_max(s0 + (s - s0) * (v0 - 0.3) / (v0 - value), idx) FILTER (v0 >= 0.3 AND value < 0.3), 0), 2) AS res FROM st GROUP BY run")
+def n36(spark, sf):
+    """Rescaled halves with an edge, correlation of the whole from that of the halves without the wedge, last crossing."""
+    z, x, y = np.mgrid[0:4, 0:4, 0:4] - 2
+    r = np.sqrt(z * z + x * x + y * y)
+    edge = (2 - r, cv.taper_size((2.0,), radius=True))
+    curve = cv.even_odd_resolution(arrays(spark, sf), "run", (4, 4, 4), r <= 2, edge, _WEDGE_RANGE)
+    curve = curve.select("run", "idx", (F.col("idx") / 4).alias("s"), F.round("value", 6).alias("value"))
+    return cv.last_crossings(curve, ["run"], [0.3]).select("run", F.round("res", 2).alias("res"))
 
 
 @query("n37_resolution_limit", "SELECT p_partkey, coalesce(CASE WHEN p_size % 3 = 0 THEN p_size::DOUBLE END, p_retailprice / (p_size + 1)) AS res FROM part")
 def n37(spark, sf):
     option = F.when(F.col("p_size") % 3 == 0, F.col("p_size").cast("double"))
-    return table(spark, sf, "part").select("p_partkey", F.coalesce(option, F.col("p_retailprice") / (F.col("p_size") + 1)).alias("res"))
+    return table(spark, sf, "part").select("p_partkey", cv.resolution_limit(option, F.col("p_retailprice"), F.col("p_size") + 1).alias("res"))
 
 
 @query("n38_fill_ratio", f"{_I} SELECT img, round(count(*) FILTER ({_SPH}) / count(*), 6) AS ratio FROM images GROUP BY img")

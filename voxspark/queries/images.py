@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import imageops as io
-from .fourier import _PLAIN, clean0, halves, pairs_ft
+from ..operators.fourier import fft_kernel, frequencies
+from .fourier import _PLAIN, AXES, arrays, clean0, halves, pairs_ft
 from .proxies import IMAGES_SQL, VOXELS_SQL, images, voxels
 from .registry import query, table
 
@@ -55,19 +56,19 @@ def v01(spark, sf):
 both("v02_add_scaled", "v1 + v2 * 1.5 + 0.25", lambda v1, v2: v1 + v2 * 1.5 + 0.25)
 
 
-@query("v03_weighted_sum", _I + ", w AS (SELECT label, px, py, sum(v * (1 + img % 3)) AS s, sum(v * v * (1 + img % 3)) AS q, sum(1 + img % 3) AS w FROM images GROUP BY ALL) SELECT label, px, py, round(s, 6) + 0.0 AS v, round(sqrt(greatest(q / w - (s / w) ** 2, 0)), 6) AS sd FROM w")
+@query("v03_weighted_sum", _S + ", w AS (SELECT label, px, py, sum((v - m) / sd * (1 + img % 3)) AS s, sum(((v - m) / sd) ** 2 * (1 + img % 3)) AS q, sum(1 + img % 3) AS w FROM s GROUP BY ALL) SELECT label, px, py, round(s, 5) + 0.0 AS v, round(sqrt(greatest(q / w - (s / w) ** 2, 0)), 5) AS sd FROM w")
 def v03(spark, sf):
     weighted = images(spark, sf).withColumn("w", F.col("img") % 3 + 1)
-    out = io.weighted_sum(weighted, ["label", "px", "py"], "w")
-    return out.select("label", "px", "py", clean0(F.col("v"), 6).alias("v"), F.round("sd", 6).alias("sd"))
+    out = io.weighted_sum(weighted, ["label", "px", "py"], "w", ["img"])
+    return out.select("label", "px", "py", clean0(F.col("v"), 5).alias("v"), F.round("sd", 5).alias("sd"))
 
 
-@query("v04_place_small", _P + f" SELECT run, {_T.format(v='CASE WHEN (px - 4) ** 2 + (py - 4) ** 2 <= 9 THEN least(v1, v2) ELSE v1 END')} FROM pairs GROUP BY run")
+@query("v04_place_small", _P + f", m AS (SELECT a.run, a.px, a.py, CASE WHEN (a.px - 4) ** 2 + (a.py - 4) ** 2 <= 9 THEN least(a.v1, coalesce(b.v2, a.v1)) ELSE a.v1 END AS v FROM pairs a LEFT JOIN pairs b ON a.run = b.run AND b.px + 2 = a.px AND b.py + 3 = a.py AND b.px < 4 AND b.py < 4) SELECT run, {_T.format(v='v')} FROM m GROUP BY run")
 def v04(spark, sf):
     p = pairs(spark, sf)
     inside = (F.col("px") - 4) * (F.col("px") - 4) + (F.col("py") - 4) * (F.col("py") - 4) <= 9
-    small = p.filter("(px - 4) * (px - 4) + (py - 4) * (py - 4) <= 9").select("run", "px", "py", F.col("v2").alias("v"))
-    return total(io.place_small(p.select("run", "px", "py", F.col("v1").alias("v")), small, ["run", "px", "py"], inside), RUN)
+    small = p.filter("px < 4 and py < 4").select("run", "px", "py", F.col("v2").alias("v"))
+    return total(io.place_small(p.select("run", "px", "py", F.col("v1").alias("v")), small, ["run", "px", "py"], inside, {"px": 2, "py": 3}), RUN)
 
 
 both("v05_multiply_scaled", "v1 * (v2 * 2 + 0.5)", lambda v1, v2: v1 * (v2 * 2 + 0.5))
@@ -86,9 +87,24 @@ def v07(spark, sf):
     return fitted(io.linear_fit(pairs(spark, sf), RUN))
 
 
-@query("v07_robust_fit", _P + ", f AS (" + _FIT.format(by="run", src="pairs") + "), o AS (SELECT pairs.*, abs(v2 - a - b * v1) AS off FROM pairs JOIN f USING (run)), c AS (SELECT run, quantile_cont(off, 0.9) AS cut FROM o GROUP BY run), k AS (SELECT o.* FROM o JOIN c USING (run) WHERE off <= cut), g AS (" + _FIT.format(by="run", src="k") + ") " + _FITTED + "g")
+def _best_fit_sql(steps):
+    """The fits with 0, 1, 2 ... % left out, one after the other; the best of them and its difference image."""
+    out = _P + ", k0 AS (SELECT *, true AS kept FROM pairs)"
+    for k in range(steps):
+        out += f""", f{k} AS (SELECT run, regr_slope(v2, v1) AS b, regr_intercept(v2, v1) AS a, count(*) AS n FROM k{k} WHERE kept GROUP BY run),
+o{k} AS (SELECT k{k}.*, a, b, n, a + b * v1 - v2 AS d FROM k{k} JOIN f{k} USING (run)),
+r{k} AS (SELECT run, any_value(a) AS a, any_value(b) AS b, any_value(n) AS n, sqrt(sum(d * d) FILTER (kept) / ((var_pop(v2) FILTER (kept)) * any_value(n))) AS r, max(abs(d)) AS top FROM o{k} GROUP BY run),
+b{k} AS (SELECT run, o{k}.v1, v2, px, py, d, top, least(floor(1000 * abs(d) / top), 999) AS bin, row_number() OVER (PARTITION BY run ORDER BY least(floor(1000 * abs(d) / top), 999) DESC) AS rank FROM o{k} JOIN r{k} USING (run)),
+c{k} AS (SELECT run, greatest({999 if k == 0 else f"max(bin) FILTER (rank = ceil(64 * {k} / 100))"}, 1) AS cut FROM b{k} GROUP BY run),
+k{k + 1} AS (SELECT run, px, py, v1, v2, abs(d) <= cut * top / 1000 AS kept FROM b{k} JOIN c{k} USING (run))"""
+    return out + ", fits AS (" + " UNION ALL ".join(f"SELECT {k} AS step, run, a, b, n, r FROM r{k}" for k in range(steps)) + "), best AS (SELECT run, arg_min(a, (r, step)) AS a, arg_min(b, (r, step)) AS b, min(r) AS r, 64 - arg_min(n, (r, step)) AS n_left_out FROM fits GROUP BY run)"
+
+
+@query("v07_robust_fit", _best_fit_sql(6) + f" SELECT run, round(any_value(a), 5) + 0.0 AS a, round(any_value(b), 5) + 0.0 AS b, round(any_value(r), 5) AS r, any_value(n_left_out) AS n_left_out, round(sum((a + b * v1 - v2) * (1 + px * 8 + py)), 3) + 0.0 AS total FROM best JOIN pairs USING (run) GROUP BY run")
 def v07_robust(spark, sf):
-    return fitted(io.robust_fit(pairs(spark, sf), RUN, 10))
+    fit = io.robust_fit(arrays(spark, sf), "run", 0.05)
+    weighted = F.aggregate(F.transform("difference", lambda v, i: v * (i + 1)), F.lit(0.0), lambda s, v: s + v)
+    return fit.select("run", clean0(F.col("a"), 5).alias("a"), clean0(F.col("b"), 5).alias("b"), F.round("r", 5).alias("r"), "n_left_out", clean0(weighted, 3).alias("total"))
 
 
 @query("v08_r_factor", _P + " SELECT run, round(sum(abs(v1 - v2)) / sum(abs(v1)), 7) AS r FROM pairs GROUP BY run")
@@ -113,12 +129,17 @@ def v10(spark, sf):
 both("v11_correlation_image", "(v1 - 0.1) * (v2 + 0.2)", lambda v1, v2: (v1 - 0.1) * (v2 + 0.2))
 
 
-@query("v12_histogram_match", _P + """, h AS (SELECT run, s, least(greatest(floor((v + 1) / 2 * 16), 0), 15)::INT AS bin FROM (SELECT run, 1 AS s, v1 AS v FROM pairs UNION ALL SELECT run, 2, v2 FROM pairs)),
-c AS (SELECT run, s, bin, sum(count(*)) OVER (PARTITION BY run, s ORDER BY bin) AS upto FROM h GROUP BY run, s, bin)
-SELECT a.run, a.bin, min(b.bin) AS mapped FROM c a JOIN c b ON a.run = b.run AND a.s = 1 AND b.s = 2 AND b.upto >= a.upto GROUP BY a.run, a.bin""")
+@query("v12_histogram_match", _P + f""", rg AS (SELECT run, min(v1) AS lo1, max(v1) AS hi1, min(v2) AS lo2, max(v2) AS hi2 FROM pairs GROUP BY run),
+pl AS (SELECT pairs.*, lo1, hi1, least(floor((v1 - lo1) * 16 / (hi1 - lo1)), 15)::INT AS b1, least(floor((v2 - lo2) * 16 / (hi2 - lo2)), 15)::INT AS b2 FROM pairs JOIN rg USING (run)),
+h AS (SELECT run, [count(*) FILTER (b1 >= i) FOR i IN range(0, 1)] AS x FROM pl GROUP BY run),
+ha AS (SELECT run, i, count(*) FILTER (b1 >= i) AS h1, count(*) FILTER (b2 >= i) AS h2 FROM pl, (SELECT unnest(range(17)) AS i) GROUP BY run, i),
+mp AS (SELECT a.run, a.i, greatest((SELECT count(*) FROM ha c WHERE c.run = a.run AND c.i < 16 AND c.h1 > a.h2) - 1, 0) AS m FROM ha a WHERE a.i < 16),
+ds AS (SELECT mp.run, mp.i, m, mp.i + coalesce((a.h2 - o.h1)::DOUBLE / nullif(CASE WHEN mp.i < 15 THEN o1.h1 - o.h1 - n1.h2 + a.h2 ELSE o.h1 - o0.h1 - a.h2 + n0.h2 END, 0), 0.5) AS place FROM mp
+  JOIN ha a ON a.run = mp.run AND a.i = mp.i JOIN ha o ON o.run = mp.run AND o.i = m JOIN ha o1 ON o1.run = mp.run AND o1.i = m + 1 JOIN ha n1 ON n1.run = mp.run AND n1.i = mp.i + 1
+  JOIN ha o0 ON o0.run = mp.run AND o0.i = greatest(m - 1, 0) JOIN ha n0 ON n0.run = mp.run AND n0.i = greatest(mp.i - 1, 0))
+SELECT run, {_T.format(v='(q.place * (hi1 - lo1) / 16 + lo1)')} FROM pl JOIN ds d USING (run) JOIN ds q USING (run) WHERE d.i = b2 AND q.i = d.m GROUP BY run""".replace("h AS (SELECT run, [count(*) FILTER (b1 >= i) FOR i IN range(0, 1)] AS x FROM pl GROUP BY run),\n", ""))
 def v12(spark, sf):
-    p = pairs(spark, sf)
-    return io.histogram_match(p.select("run", F.col("v1").alias("v")), p.select("run", F.col("v2").alias("v")), RUN, 16, -1.0, 1.0)
+    return total(io.histogram_match(pairs(spark, sf), RUN, 16), RUN)
 
 
 both("v13_mask_by_threshold", "CASE WHEN v2 > 0.05 THEN v1 ELSE 0 END", lambda v1, v2: F.when(v2 > 0.05, v1).otherwise(0.0))
@@ -169,26 +190,39 @@ complex_("v20_complex_product", lambda r1, i1, r2, i2: r1 * r2 + i1 * i2, lambda
 complex_("v20_amplitude_intensity", lambda r1, i1, r2, i2: F.hypot(r1, i1), lambda r1, i1, r2, i2: r2 * r2 + i2 * i2, _AB.format(a="sqrt(re1 * re1 + im1 * im1)", b="re2 * re2 + im2 * im2"))
 
 
+@query("v20_phases_polar", _PLAIN + " SELECT run, round(sum(sqrt(re1 ** 2 + im1 ** 2) * cos(atan2(im1, re1) + 0.5)) FILTER (ky >= 0), 3) + 0.0 AS re, round(sum(sqrt(re1 ** 2 + im1 ** 2) * sin(atan2(im1, re1) + 0.5)) FILTER (ky >= 0), 3) + 0.0 AS im FROM fts GROUP BY run")
+def v20_polar(spark, sf):
+    first = pairs_ft(spark, sf).filter("ky >= 0").withColumnsRenamed({"re1": "re", "im1": "im"})
+    turned = io.cartesian(io.polar(first).withColumn("phi", F.col("phi") + 0.5))
+    return turned.groupBy("run").agg(clean0(F.sum("re"), 3).alias("re"), clean0(F.sum("im"), 3).alias("im"))
+
+
+@query("v20_masked_product", _PLAIN + " SELECT run, round(sum(CASE WHEN kz * kz + kx * kx + ky * ky <= 2 THEN re1 * re2 + im1 * im2 ELSE 0 END), 4) + 0.0 AS re, round(sum(CASE WHEN kz * kz + kx * kx + ky * ky <= 2 THEN (im1 * re2 - re1 * im2) * (1 + kz) ELSE 0 END), 4) + 0.0 AS im FROM fts GROUP BY run")
+def v20_mask(spark, sf):
+    made = io.complex_product(pairs_ft(spark, sf), F.expr("kz * kz + kx * kx + ky * ky <= 2"))
+    return made.groupBy("run").agg(clean0(F.sum("re"), 4).alias("re"), clean0(F.sum(F.col("im") * (1 + F.col("kz"))), 4).alias("im"))
+
+
 @query("v22_cross_correlation_shift", f"""WITH {IMAGES_SQL}, p AS (SELECT a.img // 2 AS run, (b.px - a.px + 8) % 8 AS sx, (b.py - a.py + 8) % 8 AS sy, sum(a.v * b.v) AS c FROM images a JOIN images b ON b.img = a.img + 1 WHERE a.img % 2 = 0 GROUP BY ALL)
 SELECT run, arg_max(CASE WHEN sx > 4 THEN sx - 8 ELSE sx END, c)::INT AS sx, arg_max(CASE WHEN sy > 4 THEN sy - 8 ELSE sy END, c)::INT AS sy, round(max(c), 6) + 0.0 AS peak FROM p GROUP BY run""")
 def v22(spark, sf):
     from ..operators.crossval import best_shift
 
-    return best_shift(pairs(spark, sf), RUN, 8).select("run", "sx", "sy", clean0(F.col("peak"), 6).alias("peak"))
+    found = best_shift(arrays(spark, sf), "run", (8, 8))
+    # half a size to either side is the same shift
+    at = lambda i: F.when(F.get("shift", F.lit(i)) == -4, 4).otherwise(F.get("shift", F.lit(i))).cast("int")
+    return found.select("run", at(0).alias("sx"), at(1).alias("sy"), clean0(F.col("peak"), 6).alias("peak"))
 
 
 @query("v23_phase_difference", _PLAIN + ", d AS (SELECT *, sqrt((re1 ** 2 + im1 ** 2) * (re2 ** 2 + im2 ** 2)) AS n FROM fts WHERE kz ** 2 + kx ** 2 + ky ** 2 BETWEEN 1 AND 4) SELECT run, round(avg(acos(greatest(least((re1 * re2 + im1 * im2) / n, 1), -1))), 3) AS phase FROM d WHERE n > 1e-9 GROUP BY run")
 def v23(spark, sf):
-    n = F.sqrt((F.col("re1") * F.col("re1") + F.col("im1") * F.col("im1")) * (F.col("re2") * F.col("re2") + F.col("im2") * F.col("im2")))
-    band = pairs_ft(spark, sf).filter("kz * kz + kx * kx + ky * ky between 1 and 4").withColumn("n", n).filter("n > 1e-9")
-    cosine = F.greatest(F.least((F.col("re1") * F.col("re2") + F.col("im1") * F.col("im2")) / F.col("n"), F.lit(1.0)), F.lit(-1.0))
-    return band.groupBy("run").agg(F.round(F.avg(F.acos(cosine)), 3).alias("phase"))
+    band = pairs_ft(spark, sf).filter("kz * kz + kx * kx + ky * ky between 1 and 4")
+    return io.phase_difference(band).groupBy("run").agg(F.round(F.avg("phase"), 3).alias("phase"))
 
 
 @query("v24_extract_region", _I + f" SELECT img, {_T.format(v='v').replace('px', '(px - 2)').replace('py', '(py - 3)')} FROM images WHERE px BETWEEN 2 AND 5 AND py BETWEEN 3 AND 6 GROUP BY img")
 def v24(spark, sf):
-    cut = images(spark, sf).filter("px between 2 and 5 and py between 3 and 6")
-    return total(cut.withColumn("px", F.col("px") - 2).withColumn("py", F.col("py") - 3), ["img"])
+    return total(io.extract_region(images(spark, sf), {"px": (2, 4), "py": (3, 4)}), ["img"])
 
 
 @query("v25_median_bin", _I + " SELECT img, px // 2 AS px, py // 2 AS py, round(quantile_cont(v, 0.5), 7) + 0.0 AS v FROM images GROUP BY ALL")
@@ -196,6 +230,19 @@ def v25(spark, sf):
     return io.median_bin(images(spark, sf), ["img"], ["px", "py"], 2).withColumn("v", clean0(F.col("v"), 7))
 
 
+# places 0, 2, 4, 6 and 8 of the old grid would be the new ones' middles: sizes 3, the middles at 2, 4 and 6
+@query("v25_triangle_sample", _I + ", k AS (SELECT *, unnest([0, 1, 2]) AS kx FROM images), l AS (SELECT *, unnest([0, 1, 2]) AS ky FROM k) SELECT img, kx::INT AS px, ky::INT AS py, round(sum(v * (2 - abs(px - 2 - 2 * kx)) * (2 - abs(py - 2 - 2 * ky)) / 16), 7) + 0.0 AS v FROM l WHERE abs(px - 2 - 2 * kx) < 2 AND abs(py - 2 - 2 * ky) < 2 GROUP BY ALL")
+def v25_triangle(spark, sf):
+    return io.triangle_sample(images(spark, sf), ["img"], {"px": 8, "py": 8}, 2).select("img", "px", "py", clean0(F.col("v"), 7).alias("v"))
+
+
+@query("v26_rotate", _I + """, a AS (SELECT img, v, round((px - 3.5) * cos(radians(30)) - (py - 3.5) * sin(radians(30)) + 4, 9) AS ax, round((px - 3.5) * sin(radians(30)) + (py - 3.5) * cos(radians(30)) + 3.5, 9) AS ay FROM images),
+s AS (SELECT img, v, (floor(ax) + i)::INT AS px, (floor(ay) + j)::INT AS py, CASE i WHEN 0 THEN 1 - (ax - floor(ax)) ELSE ax - floor(ax) END * CASE j WHEN 0 THEN 1 - (ay - floor(ay)) ELSE ay - floor(ay) END AS w FROM a, (SELECT unnest([0, 1]) AS i) p, (SELECT unnest([0, 1]) AS j) q)
+SELECT img, px, py, round(sum(v * w) / sum(w), 6) + 0.0 AS v FROM s WHERE w > 1e-9 AND px BETWEEN 0 AND 7 AND py BETWEEN 0 AND 7 GROUP BY ALL""")
+def v26_rotate(spark, sf):
+    return io.rotate(images(spark, sf), ["img"], (8, 8), 30.0, move=(0.5, 0.0)).select("img", "px", "py", clean0(F.col("v"), 6).alias("v"))
+
+
 @query("v26_integer_shift", _I + f" SELECT img, {_T.format(v='v').replace('px', '((px + 3) % 8)').replace('py', '((py + 6) % 8)')} FROM images GROUP BY img")
 def v26(spark, sf):
     return total(io.shift_image(images(spark, sf), {"px": 3, "py": -2}, {"px": 8, "py": 8}), ["img"])
@@ -206,15 +253,23 @@ def v27(spark, sf):
     return io.merge_amplitude_phase(pairs_ft(spark, sf).filter(F.hypot(F.col("re2"), F.col("im2")) > 1e-9)).groupBy("run").agg(clean0(F.sum("re"), 3).alias("re"))
 
 
+def spectrum(spark, sf):
+    volumes = table(spark, sf, "embeddings").withColumnRenamed("vec_id", "vol_id")
+    return frequencies(fft_kernel(volumes, "vol_id", "embedding", (4, 4, 4)), ["vol_id"], AXES)
+
+
 @query("v28_crop_transform", _PLAIN + " SELECT vol_id, count(*) AS n, round(sum(re * re + im * im), 4) AS power FROM ft WHERE greatest(abs(kz), abs(kx), abs(ky)) <= 1 GROUP BY vol_id")
 def v28(spark, sf):
-    from ..operators.fourier import dft
-    from .fourier import AXES, tiles
-
-    kept = dft(tiles(spark, sf), ["vol_id"], AXES).filter("greatest(abs(kz), abs(kx), abs(ky)) <= 1")
+    kept = io.resize_transform(spectrum(spark, sf), ["vol_id"], {a: (4, 3) for a in "zxy"})
     return kept.groupBy("vol_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("re") * F.col("re") + F.col("im") * F.col("im")), 4).alias("power"))
 
 
+@query("v28_pad_transform", _PLAIN + " SELECT vol_id, 216::BIGINT AS n, round(sum(re * (1 + kz * kz)), 4) + 0.0 AS re FROM ft WHERE kz BETWEEN -2 AND 1 GROUP BY vol_id")
+def v28_pad(spark, sf):
+    padded = io.resize_transform(spectrum(spark, sf), ["vol_id"], {a: (4, 6) for a in "zxy"})
+    return padded.groupBy("vol_id").agg(F.count(F.lit(1)).alias("n"), clean0(F.sum(F.col("re") * (1 + F.col("kz") * F.col("kz"))), 4).alias("re"))
+
+
 @query("v29_clamped_cast", "SELECT o_orderkey, greatest(least(trunc(o_totalprice / 1000 - 50), 255), 0)::SMALLINT AS byte, greatest(least(trunc(o_totalprice - 1e5), 32767), -32768)::SMALLINT AS short FROM orders")
 def v29(spark, sf):
     price = F.col("o_totalprice")
@@ -224,20 +279,24 @@ def v29(spark, sf):
 
 @query("v30_slices_as_images", f"WITH {VOXELS_SQL} SELECT vol_id * 4 + z AS img, count(*) AS n, round(sum(v * (1 + x * 4 + y)), 6) + 0.0 AS total FROM voxels GROUP BY 1")
 def v30(spark, sf):
-    flat = voxels(spark, sf).select((F.col("vol_id") * 4 + F.col("z")).alias("img"), "x", "y", "v")
+    flat = io.slices_as_images(voxels(spark, sf), 4)
     return flat.groupBy("img").agg(F.count(F.lit(1)).alias("n"), clean0(F.sum(F.col("v") * (1 + F.col("x") * 4 + F.col("y"))), 6).alias("total"))
 
 
-@query("v31_metadata", "SELECT p_partkey, p_retailprice / 1000 AS ux, (least(p_size + 20, 40) // 2)::INT AS radius FROM part WHERE p_retailprice > 0")
+@query("v31_metadata", "SELECT p_partkey, (19 + p_size)::DOUBLE / 2 AS oz, least(p_retailprice / 1000, 1 + p_size % 3)::DOUBLE AS unit, (least(p_size + 20, 40) // 2)::INT AS radius FROM part WHERE p_retailprice > 0")
 def v31(spark, sf):
-    radius = F.floor(F.least(F.col("p_size") + 20, F.lit(40)) / 2).cast("int")
-    return table(spark, sf, "part").filter("p_retailprice > 0").select("p_partkey", (F.col("p_retailprice") / 1000).alias("ux"), radius.alias("radius"))
+    size, price = F.col("p_size"), F.col("p_retailprice") / 1000
+    headers = table(spark, sf, "part").filter("p_retailprice > 0").select("p_partkey", (size + 20).alias("nz"), F.lit(40).alias("nx"), F.lit(40).alias("ny"), price.alias("uz"), (1.0 + size % 3).alias("ux"), price.alias("uy"))
+    return io.metadata(headers).select("p_partkey", "oz", "unit", "radius")
 
 
 @query("v32_frequency_layout", _PLAIN + " SELECT vol_id, (kz + 4) % 4 AS kz, (kx + 4) % 4 AS kx, (ky + 4) % 4 AS ky, round(re, 5) + 0.0 AS re FROM ft WHERE kx >= 0")
 def v32(spark, sf):
-    from ..operators.fourier import dft
-    from .fourier import AXES, tiles
+    half_ = spectrum(spark, sf).filter("kx >= 0")
+    return half_.select("vol_id", *[io.standard(F.col(f"k{a}"), 4).alias(f"k{a}") for a in "zxy"], clean0(F.col("re"), 5).alias("re"))
+
 
-    half_ = dft(tiles(spark, sf), ["vol_id"], AXES).filter("kx >= 0")
-    return half_.select("vol_id", *[F.pmod(f"k{a}", F.lit(4)).cast("int").alias(f"k{a}") for a in "zxy"], clean0(F.col("re"), 5).alias("re"))
+@query("v32_whole_spectrum", _PLAIN + " SELECT vol_id, kz, kx, ky, round(re, 5) + 0.0 AS re, round(im, 5) + 0.0 AS im FROM ft")
+def v32_whole(spark, sf):
+    half_ = spectrum(spark, sf).filter("ky >= 0 or ky = -2")
+    return io.whole_spectrum(half_, ["vol_id"], {"z": 4, "x": 4, "y": 4}).select("vol_id", "kz", "kx", "ky", clean0(F.col("re"), 5).alias("re"), clean0(F.col("im"), 5).alias("im"))

@@ -47,8 +47,8 @@ def s04(spark, sf):
 
 @query("s05_bead_config", "SELECT p_partkey, box_size, pos::INT AS pos, label FROM (SELECT p_partkey, coalesce(CASE WHEN p_size > 25 THEN p_size END, 36) AS box_size, unnest([0, 1, 2]) AS pos, unnest([p_brand, p_type, p_name]) AS label FROM part)")
 def s05(spark, sf):
-    box = F.coalesce(F.when(F.col("p_size") > 25, F.col("p_size")), F.lit(36))
-    return table(spark, sf, "part").select("p_partkey", box.alias("box_size"), F.posexplode(F.array("p_brand", "p_type", "p_name")).alias("pos", "label"))
+    config = table(spark, sf, "part").select("p_partkey", F.when(F.col("p_size") > 25, F.col("p_size")).alias("box_size"), F.array("p_brand", "p_type", "p_name").alias("recon_labels"))
+    return src.config_labels(config).select("p_partkey", "box_size", "pos", "label")
 
 
 @query("s08_settings", "SELECT l_orderkey, max(l_quantity::INT::VARCHAR) FILTER (l_linenumber = 1) AS \"LOG\", arg_max(l_suppkey::VARCHAR, l_linenumber) FILTER (l_linenumber IN (2, 3)) AS \"SCALE\" FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity) AS rn FROM lineitem) WHERE rn = 1 GROUP BY l_orderkey")
@@ -116,10 +116,29 @@ def k05(spark, sf):
     return grids.pending(orders.select(*keys).distinct(), orders.filter("o_orderstatus = 'F'"), keys)
 
 
-@query("k06_estimate_text", f"WITH {_CURVES}, top AS (SELECT run, proj, max(value) AS v FROM flat GROUP BY ALL) SELECT run, proj::INT AS proj, printf('%.3f', v) AS line FROM top")
+@query("k06_curve_text", f"""WITH {_CURVES}, l AS (SELECT run, proj, idx + 2 AS line, concat(idx::VARCHAR, chr(9), printf('%7.5f', s), chr(9), printf('%9.3f', (idx + 1) * 1.5), chr(9), printf('%8.4f', (idx - 20) / 100)) AS text FROM flat
+UNION ALL SELECT run, proj, 1, concat('Radius', chr(9), 's(1/A)', chr(9), 'Res(A)', chr(9), 'NLOO2D') FROM flat WHERE idx = 0
+UNION ALL SELECT run, proj, 0, printf('Projection # %d - Tilt angle: %5.2f', proj + 1, tilt) FROM flat WHERE idx = 0)
+SELECT run, proj::INT AS proj, line::INT AS line, text FROM l""")
+def k06_curves(spark, sf):
+    # values that two printers round alike
+    flat = curves(spark, sf).withColumn("res", (F.col("idx") + 1) * 1.5).withColumn("value", (F.col("idx") - 20) / 100)
+    return src.curve_lines(flat, ["run", "proj", "tilt"], titled=True).select("run", "proj", "line", "text")
+
+
+@query("k06_estimate_text", f"WITH {_CURVES}, long AS (" + _LAST.format(src="flat").replace(", st AS", "WITH st AS", 1) + ") SELECT run, proj, concat('NLOO2D(0.3)', chr(9), 'NLOO2D(0.5)') AS header, concat(printf('%8.2f', max(res) FILTER (threshold = 0.3)), chr(9), printf('%8.2f', max(res) FILTER (threshold = 0.5))) AS text FROM long GROUP BY run, proj")
 def k06(spark, sf):
-    top = curves(spark, sf).groupBy("run", "proj").agg(F.max("value").alias("v"))
-    return top.select("run", "proj", F.format_string("%.3f", "v").alias("line"))
+    from ..operators.crossval import last_crossings
+
+    found = last_crossings(curves(spark, sf), ["run", "proj"], [0.3, 0.5]).withColumn("res", F.round("res", 6))
+    return src.estimate_lines(found, ["run", "proj"], "NLOO2D")
+
+
+@query("k09_tilt_list", "SELECT s_suppkey, proj, printf('%5.1f', tilt) AS text FROM (SELECT s_suppkey, proj::INT AS proj, -60 + s_suppkey % 20 + proj * 2.5 AS tilt FROM (SELECT s_suppkey, unnest(range(40)) AS proj FROM supplier))")
+def k09(spark, sf):
+    k = F.col("s_suppkey")
+    tilts = table(spark, sf, "supplier").select(k, F.explode(F.sequence(F.lit(0), F.lit(39))).alias("proj")).withColumn("tilt", k % 20 - 60 + F.col("proj") * 2.5)
+    return src.tilt_lines(tilts).select("s_suppkey", "proj", "text")
 
 
 @query("k07_tilt_resolution_table", f"WITH {_CURVES}, long AS (" + _LAST.format(src="flat").replace(", st AS", "WITH st AS", 1) + ") SELECT run, proj, max(res) FILTER (threshold = 0.3) AS t30, max(res) FILTER (threshold = 0.5) AS t50 FROM long GROUP BY ALL")

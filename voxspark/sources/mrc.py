@@ -1,7 +1,8 @@
 """Volumes in MRC files as bricks: a Python data source, one slab of sections for each partition.
 
 ``spark.dataSource.register(MrcSource)`` and ``spark.read.format("mrc").load(path)``. Options: ``brick``, the edge of a
-brick, and ``slab``, the sections that a partition reads. Only the slab's bytes are read.
+brick, ``slab``, the sections that a partition reads, and ``stack``: each section is one image, a row with its number as
+``bz``. Of a slab a task holds the rows of one row of bricks at a time. Both byte orders are read.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from ..schemas import BRICKS
 
 #: Pixel types by the mode in the header.
-MODES = {0: "<i1", 1: "<i2", 2: "<f4", 6: "<u2"}
+MODES = {0: "i1", 1: "i2", 2: "f4", 6: "u2"}
 HEADER = 1024
 
 
@@ -30,10 +31,11 @@ class Slab(InputPartition):
 def header_of(source) -> tuple[int, int, int, str, int]:
     """(sections, rows, columns, pixel type, offset of the data)."""
     raw = source.read(HEADER)
-    columns, rows, sections, mode = np.frombuffer(raw[:16], "<i4").tolist()
+    order = ">" if raw[212:213] == b"\x11" else "<"  # the machine stamp
+    columns, rows, sections, mode = np.frombuffer(raw[:16], order + "i4").tolist()
     if mode not in MODES or min(columns, rows, sections) < 1:
         raise ValueError(f"not a volume that can be read: mode {mode}, size {sections} x {rows} x {columns}")
-    return sections, rows, columns, MODES[mode], HEADER + int(np.frombuffer(raw[92:96], "<i4")[0])
+    return sections, rows, columns, order + MODES[mode], HEADER + int(np.frombuffer(raw[92:96], order + "i4")[0])
 
 
 class MrcSource(DataSource):
@@ -51,6 +53,7 @@ class MrcSource(DataSource):
 class MrcReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.brick, self.slab = options["path"], int(options.get("brick", 64)), int(options.get("slab", 64))
+        self.stack = str(options.get("stack", "false")).lower() == "true"
         if self.slab % self.brick:
             raise ValueError("slabs must hold whole bricks")
 
@@ -67,17 +70,31 @@ class MrcReader(DataSourceReader):
         b = self.brick
         with self._open(partition.path) as source:
             _, nx, ny, kind, offset = header_of(source)
-            one = nx * ny * np.dtype(kind).itemsize
+            size = np.dtype(kind).itemsize
+
+            def rows(z: int, x0: int, n: int) -> np.ndarray:
+                source.seek(offset + (z * nx + x0) * ny * size)
+                return np.frombuffer(source.read(n * ny * size), kind).reshape(n, ny).astype("<f4")
+
+            if self.stack:
+                for z in range(partition.start, partition.stop):
+                    yield (partition.path, z, 0, 0, z, 0, 0, 1, nx, ny, rows(z, 0, nx).tobytes())
+                return
             for z0 in range(partition.start, partition.stop, b):
-                nz = min(b, partition.stop - z0)
-                source.seek(offset + z0 * one)
-                part = np.frombuffer(source.read(nz * one), kind).reshape(nz, nx, ny).astype("<f4")
+                sections = range(z0, min(z0 + b, partition.stop))
                 for x0 in range(0, nx, b):
+                    part = np.stack([rows(z, x0, min(b, nx - x0)) for z in sections])
                     for y0 in range(0, ny, b):
-                        cut = part[:, x0 : x0 + b, y0 : y0 + b]
+                        cut = part[:, :, y0 : y0 + b]
                         yield (partition.path, z0 // b, x0 // b, y0 // b, z0, x0, y0, *cut.shape, cut.tobytes())
 
 
+def read_projections(spark, path: str):
+    """``series, proj, nx, ny, data``: the images of a projection stack, one for each tilt; the source has to be registered."""
+    rows = spark.read.format("mrc").option("stack", "true").load(path)
+    return rows.selectExpr("vol_id as series", "bz as proj", "nx", "ny", "data")
+
+
 def explode_bricks(bricks):
     """``vol_id, z, x, y, v`` of bricks, on Arrow batches."""
     import pandas as pd
