@@ -119,6 +119,18 @@ def test_stream_drops_repeated_runs(spark, tmp_path):
     assert sorted(r["run"] for r in spark.table("once").collect()) == [1, 2]
 
 
+def test_batches_of_a_stream_refresh_the_report(spark, tmp_path):
+    from voxspark.streaming.results import append_and_report, stream_results
+
+    df = spark.createDataFrame([("a", float(i)) for i in range(5)] + [("b", 7.0)], "run string, res double")
+    df.repartition(3).write.parquet(f"{tmp_path}/in")
+    for _ in range(2):  # the second time there is nothing new
+        stream = stream_results(spark, f"{tmp_path}/in", df.schema, per_trigger=1)
+        append_and_report(stream, f"{tmp_path}/table", f"{tmp_path}/report", ["run"], "res", f"{tmp_path}/checkpoint").awaitTermination()
+        rows = {r["run"]: (r["estimate"], r["low"], r["high"], r["n"]) for r in spark.read.parquet(f"{tmp_path}/report").collect()}
+        assert rows == {"a": (2.0, 1.0, 3.0, 5), "b": (7.0, 7.0, 7.0, 1)} and spark.read.parquet(f"{tmp_path}/table").count() == 6
+
+
 # --- windows and the measurement ------------------------------------------------------------------------
 
 

@@ -202,6 +202,11 @@ def shell_index(axes: Sequence[tuple[str, int]], compat: bool = False) -> Column
     return F.rint(F.sqrt(total)).cast("int")
 
 
+def nyquist_axis(*sizes: Column) -> Column:
+    """Rings from 0 to half the longest axis."""
+    return F.sequence(F.lit(0), F.floor(F.greatest(*sizes) / 2).cast("int"))
+
+
 def shell_sums(pairs: DataFrame, by: Sequence[str], index: Column, rings: int, nyquist: int) -> DataFrame:
     """Sums of ``re1, im1, re2, im2`` over rings ``f`` of thickness ``rings``: |index - f| <= rings // 2, or equal at 0."""
     exact = pairs.withColumn("index", index).groupBy(*by, "index").agg(

@@ -75,7 +75,8 @@ def z_resolution(df: DataFrame) -> DataFrame:
     return df.withColumn("res_z", F.col("res") * elongation(F.col("max_ang")))
 
 
-def theory_curve(grid: DataFrame, low: float, high: float, n: int) -> DataFrame:
-    """Elongation at ``n`` angles from ``low`` to ``high``; ``grid`` has a column ``i`` from 0."""
-    angle = F.lit(low) + F.col("i") * F.lit((high - low) / (n - 1))
-    return grid.filter(F.col("i") < n).select("i", angle.alias("alpha"), elongation(angle).alias("elongation"))
+def theory_curve(ranges: DataFrame, n: int) -> DataFrame:
+    """Elongation at ``n`` evenly spaced angles from ``low`` to ``high`` of each row of ``ranges``: ``i, alpha, elongation``."""
+    angle = F.col("low") + F.col("i") * ((F.col("high") - F.col("low")) / (n - 1))
+    grid = ranges.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("alpha", angle)
+    return grid.withColumn("elongation", elongation(F.col("alpha"))).drop("low", "high")

@@ -196,10 +196,10 @@ def n15(spark, sf):
 _DIST = "least(abs(px - 1), abs(px - 6), abs(py - 2), abs(py - 6))"
 
 
-@query("n16_border_distance", f"{_I} SELECT img, sum({_DIST})::BIGINT AS total, count(*) FILTER ({_DIST} = 0 AND {_BOX}) AS n_frame FROM images GROUP BY img")
+@query("n16_border_distance", f"{_I} SELECT img, round(sum({_DIST} * v), 6) + 0.0 AS total, round(sum(v) FILTER ({_DIST} = 0 AND {_BOX}), 6) + 0.0 AS frame FROM images GROUP BY img")
 def n16(spark, sf):
     d = cv.border_distance(faces())
-    return images(spark, sf).groupBy("img").agg(F.sum(d).alias("total"), F.count_if((d == 0) & box()).alias("n_frame"))
+    return images(spark, sf).groupBy("img").agg(clean0(F.sum(d * F.col("v")), 6).alias("total"), clean0(F.sum(F.when((d == 0) & box(), F.col("v"))), 6).alias("frame"))
 
 
 @query("n17_taper", f"{_I} SELECT img, {_T.format(v=f'CASE WHEN {_BOX} THEN 0.1 + (v - 0.1) * CASE WHEN {_DIST} >= 0.375 THEN 1.0 ELSE 0.5 - 0.5 * cos(pi() * {_DIST} / 0.375) END ELSE 0.1 END')} FROM images GROUP BY img")

@@ -187,20 +187,19 @@ def f11_kernel(spark, sf):
     return flat.select("vol_id", *[c.cast("int").alias(n) for c, n in zip(k, ("kz", "kx", "ky"))], clean0(F.col("c.re"), 5).alias("re"), clean0(F.col("c.im"), 5).alias("im"))
 
 
-@query("f12_shell_index", _PLAIN + " SELECT index, count(*) AS n FROM idx GROUP BY index")
+@query("f12_shell_index", _PLAIN + " SELECT run, index, count(*) AS n, round(sum(re1 * (1 + ky)), 4) + 0.0 AS re FROM idx GROUP BY run, index")
 def f12(spark, sf):
-    return pairs_ft(spark, sf).groupBy(fo.shell_index(AXES).alias("index")).agg(F.count(F.lit(1)).alias("n"))
+    return pairs_ft(spark, sf).groupBy("run", fo.shell_index(AXES).alias("index")).agg(F.count(F.lit(1)).alias("n"), clean0(F.sum(F.col("re1") * (1 + F.col("ky"))), 4).alias("re"))
 
 
 @query("f13_nyquist_axis", "SELECT p_partkey, unnest(range(0, greatest(20 + p_size, 45) // 2 + 1))::INT AS f FROM part")
 def f13(spark, sf):
-    longest = F.greatest(F.col("p_size") + 20, F.lit(45))
-    return table(spark, sf, "part").select("p_partkey", F.explode(F.sequence(F.lit(0), F.floor(longest / 2).cast("int"))).alias("f"))
+    return table(spark, sf, "part").select("p_partkey", F.explode(fo.nyquist_axis(F.col("p_size") + 20, F.lit(45))).alias("f"))
 
 
-@query("f14_overlapping_rings", _FT.replace("{window}", "1").replace("{rings}", "2").replace("{s}", "0.2071::DOUBLE") + " SELECT f, sum(npts)::BIGINT AS npts FROM shells GROUP BY f")
+@query("f14_overlapping_rings", _FT.replace("{window}", "1").replace("{rings}", "2").replace("{s}", "0.2071::DOUBLE") + " SELECT run, f, npts, round(cr, 4) + 0.0 AS cr, round(c1, 4) AS c1 FROM shells")
 def f14(spark, sf):
-    return curve(spark, sf, rings=2).groupBy("f").agg(F.sum("npts").alias("npts"))
+    return curve(spark, sf, rings=2).select("run", "f", "npts", clean0(F.col("cr"), 4).alias("cr"), F.round("c1", 4).alias("c1"))
 
 
 @query("f15_shell_sums", _PLAIN + " SELECT run, f, npts, round(cr, 5) + 0.0 AS cr, round(c1, 5) + 0.0 AS c1, round(c2, 5) + 0.0 AS c2, round(fsc, 5) + 0.0 AS fsc FROM curve")
@@ -208,9 +207,9 @@ def f15(spark, sf):
     return curve(spark, sf).select("run", "f", "npts", *[clean0(F.col(c), 5).alias(c) for c in ("cr", "c1", "c2", "fsc")])
 
 
-@query("f16_threshold", _PLAIN.replace("0.2071", "0.5") + " SELECT DISTINCT f, npts, round(t, 8) AS t FROM curve")
+@query("f16_threshold", _PLAIN.replace("0.2071", "0.5") + " SELECT run, f, npts, round(t, 8) AS t, round(fsc - t, 4) + 0.0 AS over FROM curve")
 def f16(spark, sf):
-    return curve(spark, sf, snr=0.5).select("f", "npts", F.round("t", 8).alias("t")).distinct()
+    return curve(spark, sf, snr=0.5).select("run", "f", "npts", F.round("t", 8).alias("t"), clean0(F.col("fsc") - F.col("t"), 4).alias("over"))
 
 
 _CROSS = """, d AS (SELECT *, fsc - t AS d, lag(fsc - t) OVER (PARTITION BY run ORDER BY f) AS before FROM curve),

@@ -156,11 +156,11 @@ def r15(spark, sf):
     return results(spark, sf).select("name", "max_ang").distinct()
 
 
-@query("r16_theory_curve", f"""WITH g AS (SELECT (row_number() OVER (ORDER BY s_suppkey) - 1) AS i FROM supplier)
-SELECT i, round(alpha, 9) AS alpha, round({_E.format(a='alpha')}, 9) AS elongation FROM (SELECT i, 5.0::DOUBLE + i * (70.0 / 49)::DOUBLE AS alpha FROM g WHERE i < 50)""")
+@query("r16_theory_curve", _W + f"""g AS (SELECT thickness, name, min(max_ang) AS lo, max(max_ang) AS hi FROM results GROUP BY ALL), p AS (SELECT thickness, name, i, lo + i * ((hi - lo) / 49) AS alpha FROM (SELECT *, unnest(range(50)) AS i FROM g))
+SELECT thickness, name, i::INT AS i, round(alpha, 9) AS alpha, round({_E.format(a='alpha')}, 9) AS elongation FROM p""".replace("g AS (", "SELECT * FROM (WITH g AS (", 1) + ")")
 def r16(spark, sf):
-    grid = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("i"))  # numbered from 0
-    return _rounded(report.theory_curve(grid, 5.0, 75.0, 50), "alpha", "elongation")
+    ranges = results(spark, sf).groupBy("thickness", "name").agg(F.min("max_ang").alias("low"), F.max("max_ang").alias("high"))
+    return _rounded(report.theory_curve(ranges, 50), "alpha", "elongation").select("thickness", "name", "i", "alpha", "elongation")
 
 
 @query("r17_constant_of_group", _W + "SELECT thickness, min(pixel_size) AS pixel_size, min(pixel_size) = max(pixel_size) AS single FROM results GROUP BY ALL")

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..operators.report import point_stats
+
 
 def stream_results(spark: SparkSession, path: str, schema: StructType, per_trigger: int = 64) -> DataFrame:
     """Parquet files of results as they arrive."""
@@ -22,3 +24,18 @@ def first_of_runs(stream: DataFrame, keys: Sequence[str], time: str, delay: str
 def running_stats(stream: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """Count, mean and deviation by group, whose state is a few numbers for each group."""
     return stream.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
+
+
+def append_and_report(stream: DataFrame, table: str, report: str, by: Sequence[str], value: str, checkpoint: str):
+    """Appends each batch of ``stream`` to ``table`` once, by its number, and writes the group estimates of all of it anew.
+
+    Returns the running query, which ends when all files that are there have been read. A batch that is repeated
+    after a failure replaces its own partition.
+    """
+
+    def step(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{table}/batch={number}")
+        everything = batch.sparkSession.read.parquet(table)
+        point_stats(everything, by, value).write.mode("overwrite").parquet(report)
+
+    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
