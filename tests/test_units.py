@@ -315,6 +315,19 @@ def test_approximate_percentiles_come_near(spark):
         assert near["n"] == exact["n"] and all(near[c] == pytest.approx(exact[c], abs=6) for c in ("estimate", "low", "high"))
 
 
+def test_refined_percentiles_are_exact(spark):
+    rng = np.random.default_rng(11)
+    rows = [("a", float(v)) for v in rng.lognormal(0, 3, 3000)] + [("b", 5.0)] * 2000 + [("b", float(v)) for v in rng.normal(5, 1e-6, 1001)] + [("c", 1.0), ("c", None), (None, 2.0), (None, 4.0), ("d", float("nan"))]
+    df = spark.createDataFrame(rows, "g string, v double")
+    for estimator in ("mean", "median"):
+        want = {r["g"]: r for r in report.point_stats(df, ["g"], "v", estimator).collect()}
+        got = {r["g"]: r for r in report.point_stats(df, ["g"], "v", estimator, exact="refined").collect()}
+        assert set(got) == set(want) and all(got[g]["n"] == want[g]["n"] for g in want)
+        for g in set(want) - {"d"}:
+            assert all(got[g][c] == pytest.approx(want[g][c], rel=1e-12) for c in ("estimate", "low", "high"))
+        assert got["d"]["low"] is None
+
+
 # --- files ------------------------------------------------------------------------------------------------
 
 
