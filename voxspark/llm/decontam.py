@@ -2,7 +2,7 @@
 
 Words are lower-cased and stripped of marks; numbers, units and names become typed placeholders, so
 that a question with other values has the same template. Windows of template tokens are hashed. A
-Bloom filter of the benchmark's windows, of a fixed number of bits, passes over the documents; the
+Bloom filter of the benchmark's windows, sized by their number, passes over the documents; the
 few windows that it lets through are joined by hash with those of the benchmark. Along each alignment
 of a document with an item the slots are compared: values that map to one value each are a verbatim or a
 re-parameterised copy; where a value maps to several, the placeholders matched by chance.
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
-from .words import WordTable, mix64, split_blocks
+from .words import WordTable, mix64, split_blocks, unicode_words_of
 
 # Unit words that follow a number.
 UNITS = frozenset("mm cm m km in ft mi mg g kg t lb oz ml l s ms min h hr hrs hours minutes seconds days weeks months years percent % $ € £ usd eur dollars euros cents degrees °c °f km/h mph v w kw kwh hz khz mhz ghz kb mb gb tb".split())
@@ -52,8 +52,8 @@ def _features(words: list[str]) -> np.ndarray:
     return out
 
 
-def template(words: list[str], row: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Template token hashes of a text, their kinds, and the place of each in ``words``.
+def template(row: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Template token hashes of a text, their kinds, and the place of each among its words.
 
     A unit is a unit word after a number. A name is a title-case word that does not begin the text or
     follow the end of a sentence; words of marks alone vanish, but do not hide such an end.
@@ -106,33 +106,44 @@ def own_windows(n_literal: np.ndarray, w: int, least_literal: int) -> np.ndarray
     return places
 
 
-def _slots(words: list[str], kinds: np.ndarray, solid: np.ndarray, place: int, w: int) -> list[str]:
+def _slots(words: list[str], row: np.ndarray, kinds: np.ndarray, solid: np.ndarray, place: int, w: int) -> list[str]:
     """Values of the placeholders of a window, each with its offset in it."""
-    return [f"{i}|{_MARKS.sub('', words[solid[place + i]]).lower()}" for i in range(w) if kinds[place + i] != LITERAL]
+    return [f"{i}|{_MARKS.sub('', words[row[solid[place + i]]]).lower()}" for i in range(w) if kinds[place + i] != LITERAL]
 
 
-BLOOM_BITS = 23
+#: Bits of the filter for each window of the benchmark, and its least and largest size: 1 kB and 128 MB as it is broadcast.
+BITS_EACH, LEAST_BITS, MOST_BITS = 16, 13, 30
 
 
-def _bloom_slots(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    mask = np.uint64((1 << BLOOM_BITS) - 1)
-    return h & mask, (h >> np.uint64(32)) & mask
+def bloom_bits(n_windows: int) -> int:
+    """Binary logarithm of the filter's size. A benchmark of more than 64 million windows lets more windows through, which the join drops."""
+    return min(max((BITS_EACH * max(n_windows, 1) - 1).bit_length(), LEAST_BITS), MOST_BITS)
 
 
 def in_bloom(bloom: np.ndarray, h: np.ndarray) -> np.ndarray:
-    a, b = _bloom_slots(h)
-    return bloom[a] & bloom[b]
+    """Whether each hash may be in the filter, bytes of eight bits each."""
+    mask = np.uint64(8 * len(bloom) - 1)
+
+    def bit(at: np.ndarray) -> np.ndarray:
+        return (bloom[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1
+
+    return (bit(h & mask) & bit((h >> np.uint64(32)) & mask)).astype(bool)
 
 
 def _bloom(windows_of_items: DataFrame) -> np.ndarray:
-    """The filter as an array of ``2**BLOOM_BITS`` booleans; the driver gets its bytes, 1 MB at most, never the windows."""
-    mask = (1 << BLOOM_BITS) - 1
+    """The filter, sized by the number of windows. The driver gets its bits, 128 MB at most, in parts, never the windows."""
+    bits = bloom_bits(windows_of_items.count())
+    mask = (1 << bits) - 1
     slots = windows_of_items.select(F.explode(F.array(F.col("window").bitwiseAND(F.lit(mask)), F.shiftright("window", 32).bitwiseAND(F.lit(mask)))).alias("slot"))
     words = slots.groupBy(F.shiftright("slot", 5).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 31 as int))")).alias("bits"))
-    packed = np.zeros(1 << (BLOOM_BITS - 5), "<u4")
+    packed = np.zeros(1 << (bits - 5), "<u4")
     for r in words.toLocalIterator():
         packed[r["at"]] = r["bits"]
-    return np.unpackbits(packed.view(np.uint8), bitorder="little").astype(bool)
+    return packed.view(np.uint8)
+
+
+#: Parts into which the windows of documents are dealt, so that one that many hold is no task's alone.
+PARTS = 8
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, width: int = 5, least_literal: int = 3, coverage: float = 0.5) -> DataFrame:
@@ -152,12 +163,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, width:
     hits = _hits(docs, bloom, widths, least_literal).drop("width", "literal")
     sizes = items.groupBy(F.col("doc_id").alias("item_id")).agg(F.count_distinct("window").alias("n_windows"))
     item = items.select(F.col("doc_id").alias("item_id"), F.col("place").alias("item_place"), F.col("window").alias("of"), F.col("slots").alias("item_slots"))
-    met = scratch.keep(hits.join(item, F.col("window") == F.col("of")).drop("of"), "met")
+    hits = hits.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int"))
+    item = item.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    met = scratch.keep(hits.join(item, (F.col("window") == F.col("of")) & (hits["part"] == item["part"])).drop("of", "part"), "met")
 
     aligned = met.withColumn("shift", F.col("place") - F.col("item_place"))
     run = ["doc_id", "item_id", "shift"]
     pair = aligned.select(*run, F.explode(F.arrays_zip("item_slots", "slots")).alias("slot"))
-    value = lambda c: F.substring_index(c, "|", -1)
+    value = lambda c: F.regexp_replace(c, r"^\d+\|", "")
     values = pair.select(*run, value(F.col("slot.item_slots")).alias("was"), value(F.col("slot.slots")).alias("now")).distinct()
     # a function of the item's values; two of them may become equal
     ways = values.groupBy(*run).agg(F.count(F.lit(1)).alias("n_slots"), F.count_distinct("was").alias("n_was"), F.sum((F.col("was") != F.col("now")).cast("int")).alias("changed"))
@@ -179,17 +192,17 @@ def _hits(docs: DataFrame, bloom, widths: dict[int, int], least_literal: int) ->
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table, held = WordTable(_features), bloom.value if bloom is not None else None
         for frame in frames:
-            for part, words in split_blocks(frame):
+            for part, words in split_blocks(frame, unicode_words_of):
                 rows, values = table.look_up(words)
-                yield _found(part["doc_id"], words, rows, values, widths, least_literal, held)
+                yield _found(part["doc_id"], table.names, rows, values, widths, least_literal, held)
 
     return docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInPandas(run, HITS)
 
 
-def _found(ids, split: list[list[str]], rows: list[np.ndarray], values: np.ndarray, widths: dict[int, int], least_literal: int, held: np.ndarray | None) -> pd.DataFrame:
+def _found(ids, names: list[str], rows: list[np.ndarray], values: np.ndarray, widths: dict[int, int], least_literal: int, held: np.ndarray | None) -> pd.DataFrame:
     out = []
-    for doc_id, words, row in zip(ids, split, rows):
-        tokens, kinds, solid = template(words, row, values)
+    for doc_id, row in zip(ids, rows):
+        tokens, kinds, solid = template(row, values)
         literals = values["literal"][row[solid]]
         for w, least in widths.items():
             w = w if held is not None else min(w, len(tokens))
@@ -197,5 +210,5 @@ def _found(ids, split: list[list[str]], rows: list[np.ndarray], values: np.ndarr
             if not len(h):
                 continue
             kept = np.flatnonzero(in_bloom(held, h)) if held is not None else own_windows(n_literal, w, least_literal)
-            out += [(doc_id, int(p), w, int(n), x, _slots(words, kinds, solid, p, w)) for p, n, x in zip(places[kept], n_literal[kept], h[kept].view(np.int64).tolist())]
+            out += [(doc_id, int(p), w, int(n), x, _slots(names, row, kinds, solid, p, w)) for p, n, x in zip(places[kept], n_literal[kept], h[kept].view(np.int64).tolist())]
     return pd.DataFrame(out, columns=["doc_id", "place", "width", "literal", "window", "slots"])

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
-from .words import WordTable, in_blocks, mix64, split_blocks
+from .words import WordTable, in_blocks, map_rows, mix64, split_blocks
 
 UNDETERMINED = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -212,13 +212,14 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     first. ``mean_log`` is the log probability per letter under that language. Whole texts are scored;
     repeated rows, other columns and empty tables do no harm.
     """
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # a few MB, whatever the input
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        score = scorer_of(model)
+        score = scorer_of(shared.value)
         for frame in frames:
             yield score(frame["doc_id"], frame["text"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, lang_pred string, score double, n_letters long, mean_log double")
+    return map_rows(docs.select("doc_id", "text"), run, "doc_id long, lang_pred string, score double, n_letters long, mean_log double")
 
 
 def scorer_of(model: Model) -> Callable[[pd.Series, pd.Series], pd.DataFrame]:
@@ -279,9 +280,10 @@ def filtered(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     Texts are scored where they are read: no join brings scores and rows together.
     """
     at = docs.columns.index("lang")
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = scorer_of(model)
+        score = scorer_of(shared.value)
         for batch in batches:
             texts = pd.Series(batch.column("text").to_pylist(), dtype=object)
             found = score(texts, texts)

@@ -20,19 +20,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
 from .scratch import Scratch
-from .words import WordTable, mix64, split_blocks
+from .words import WordTable, map_rows, mix64, split_blocks, words_of
 
 _MASK = (1 << 64) - 1
 _FRACTION = np.uint64((1 << 52) - 1)
 
 
-def _word_ids(words: list[bytes]) -> np.ndarray:
+def _word_ids(words: list[str]) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(w) for w in words), dtype=np.uint64, count=len(words))
 
 
@@ -75,12 +76,12 @@ def _sets(frames: Iterator[pd.DataFrame], k: int) -> Iterator[tuple[pd.DataFrame
     """Blocks of rows with their shingle sets."""
     table = WordTable(_word_ids)
     for frame in frames:
-        for part, words in split_blocks(frame, lambda t: t.encode().lower().split()):
+        for part, words in split_blocks(frame, lambda texts: words_of(pc.ascii_lower(texts))):
             rows, ids = table.look_up(words)
             yield part, [shingle_hashes(ids[r], k) for r in rows]
 
 
-def sketches(docs: DataFrame, k: int = 4, bands: int = 24, rows: int = 4) -> DataFrame:
+def sketches(docs: DataFrame, k: int = 4, bands: int = 30, rows: int = 5) -> DataFrame:
     """``doc_id, n_shingles, fingerprint, bands`` of each row of ``docs`` (doc_id, text)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -94,7 +95,7 @@ def sketches(docs: DataFrame, k: int = 4, bands: int = 24, rows: int = 4) -> Dat
                 }
             )
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_shingles long, fingerprint binary, bands array<long>")
+    return map_rows(docs.select("doc_id", "text"), run, "doc_id long, n_shingles long, fingerprint binary, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -104,18 +105,38 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
         for frame, sets in _sets(frames, k):
             yield pd.DataFrame({"doc_id": frame["doc_id"].to_numpy(), "shingles": [s.view(np.int64) for s in sets]})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, shingles array<long>")
+    return map_rows(docs.select("doc_id", "text"), run, "doc_id long, shingles array<long>")
 
 
-def near_duplicates(docs: DataFrame, scratch: Scratch, k: int = 4, percent: int = 80, bands: int = 24, rows: int = 4) -> DataFrame:
+#: A key with more than this share of a table's rows is split; at most so many keys are. Few rows are no burden anyway.
+HOT_KEYS, _LEAST_HOT = 2_000, 1_000
+
+
+def _hot(counts: DataFrame, scratch: Scratch, total: int) -> DataFrame:
+    """The keys of ``counts`` (key, c) with more than ``total / HOT_KEYS`` rows, and in how many ``parts`` to
+    deal each: a table of ``HOT_KEYS`` rows at most, and as many parts again, whatever the input."""
+    cut = max(_LEAST_HOT, total // HOT_KEYS)
+    return scratch.keep(counts.filter(F.col("c") > cut).withColumn("parts", F.ceil(F.col("c") / cut).cast("int")), "hot")
+
+
+def _by_key(rows: DataFrame, facts: DataFrame, key: str, scratch: Scratch, total: int) -> DataFrame:
+    """``rows`` with the one row of ``facts`` (key, c: number of rows, ...) of their key; rows of hot keys stay where
+    they are. The others are merged, at small sizes as at large ones: their facts grow with the input."""
+    hot = F.broadcast(_hot(facts, scratch, total).drop("parts"))
+    cold = facts.join(F.broadcast(hot.select(key)), key, "left_anti")
+    few = rows.join(hot, key)
+    return few.unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold.hint("merge"), key)).drop("c")
+
+
+def near_duplicates(docs: DataFrame, scratch: Scratch, k: int = 4, percent: int = 80, bands: int = 30, rows: int = 5) -> DataFrame:
     """Classes of documents linked by ``100 * |x & y| >= percent * |x | y|`` on their shingle sets.
 
     ``docs`` has doc_id and text. Returns ``doc_id, n_shingles, component_id, kept`` for each row:
     ``component_id`` is the smallest id reachable over links, ``kept`` marks that document. Ids name one
-    text each. Null, empty and blank texts have no shingles and no links; a text shorter than ``k`` words is one shingle; rows
+    text each; of rows with one id and several texts the least text stands for the id in comparisons. Null, empty and blank texts have no shingles and no links; a text shorter than ``k`` words is one shingle; rows
     that repeat an id and a text are returned as often; other columns are left alone. A null id is
     linked with nothing. A pair at the threshold is missed by all ``bands`` bands with a probability
-    of ``(1 - 0.8 ** rows) ** bands``, 3e-6 by default; at 0.9 it is below 1e-11.
+    of ``(1 - 0.8 ** rows) ** bands``, 7e-6 by default; at 0.9 it is below 1e-11.
     """
     sketched = scratch.keep(sketches(docs, k, bands, rows), "sketches")
     usable = sketched.filter("n_shingles > 0 and doc_id is not null")
@@ -123,24 +144,25 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, k: int = 4, percent: int
     rep = F.min_by(F.struct("doc_id", "n_shingles", "bands"), "doc_id")
     copies = scratch.keep(usable.groupBy("fingerprint").agg(rep.alias("rep")).select(F.col("fingerprint").alias("of"), F.col("rep.doc_id").alias("rep"), F.col("rep.n_shingles").alias("n"), F.col("rep.bands").alias("bands")), "copies")
     members = scratch.keep(copies.select(F.col("rep").alias("doc_id"), "n", F.explode("bands").alias("bucket")), "members")
-    heads = members.groupBy("bucket").agg(F.min_by(F.struct("doc_id", "n"), "doc_id").alias("head"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    shared = scratch.keep(members.join(heads.select("bucket", F.col("head.doc_id").alias("head"), F.col("head.n").alias("head_n")), "bucket"), "shared")
+    heads = members.groupBy("bucket").agg(F.min("doc_id").alias("head"), F.min_by("n", "doc_id").alias("head_n"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+    heads = scratch.keep(heads, "heads")
+    shared = scratch.keep(_by_key(members, heads, "bucket", scratch, members.count()), "shared")
     alike = F.greatest("n", "head_n") * percent <= F.least("n", "head_n") * 100
     stars = scratch.keep(shared.filter((F.col("doc_id") != F.col("head")) & alike).select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct(), "stars")
 
-    wanted = shared.select(F.col("doc_id").alias("wanted")).distinct()
-    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("wanted"), "left_semi").dropDuplicates(["doc_id"])
-    sets = scratch.keep(shingle_sets(texts, k), "sets")
-    links = scratch.keep(_confirmed(stars, sets, percent), "links")
+    wanted = scratch.keep(shared.select(F.col("doc_id").alias("wanted")).distinct(), "wanted")
+    texts = _perhaps(docs.select("doc_id", "text"), wanted).join(wanted, F.col("doc_id") == F.col("wanted"), "left_semi")
+    sets = scratch.keep(shingle_sets(texts.groupBy("doc_id").agg(F.min("text").alias("text")), k), "sets")
+    links = scratch.keep(_confirmed(stars, sets, scratch, percent), "links")
     labels = components(links, scratch)
 
     # what the comparison with the heads leaves open
     labelled = shared.select("bucket", "doc_id", "n").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id")).drop("component")
     labelled = scratch.keep(labelled, "labelled")
-    mixed = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("bucket")
-    left = scratch.keep(labelled.join(mixed, "bucket", "left_semi").select("doc_id", "n", "label").distinct(), "open")
+    mixed = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("c")).filter("lo < hi").select("bucket", "c")
+    left = scratch.keep(_by_key(labelled, scratch.keep(mixed, "mixed"), "bucket", scratch, labelled.count()).select("doc_id", "n", "label").distinct(), "open")
     pairs = scratch.keep(_across(left, sets, scratch, percent).join(stars, ["a", "b"], "left_anti"), "across")
-    more = scratch.keep(_confirmed(pairs, sets, percent), "more")
+    more = scratch.keep(_confirmed(pairs, sets, scratch, percent), "more")
     joined = components(more.select(F.col("la").alias("a"), F.col("lb").alias("b")), scratch)
 
     # representative -> class, then class -> joined class
@@ -153,11 +175,35 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, k: int = 4, percent: int
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The rows of ``pairs`` (a, b, ...) whose full sets are similar enough."""
+#: Bits of the filter of ids that are looked for, as a table of at most 2**18 words.
+FILTER_BITS = 24
+
+
+def _perhaps(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose id may be among ``wanted``, by a filter of bits, so that the texts of few others are shuffled.
+
+    The filter is broadcast as words of 64 bits, 4 MB at most; where many ids are wanted, more rows pass.
+    """
+    def place(c: str) -> Column:
+        return F.xxhash64(c).bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+
+    one = F.expr("shiftleft(1L, cast(place & 63 as int))")
+    bits = wanted.select(place("wanted").alias("place")).groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(one).alias("bits"))
+    met = docs.withColumn("place", place("doc_id")).join(F.broadcast(bits), F.shiftright("place", 6) == F.col("word"))
+    return met.filter(F.col("bits").bitwiseAND(one) != 0).select(*docs.columns)
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """The rows of ``pairs`` (a, b, ...) whose full sets are similar enough. The pairs of an ``a`` that has many are
+    dealt in parts, each with a copy of its set."""
+    hot = F.broadcast(_hot(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("c")), scratch, pairs.count()).select(F.col("a").alias("hot"), "parts"))
+    asked = pairs.select(F.col("a").alias("asked")).union(pairs.select("b")).distinct()
+    sets = sets.join(asked, F.col("doc_id") == F.col("asked"), "left_semi")
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a"))
+    left = left.join(hot, F.col("a") == F.col("hot"), "left").select("a", "set_a", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b"))
-    both = pairs.join(left, "a").join(right, "b")
+    dealt = pairs.join(hot, F.col("a") == F.col("hot"), "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("b"), F.col("parts")), F.lit(0)).cast("int")).drop("hot", "parts")
+    both = dealt.join(left, ["a", "part"]).join(right, "b")
     common = F.size(F.array_intersect("set_a", "set_b"))
     checked = both.withColumn("common", common).withColumn("whole", F.size("set_a") + F.size("set_b") - F.col("common"))
     return checked.filter(F.col("common") * 100 >= F.col("whole") * percent).select(*pairs.columns)
@@ -174,17 +220,26 @@ def _across(docs: DataFrame, sets: DataFrame, scratch: Scratch, percent: int) ->
     """
     every = sets.select(F.col("doc_id").alias("of"), "shingles").join(docs, F.col("of") == F.col("doc_id")).select("doc_id", "n", "label", F.explode("shingles").alias("shingle"))
     every = scratch.keep(every, "shingles")
-    frequency = every.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "shingle")) - 1
-    ranked = every.join(frequency, "shingle").withColumn("place", place)
-    first = scratch.keep(ranked.filter((F.col("df") > 1) & (F.col("place") * 100 <= F.col("n") * (100 - percent))).drop("df"), "first")
+    # a shingle of one class leads nowhere, but keeps its place in the order; those of one document come first, uncounted
+    frequency = every.groupBy("shingle").agg(F.count(F.lit(1)).alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("c > 1")
+    frequency = scratch.keep(frequency.withColumn("df", F.col("c")).withColumn("open", F.expr("lo < hi")).drop("lo", "hi"), "frequency")
+    by_doc = Window.partitionBy("doc_id")
+    counted = _by_key(every.select("doc_id", "shingle"), frequency, "shingle", scratch, every.count())
+    counted = counted.withColumn("known", F.count(F.lit(1)).over(by_doc)).withColumn("nth", F.row_number().over(by_doc.orderBy("df", "shingle")))
+    ranked = counted.join(docs, "doc_id").withColumn("place", F.col("n") - F.col("known") + F.col("nth") - 1).drop("known", "nth")
+    first = scratch.keep(ranked.filter(F.col("open") & (F.col("place") * 100 <= F.col("n") * (100 - percent))).drop("df", "open"), "first")
 
     def fits(n: Column, place: Column, other: Column) -> Column:
         return (n - place) * (100 + percent) >= (n + other) * percent
 
     for _ in range(2):  # what goes for its place may leave a shingle to one class
-        least = first.groupBy("shingle").agg(F.min("n").alias("least"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("shingle", "least")
-        first = scratch.keep(first.join(least, "shingle").filter(fits(F.col("n"), F.col("place"), F.greatest("least", F.ceil(F.col("n") * percent / 100)))).drop("least"), "first")
-    x, y = first.alias("x"), first.alias("y")
-    met = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.label") < F.col("y.label")) & fits(F.col("x.n"), F.col("x.place"), F.col("y.n")) & fits(F.col("y.n"), F.col("y.place"), F.col("x.n"))
+        least = first.groupBy("shingle").agg(F.min("n").alias("least"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("c")).filter("lo < hi").select("shingle", "least", "c")
+        met = _by_key(first, scratch.keep(least, "least"), "shingle", scratch, first.count())
+        first = scratch.keep(met.filter(fits(F.col("n"), F.col("place"), F.greatest("least", F.ceil(F.col("n") * percent / 100)))).drop("least"), "first")
+    # rows of a hot shingle are dealt in parts on one side and go to all of them on the other
+    hot = F.broadcast(_hot(first.groupBy("shingle").agg(F.count(F.lit(1)).alias("c")), scratch, first.count()).select(F.col("shingle").alias("hot"), "parts"))
+    dealt = first.join(hot, F.col("shingle") == F.col("hot"), "left").withColumn("parts", F.coalesce("parts", F.lit(1))).drop("hot")
+    x = dealt.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")).alias("x")
+    y = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("y")
+    met = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.label") < F.col("y.label")) & fits(F.col("x.n"), F.col("x.place"), F.col("y.n")) & fits(F.col("y.n"), F.col("y.place"), F.col("x.n"))
     return x.join(y, met).select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b"), F.col("x.label").alias("la"), F.col("y.label").alias("lb")).distinct()

@@ -1,12 +1,13 @@
 """Surrogates for personal data: keyed, type-consistent and collision-checked.
 
 Entities are found by pattern. Each is written as digits of a mixed radix over the characters that may
-vary (a digit, a hexadecimal digit, a vowel or a consonant of its script and case, an octet of an
-address, an entry of a list of given names) and sent through a keyed Feistel network over just that
-domain. That is a one-to-one map onto values of the same format, so different entities of a format
-stay different, equal ones stay equal in every document, and names keep gender, script and case.
-Surrogates that some document really holds are found by a join and drawn again with another tweak
-until none is left.
+vary (a digit, a hexadecimal digit, a vowel or a consonant of its script and case, a letter of its part
+of Unicode, an octet of an address, an entry of a list of given names) and sent through a keyed Feistel
+network over just that domain. That is a one-to-one map onto values of the same format, so different
+entities of a format stay different, equal ones stay equal in every document, and names keep gender,
+script and case. Card numbers and IBANs that pass their check still do. Surrogates that some document
+really holds, the entity itself among them, and those that two entities share are found by a join and
+drawn again with another tweak until none is left; where a format has too few values, names grow.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import unicodedata
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -22,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
+from .words import map_rows
 
 # Given names by gender and script, and titles that say a name follows.
 MALE = "james john robert michael david william richard thomas daniel paul mark george peter hans klaus jürgen pierre jean luc antonio carlos luis jorge pablo".split()
@@ -36,11 +40,44 @@ _GIVEN = {name: kind for kind, names in _LISTS.items() for name in names}
 _ALPHABETS = [("aeiou", "bcdfghjklmnpqrstvwxyz"), ("àáâãäåèéêëìíîïòóôõöùúûü", "çñß"), ("аеиоуыэюя", "бвгджзклмнпрстфхцчшщ"), ("αεηιουω", "βγδζθκλμνξπρσςτφχψ")]
 _CLASS = {c: group for pair in _ALPHABETS for group in pair for c in group}
 _ROUNDS = 8
+#: Draws of a surrogate before names grow by a letter for each further one, and before a format counts as full.
+DRAWS, MOST_DRAWS = 6, 40
+
+
+@lru_cache(maxsize=10_000)
+def _alphabet(c: str) -> str:
+    """The lower-case letters that may stand for the letter ``c``: those of a list, or those of its script, kind and
+    row of 256 in Unicode; accented Latin vowels and consonants keep apart."""
+    if c in _CLASS:
+        return _CLASS[c]
+
+    def kind(x: str) -> tuple:
+        script = unicodedata.name(x, " ").split()[0]
+        base = unicodedata.normalize("NFD", x)[0] in "aeiouy" if script == "LATIN" else None
+        return script, unicodedata.category(x), base
+
+    def fits(x: str) -> bool:
+        cased = x.upper() != x or unicodedata.category(x) == "Lo"
+        return cased and x.lower() == x and len(x.upper()) == 1 and x.upper().lower() == x
+
+    row = ord(c) >> 8
+    return "".join(x for x in map(chr, range(row << 8, (row + 1) << 8)) if unicodedata.category(x)[0] == "L" and fits(x) and kind(x) == kind(c))
+
+
+def _letters_for(c: str) -> str:
+    """The alphabet of a letter in either case; empty for what is no letter, or changes length with its case."""
+    low = c.lower()
+    if not c.isalpha() or len(low) != 1 or len(low.upper()) != 1 or c not in (low, low.upper()):
+        return ""
+    found = _alphabet(low)
+    return found if low in found else ""
 
 _NAME = r"[^\W\d_]+(?:['’-][^\W\d_]+)*"
 PATTERNS = {
     "email": r"(?<![\w.+-])[A-Za-z0-9_][\w.+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
     "secret": r"(?<![0-9A-Za-z])[0-9A-Fa-f]{32,64}(?![0-9A-Za-z])",
+    "api_key": r"(?<![\w-])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z]{20,64}|xox[abprs]-[0-9A-Za-z-]{10,72})(?![\w-])",
+    "ipv6": r"(?<![\w:])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,5}(?::[0-9A-Fa-f]{1,4}){1,5})(?![\w:])",
     "ipv4": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])",
     "phone": r"(?<![\w+])\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\w+(])\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?!\d)",
@@ -51,6 +88,8 @@ PATTERNS = {
 _ANY = re.compile("|".join(f"(?P<{kind}>{p})" for kind, p in PATTERNS.items()))
 #: No entity begins where none of these stands; most texts and most places have none.
 _SIGN = re.compile(r"[0-9@]|(?<!\w)(?:%s)[ .\t]" % "|".join([*TITLES_MALE, *TITLES_FEMALE]))
+#: Two words with capitals: a name without a title where the first is a given name.
+_PAIR = re.compile(rf"(?<!\w)(?=[A-ZÀ-ÖØ-ÞА-ЯЁ])({_NAME})[ \t](?=[^\W\d_a-zß-öø-ÿа-яё])({_NAME})")
 
 MENTION = "kind string, start int, stop int, value string"
 
@@ -93,11 +132,12 @@ def permute(key: bytes, tweak: str, digits: list[int], radix: list[int]) -> list
 
 def _hexadecimal(text: str) -> list[str]:
     """The digits that each character of ``text`` may become: all sixteen where its letters are of one case;
-    in mixed case a figure stays a figure, and a letter one of its case."""
+    in mixed case a figure stays a figure, and a letter one of its case. Other characters stay."""
     kinds = {c.islower() for c in text if c.isalpha()}
     if len(kinds) < 2:
-        return ["0123456789ABCDEF" if kinds == {False} else "0123456789abcdef"] * len(text)
-    return ["0123456789" if c.isdigit() else "abcdef" if c.islower() else "ABCDEF" for c in text]
+        every = "0123456789ABCDEF" if kinds == {False} else "0123456789abcdef"
+        return [every if c.isalnum() else "" for c in text]
+    return ["" if not c.isalnum() else "0123456789" if c.isdigit() else "abcdef" if c.islower() else "ABCDEF" for c in text]
 
 
 def _characters(key: bytes, tweak: str, text: str, fixed: set[int], hexadecimal: bool = False) -> str:
@@ -110,8 +150,8 @@ def _characters(key: bytes, tweak: str, text: str, fixed: set[int], hexadecimal:
         elif c.isascii() and c.isdigit():
             groups.append("0123456789")
         else:
-            groups.append(_CLASS.get(c.lower(), "") if len(c.lower()) == 1 and c.lower().upper() in (c.upper(), c) and len(c.upper()) == 1 else "")
-    shape = "".join("x" if g and c.islower() else "X" if g and c.isalpha() else "9" if g else c for g, c in zip(groups, text))
+            groups.append(_letters_for(c))
+    shape = "".join(f"{'X' if c.isupper() else 'x'}{g[0]}" if g and c.isalpha() else "9" if g else c for g, c in zip(groups, text))
     digits = [g.index(c if c in g else c.lower()) if g else 0 for g, c in zip(groups, text)]
     made = permute(key, f"{tweak}|{shape}", digits, [len(g) or 1 for g in groups])
     return "".join((g[d].upper() if c.isupper() and not hexadecimal else g[d]) if g else c for g, d, c in zip(groups, made, text))
@@ -121,15 +161,47 @@ def _like(model: str, word: str) -> str:
     return word.upper() if model.isupper() and len(model) > 1 else word.capitalize() if model[0].isupper() else word
 
 
+def _luhn(digits: str) -> int:
+    """The digit that makes ``digits`` and it pass the check of card numbers."""
+    total = sum(sum(divmod(2 * int(c), 10)) if i % 2 == 0 else int(c) for i, c in enumerate(reversed(digits)))
+    return -total % 10
+
+
+def _card(key: bytes, tweak: str, value: str) -> str:
+    """Another number of the form; its last digit is as far from the right one as before, so a valid number stays one."""
+    places = [i for i, c in enumerate(value) if c.isdigit()]
+    made = _characters(key, tweak, value, {places[-1]})
+    off = int(value[places[-1]]) - _luhn("".join(value[i] for i in places[:-1]))
+    last = (_luhn("".join(made[i] for i in places[:-1])) + off) % 10
+    return f"{made[: places[-1]]}{last}{made[places[-1] + 1 :]}"
+
+
+def _iban_check(value: str) -> int:
+    compact = re.sub(r"[^0-9A-Z]", "", value)
+    return 98 - int("".join(str(int(c, 36)) for c in compact[4:] + compact[:2] + "00")) % 97
+
+
+def _iban(key: bytes, tweak: str, value: str) -> str:
+    """Another account of the country, its check digits as far from the right ones as before."""
+    made = _characters(key, tweak, value, {0, 1, 2, 3})
+    return f"{made[:2]}{(_iban_check(made) + int(value[2:4]) - _iban_check(value)) % 100:02d}{made[4:]}"
+
+
 @lru_cache(maxsize=100_000)
 def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
-    """The replacement of an entity; another ``attempt`` gives another one."""
+    """The replacement of an entity; another ``attempt`` gives another one.
+
+    A given name becomes another of its list at first, later a name that keeps its ending. Names grow by a letter
+    for each attempt from ``DRAWS`` on.
+    """
     tweak = f"{kind}|{attempt}"
     if kind == "ipv4":
         octets = [int(p) for p in value.split(".")]
         return ".".join(map(str, permute(key, tweak, octets, [256] * 4)))
-    if kind == "secret":
+    if kind in ("secret", "ipv6"):
         return _characters(key, tweak, value, set(), hexadecimal=True)
+    if kind == "api_key":
+        return _characters(key, tweak, value, set(range(4)))
     if kind == "email":
         local, _, domain = value.rpartition("@")
         keep = set(range(domain.rfind("."), len(domain)))
@@ -138,10 +210,19 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
         plus = re.match(r"\+\d{1,3}(?=[ .(-])", value)
         return _characters(key, tweak, value, set(range(plus.end())) if plus else set())
     if kind == "iban":
-        return _characters(key, tweak, value, {0, 1})
-    if kind in _LISTS:
+        return _iban(key, tweak, value)
+    if kind == "card":
+        return _card(key, tweak, value)
+    if kind in _LISTS and not attempt:
         names = _LISTS[kind]
         return _like(value, names[permute(key, tweak, [names.index(value.lower())], [len(names)])[0]])
+    if kind in _LISTS or kind == "surname":
+        more = max(0, attempt - DRAWS + 1)
+        letters = _letters_for(value[-1]) or "e"
+        # what is put before the name is drawn from the whole of it, so that the domain grows
+        longer = "".join(letters[_draw(key, tweak, i, zlib.crc32(value.encode()), len(letters))] for i in range(more))
+        made = _characters(key, tweak, value, {len(value) - 1} if kind in _LISTS else set())
+        return _like(value, longer + made.lower()) if more else made
     return _characters(key, tweak, value, set())
 
 
@@ -156,9 +237,11 @@ def detect(text: str) -> list[tuple[str, int, int, str]]:
     """``(kind, start, stop, value)`` of the entities of ``text``, in order and without overlap.
 
     A name after a title gives a mention for each of its words: given names of the lists by gender, else
-    surnames. Later bare mentions of a surname that is three letters long at least are mentions too.
+    surnames. A given name of the lists before another word with a capital is a name without a title. Later
+    bare mentions of a surname that is three letters long at least are mentions too.
     """
-    if not _SIGN.search(text):
+    pairs = [m for m in _PAIR.finditer(text) if m[1].lower() in _GIVEN]
+    if not pairs and not _SIGN.search(text):
         return []
     found, surnames = [], set()
     for m in _ANY.finditer(text):
@@ -177,6 +260,14 @@ def detect(text: str) -> list[tuple[str, int, int, str]]:
                 other = kind.replace("given_m", "given_f") if gender == "f" else kind.replace("given_f", "given_m")
                 kind = other if w[0].lower() in _LISTS[other] else kind
             found.append((kind, m.start() + w.start(), m.start() + w.end(), w[0]))
+    held = {a for _, a, _, _ in found}
+    for m in pairs:
+        if m.start(1) not in held and m.start(2) not in held:
+            found.append((_GIVEN[m[1].lower()], m.start(1), m.end(1), m[1]))
+            kind = _GIVEN.get(m[2].lower(), "surname")
+            found.append((kind, m.start(2), m.end(2), m[2]))
+            if kind == "surname":
+                surnames.add(m[2])
     again = [s for s in surnames if len(s) > 2]
     if again:
         taken = {(a, b) for _, a, b, _ in found}
@@ -202,25 +293,33 @@ def replace(text: str, key: bytes, attempts: dict[tuple[str, str], int]) -> tupl
 # --- tables ------------------------------------------------------------------------------------------
 
 
-def _entities(docs: DataFrame, key: bytes) -> DataFrame:
-    """``kind, value, surrogate`` once for each entity and batch of texts, at the first attempt."""
+MENTIONS = "text_key binary, kind string, value string, surrogate string"
+#: Parts into which the rows of one text, and the mentions of one entity, are dealt.
+PARTS = 8
+
+
+def _text_key(text) -> bytes:
+    return hashlib.md5(text.encode()).digest()
+
+
+def _mentions(docs: DataFrame, key: bytes) -> DataFrame:
+    """Each entity of each text once, with its first surrogate; ``text_key`` is the MD5 of the text."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            seen = {(kind, value) for text in frame["text"] if text is not None for kind, _, _, value in detect(text)}
-            yield pd.DataFrame([(k, v, surrogate(key, k, v)) for k, v in seen], columns=["kind", "value", "surrogate"])
-
-    return docs.select("text").mapInPandas(run, "kind string, value string, surrogate string")
+            rows = [(_text_key(t), k, v, surrogate(key, k, v)) for t in frame["text"] if t is not None for k, v in {(k, v) for k, _, _, v in detect(t)}]
+            yield pd.DataFrame(rows, columns=["text_key", "kind", "value", "surrogate"])
 
+    return docs.select("text").mapInPandas(run, MENTIONS)
 
-#: Entities whose surrogate was drawn again, and that a task may hold.
-BROADCAST_LIMIT = 100_000
 
+def exceptions(mentions: DataFrame, scratch: Scratch, key: bytes) -> DataFrame:
+    """``kind, value, attempt`` of the entities of ``mentions`` whose first surrogate is an entity of some document,
+    themselves included, or that of another entity.
 
-def exceptions(docs: DataFrame, scratch: Scratch, key: bytes, rounds: int = 8) -> DataFrame:
-    """``kind, value, attempt`` of the entities whose first surrogate is an entity of some document, or
-    that of another entity. Given names are permuted within their short lists and not drawn again."""
-    entities = scratch.keep(_entities(docs, key).distinct(), "entities").filter(~F.col("kind").isin(list(_LISTS)))
+    They are drawn again until none is left; a format whose values are all taken raises an error after ``MOST_DRAWS`` draws.
+    """
+    entities = scratch.keep(mentions.select("kind", "value", "surrogate").distinct(), "entities")
     real = entities.select(F.col("value").alias("taken")).distinct()
 
     def again(attempt: int):
@@ -233,45 +332,43 @@ def exceptions(docs: DataFrame, scratch: Scratch, key: bytes, rounds: int = 8) -
 
     settled = entities.withColumn("attempt", F.lit(0))
     schema = "kind string, value string, surrogate string, attempt int"
-    for attempt in range(1, rounds + 1):
+    for attempt in range(1, MOST_DRAWS + 2):
         # of several that share a surrogate the least keeps it
         first = settled.groupBy("surrogate").agg(F.min(F.struct("attempt", "kind", "value")).alias("keeps"))
         clash = settled.join(real, F.col("surrogate") == F.col("taken"), "left_semi").select("kind", "value")
         shared = settled.join(first, "surrogate").filter(F.struct("attempt", "kind", "value") != F.col("keeps")).select("kind", "value")
         bad = scratch.keep(clash.unionAll(shared).distinct(), "clash")
         if not bad.limit(1).count():
-            break
+            return settled.filter("attempt > 0").select("kind", "value", "attempt")
+        if attempt > MOST_DRAWS:
+            kinds = sorted(r["kind"] for r in bad.select("kind").distinct().collect())
+            raise ValueError(f"no values are left for surrogates of {', '.join(kinds)}")
         settled = scratch.keep(settled.join(bad, ["kind", "value"], "left_anti").unionAll(bad.mapInPandas(again(attempt), schema).select(*settled.columns)), "settled")
-    return settled.filter("attempt > 0").select("kind", "value", "attempt")
+    raise AssertionError
 
 
 def pseudonymise(docs: DataFrame, scratch: Scratch, key: bytes) -> DataFrame:
     """``doc_id, text, n_entities, entities`` for each row of ``docs`` (doc_id, text), whole texts, entities replaced.
 
     ``entities`` holds kind, place and surrogate in the new text. Null texts stay null without entities;
-    repeated rows are treated alike; other columns are left alone; an empty table gives an empty result.
+    rows of one text are treated alike, whatever their ids, null ones too; other columns are left alone; an empty
+    table gives an empty result. What was drawn again reaches a text by a join on the text's MD5.
     """
-    drawn = scratch.keep(exceptions(docs, scratch, key), "exceptions")
-    rows = docs.select("doc_id", "text")
-    schema = "doc_id long, text string, n_entities int, entities array<struct<kind:string,start:int,stop:int,surrogate:string>>"
-    few = drawn.limit(BROADCAST_LIMIT + 1).count() <= BROADCAST_LIMIT
-    held = {(r["kind"], r["value"]): r["attempt"] for r in drawn.collect()} if few else {}
-    if not few:
-        # too many to hold: each document gets those that it mentions
-        def mentions(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                yield pd.DataFrame([(i, k, v) for i, t in zip(frame["doc_id"], frame["text"]) if t is not None for k, v in {(k, v) for k, _, _, v in detect(t)}], columns=["of", "kind", "value"])
-
-        own = rows.filter("doc_id is not null").mapInPandas(mentions, "of long, kind string, value string").distinct().join(drawn, ["kind", "value"])
-        rows = rows.join(own.groupBy("of").agg(F.collect_list(F.struct("kind", "value", "attempt")).alias("own")), F.col("doc_id") == F.col("of"), "left").drop("of")
-    else:
-        rows = rows.withColumn("own", F.lit(None).cast("array<struct<kind:string,value:string,attempt:int>>"))
+    mentions = scratch.keep(_mentions(docs, key), "mentions")
+    drawn = scratch.keep(exceptions(mentions, scratch, key), "exceptions")
+    parts = F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))
+    # an entity, or a text, may hold many of the rows: both are dealt in parts
+    part = F.pmod(F.xxhash64("text_key"), F.lit(PARTS)).cast("int")
+    own = mentions.select("text_key", "kind", "value", part.alias("part")).distinct().join(drawn.withColumn("part", parts), ["kind", "value", "part"])
+    own = own.groupBy("text_key").agg(F.collect_list(F.struct("kind", "value", "attempt")).alias("own")).withColumn("part", parts)
+    rows = docs.select("doc_id", "text").withColumn("part", (F.monotonically_increasing_id() % PARTS).cast("int"))
+    rows = rows.join(own, (F.unhex(F.md5("text")) == F.col("text_key")) & (rows["part"] == own["part"]), "left").select("doc_id", "text", "own")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             made = []
             for text, own in zip(frame["text"], frame["own"]):
-                attempts = held if own is None else {(o["kind"], o["value"]): o["attempt"] for o in own}
+                attempts = {(o["kind"], o["value"]): o["attempt"] for o in own} if own is not None else {}
                 made.append(replace(text, key, attempts) if text is not None else (None, []))
             yield pd.DataFrame(
                 {
@@ -282,4 +379,5 @@ def pseudonymise(docs: DataFrame, scratch: Scratch, key: bytes) -> DataFrame:
                 }
             )
 
-    return rows.mapInPandas(run, schema)
+    schema = "doc_id long, text string, n_entities int, entities array<struct<kind:string,start:int,stop:int,surrogate:string>>"
+    return map_rows(rows, run, schema)

@@ -37,7 +37,7 @@ from .words import in_blocks
 BLOCK = 4096
 MAGIC = b"VXPF2\x00"
 #: Bytes of text that a task encodes at a time.
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 6_000_000
 PERCENTILES = (50, 75, 90, 95, 99, 100)
 _HEAD, _TRAILER, _DOC = struct.Struct("<IIBI"), struct.Struct("<QQQQ"), np.dtype([("id", "<i8"), ("first", "<u8"), ("count", "<u8"), ("known", "u1")])
 
@@ -221,7 +221,7 @@ class WordEncoder:
     with any other tokenizer.
     """
 
-    def __init__(self, path: str, limit: int = 150_000):
+    def __init__(self, path: str, limit: int = 100_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -320,6 +320,7 @@ def write_tokens(docs: DataFrame, scratch: Scratch, tokenizer: str, folder: str,
                 ids, at = encoder.encode_all(texts[a:b])
                 for doc_id, i, j in zip(doc_ids[a:b], at[:-1], at[1:]):
                     out.add(doc_id, np.append(ids[i:j], end))
+                pa.default_memory_pool().release_unused()
         if out is not None:
             out.close()
             stream.close()
