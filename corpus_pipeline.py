@@ -24,25 +24,37 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """
     scratch = Scratch(spark, "pipeline-language")
     model = langid.train(docs, scratch, vocabulary("piece_bpe_32k.model"))
+    scratch.free()  # the model is with the driver
     return langid.filtered(docs, model, LEAST_LANGUAGE_SCORE)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates stays: five-word shingles, similarity of 0.8 or more.
 
-    Texts without a word have no class and stay.
+    Texts without a word have no class and stay; rows that repeat an id and a text stay once.
     """
     scratch = Scratch(spark, "pipeline-dedup")
-    kept = minhash.near_duplicates(docs, scratch, k=5, percent=80).filter("kept").select(F.col("doc_id").alias("kept_id"))
-    return docs.join(scratch.keep(kept.distinct(), "kept"), docs["doc_id"].eqNullSafe(F.col("kept_id")), "left_semi")
+    near = minhash.near_duplicates(docs, scratch, k=5, percent=80).filter("kept")
+    kept = scratch.keep(near.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "kept")
+    scratch.free(kept)
+    out = _semi(docs, kept.select("doc_id"), "left_semi")
+    # where no id is repeated, nothing has to be compared
+    return out.dropDuplicates(["doc_id", "text"]) if kept.filter("n > 1").limit(1).count() else out
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, with its own or other values, go."""
     scratch = Scratch(spark, "pipeline-decontaminate")
     found = decontam.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), scratch)
-    gone = scratch.keep(found.select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
-    return docs.join(gone, docs["doc_id"] == F.col("gone_id"), "left_anti")
+    gone = scratch.keep(found.select("doc_id").distinct(), "gone")
+    scratch.free(gone)
+    return _semi(docs, gone, "left_anti")
+
+
+def _semi(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """Rows of ``docs`` whose id is, or is not, among ``ids`` (doc_id), which has one column of its own."""
+    a, b = docs.alias("docs"), ids.alias("ids")
+    return a.join(b, F.col("docs.doc_id").eqNullSafe(F.col("ids.doc_id")), how)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
