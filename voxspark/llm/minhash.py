@@ -151,7 +151,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, k: int = 4, percent: int
     stars = scratch.keep(shared.filter((F.col("doc_id") != F.col("head")) & alike).select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct(), "stars")
 
     wanted = scratch.keep(shared.select(F.col("doc_id").alias("wanted")).distinct(), "wanted")
-    texts = _perhaps(docs.select("doc_id", "text"), wanted).join(wanted, F.col("doc_id") == F.col("wanted"), "left_semi")
+    texts = _perhaps(docs.select("doc_id", "text"), wanted).join(wanted.hint("merge"), F.col("doc_id") == F.col("wanted"), "left_semi")
     sets = scratch.keep(shingle_sets(texts.groupBy("doc_id").agg(F.min("text").alias("text")), k), "sets")
     links = scratch.keep(_confirmed(stars, sets, scratch, percent), "links")
     labels = components(links, scratch)
@@ -203,7 +203,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, scratch: Scratch, percent: int
     left = left.join(hot, F.col("a") == F.col("hot"), "left").select("a", "set_a", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b"))
     dealt = pairs.join(hot, F.col("a") == F.col("hot"), "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("b"), F.col("parts")), F.lit(0)).cast("int")).drop("hot", "parts")
-    both = dealt.join(left, ["a", "part"]).join(right, "b")
+    both = dealt.join(left.hint("merge"), ["a", "part"]).join(right.hint("merge"), "b")  # sets are never small
     common = F.size(F.array_intersect("set_a", "set_b"))
     checked = both.withColumn("common", common).withColumn("whole", F.size("set_a") + F.size("set_b") - F.col("common"))
     return checked.filter(F.col("common") * 100 >= F.col("whole") * percent).select(*pairs.columns)
@@ -218,7 +218,7 @@ def _across(docs: DataFrame, sets: DataFrame, scratch: Scratch, percent: int) ->
     and shingles that only one class still has there, go before the join, so members of one class never
     meet however many they are.
     """
-    every = sets.select(F.col("doc_id").alias("of"), "shingles").join(docs, F.col("of") == F.col("doc_id")).select("doc_id", "n", "label", F.explode("shingles").alias("shingle"))
+    every = sets.select(F.col("doc_id").alias("of"), "shingles").hint("merge").join(docs, F.col("of") == F.col("doc_id")).select("doc_id", "n", "label", F.explode("shingles").alias("shingle"))
     every = scratch.keep(every, "shingles")
     # a shingle of one class leads nowhere, but keeps its place in the order; those of one document come first, uncounted
     frequency = every.groupBy("shingle").agg(F.count(F.lit(1)).alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("c > 1")

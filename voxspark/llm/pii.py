@@ -21,7 +21,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
@@ -347,6 +347,22 @@ def exceptions(mentions: DataFrame, scratch: Scratch, key: bytes) -> DataFrame:
     raise AssertionError
 
 
+#: Bits of the filter of texts with entities that were drawn again, as a table of at most 2**18 words.
+FILTER_BITS = 24
+
+
+def _flagged(rows: DataFrame, own: DataFrame) -> DataFrame:
+    """``rows`` with ``flag``: whether their text may be one of ``own`` (text_key), by a filter of bits that is broadcast as
+    words of 64 bits, 4 MB at most. Only flagged texts are shuffled; where most are in ``own``, most are."""
+    def place(hexadecimal) -> Column:
+        return F.conv(F.substring(hexadecimal, 1, FILTER_BITS // 4), 16, 10).cast("long")
+
+    one = F.expr("shiftleft(1L, cast(place & 63 as int))")
+    bits = own.select(place(F.hex("text_key")).alias("place")).groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(one).alias("bits"))
+    met = rows.withColumn("place", place(F.md5("text"))).join(F.broadcast(bits), F.shiftright("place", 6) == F.col("word"), "left")
+    return met.withColumn("flag", F.coalesce(F.col("bits").bitwiseAND(one) != 0, F.lit(False))).select(*rows.columns, "flag")
+
+
 def pseudonymise(docs: DataFrame, scratch: Scratch, key: bytes) -> DataFrame:
     """``doc_id, text, n_entities, entities`` for each row of ``docs`` (doc_id, text), whole texts, entities replaced.
 
@@ -361,8 +377,12 @@ def pseudonymise(docs: DataFrame, scratch: Scratch, key: bytes) -> DataFrame:
     part = F.pmod(F.xxhash64("text_key"), F.lit(PARTS)).cast("int")
     own = mentions.select("text_key", "kind", "value", part.alias("part")).distinct().join(drawn.withColumn("part", parts), ["kind", "value", "part"])
     own = own.groupBy("text_key").agg(F.collect_list(F.struct("kind", "value", "attempt")).alias("own")).withColumn("part", parts)
-    rows = docs.select("doc_id", "text").withColumn("part", (F.monotonically_increasing_id() % PARTS).cast("int"))
-    rows = rows.join(own, (F.unhex(F.md5("text")) == F.col("text_key")) & (rows["part"] == own["part"]), "left").select("doc_id", "text", "own")
+    own = scratch.keep(own, "own")
+    rows = _flagged(docs.select("doc_id", "text"), own)
+    none = F.lit(None).cast(own.schema["own"].dataType)
+    some = rows.filter("flag").withColumn("part", (F.monotonically_increasing_id() % PARTS).cast("int"))
+    some = some.join(own, (F.unhex(F.md5("text")) == F.col("text_key")) & (some["part"] == own["part"]), "left").select("doc_id", "text", "own")
+    rows = rows.filter("not flag").select("doc_id", "text", none.alias("own")).unionAll(some)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
