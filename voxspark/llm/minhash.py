@@ -151,7 +151,8 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, k: int = 4, percent: int
     stars = scratch.keep(shared.filter((F.col("doc_id") != F.col("head")) & alike).select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct(), "stars")
 
     wanted = scratch.keep(shared.select(F.col("doc_id").alias("wanted")).distinct(), "wanted")
-    texts = _perhaps(docs.select("doc_id", "text"), wanted).join(wanted.hint("merge"), F.col("doc_id") == F.col("wanted"), "left_semi")
+    # an inner join, ids being distinct: a semi-join would be pushed below the filter and shuffle all texts
+    texts = _perhaps(docs.select("doc_id", "text"), wanted).join(wanted.hint("merge"), F.col("doc_id") == F.col("wanted"))
     sets = scratch.keep(shingle_sets(texts.groupBy("doc_id").agg(F.min("text").alias("text")), k), "sets")
     links = scratch.keep(_confirmed(stars, sets, scratch, percent), "links")
     labels = components(links, scratch)
