@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, chroma, decontam, langid, minhash, mixing, pii, sharding, tokens, toxicity
+from . import chat, chroma, decontam, divergence, langid, minhash, mixing, negatives, pii, quality, sharding, tokens, toxicity
 from .scratch import Scratch
 
 #: Key of the surrogates of op3. A deployment passes its own secret to ``pii.pseudonymise``.
@@ -84,6 +84,20 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_quality_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = quality.train(docs, _table(spark, sf_dir, "labels"), Scratch(spark, "op11"))
+    return quality.classify(docs, model).withColumn("held_out", quality.held_out(F.col("doc_id")))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(_table(spark, sf_dir, "embeddings"), Scratch(spark, "op12"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"), Scratch(spark, "op13"))
+
+
 _OP2_SQL = r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
@@ -154,6 +168,60 @@ FROM sized GROUP BY conv_id
 """
 
 
+_OP12_SQL = """
+WITH rows AS (
+  SELECT vec_id, (CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END)::BIGINT AS label,
+    [floor(256 * x::DOUBLE) FOR x IN embedding] AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len([1 FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same, list_dot_product(a.q, r.q)::BIGINT AS score
+  FROM rows a JOIN rows r ON a.vec_id % 100 = 0 AND a.vec_id <> r.vec_id),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER best)::INT AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id)
+WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW best AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)
+QUALIFY row_number() OVER best <= 10
+"""
+
+
+_OP13_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+uses AS (SELECT id, lang, source, unnest(w) AS term FROM docs),
+kept AS (SELECT lang, term FROM uses GROUP BY lang, term HAVING count(DISTINCT id) >= 3),
+vocabulary AS (SELECT lang, count(*)::HUGEINT AS v FROM kept GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+counts AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM uses JOIN kept USING (lang, term) GROUP BY ALL),
+sizes AS (SELECT lang, source, sum(n)::HUGEINT AS size FROM counts GROUP BY ALL),
+cells AS (
+  SELECT lang, source, term, coalesce(n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(n, 0) + 1)) // (coalesce(size, 0) + v) AS p
+  FROM groups JOIN kept USING (lang) JOIN vocabulary USING (lang) LEFT JOIN sizes USING (lang, source) LEFT JOIN counts USING (lang, source, term)),
+whole AS (
+  SELECT lang, term, 1 + (1000000000::HUGEINT * (sum(n)::HUGEINT + 1)) // ((sum(sum(n)) OVER (PARTITION BY lang))::HUGEINT + any_value(v)) AS q
+  FROM cells JOIN vocabulary USING (lang) GROUP BY lang, term),
+summed AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS f
+  FROM cells a JOIN cells b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(f, 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN summed ON summed.lang = a.lang AND summed.source = a.source AND summed.item = b.source),
+over_used AS (
+  SELECT lang, source, term AS item, (((p - q) * (p - q)) // q)::BIGINT AS value FROM cells JOIN whole USING (lang, term) WHERE n > 0 AND p > q)
+SELECT lang, source, 'pair' AS part, item, value, (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item))::INT AS rank FROM pairs
+UNION ALL
+SELECT lang, source, 'term', item, value, (row_number() OVER best)::INT FROM over_used
+WINDOW best AS (PARTITION BY lang, source ORDER BY value DESC, item) QUALIFY row_number() OVER best <= 200
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -172,9 +240,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": op8_language_id,
         "op9_decontaminate": op9_decontaminate,
         "op10_chat_format": op10_chat_format,
+        "op11_quality_zstd": op11_quality_zstd,
+        "op12_hard_negatives": op12_hard_negatives,
+        "op13_source_divergence": op13_source_divergence,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_near_dedup": _OP2_SQL, "op5_mix_sources": _OP5_SQL, "op10_chat_format": _OP10_SQL}
+    return {"op2_near_dedup": _OP2_SQL, "op5_mix_sources": _OP5_SQL, "op10_chat_format": _OP10_SQL, "op12_hard_negatives": _OP12_SQL, "op13_source_divergence": _OP13_SQL}
