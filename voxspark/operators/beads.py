@@ -20,16 +20,18 @@ def roi_arrays(bricks: DataFrame, boxes: DataFrame, edges: tuple[int, int, int],
     """``bead, vol_id, values`` (row-major, z first) of the box of ``size`` voxels at ``z0, x0, y0`` of each row of
     ``boxes`` (bead, vol_id, ...). Places outside the volume are NaN; beads keep their ids.
 
-    Boxes meet bricks by number (``fourier.crop_bricks``), so only voxels of boxes are shuffled.
+    A box is known by its bead and its volume together: bead numbers start anew in each tomogram, and each
+    reconstruction of it is a volume of its own. Boxes meet bricks by number (``fourier.crop_bricks``), so only voxels
+    of boxes are shuffled.
     """
     plan = boxes.select(F.col("bead").alias("tile"), F.lit(1).alias("side"), "vol_id", *[F.col(f"{a}0").alias(a) for a in "zxy"])
-    parts = crop_bricks(bricks, plan, edges, (size,) * 3).groupBy("tile").agg(F.collect_list(F.struct("side", "places", "values")).alias("parts"))
-    placed = boxes.select("bead", "vol_id").join(parts, F.col("bead") == F.col("tile"), "left").drop("tile")
+    parts = crop_bricks(bricks, plan, edges, (size,) * 3).groupBy("vol_id", "tile").agg(F.collect_list(F.struct("side", "places", "values")).alias("parts"))
+    placed = boxes.select("vol_id", F.col("bead").alias("tile")).join(parts, ["vol_id", "tile"], "left")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             cubes = [assemble(p if p is not None else [], (size,) * 3, 1)[0].ravel() for p in frame["parts"]]
-            yield frame[["bead", "vol_id"]].assign(values=cubes)
+            yield pd.DataFrame({"bead": frame["tile"], "vol_id": frame["vol_id"], "values": cubes})
 
     ids = {f.name: f.dataType.simpleString() for f in boxes.select("bead", "vol_id").schema}
     return placed.mapInPandas(run, f"bead {ids['bead']}, vol_id {ids['vol_id']}, values array<float>")

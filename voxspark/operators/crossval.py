@@ -66,22 +66,39 @@ def axis_dim(size: Column, unit: Column, resolution: Column) -> tuple[Column, Co
     return held, (F.lit(2) + extent / held).cast("int")
 
 
-def physical_shells(radius: Column, bin_size: float) -> Column:
-    """Shells that a frequency at ``radius`` adds to: int(r - d + 1) to int(r + d) with d half the bin; the origin only to 0."""
+def physical_shells(radius: Column, bin_size: float, count: Column | int | None = None, alone: bool = True) -> Column:
+    """Shells that a frequency at ``radius`` adds to: int(r - d + 1) to int(r + d) with d half the bin; where it is to stand
+    ``alone``, the origin only to shell 0, and nothing else to that.
+
+    Of ``count`` shells (``axis_dim``) the last takes no points of its own: those from int(r) = count - 1 on add to none.
+    """
     d = bin_size / 2
     low, high = (radius - d + 1).cast("int"), (radius + d).cast("int")
-    return F.when(radius == 0, F.array(F.lit(0))).when(low <= high, F.sequence(low, F.greatest(low, high))).otherwise(F.array().cast("array<int>"))
-
-
-def fsc_physical(pairs: DataFrame, by: Sequence[str], radius: Column, bin_size: float = 1.0, even_odd: bool = False) -> DataFrame:
-    """``idx, value``: correlation by physical frequency, clipped to 0..1 and 1 at the origin; ``even_odd`` turns
-    half-data correlation into that of the whole, 2 c / (c + 1)."""
-    exact = pairs.withColumn("shells", physical_shells(radius, bin_size)).groupBy(*by, "shells").agg(
+    low = F.greatest(low, F.lit(int(alone)))
+    none = F.array().cast("array<int>")
+    if count is not None:
+        limit = F.lit(count) if isinstance(count, int) else count
+        high = F.least(high, (limit - 1).cast("int"))
+    found = F.when(low <= high, F.sequence(low, F.greatest(low, high))).otherwise(none)
+    if alone:
+        found = F.when(radius == 0, F.array(F.lit(0))).otherwise(found)
+    return found if count is None else F.when(radius.cast("int") + 1 < limit, found).otherwise(none)
+
+
+def fsc_physical(pairs: DataFrame, by: Sequence[str], radius: Column, bin_size: float = 1.0, even_odd: bool = False, count: Column | int | None = None) -> DataFrame:
+    """``idx, value``: correlation by physical frequency in ``count`` shells, clipped to 0..1 and 1 at the origin; ``even_odd``
+    turns half-data correlation into that of the whole, 2 c / (c + 1)."""
+    exact = pairs.withColumn("shells", physical_shells(radius, bin_size, count)).groupBy(*by, "shells").agg(
         F.sum(F.col("re1") * F.col("re2") + F.col("im1") * F.col("im2")).alias("c"),
         F.sum(F.col("re1") * F.col("re1") + F.col("im1") * F.col("im1")).alias("c1"),
         F.sum(F.col("re2") * F.col("re2") + F.col("im2") * F.col("im2")).alias("c2"),
     )
-    sums = exact.withColumn("idx", F.explode("shells")).groupBy(*by, "idx").agg(F.sum("c").alias("c"), F.sum("c1").alias("c1"), F.sum("c2").alias("c2"))
+    return shell_correlation(exact.withColumn("idx", F.explode("shells")), by, even_odd)
+
+
+def shell_correlation(sums: DataFrame, by: Sequence[str], even_odd: bool = False) -> DataFrame:
+    """``idx, value`` of ``fsc_physical`` from sums ``idx, c, c1, c2`` in parts."""
+    sums = sums.groupBy(*by, "idx").agg(F.sum("c").alias("c"), F.sum("c1").alias("c1"), F.sum("c2").alias("c2"))
     value = F.greatest(F.least(F.coalesce(F.try_divide("c", F.sqrt(F.col("c1") * F.col("c2"))), F.lit(0.0)), F.lit(1.0)), F.lit(0.0))
     if even_odd:
         value = 2 * value / (value + 1)
@@ -116,12 +133,12 @@ def wedge_mask(kx: Column, ky: Column, kz: Column, tmin: float, tmax: float, xti
     return F.when((kx == 0) & (ky == 0) & (kz == 0), False).otherwise(outside)
 
 
-def nloo2d_sums(triples: DataFrame, by: Sequence[str], radius: Column, bin_size: float = 1.0) -> DataFrame:
+def nloo2d_sums(triples: DataFrame, by: Sequence[str], radius: Column, bin_size: float = 1.0, count: Column | int | None = None) -> DataFrame:
     """Shell sums of the input image against that without its projection (miss) and with it (full): ``cm, mm, cf, ff``.
 
     ``triples`` has re0, im0 (input), re1, im1 (miss), re2, im2 (full).
     """
-    e = triples.withColumn("idx", F.explode(physical_shells(radius, bin_size)))
+    e = triples.withColumn("idx", F.explode(physical_shells(radius, bin_size, count, alone=False)))
     dot = lambda a, b: F.sum(F.col(f"re{a}") * F.col(f"re{b}") + F.col(f"im{a}") * F.col(f"im{b}"))
     return e.groupBy(*by, "idx").agg(dot(0, 1).alias("cm"), dot(1, 1).alias("mm"), dot(0, 2).alias("cf"), dot(2, 2).alias("ff"))
 
@@ -151,10 +168,18 @@ def nloo_coefficient(triples: DataFrame, by: Sequence[str], length: Column, low:
     return nloo_ratio(nloo2d_sums(band, by, F.lit(1.0)).drop("idx"), -1.0)
 
 
-def nloo_volume(triples: DataFrame, by: Sequence[str], tilt: Column) -> DataFrame:
-    """``hx, hy, hz, value``: frequencies (kx, ky) of projections turned back by ``tilt`` radians about y to the
-    nearest place of the volume, summed there, -1..1."""
-    placed = triples.withColumn("hx", F.rint(F.col("kx") * F.cos(tilt)).cast("int")).withColumn("hy", F.col("ky")).withColumn("hz", F.rint(F.col("kx") * F.sin(tilt)).cast("int"))
+def nloo_volume(triples: DataFrame, by: Sequence[str], shape: tuple[int, int, int], z_bin: float = 1.0) -> DataFrame:
+    """``hx, hy, hz, value``: frequencies (kx, ky) of projections turned back to the nearest place of a volume of ``shape``
+    (x, y, z) whose z is binned by ``z_bin``, summed there, -1..1; those that fall outside are lost.
+
+    ``triples`` has the columns of ``tilt_views`` of its projection: the turn back is the transpose of a view, so
+    that a tilt of t takes (kx, 0) to (kx cos t, 0, -kx sin t). Halves are rounded away from zero.
+    """
+    placed = triples
+    for name, j, n, unit in zip(("hx", "hy", "hz"), range(3), shape, (1.0, 1.0, z_bin)):
+        place = (F.col("kx") * F.col(f"m0{j}") + F.col("ky") * F.col(f"m1{j}")) / unit
+        placed = placed.withColumn(name, F.when(place < 0, F.ceil(place - 0.5)).otherwise(F.floor(place + 0.5)).cast("int"))
+        placed = placed.filter(F.col(name).between(-(n // 2), (n - 1) // 2))
     return nloo_ratio(nloo2d_sums(placed, [*by, "hx", "hy", "hz"], F.lit(1.0)), -1.0)
 
 
@@ -230,6 +255,48 @@ def region_stats(df: DataFrame, by: Sequence[str], inside: Column, background: s
     return df.groupBy(*by).agg(F.avg(F.when(inside, F.col("v"))).alias("avg"), F.stddev_pop(F.when(inside, F.col("v"))).alias("std"), F.avg(F.when(where, F.col("v"))).alias("background"))
 
 
+#: Ranges of the whole-number voxel types; others are floats.
+VOXEL_TYPES = {"uint8": (0, 255), "int8": (-128, 127), "uint16": (0, 65535), "int16": (-32768, 32767), "int32": (-2147483648, 2147483647)}
+
+
+def rescale(v: Column, scale: Column | float, shift: Column | float, kind: str = "float", inside: Column | None = None, background: Column | float | None = None) -> Column:
+    """``v * scale + shift``, held within the range of the voxel type ``kind`` and cut to a whole number towards zero
+    where it is one; outside of a region the ``background``, as it is given."""
+    out = v * scale + shift
+    if kind in VOXEL_TYPES:
+        low, high = VOXEL_TYPES[kind]
+        held = F.greatest(F.least(out, F.lit(float(high))), F.lit(float(low)))
+        out = F.when(held < 0, F.ceil(held)).otherwise(F.floor(held)).cast("double")
+    elif kind not in ("float", "double"):
+        raise ValueError(f"no voxel type {kind}")
+    if inside is None:
+        return out
+    ground = F.lit(0.0) if background is None else F.lit(background) if isinstance(background, (int, float)) else background
+    return F.when(inside, out).otherwise(ground)
+
+
+def mask_region(df: DataFrame, by: Sequence[str], inside: Column, background: str = "outside", frame: Column | None = None) -> DataFrame:
+    """``v`` as it is inside a region, and the mean that ``region_stats`` takes as ``background`` elsewhere."""
+    ground = region_stats(df, by, inside, background, frame).select(*by, "background")
+    return df.join(ground, list(by)).withColumn("v", F.when(inside, F.col("v")).otherwise(F.col("background"))).drop("background")
+
+
+def fill_ratio(df: DataFrame, by: Sequence[str], inside: Column) -> DataFrame:
+    """``ratio``: the part of each image or volume that a region takes."""
+    return df.groupBy(*by).agg((F.count_if(inside) / F.count(F.lit(1))).alias("ratio"))
+
+
+def log_intensity(v: Column, offset: float = 0.0) -> Column:
+    """Logarithm of ``v + offset``; a value that is not positive is an error."""
+    base = v + offset
+    return F.when(base > 0, F.ln(base)).otherwise(F.raise_error(F.lit("the logarithm needs positive values")))
+
+
+def unbin_coordinate(place: Column, factor: Column) -> Column:
+    """The place on unbinned data of the middle of a binned one."""
+    return place * factor + (factor - 1) / 2
+
+
 def rescale_ls(pairs: DataFrame, by: Sequence[str], axes: Sequence[str], factor: int, inside: Column | None = None) -> DataFrame:
     """``v2`` brought to ``v1`` by a line fitted on binned data, of a region where one is given: the columns and ``v``."""
     cells = [F.floor(F.col(a) / factor).alias(a) for a in axes]
@@ -312,14 +379,18 @@ def sphere_footprint(views: DataFrame, middle: Sequence[float], radius: float, c
     return _pixels(turned, shape).filter(dx * dx + dy * dy <= radius * radius + 1e-6).drop("x", "y", "z", "mx", "my")
 
 
-def wedge_array(shape: tuple[int, int, int], tmin: float, tmax: float, xtilt: float = 0.0) -> np.ndarray:
-    """``wedge_mask`` at every frequency (z, x, y) of a transform in FFT order."""
-    kz, kx, ky = np.meshgrid(*[np.fft.fftfreq(n) for n in shape], indexing="ij")
+def wedge_angles(kz: np.ndarray, kx: np.ndarray, ky: np.ndarray, tmin: float, tmax: float, xtilt: float = 0.0) -> np.ndarray:
+    """``wedge_mask`` of arrays of frequencies."""
+    kz, kx, ky = np.broadcast_arrays(kz, kx, ky)
     with np.errstate(divide="ignore", invalid="ignore"):
         angle = np.where(kx != 0, np.arctan((kz * math.cos(xtilt) + ky * math.sin(xtilt)) / kx), np.where(kz == 0, 0.0, math.pi / 2))
     outside = (angle < min(tmin, tmax)) | (angle > max(tmin, tmax))
-    outside[0, 0, 0] = False
-    return outside
+    return outside & ~((kz == 0) & (kx == 0) & (ky == 0))
+
+
+def wedge_array(shape: tuple[int, int, int], tmin: float, tmax: float, xtilt: float = 0.0) -> np.ndarray:
+    """``wedge_mask`` at every frequency (z, x, y) of a transform in FFT order."""
+    return wedge_angles(*np.meshgrid(*[np.fft.fftfreq(n) for n in shape], indexing="ij"), tmin, tmax, xtilt)
 
 
 def bead_score(volumes: DataFrame, by: str, values: str, shape: tuple[int, int, int], diameter: float, wedge: tuple[float, float, float] | None = None) -> DataFrame:
@@ -447,7 +518,7 @@ def prepared(rows: DataFrame, by: str, values: Sequence[str], shape: tuple[int,
     return rows.select(by, *values).mapInPandas(run, f"{by} long, " + ", ".join(f"{v} array<double>" for v in values))
 
 
-def cross_validate(projections: DataFrame, shape: tuple[int, int], inside: np.ndarray, bin_size: float = 1.0) -> DataFrame:
+def cross_validate(projections: DataFrame, shape: tuple[int, int], inside: np.ndarray, bin_size: float = 1.0, count: int | None = None) -> DataFrame:
     """Leave-one-out sums ``proj, idx, cm, mm, cf, ff`` of projections (proj, input, miss, full: arrays, x by y).
 
     The input and the reprojection without its tilt are masked and rescaled to that of the whole volume; shells by
@@ -457,12 +528,14 @@ def cross_validate(projections: DataFrame, shape: tuple[int, int], inside: np.nd
     ready = prepared(projections, "proj", ["input", "miss", "full"], shape, inside, like=2)
     flat = frequencies(fft_arrays(ready, "proj", ["input", "miss", "full"], shape), ["proj"], [("x", shape[0]), ("y", shape[1])])
     triples = flat.withColumnsRenamed({f"{c}{k}": f"{c}{k - 1}" for k in (1, 2, 3) for c in ("re", "im")})
-    return nloo2d_sums(triples, ["proj"], F.sqrt((F.col("kx") * F.col("kx") + F.col("ky") * F.col("ky")).cast("double")), bin_size)
+    return nloo2d_sums(triples, ["proj"], F.sqrt((F.col("kx") * F.col("kx") + F.col("ky") * F.col("ky")).cast("double")), bin_size, count)
 
 
-def even_odd_resolution(halves: DataFrame, by: str, shape: tuple[int, int, int], inside: np.ndarray, edge: tuple[np.ndarray, float] | None = None, wedge: tuple[float, float, float] | None = None, mask: DataFrame | None = None, bin_size: float = 1.0, whole: bool = True) -> DataFrame:
+def even_odd_resolution(halves: DataFrame, by: str, shape: tuple[int, int, int], inside: np.ndarray, edge: tuple[np.ndarray, float] | None = None, wedge: tuple[float, float, float] | None = None, mask: DataFrame | None = None, bin_size: float = 1.0, whole: bool = True, count: int | None = None) -> DataFrame:
     """``by, idx, value``: correlation of two half-data volumes (v1, v2: arrays, z first), by physical frequency.
 
+    For small volumes; those of bricks have ``volumes.even_odd_curve``.
+
     The first is rescaled to the second within the region, both get a cosine edge, frequencies of the missing wedge
     and those not in ``mask`` (kz, kx, ky) go; ``whole`` turns it into the correlation of the whole data.
     """
@@ -473,7 +546,7 @@ def even_odd_resolution(halves: DataFrame, by: str, shape: tuple[int, int, int],
     if mask is not None:
         flat = flat.join(mask, ["kz", "kx", "ky"], "left_semi")
     radius = F.sqrt((F.col("kz") * F.col("kz") + F.col("kx") * F.col("kx") + F.col("ky") * F.col("ky")).cast("double"))
-    return fsc_physical(flat, [by], radius, bin_size, even_odd=whole)
+    return fsc_physical(flat, [by], radius, bin_size, even_odd=whole, count=count)
 
 
 def resolution_limit(option: Column, unit: Column, limit: Column) -> Column:
@@ -481,8 +554,8 @@ def resolution_limit(option: Column, unit: Column, limit: Column) -> Column:
     return F.coalesce(option, F.try_divide(unit, limit))
 
 
-def scale_region(shapes: DataFrame, factor: int, columns: Sequence[str]) -> DataFrame:
-    """Starts and sizes of regions on binned data."""
+def scale_region(shapes: DataFrame, factor: int | Column, columns: Sequence[str]) -> DataFrame:
+    """Starts and sizes of regions on data binned by ``factor``."""
     return shapes.withColumns({c: F.col(c) / factor for c in columns})
 
 

@@ -275,7 +275,7 @@ def _as_array(data) -> np.ndarray:
 
 
 def crop_bricks(bricks: DataFrame, plan: DataFrame, edges: tuple[int, int, int], shape: tuple[int, int, int]) -> DataFrame:
-    """``tile, side, places, values``: the parts of each tile of ``plan`` (tile, side, vol_id, z, x, y: its start).
+    """``vol_id, tile, side, places, values``: the parts of each tile of ``plan`` (tile, side, vol_id, z, x, y: its start).
 
     ``bricks`` (vol_id, bz, bx, by, z0, x0, y0, nz, nx, ny, data: binary of floats, or an array) have ``edges`` voxels a
     side, less at the end of a volume. Tiles and bricks meet on the brick number, and a tile's part is cut out of
@@ -285,21 +285,22 @@ def crop_bricks(bricks: DataFrame, plan: DataFrame, edges: tuple[int, int, int],
     for a, edge, size in zip("zxy", edges, shape):
         tiles = tiles.withColumn(f"b{a}", F.explode(F.sequence(F.floor(F.col(f"t{a}") / edge), F.floor((F.col(f"t{a}") + size - 1) / edge))))
     met = bricks.withColumns({f"b{a}": F.col(f"b{a}").cast("long") for a in "zxy"}).join(tiles, ["vol_id", "bz", "bx", "by"])
-    columns = ["tile", "side", *[f"t{a}" for a in "zxy"], *[f"{a}0" for a in "zxy"], *[f"n{a}" for a in "zxy"], "data"]
+    columns = ["vol_id", "tile", "side", *[f"t{a}" for a in "zxy"], *[f"{a}0" for a in "zxy"], *[f"n{a}" for a in "zxy"], "data"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
-            for tile, side, *numbers, data in frame[columns].itertuples(index=False):
+            for vol_id, tile, side, *numbers, data in frame[columns].itertuples(index=False):
                 first, at, size = numbers[:3], numbers[3:6], numbers[6:9]
                 low = [max(f, z) for f, z in zip(first, at)]
                 high = [min(f + n, z + m) for f, n, z, m in zip(first, shape, at, size)]
                 if all(a < b for a, b in zip(low, high)):
                     part = _as_array(data).reshape(size)[tuple(slice(a - z, b - z) for a, b, z in zip(low, high, at))]
-                    out.append((tile, side, [*[a - f for a, f in zip(low, first)], *part.shape], part.ravel()))
-            yield pd.DataFrame(out, columns=["tile", "side", "places", "values"])
+                    out.append((vol_id, tile, side, [*[a - f for a, f in zip(low, first)], *part.shape], part.ravel()))
+            yield pd.DataFrame(out, columns=["vol_id", "tile", "side", "places", "values"])
 
-    return met.select(*columns).mapInPandas(run, "tile long, side int, places array<int>, values array<float>")
+    ids = {f.name: f.dataType.simpleString() for f in plan.select("vol_id", "tile").schema}
+    return met.select(*columns).mapInPandas(run, f"vol_id {ids['vol_id']}, tile {ids['tile']}, side int, places array<int>, values array<float>")
 
 
 def assemble(parts: Sequence, shape: tuple[int, int, int], sides: int) -> tuple[np.ndarray, bool]:

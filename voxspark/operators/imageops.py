@@ -15,6 +15,80 @@ def combine(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
     return a.select(*keys, F.col("v").alias("v1")).join(b.select(*keys, F.col("v").alias("v2")), list(keys))
 
 
+def compatible(images: DataFrame, key: str, sizes: Sequence[str], pairs: DataFrame) -> DataFrame:
+    """The rows of ``pairs`` (a, b: keys of ``images``) whose images agree in all ``sizes``."""
+    size = F.struct(*sizes)
+    a, b = images.select(F.col(key).alias("a"), size.alias("size_a")), images.select(F.col(key).alias("b"), size.alias("size_b"))
+    return pairs.join(a, "a").join(b, "b").filter("size_a = size_b").drop("size_a", "size_b")
+
+
+def add_scaled(v1: Column, v2: Column, scale: float = 1.0, shift: float = 0.0) -> Column:
+    """``v1 + scale * v2 + shift``."""
+    return v1 + v2 * scale + shift
+
+
+def multiply_scaled(v1: Column, v2: Column, scale: float = 1.0, shift: float = 0.0) -> Column:
+    """``v1 * (scale * v2 + shift)``."""
+    return v1 * (v2 * scale + shift)
+
+
+def largest(v1: Column, v2: Column) -> Column:
+    return F.greatest(v1, v2)
+
+
+def smallest(v1: Column, v2: Column) -> Column:
+    return F.least(v1, v2)
+
+
+def correlation_product(v1: Column, v2: Column, mean1: Column | float, mean2: Column | float) -> Column:
+    """What a place adds to the covariance of two images."""
+    return (v1 - mean1) * (v2 - mean2)
+
+
+def within_radii(places: Sequence[tuple[Column, float]], low: float, high: float) -> Column:
+    """Whether a place lies between two distances from a centre, both included."""
+    d2 = sum(((c - centre) * (c - centre) for c, centre in places), F.lit(0.0))
+    return (d2 >= low * low) & (d2 <= high * high)
+
+
+def mask_by_threshold(v: Column, mask: Column, threshold: float, fill: Column | float = 0.0) -> Column:
+    """``v`` where the mask image is above the threshold, ``fill`` elsewhere."""
+    return F.when(mask > threshold, v).otherwise(fill)
+
+
+def invert(v: Column, low: Column, high: Column) -> Column:
+    """The image with its least and largest value exchanged."""
+    return low + high - v
+
+
+def square(v: Column) -> Column:
+    return v * v
+
+
+def log_of(v: Column, offset: float = 0.0) -> Column:
+    """Logarithm of ``v + offset``; null where that is not positive."""
+    return F.when(v + offset > 0, F.ln(v + offset))
+
+
+def truncate(v: Column, low: float, high: float, set_low: Column | float | None = None, set_high: Column | float | None = None) -> Column:
+    """Values below and above a range set to its ends, or to other values."""
+    low_value, high_value = low if set_low is None else set_low, high if set_high is None else set_high
+    return F.when(v < low, low_value).when(v > high, high_value).otherwise(v)
+
+
+def clamped_cast(v: Column, low: int, high: int) -> Column:
+    """A whole number, cut towards zero, within the range of a voxel type."""
+    held = F.greatest(F.least(v, F.lit(float(high))), F.lit(float(low)))
+    return F.when(held < 0, F.ceil(held)).otherwise(F.floor(held)).cast("long")
+
+
+def ring_statistics(df: DataFrame, by: Sequence[str], places: Sequence[tuple[str, float]], width: float = 1.0) -> DataFrame:
+    """``ring, avg, std, n`` of the values of each ring of ``width`` about a centre (axis, centre)."""
+    d2 = sum(((F.col(c) - centre) * (F.col(c) - centre) for c, centre in places), F.lit(0.0))
+    ring = F.floor(F.sqrt(d2) / width).cast("int")
+    return df.groupBy(*by, ring.alias("ring")).agg(F.avg("v").alias("avg"), F.stddev_pop("v").alias("std"), F.count(F.lit(1)).alias("n"))
+
+
 def image_stats(df: DataFrame, by: Sequence[str]) -> DataFrame:
     return df.groupBy(*by).agg(F.min("v").alias("min"), F.max("v").alias("max"), F.avg("v").alias("avg"), F.stddev_pop("v").alias("std"))
 
@@ -31,6 +105,7 @@ def rescale_to(df: DataFrame, by: Sequence[str], avg: float, std: float) -> Data
 
 
 def to_min_max(df: DataFrame, by: Sequence[str], low: float, high: float) -> DataFrame:
+    """Values stretched to a range; null where an image is constant."""
     scaled = low + (F.col("v") - F.col("min")) * F.try_divide(F.lit(high - low), F.col("max") - F.col("min"))
     return with_stats(df, by).withColumn("v", scaled).drop("min", "max", "avg", "std")
 
@@ -41,14 +116,14 @@ def quantise(v: Column, low: Column, high: Column, levels: int) -> Column:
 
 
 def weighted_sum(df: DataFrame, keys: Sequence[str], weight: str, image: Sequence[str] | None = None) -> DataFrame:
-    """Weighted sum over images by place, and the weighted deviation; images, by the keys ``image``, are brought to
-    mean 0 and deviation 1 first."""
+    """Weighted mean over images by place: the sum over that of the weights, and the weighted deviation; images, by the keys
+    ``image``, are brought to mean 0 and deviation 1 first. Weights that add up to 0 give null."""
     if image is not None:
         df = rescale_to(df, image, 0.0, 1.0)
     w, v = F.col(weight), F.col("v")
     sums = df.groupBy(*keys).agg(F.sum(w * v).alias("s"), F.sum(w * v * v).alias("q"), F.sum(w).alias("w"))
-    mean = F.col("s") / F.col("w")
-    return sums.select(*keys, F.col("s").alias("v"), F.sqrt(F.greatest(F.col("q") / F.col("w") - mean * mean, F.lit(0.0))).alias("sd"))
+    mean = F.try_divide("s", "w")
+    return sums.select(*keys, mean.alias("v"), F.sqrt(F.greatest(F.try_divide("q", "w") - mean * mean, F.lit(0.0))).alias("sd"))
 
 
 def place_small(large: DataFrame, small: DataFrame, keys: Sequence[str], inside: Column, at: dict[str, int] | None = None) -> DataFrame:

@@ -18,11 +18,32 @@ def clean(df: DataFrame, columns: Sequence[str] = ("res", "mean", "corr")) -> Da
 
 def average_refs(a: DataFrame, b: DataFrame, keys: Sequence[str], values: Sequence[str] = ("res", "mean", "corr"), compat: bool = False) -> DataFrame:
     """The mean of two references by key. ``compat`` averages sentinels with measurements, as positions in
-    two frames would; otherwise a row counts only where both are measured."""
-    left = a.select(*keys, *[F.col(c).alias(f"{c}_a") for c in values])
-    right = b.select(*keys, *[F.col(c).alias(f"{c}_b") for c in values])
+    two frames would; otherwise a row counts only where both are measured.
+
+    A key that only one of both has is an error; ``unmatched_refs`` lists such keys.
+    """
+    left = a.select(*keys, *[F.col(c).alias(f"{c}_a") for c in values], F.lit(1).alias("in_a"))
+    right = b.select(*keys, *[F.col(c).alias(f"{c}_b") for c in values], F.lit(1).alias("in_b"))
     fit = (lambda c: F.col(c)) if compat else (lambda c: measured(F.col(c)))
-    return left.join(right, list(keys)).select(*keys, *[((fit(f"{c}_a") + fit(f"{c}_b")) / 2).alias(c) for c in values])
+    both = left.join(right, list(keys), "full")
+    wrong = F.raise_error(F.concat(F.lit("only one reference has "), F.to_json(F.struct(*keys))))
+    matched = F.when(F.col("in_a").isNull() | F.col("in_b").isNull(), wrong.cast("boolean")).otherwise(F.lit(True))
+    return both.filter(matched).select(*keys, *[((fit(f"{c}_a") + fit(f"{c}_b")) / 2).alias(c) for c in values])
+
+
+def unmatched_refs(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``keys..., side``: the keys that only the first (``a``) or only the second (``b``) of two references has."""
+    here, there = a.select(*keys).distinct(), b.select(*keys).distinct()
+    return here.join(there, list(keys), "left_anti").withColumn("side", F.lit("a")).unionByName(there.join(here, list(keys), "left_anti").withColumn("side", F.lit("b")))
+
+
+def load_results(rows: DataFrame, catalog: DataFrame, grid: DataFrame | None = None, on: Sequence[str] = ("name",)) -> DataFrame:
+    """Cleaned result rows with the thickness and pixel size of ``catalog`` by ``on``, of the runs of ``grid`` (num_ang, max_ang)
+    where one is given. Rows whose key the catalog lacks are left out, as it says what belongs to a report."""
+    kept = clean(rows)
+    if grid is not None:
+        kept = kept.join(grid, ["num_ang", "max_ang"], "left_semi")
+    return kept.join(catalog, list(on))
 
 
 def in_range(df: DataFrame, thickness: Sequence[str] | None = None, edge: tuple[float, float] | None = None, positive: bool = True, complete: Sequence[str] = ()) -> DataFrame:

@@ -49,17 +49,19 @@ def profiles(spark, sf):
     return planted(spark, sf).withColumn("samples", F.transform(at, lambda i: C.gaussian(i.cast("double"), F.col("a"), F.col("x0"), F.col("s"), F.col("c"))))
 
 
-_BOXES = "boxes AS (SELECT vec_id AS bead, vec_id AS vol_id, (vec_id % 4 - 2)::INT AS z0, (vec_id // 4 % 4 - 2)::INT AS x0, (vec_id // 16 % 4 - 2)::INT AS y0 FROM embeddings), grid AS (SELECT a.i::INT AS dz, b.i::INT AS dx, c.i::INT AS dy FROM range(4) a(i), range(4) b(i), range(4) c(i))"
+# beads are numbered anew in each volume: two of each number, in boxes of their own
+_BOXES = "boxes AS (SELECT k.b + vec_id % 3 AS bead, vec_id AS vol_id, (vec_id % 4 - 2)::INT AS z0, (vec_id // 4 % 4 - 2)::INT AS x0, ((vec_id // 16 + k.b) % 4 - 2)::INT AS y0 FROM embeddings, (SELECT unnest([0, 1]) AS b) k), grid AS (SELECT a.i::INT AS dz, b.i::INT AS dx, c.i::INT AS dy FROM range(4) a(i), range(4) b(i), range(4) c(i))"
 
 
-@query("d01_roi_padded", f"{_V}, {_BOXES} SELECT bead, count(*) AS n, count(v) AS n_inside, round(sum(v * (1 + dz * 16 + dx * 4 + dy)), 6) + 0.0 AS total FROM boxes CROSS JOIN grid LEFT JOIN voxels ON voxels.vol_id = boxes.vol_id AND z = z0 + dz AND x = x0 + dx AND y = y0 + dy GROUP BY bead")
+@query("d01_roi_padded", f"{_V}, {_BOXES} SELECT boxes.vol_id, bead, count(*) AS n, count(v) AS n_inside, round(sum(v * (1 + dz * 16 + dx * 4 + dy)), 6) + 0.0 AS total FROM boxes CROSS JOIN grid LEFT JOIN voxels ON voxels.vol_id = boxes.vol_id AND z = z0 + dz AND x = x0 + dx AND y = y0 + dy GROUP BY boxes.vol_id, bead")
 def d01(spark, sf):
-    k = F.col("vec_id")
-    points = table(spark, sf, "embeddings").select(k.alias("bead"), k.alias("vol_id"), *[(F.floor(k / d) % 4).cast("int").alias(a) for a, d in (("z", 1), ("x", 4), ("y", 16))])
+    k, b = F.col("vec_id"), F.col("b")
+    numbered = table(spark, sf, "embeddings").select("vec_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("b"))
+    points = numbered.select((b + k % 3).alias("bead"), k.alias("vol_id"), (k % 4).cast("int").alias("z"), (F.floor(k / 4) % 4).cast("int").alias("x"), ((F.floor(k / 16) + b) % 4).cast("int").alias("y"))
     boxes = roi_plan(points, 4, "plain")
     roi = bd.roi_voxels(bd.roi_arrays(bricks(spark, sf), boxes, (4, 4, 4), 4), 4)
     weight = 1 + F.col("dz") * 16 + F.col("dx") * 4 + F.col("dy")
-    return roi.groupBy("bead").agg(F.count(F.lit(1)).alias("n"), F.count("v").alias("n_inside"), clean0(F.sum(F.col("v") * weight), 6).alias("total"))
+    return roi.groupBy("vol_id", "bead").agg(F.count(F.lit(1)).alias("n"), F.count("v").alias("n_inside"), clean0(F.sum(F.col("v") * weight), 6).alias("total"))
 
 
 @query("d02_roi_inside", f"{_V}, b AS (SELECT vec_id AS vol_id, greatest(least(vec_id % 4 + 1, 3) - 2, 0) AS z0, greatest(least(vec_id // 4 % 4 + 1, 3) - 2, 0) AS x0, greatest(least(vec_id // 16 % 4 + 1, 3) - 2, 0) AS y0 FROM embeddings) SELECT b.vol_id AS bead, count(v) AS n, round(sum(v), 6) + 0.0 AS total FROM b JOIN voxels USING (vol_id) WHERE z BETWEEN z0 AND z0 + 1 AND x BETWEEN x0 AND x0 + 1 AND y BETWEEN y0 AND y0 + 1 GROUP BY b.vol_id")
@@ -81,6 +83,22 @@ def d03(spark, sf):
     return bd.plan_all_recons(config, p, 36).select("tomogram", "recon_label", "bead_id", "x0", "x_size", "z0")
 
 
+@query("d03_boxes_of_all_recons", f"""{_V}, points AS (SELECT vec_id // 3 AS tomogram, unnest([0, 1]) AS bead, vec_id % 3 AS k, vec_id FROM embeddings)
+SELECT vec_id AS vol_id, tomogram, k::INT AS "order", bead, count(v) AS n, round(sum(v * (1 + z * 16 + x * 4 + y)), 6) + 0.0 AS total FROM points JOIN voxels ON vol_id = vec_id WHERE z BETWEEN bead AND bead + 1 AND x BETWEEN 1 AND 2 AND y BETWEEN 1 + bead AND 2 + bead GROUP BY ALL""")
+def d03_boxes(spark, sf):
+    """Three reconstructions for each tomogram, and the same bead numbers in all of them."""
+    k = F.col("vec_id")
+    recons = table(spark, sf, "embeddings").select(F.floor(k / 3).alias("tomogram"), (k % 3).cast("int").alias("order"), k.alias("vol_id"))
+    config = recons.groupBy("tomogram").agg(F.transform(F.sequence(F.lit(0), F.max("order")), lambda i: i.cast("string")).alias("recon_labels"))
+    sizes = [F.lit(4).alias(f"n{a}") for a in "xyz"]
+    points = config.select("tomogram", F.explode(F.array(F.lit(0), F.lit(1))).alias("bead_id")).select("tomogram", "bead_id", F.lit(2).alias("x"), (F.col("bead_id") + 2).alias("y"), (F.col("bead_id") + 1).alias("z"), *sizes)
+    plan = bd.plan_all_recons(config, points, 2, "plain").join(recons, ["tomogram", "order"])
+    boxes = plan.withColumnRenamed("bead_id", "bead")
+    roi = bd.roi_voxels(bd.roi_arrays(bricks(spark, sf), boxes, (4, 4, 4), 2), 2).join(boxes.select("vol_id", "bead", "tomogram", "order", "z0", "x0", "y0"), ["vol_id", "bead"])
+    place = 1 + (F.col("dz") + F.col("z0")) * 16 + (F.col("dx") + F.col("x0")) * 4 + F.col("dy") + F.col("y0")
+    return roi.groupBy("vol_id", "tomogram", "order", "bead").agg(F.count("v").alias("n"), clean0(F.sum(F.col("v") * place), 6).alias("total"))
+
+
 def roi(spark, sf):
     return voxels(spark, sf).select(F.col("vol_id").alias("bead"), F.col("z").alias("dz"), F.col("x").alias("dx"), F.col("y").alias("dy"), "v")
 

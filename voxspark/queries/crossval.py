@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from ..operators import crossval as cv
 from ..operators import fourier as fo
 from ..operators import imageops as io
+from ..operators import volumes as vo
 from ..plans.grids import tilt_series
 from .fourier import _PLAIN, arrays, clean0, pairs_ft
+from .fourier import bricks as fo_bricks
 from .images import _T, pairs, total
 from .proxies import IMAGES_SQL, VOXELS_SQL, images, voxels
 from .registry import query, table
@@ -26,22 +28,24 @@ def radius(*axes):
 
 
 
-def _shelled(radius):
-    """Rows by shell: int(r - 0.5 + 1) to int(r + 0.5), the origin in shell 0."""
-    return f", r AS (SELECT *, {radius} AS r FROM {{src}}), e AS (SELECT *, unnest(CASE WHEN r = 0 THEN [0] ELSE range(trunc(r + 0.5)::BIGINT, trunc(r + 0.5)::BIGINT + 1) END) AS idx FROM r)"
+def _shelled(radius, count):
+    """Rows by shell: int(r - 0.5 + 1) to int(r + 0.5), the origin in shell 0; from the last of ``count`` shells on none."""
+    return f", r AS (SELECT * FROM (SELECT *, {radius} AS r FROM {{src}}) WHERE trunc(r) + 1 < {count}), e AS (SELECT *, unnest(CASE WHEN r = 0 THEN [0] ELSE range(trunc(r + 0.5)::BIGINT, trunc(r + 0.5)::BIGINT + 1) END) AS idx FROM r)"
 
 
-_FSC = _PLAIN + _shelled(_R).replace("{src}", "fts") + ", p AS (SELECT run, idx::INT AS idx, sum(re1 * re2 + im1 * im2) AS c, sum(re1 ** 2 + im1 ** 2) AS c1, sum(re2 ** 2 + im2 ** 2) AS c2 FROM e GROUP BY ALL), q AS (SELECT run, idx, CASE WHEN idx = 0 THEN 1 ELSE greatest(least(coalesce(c / nullif(sqrt(c1 * c2), 0), 0), 1), 0) END AS value FROM p)"
+#: Shells of 4 x 4 x 4 volumes and of 8 x 8 images at a resolution of two pixels, see ``axis_dim``.
+SHELLS_3D, SHELLS_2D = 4, 6
+_FSC = _PLAIN + _shelled(_R, SHELLS_3D).replace("{src}", "fts") + ", p AS (SELECT run, idx::INT AS idx, sum(re1 * re2 + im1 * im2) AS c, sum(re1 ** 2 + im1 ** 2) AS c1, sum(re2 ** 2 + im2 ** 2) AS c2 FROM e GROUP BY ALL), q AS (SELECT run, idx, CASE WHEN idx = 0 THEN 1 ELSE greatest(least(coalesce(c / nullif(sqrt(c1 * c2), 0), 0), 1), 0) END AS value FROM p)"
 
 
 @query("n01_fsc_physical", _FSC + " SELECT run, idx, round(value, 4) + 0.0 AS value FROM q")
 def n01(spark, sf):
-    return cv.fsc_physical(pairs_ft(spark, sf), ["run"], radius("kz", "kx", "ky")).select("run", "idx", clean0(F.col("value"), 4).alias("value"))
+    return cv.fsc_physical(pairs_ft(spark, sf), ["run"], radius("kz", "kx", "ky"), count=SHELLS_3D).select("run", "idx", clean0(F.col("value"), 4).alias("value"))
 
 
 @query("n02_even_odd", _FSC + " SELECT run, idx, round(CASE WHEN idx = 0 THEN 1 ELSE 2 * value / (value + 1) END, 4) + 0.0 AS value FROM q")
 def n02(spark, sf):
-    return cv.fsc_physical(pairs_ft(spark, sf), ["run"], radius("kz", "kx", "ky"), even_odd=True).select("run", "idx", clean0(F.col("value"), 4).alias("value"))
+    return cv.fsc_physical(pairs_ft(spark, sf), ["run"], radius("kz", "kx", "ky"), even_odd=True, count=SHELLS_3D).select("run", "idx", clean0(F.col("value"), 4).alias("value"))
 
 
 @query("n03_shell_axis", "SELECT p_partkey, round(res, 6) AS res, trunc(2 + extent / res)::INT AS shells FROM (SELECT *, least(greatest(p_retailprice / 200, 2 * u), extent / 2) AS res FROM (SELECT *, (p_size + 20) * u AS extent FROM (SELECT *, 1.0::DOUBLE + p_partkey % 5 AS u FROM part)))")
@@ -100,7 +104,7 @@ def n07(spark, sf):
 
 # three images of a projection: vectors 3k, 3k + 1 and 3k + 2
 _K8 = "ks AS (SELECT unnest([-4, -3, -2, -1, 0, 1, 2, 3]) AS k), ft AS (SELECT img, any_value(label) AS label, a.k AS kx, b.k AS ky, sum(v * cos(2 * pi() * (a.k * px + b.k * py) / 8)) AS re, sum(-v * sin(2 * pi() * (a.k * px + b.k * py) / 8)) AS im FROM images, ks a, ks b GROUP BY img, kx, ky)"
-_TRI = f"{_I}, {_K8}, t AS (SELECT a.img // 3 AS proj, a.kx, a.ky, a.re AS re0, a.im AS im0, b.re AS re1, b.im AS im1, c.re AS re2, c.im AS im2 FROM ft a JOIN ft b ON b.img = a.img + 1 AND a.kx = b.kx AND a.ky = b.ky JOIN ft c ON c.img = a.img + 2 AND a.kx = c.kx AND a.ky = c.ky WHERE a.img % 3 = 0)" + _shelled("sqrt(kx * kx + ky * ky)").replace("{src}", "t") + ", sums AS (SELECT proj, idx::INT AS idx, sum(re0 * re1 + im0 * im1) AS cm, sum(re1 ** 2 + im1 ** 2) AS mm, sum(re0 * re2 + im0 * im2) AS cf, sum(re2 ** 2 + im2 ** 2) AS ff FROM e GROUP BY ALL)"
+_TRI = f"{_I}, {_K8}, t AS (SELECT a.img // 3 AS proj, a.kx, a.ky, a.re AS re0, a.im AS im0, b.re AS re1, b.im AS im1, c.re AS re2, c.im AS im2 FROM ft a JOIN ft b ON b.img = a.img + 1 AND a.kx = b.kx AND a.ky = b.ky JOIN ft c ON c.img = a.img + 2 AND a.kx = c.kx AND a.ky = c.ky WHERE a.img % 3 = 0)" + _shelled("sqrt(kx * kx + ky * ky)", SHELLS_2D).replace("{src}", "t") + ", sums AS (SELECT proj, idx::INT AS idx, sum(re0 * re1 + im0 * im1) AS cm, sum(re1 ** 2 + im1 ** 2) AS mm, sum(re0 * re2 + im0 * im2) AS cf, sum(re2 ** 2 + im2 ** 2) AS ff FROM e GROUP BY ALL)"
 _RATIO = "CASE WHEN abs(cf) < 1e-30 OR mm < 1e-30 OR ff < 1e-30 THEN 0 ELSE greatest(least(cm * sqrt(ff) / (cf * sqrt(mm)), 1), {low}) END"
 
 
@@ -111,7 +115,7 @@ def triples(spark, sf):
 
 
 def nloo_sums(spark, sf):
-    return cv.nloo2d_sums(triples(spark, sf), ["proj"], radius("kx", "ky"))
+    return cv.nloo2d_sums(triples(spark, sf), ["proj"], radius("kx", "ky"), count=SHELLS_2D)
 
 
 @query("n08_nloo2d", _TRI + f" SELECT proj, idx, round({_RATIO.format(low=0)}, 3) + 0.0 AS value FROM sums")
@@ -130,12 +134,17 @@ def n10(spark, sf):
     return cv.nloo_coefficient(triples(spark, sf), ["proj"], radius("kx", "ky"), 3.0, 1.0).select("proj", clean0(F.col("value"), 3).alias("value"))
 
 
-@query("n11_nloo_volume", _TRI + f""", m AS (SELECT proj % 10 AS run, round_even(kx * cos(radians((proj // 10) * 3.0)), 0)::INT AS hx, ky AS hy, round_even(kx * sin(radians((proj // 10) * 3.0)), 0)::INT AS hz, * FROM t),
-g AS (SELECT run, hx, hy, hz, sum(re0 * re1 + im0 * im1) AS cm, sum(re1 ** 2 + im1 ** 2) AS mm, sum(re0 * re2 + im0 * im2) AS cf, sum(re2 ** 2 + im2 ** 2) AS ff FROM m GROUP BY ALL)
+_BACK = ["kx * cos(t)", "-kx * sin(t) * sin(0.05) + ky * cos(0.05)", "(-kx * sin(t) * cos(0.05) - ky * sin(0.05)) / 2"]
+_ROUND = "CASE WHEN {v} < 0 THEN ceil({v} - 0.5) ELSE floor({v} + 0.5) END::INT"
+
+
+@query("n11_nloo_volume", _TRI + f""", m AS (SELECT proj % 10 AS run, {', '.join(f"{_ROUND.format(v='(' + v + ')')} AS h{a}" for a, v in zip("xyz", _BACK))}, * FROM (SELECT *, radians((proj // 10) * 3.0) AS t FROM t)),
+g AS (SELECT run, hx, hy, hz, sum(re0 * re1 + im0 * im1) AS cm, sum(re1 ** 2 + im1 ** 2) AS mm, sum(re0 * re2 + im0 * im2) AS cf, sum(re2 ** 2 + im2 ** 2) AS ff FROM m WHERE hx BETWEEN -4 AND 3 AND hy BETWEEN -4 AND 3 AND hz BETWEEN -3 AND 2 GROUP BY ALL)
 SELECT run, hx, hy, hz, round({_RATIO.format(low=-1)}, 2) + 0.0 AS value FROM g WHERE abs(cf) > 1e-6""")
 def n11(spark, sf):
-    tilt = F.radians(F.floor(F.col("proj") / 10) * 3.0)
-    found = cv.nloo_volume(triples(spark, sf).withColumn("run", F.col("proj") % 10), ["run"], tilt).filter("abs(cf) > 1e-6")
+    """Tilts of 3 degrees apart and an x tilt of 0.05 radians, into volumes of 8 x 8 x 6 whose z is binned by 2."""
+    tilted = triples(spark, sf).withColumns({"run": F.col("proj") % 10, "tilt": F.floor(F.col("proj") / 10) * 3.0, "xtilt": F.degrees(F.lit(0.05))})
+    found = cv.nloo_volume(cv.tilt_views(tilted), ["run"], (8, 8, 6), 2.0).filter("abs(cf) > 1e-6")
     return found.select("run", "hx", "hy", "hz", clean0(F.col("value"), 2).alias("value"))
 
 
@@ -220,17 +229,22 @@ def n18(spark, sf):
 
 @query("n19_mask", _I + _RS + f" SELECT img, {_T.format(v=f'CASE WHEN {_SPH} THEN v ELSE bg END')} FROM images JOIN rs USING (img) GROUP BY img")
 def n19(spark, sf):
-    df = images(spark, sf)
-    joined = df.join(cv.region_stats(df, ["img"], sphere(3)), "img")
-    return total(joined.withColumn("v", F.when(sphere(3), F.col("v")).otherwise(F.col("background"))), ["img"])
+    return total(cv.mask_region(images(spark, sf), ["img"], sphere(3)), ["img"])
 
 
-@query("n20_rescale", _I + _RS + f" SELECT img, {_T.format(v='greatest(least(round_even((v - m) / sd * 30 + 128, 0), 255), 0)')} FROM images JOIN rs USING (img) GROUP BY img")
+# values are brought to mean 128 and deviation 60 of the region, cut to bytes; the background is as it is given
+@query("n20_rescale", _I + _RS + f" SELECT img, {_T.format(v=f'CASE WHEN {_SPH} THEN trunc(greatest(least(v * (60 / sd) + (128 - m * 60 / sd), 255), 0)) ELSE 7.5 END')} FROM images JOIN rs USING (img) GROUP BY img")
 def n20(spark, sf):
     df = images(spark, sf)
     joined = df.join(cv.region_stats(df, ["img"], sphere(3)), "img")
-    scaled = F.rint((F.col("v") - F.col("avg")) / F.col("std") * 30 + 128)
-    return total(joined.withColumn("v", F.greatest(F.least(scaled, F.lit(255.0)), F.lit(0.0))), ["img"])
+    scale = 60 / F.col("std")
+    return total(joined.withColumn("v", cv.rescale(F.col("v"), scale, 128 - F.col("avg") * 60 / F.col("std"), "uint8", sphere(3), 7.5)), ["img"])
+
+
+# a type with a sign: what is below zero is cut towards zero too
+@query("n20_rescale_signed", _I + f" SELECT img, {_T.format(v='trunc(greatest(least(v * 1000 - 3.5, 127), -128))')} FROM images GROUP BY img")
+def n20_signed(spark, sf):
+    return total(images(spark, sf).withColumn("v", cv.rescale(F.col("v"), 1000.0, -3.5, "int8")), ["img"])
 
 
 @query("n21_rescale_least_squares", _P2 + f", b AS (SELECT run, px // 4 AS bx, py // 4 AS by_, avg(v1) AS v1, avg(v2) AS v2 FROM pairs WHERE {_SPH} GROUP BY ALL), f AS (SELECT run, regr_slope(v1, v2) AS slope, regr_intercept(v1, v2) AS off FROM b GROUP BY run) SELECT run, round(sum((off + slope * v2) * (1 + px * 8 + py)), 4) + 0.0 AS total FROM pairs JOIN f USING (run) GROUP BY run")
@@ -266,8 +280,10 @@ l AS (SELECT * FROM a WHERE floor(ax) BETWEEN 0 AND 3 AND floor(ay) BETWEEN 0 AN
 s AS (SELECT vol_id, proj, v, (floor(ax) + i)::INT AS px, (floor(ay) + j)::INT AS py, CASE i WHEN 0 THEN 1 - (ax - floor(ax)) ELSE ax - floor(ax) END * CASE j WHEN 0 THEN 1 - (ay - floor(ay)) ELSE ay - floor(ay) END AS w FROM l, (SELECT unnest([0, 1]) AS i) p, (SELECT unnest([0, 1]) AS j) q)
 SELECT vol_id, proj, px, py, round(sum(v * w) / sum(w) + 0.5, 5) + 0.0 AS v FROM s WHERE w > 1e-12 AND px < 4 AND py < 4 GROUP BY ALL""")
 def n23(spark, sf):
-    volumes = of_series(voxels(spark, sf), "vol_id", spark, sf)
-    return cv.reproject(volumes, views(spark, sf), ["vol_id"], (1.5, 1.5, 1.5), (4, 4), F.col("z") >= 1, 0.5).withColumn("v", clean0(F.col("v"), 5))
+    """Bricks become partial projections; no voxel does."""
+    volumes = of_series(fo_bricks(spark, sf), "vol_id", spark, sf)
+    region = vo.Region(start=(1.0, 0.0, 0.0), size=(3.0, 4.0, 4.0))
+    return vo.project_bricks(volumes, views(spark, sf), (1.5, 1.5, 1.5), (4, 4), region, 0.5).withColumn("v", clean0(F.col("v"), 5))
 
 
 @query("n24_project_points", f"""WITH {_VIEWS}, p AS (SELECT l_suppkey AS series, l_orderkey % 100 AS x, l_partkey % 70 AS y, l_linenumber * 8 AS z FROM lineitem)
@@ -304,13 +320,36 @@ def n26_sphere(spark, sf):
 
 @query("n27_log_intensity", f"{_I} SELECT img, {_T.format(v='ln(v + 1.5)')} FROM images GROUP BY img")
 def n27(spark, sf):
-    base = F.col("v") + 1.5
-    return total(images(spark, sf).withColumn("v", F.when(base > 0, F.ln(base)).otherwise(F.raise_error(F.lit("the logarithm needs positive values")))), ["img"])
+    return total(images(spark, sf).withColumn("v", cv.log_intensity(F.col("v"), 1.5)), ["img"])
 
 
 _BALL = "SELECT unnest([-1, 0, 0, 0, 0, 0, 1]) AS oz, unnest([0, -1, 0, 0, 0, 1, 0]) AS ox, unnest([0, 0, -1, 0, 1, 0, 0]) AS oy"
 
 
+# volumes of 8 x 8 x 8 voxels, each made of eight vectors as its bricks
+_CUBES = f"""{VOXELS_SQL}, cubes AS (SELECT vol_id // 8 AS vol_id, (z + 4 * (vol_id % 8 // 4))::INT AS z, (x + 4 * (vol_id % 4 // 2))::INT AS x, (y + 4 * (vol_id % 2))::INT AS y, v FROM voxels),
+held AS (SELECT vol_id FROM cubes GROUP BY vol_id HAVING count(*) = 512), big AS (SELECT cubes.* FROM cubes SEMI JOIN held USING (vol_id))"""
+EIGHT, FOUR = (8, 8, 8), (4, 4, 4)
+
+
+def cubes(spark, sf):
+    """Bricks of the volumes that have all eight of theirs."""
+    k = F.col("vec_id")
+    numbers = [(F.floor(k / 4) % 2).alias("bz"), (F.floor(k / 2) % 2).alias("bx"), (k % 2).alias("by")]
+    rows = table(spark, sf, "embeddings").select(F.floor(k / 8).alias("vol_id"), *numbers, F.col("embedding").alias("data"))
+    rows = rows.select("vol_id", "bz", "bx", "by", *[(F.col(f"b{a}") * 4).alias(f"{a}0") for a in "zxy"], *[F.lit(4).alias(f"n{a}") for a in "zxy"], "data")
+    return rows.join(rows.groupBy("vol_id").agg(F.count(F.lit(1)).alias("n")).filter("n = 8").select("vol_id"), "vol_id", "left_semi")
+
+
+@query("n28_bead_score_bricks", f"""WITH {_CUBES}, ball AS ({_BALL}),
+sc AS (SELECT b.vol_id, (b.z + oz + 8) % 8 AS z, (b.x + ox + 8) % 8 AS x, (b.y + oy + 8) % 8 AS y, -sum(v) AS v FROM big b, ball GROUP BY ALL),
+st AS (SELECT vol_id, avg(v) + 2 * stddev_pop(v) AS cut FROM sc GROUP BY vol_id) SELECT sc.vol_id, z, x, y, round(v, 5) + 0.0 AS v FROM sc JOIN st USING (vol_id) WHERE v > cut""")
+def n28_bricks(spark, sf):
+    """Beads lie across the eight bricks of a volume, which exchange their faces."""
+    score = vo.bead_score_bricks(cubes(spark, sf), EIGHT, FOUR, 2.0)
+    return vo.strong_voxels(score, 2.0).withColumn("v", clean0(F.col("v"), 5))
+
+
 # a ball of diameter 2 has the centre and its six neighbours; the transform of minus it, without the wedge, times that of the volume
 @query("n28_bead_score", _PLAIN + f""", ball AS ({_BALL}), tmpl AS (SELECT kz, kx, ky, CASE WHEN {_WEDGE} THEN 0 ELSE sum(-cos(2 * pi() * (kz * oz + kx * ox + ky * oy) / 4)) END AS t FROM freq, ball GROUP BY kz, kx, ky),
 prod AS (SELECT vol_id, kz, kx, ky, re * t AS re, im * t AS im FROM ft JOIN tmpl USING (kz, kx, ky)),
@@ -335,7 +374,7 @@ def n29(spark, sf):
 @query("n30_unbin", "SELECT o_orderkey, (o_orderkey % 100) * f + (f - 1) / 2 AS x FROM (SELECT *, greatest(o_custkey % 12 // 3, 1) AS f FROM orders)")
 def n30(spark, sf):
     f = F.greatest(F.floor(F.col("o_custkey") % 12 / 3), F.lit(1))
-    return table(spark, sf, "orders").select("o_orderkey", (F.col("o_orderkey") % 100 * f + (f - 1) / 2).alias("x"))
+    return table(spark, sf, "orders").select("o_orderkey", cv.unbin_coordinate(F.col("o_orderkey") % 100, f).alias("x"))
 
 
 _C = "centres AS (SELECT img, b AS bead, (img * 3 + b * 4) % 8 AS cx, (img * 5 + b * 3) % 8 AS cy FROM (SELECT DISTINCT img FROM images), (SELECT unnest([0, 1, 2]) AS b))"
@@ -391,7 +430,7 @@ def n35(spark, sf):
 
 def validated(spark, sf):
     three = arrays(spark, sf, 3).withColumnsRenamed({"run": "proj", "v1": "input", "v2": "miss", "v3": "full"})
-    return cv.cross_validate(three, (8, 8), disc())
+    return cv.cross_validate(three, (8, 8), disc(), count=SHELLS_2D)
 
 
 @query("n35_projection_table", _DRIVER + f", c AS (SELECT proj, idx, idx / 8 AS s, round({_RATIO.format(low=0)}, 6) AS value FROM sums), steps_ AS (SELECT *, lag(value) OVER (PARTITION BY proj ORDER BY idx) AS v0, lag(s) OVER (PARTITION BY proj ORDER BY idx) AS s0 FROM c) SELECT proj, round(coalesce(1 / arg_max(s0 + (s - s0) * (v0 - 0.3) / (v0 - value), idx) FILTER (v0 >= 0.3 AND value < 0.3), 0), 2) AS res FROM steps_ GROUP BY proj")
@@ -404,7 +443,7 @@ _BALL3 = "(z - 2) ** 2 + (x - 2) ** 2 + (y - 2) ** 2"
 # v1 rescaled to v2 in a ball of radius 2, both with an edge of 0.3 at its border
 _HALVES = _PLAIN.replace("FROM (SELECT *, 1 AS w FROM voxels)", f"""FROM (SELECT i.vol_id, z, x, y, 1 AS w, CASE WHEN {_BALL3} > 4 THEN l.bg ELSE (CASE WHEN i.vol_id % 2 = 1 THEN v ELSE (v - s.m) / s.sd * l.sd + l.m END - l.bg) * CASE WHEN 2 - sqrt({_BALL3}) < 0.3 THEN 0.5 - 0.5 * cos(pi() * (2 - sqrt({_BALL3})) / 0.3) ELSE 1 END + l.bg END AS v
   FROM voxels i JOIN hs s ON s.vol_id = i.vol_id JOIN hs l ON l.vol_id = i.vol_id // 2 * 2 + 1)""").replace(", ks AS", f", hs AS (SELECT vol_id, avg(v) FILTER ({_BALL3} <= 4) AS m, stddev_pop(v) FILTER ({_BALL3} <= 4) AS sd, avg(v) FILTER ({_BALL3} > 4) AS bg FROM voxels GROUP BY vol_id), ks AS", 1)
-_EVEN_ODD = _HALVES + _shelled(_R).replace("{src}", f"(SELECT * FROM fts WHERE NOT ({_WEDGE}))") + ", p AS (SELECT run, idx::INT AS idx, sum(re1 * re2 + im1 * im2) AS c, sum(re1 ** 2 + im1 ** 2) AS c1, sum(re2 ** 2 + im2 ** 2) AS c2 FROM e GROUP BY ALL), q AS (SELECT run, idx, CASE WHEN idx = 0 THEN 1 ELSE greatest(least(coalesce(c / nullif(sqrt(c1 * c2), 0), 0), 1), 0) END AS value FROM p)"
+_EVEN_ODD = _HALVES + _shelled(_R, SHELLS_3D).replace("{src}", f"(SELECT * FROM fts WHERE NOT ({_WEDGE}))") + ", p AS (SELECT run, idx::INT AS idx, sum(re1 * re2 + im1 * im2) AS c, sum(re1 ** 2 + im1 ** 2) AS c1, sum(re2 ** 2 + im2 ** 2) AS c2 FROM e GROUP BY ALL), q AS (SELECT run, idx, CASE WHEN idx = 0 THEN 1 ELSE greatest(least(coalesce(c / nullif(sqrt(c1 * c2), 0), 0), 1), 0) END AS value FROM p)"
 
 
 @query("n36_even_odd_driver", _EVEN_ODD + ", c AS (SELECT run, idx, idx / 4 AS s, round(CASE WHEN idx = 0 THEN 1 ELSE 2 * value / (value + 1) END, 6) AS value FROM q), st AS (SELECT *, lag(value) OVER (PARTITION BY run ORDER BY idx) AS v0, lag(s) OVER (PARTITION BY run ORDER BY idx) AS s0 FROM c) SELECT run, round(coalesce(1 / arg_max(s0 + (s - s0) * (v0 - 0.3) / (v0 - value), idx) FILTER (v0 >= 0.3 AND value < 0.3), 0), 2) AS res FROM st GROUP BY run")
@@ -413,17 +452,64 @@ def n36(spark, sf):
     z, x, y = np.mgrid[0:4, 0:4, 0:4] - 2
     r = np.sqrt(z * z + x * x + y * y)
     edge = (2 - r, cv.taper_size((2.0,), radius=True))
-    curve = cv.even_odd_resolution(arrays(spark, sf), "run", (4, 4, 4), r <= 2, edge, _WEDGE_RANGE)
+    curve = cv.even_odd_resolution(arrays(spark, sf), "run", (4, 4, 4), r <= 2, edge, _WEDGE_RANGE, count=SHELLS_3D)
     curve = curve.select("run", "idx", (F.col("idx") / 4).alias("s"), F.round("value", 6).alias("value"))
     return cv.last_crossings(curve, ["run"], [0.3]).select("run", F.round("res", 2).alias("res"))
 
 
+_BOX3 = "(z BETWEEN 0 AND 6 AND x BETWEEN 1 AND 7 AND y BETWEEN 0 AND 7)"
+_NEAR3 = "least(z, 6 - z, x - 1, 7 - x, y, 7 - y)"
+_HALVES8 = f"""WITH {_CUBES}, st AS (SELECT vol_id, avg(v) FILTER ({_BOX3}) AS m, stddev_pop(v) FILTER ({_BOX3}) AS sd, avg(v) FILTER (NOT {_BOX3}) AS bg FROM big GROUP BY vol_id),
+ready AS (SELECT i.vol_id, z, x, y, CASE WHEN NOT {_BOX3} THEN l.bg ELSE ((CASE WHEN i.vol_id % 2 = 1 THEN v ELSE (v - s.m) / s.sd * l.sd + l.m END) - l.bg) * CASE WHEN {_NEAR3} < 0.525 THEN 0.5 - 0.5 * cos(pi() * {_NEAR3} / 0.525) ELSE 1 END + l.bg END AS v
+  FROM big i JOIN st s ON s.vol_id = i.vol_id JOIN st l ON l.vol_id = i.vol_id // 2 * 2 + 1),
+ks AS (SELECT unnest([-4, -3, -2, -1, 0, 1, 2, 3]) AS k),
+fy AS (SELECT vol_id, z, x, k AS ky, sum(v * cos(2 * pi() * k * y / 8)) AS re, sum(-v * sin(2 * pi() * k * y / 8)) AS im FROM ready, ks GROUP BY ALL),
+fx AS (SELECT vol_id, z, k AS kx, ky, sum(re * cos(2 * pi() * k * x / 8) + im * sin(2 * pi() * k * x / 8)) AS re, sum(im * cos(2 * pi() * k * x / 8) - re * sin(2 * pi() * k * x / 8)) AS im FROM fy, ks GROUP BY ALL),
+ft AS (SELECT vol_id, k AS kz, kx, ky, sum(re * cos(2 * pi() * k * z / 8) + im * sin(2 * pi() * k * z / 8)) AS re, sum(im * cos(2 * pi() * k * z / 8) - re * sin(2 * pi() * k * z / 8)) AS im FROM fx, ks GROUP BY ALL),
+fts AS (SELECT a.vol_id // 2 AS run, a.kz, a.kx, a.ky, a.re AS re1, a.im AS im1, b.re AS re2, b.im AS im2 FROM ft a JOIN ft b ON b.vol_id = a.vol_id + 1 AND a.kz = b.kz AND a.kx = b.kx AND a.ky = b.ky WHERE a.vol_id % 2 = 0)"""
+SHELLS_8 = 6
+_EVEN_ODD8 = _HALVES8 + _shelled(_R, SHELLS_8).replace("{src}", f"(SELECT * FROM fts WHERE NOT ({_WEDGE}))") + ", p AS (SELECT run, idx::INT AS idx, sum(re1 * re2 + im1 * im2) AS c, sum(re1 ** 2 + im1 ** 2) AS c1, sum(re2 ** 2 + im2 ** 2) AS c2 FROM e GROUP BY ALL), q AS (SELECT run, idx, CASE WHEN idx = 0 THEN 1 ELSE greatest(least(coalesce(c / nullif(sqrt(c1 * c2), 0), 0), 1), 0) END AS value FROM p)"
+
+
+def pairs_of_cubes(spark, sf):
+    ids = cubes(spark, sf).select("vol_id").distinct()
+    odd = ids.select((F.col("vol_id") - 1).alias("a"), F.col("vol_id").alias("b")).filter("b % 2 = 1")
+    return odd.join(ids.withColumnRenamed("vol_id", "a"), "a", "left_semi").select(F.floor(F.col("a") / 2).alias("run"), "a", "b")
+
+
+@query("n36_even_odd_bricks", _EVEN_ODD8 + " SELECT run, idx, round(CASE WHEN idx = 0 THEN 1 ELSE 2 * value / (value + 1) END, 4) + 0.0 AS value FROM q")
+def n36_bricks(spark, sf):
+    """Half-data volumes of eight bricks each, rescaled within a box with an edge, transformed section by section and block by block."""
+    region = vo.Region(start=(0.0, 1.0, 0.0), size=(7.0, 7.0, 8.0))
+    curve = vo.even_odd_curve(cubes(spark, sf), pairs_of_cubes(spark, sf), EIGHT, region, _WEDGE_RANGE, count=SHELLS_8, block=4)
+    return curve.select("run", "idx", clean0(F.col("value"), 4).alias("value"))
+
+
+_FTS8 = _HALVES8.replace("FROM ready, ks", "FROM big, ks")
+
+
+@query("n05_correlation_bricks", _FTS8 + " SELECT run, kz, kx, ky, round(greatest(least((re1 * re2 + im1 * im2) / sqrt((re1 ** 2 + im1 ** 2) * (re2 ** 2 + im2 ** 2)), 1), 0), 3) + 0.0 AS c FROM (SELECT * REPLACE (abs(ky) AS ky) FROM fts WHERE ky >= 0 OR ky = -4) WHERE (re1 ** 2 + im1 ** 2) * (re2 ** 2 + im2 ** 2) > 1e-9")
+def n05_bricks(spark, sf):
+    found = vo.frequency_correlations(cubes(spark, sf), pairs_of_cubes(spark, sf), EIGHT, block=4)
+    return found.select("run", "kz", "kx", F.abs("ky").alias("ky"), clean0(F.col("c"), 3).alias("c"))
+
+
+@query("v28_crop_bricks", _FTS8 + " SELECT vol_id, kz, kx, abs(ky)::INT AS ky, round(re, 4) + 0.0 AS re, round(CASE WHEN ky = -4 THEN -im ELSE im END, 4) + 0.0 AS im FROM ft WHERE kz BETWEEN -2 AND 1 AND kx BETWEEN -3 AND 2 AND ky BETWEEN 0 AND 1")
+def v28_bricks(spark, sf):
+    found = vo.cropped_transforms(cubes(spark, sf), EIGHT, (4, 6, 4), block=4).filter("ky >= 0")
+    return found.select("vol_id", "kz", "kx", "ky", clean0(F.col("re"), 4).alias("re"), clean0(F.col("im"), 4).alias("im"))
+
+
 @query("n37_resolution_limit", "SELECT p_partkey, coalesce(CASE WHEN p_size % 3 = 0 THEN p_size::DOUBLE END, p_retailprice / (p_size + 1)) AS res FROM part")
 def n37(spark, sf):
     option = F.when(F.col("p_size") % 3 == 0, F.col("p_size").cast("double"))
     return table(spark, sf, "part").select("p_partkey", cv.resolution_limit(option, F.col("p_retailprice"), F.col("p_size") + 1).alias("res"))
 
 
-@query("n38_fill_ratio", f"{_I} SELECT img, round(count(*) FILTER ({_SPH}) / count(*), 6) AS ratio FROM images GROUP BY img")
+# the region of each image comes with it, on data binned by 1 or 2
+@query("n38_fill_ratio", f"{_I}, b AS (SELECT *, (img % 5 + 2) / (1 + img % 2)::DOUBLE AS size, (img % 3) / (1 + img % 2)::DOUBLE AS start FROM images) SELECT img, round(count(*) FILTER (px BETWEEN start AND start + size - 1 AND py BETWEEN start AND start + size - 1 AND v > -0.1) / count(*), 6) AS ratio FROM b GROUP BY img")
 def n38(spark, sf):
-    return images(spark, sf).groupBy("img").agg(F.round(F.count_if(sphere(3)) / F.count(F.lit(1)), 6).alias("ratio"))
+    shapes = images(spark, sf).withColumns({"size": F.col("img") % 5 + 2, "start": F.col("img") % 3})
+    binned = cv.scale_region(shapes, 1 + F.col("img") % 2, ["size", "start"])
+    region = cv.inside_box([(F.col(a), F.col("start"), F.col("size")) for a in ("px", "py")]) & (F.col("v") > -0.1)
+    return cv.fill_ratio(binned, ["img"], region).withColumn("ratio", F.round("ratio", 6))

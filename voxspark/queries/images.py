@@ -48,15 +48,15 @@ def single(name, expression, column):
 
 @query("v01_compatible", "SELECT a.p_partkey AS a FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1 AND b.p_size = a.p_size")
 def v01(spark, sf):
-    part = table(spark, sf, "part").select("p_partkey", "p_size")
-    other = part.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_size").alias("size_b"))
-    return part.join(other, "p_partkey").filter("p_size = size_b").select(F.col("p_partkey").alias("a"))
+    part = table(spark, sf, "part")
+    pairs = part.select(F.col("p_partkey").alias("a"), (F.col("p_partkey") + 1).alias("b"))
+    return io.compatible(part, "p_partkey", ["p_size"], pairs).select("a")
 
 
-both("v02_add_scaled", "v1 + v2 * 1.5 + 0.25", lambda v1, v2: v1 + v2 * 1.5 + 0.25)
+both("v02_add_scaled", "v1 + v2 * 1.5 + 0.25", lambda v1, v2: io.add_scaled(v1, v2, 1.5, 0.25))
 
 
-@query("v03_weighted_sum", _S + ", w AS (SELECT label, px, py, sum((v - m) / sd * (1 + img % 3)) AS s, sum(((v - m) / sd) ** 2 * (1 + img % 3)) AS q, sum(1 + img % 3) AS w FROM s GROUP BY ALL) SELECT label, px, py, round(s, 5) + 0.0 AS v, round(sqrt(greatest(q / w - (s / w) ** 2, 0)), 5) AS sd FROM w")
+@query("v03_weighted_sum", _S + ", w AS (SELECT label, px, py, sum((v - m) / sd * (1 + img % 3)) AS s, sum(((v - m) / sd) ** 2 * (1 + img % 3)) AS q, sum(1 + img % 3) AS w FROM s GROUP BY ALL) SELECT label, px, py, round(s / w, 5) + 0.0 AS v, round(sqrt(greatest(q / w - (s / w) ** 2, 0)), 5) AS sd FROM w")
 def v03(spark, sf):
     weighted = images(spark, sf).withColumn("w", F.col("img") % 3 + 1)
     out = io.weighted_sum(weighted, ["label", "px", "py"], "w", ["img"])
@@ -71,8 +71,8 @@ def v04(spark, sf):
     return total(io.place_small(p.select("run", "px", "py", F.col("v1").alias("v")), small, ["run", "px", "py"], inside, {"px": 2, "py": 3}), RUN)
 
 
-both("v05_multiply_scaled", "v1 * (v2 * 2 + 0.5)", lambda v1, v2: v1 * (v2 * 2 + 0.5))
-both("v06_largest_smallest", "greatest(v1, v2) + 2 * least(v1, v2)", lambda v1, v2: F.greatest(v1, v2) + 2 * F.least(v1, v2))
+both("v05_multiply_scaled", "v1 * (v2 * 2 + 0.5)", lambda v1, v2: io.multiply_scaled(v1, v2, 2, 0.5))
+both("v06_largest_smallest", "greatest(v1, v2) + 2 * least(v1, v2)", lambda v1, v2: io.largest(v1, v2) + 2 * io.smallest(v1, v2))
 
 _FIT = "SELECT {by}, regr_slope(v2, v1) AS b, regr_intercept(v2, v1) AS a, regr_syy(v2, v1) AS syy, regr_sxy(v2, v1) AS sxy FROM {src} GROUP BY ALL"
 _FITTED = "SELECT run, round(a, 6) + 0.0 AS a, round(b, 6) + 0.0 AS b, round(sqrt(greatest(syy - b * sxy, 0) / syy), 6) AS r FROM "
@@ -122,11 +122,11 @@ def v09(spark, sf):
 
 @query("v10_correlation_in_radii", _P + f" SELECT run, {_CORR} FROM pairs WHERE (px - 4) ** 2 + (py - 4) ** 2 BETWEEN 1 AND 9 GROUP BY run")
 def v10(spark, sf):
-    kept = pairs(spark, sf).filter("(px - 4) * (px - 4) + (py - 4) * (py - 4) between 1 and 9")
+    kept = pairs(spark, sf).filter(io.within_radii([(F.col("px"), 4), (F.col("py"), 4)], 1, 3))
     return io.pearson(kept, RUN).select("run", clean0(F.col("corr"), 6).alias("corr"))
 
 
-both("v11_correlation_image", "(v1 - 0.1) * (v2 + 0.2)", lambda v1, v2: (v1 - 0.1) * (v2 + 0.2))
+both("v11_correlation_image", "(v1 - 0.1) * (v2 + 0.2)", lambda v1, v2: io.correlation_product(v1, v2, 0.1, -0.2))
 
 
 @query("v12_histogram_match", _P + f""", rg AS (SELECT run, min(v1) AS lo1, max(v1) AS hi1, min(v2) AS lo2, max(v2) AS hi2 FROM pairs GROUP BY run),
@@ -142,7 +142,7 @@ def v12(spark, sf):
     return total(io.histogram_match(pairs(spark, sf), RUN, 16), RUN)
 
 
-both("v13_mask_by_threshold", "CASE WHEN v2 > 0.05 THEN v1 ELSE 0 END", lambda v1, v2: F.when(v2 > 0.05, v1).otherwise(0.0))
+both("v13_mask_by_threshold", "CASE WHEN v2 > 0.05 THEN v1 ELSE 0 END", lambda v1, v2: io.mask_by_threshold(v1, v2, 0.05))
 
 
 @query("v14_blend", _P + f", s AS (SELECT *, unnest(range(5)) AS step FROM pairs) SELECT run, step::INT AS step, {_T.format(v='(v1 + (v2 - v1) * step / 4)')} FROM s GROUP BY run, step")
@@ -150,8 +150,12 @@ def v14(spark, sf):
     return total(io.blend(pairs(spark, sf), 5), ["run", "step"])
 
 
-single("v15_invert", "lo + hi - v", lambda v: F.col("min") + F.col("max") - v)
-single("v15_to_min_max", "10 + (v - lo) * 90 / (hi - lo)", lambda v: 10 + (v - F.col("min")) * 90 / (F.col("max") - F.col("min")))
+single("v15_invert", "lo + hi - v", lambda v: io.invert(v, F.col("min"), F.col("max")))
+
+
+@query("v15_to_min_max", f"{_S} SELECT img, {_T.format(v='(10 + (v - lo) * 90 / (hi - lo))')} FROM s GROUP BY img")
+def v15_min_max(spark, sf):
+    return total(io.to_min_max(images(spark, sf), ["img"], 10.0, 100.0), ["img"])
 
 
 @query("v15_to_avg_std", f"{_S} SELECT img, {_T.format(v='((v - m) * 2 / sd + 5)')} FROM s GROUP BY img")
@@ -159,8 +163,8 @@ def v15_avg_std(spark, sf):
     return total(io.rescale_to(images(spark, sf), ["img"], 5.0, 2.0), ["img"])
 
 
-single("v16_square_log", "v * v + ln(v + 2)", lambda v: v * v + F.ln(v + 2))
-single("v17_truncate", "CASE WHEN v < -0.1 THEN -0.1 WHEN v > 0.1 THEN 0.1 ELSE v END + CASE WHEN v < -0.2 OR v > 0.2 THEN m ELSE v END", lambda v: F.greatest(F.least(v, F.lit(0.1)), F.lit(-0.1)) + F.when((v < -0.2) | (v > 0.2), F.col("avg")).otherwise(v))
+single("v16_square_log", "v * v + ln(v + 2)", lambda v: io.square(v) + io.log_of(v, 2.0))
+single("v17_truncate", "CASE WHEN v < -0.1 THEN -0.1 WHEN v > 0.1 THEN 0.1 ELSE v END + CASE WHEN v < -0.2 OR v > 0.2 THEN m ELSE v END", lambda v: io.truncate(v, -0.1, 0.1) + io.truncate(v, -0.2, 0.2, F.col("avg"), F.col("avg")))
 single("v18_quantise", "255.0 / 15 * floor((v - lo) * (0.999 * 16) / (hi - lo))", lambda v: io.quantise(v, F.col("min"), F.col("max"), 16))
 
 
@@ -171,8 +175,7 @@ def v19(spark, sf):
 
 @query("v19_statistics_in_radii", _I + " SELECT img, floor(sqrt((px - 4) ** 2 + (py - 4) ** 2))::INT AS ring, round(avg(v), 7) + 0.0 AS avg, round(stddev_pop(v), 7) AS std, count(*) AS n FROM images GROUP BY ALL")
 def v19_radii(spark, sf):
-    ring = F.floor(F.sqrt((F.col("px") - 4) * (F.col("px") - 4) + (F.col("py") - 4) * (F.col("py") - 4))).cast("int")
-    out = images(spark, sf).groupBy("img", ring.alias("ring")).agg(F.avg("v").alias("avg"), F.stddev_pop("v").alias("std"), F.count(F.lit(1)).alias("n"))
+    out = io.ring_statistics(images(spark, sf), ["img"], [("px", 4), ("py", 4)])
     return out.select("img", "ring", clean0(F.col("avg"), 7).alias("avg"), F.round("std", 7).alias("std"), "n")
 
 
@@ -273,8 +276,8 @@ def v28_pad(spark, sf):
 @query("v29_clamped_cast", "SELECT o_orderkey, greatest(least(trunc(o_totalprice / 1000 - 50), 255), 0)::SMALLINT AS byte, greatest(least(trunc(o_totalprice - 1e5), 32767), -32768)::SMALLINT AS short FROM orders")
 def v29(spark, sf):
     price = F.col("o_totalprice")
-    byte = F.greatest(F.least((price / 1000 - 50).cast("int"), F.lit(255)), F.lit(0)).cast("short")
-    return table(spark, sf, "orders").select("o_orderkey", byte.alias("byte"), F.greatest(F.least((price - 1e5).cast("int"), F.lit(32767)), F.lit(-32768)).cast("short").alias("short"))
+    byte, short = io.clamped_cast(price / 1000 - 50, 0, 255), io.clamped_cast(price - 1e5, -32768, 32767)
+    return table(spark, sf, "orders").select("o_orderkey", byte.cast("short").alias("byte"), short.cast("short").alias("short"))
 
 
 @query("v30_slices_as_images", f"WITH {VOXELS_SQL} SELECT vol_id * 4 + z AS img, count(*) AS n, round(sum(v * (1 + x * 4 + y)), 6) + 0.0 AS total FROM voxels GROUP BY 1")

@@ -29,8 +29,8 @@ def _ok(spark, sf):
 SELECT clean.thickness, s_name AS tomogram, n_name AS site, count(*) AS n, count(clean.res) AS n_ok, round(avg(clean.res), 6) AS res
 FROM clean JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey GROUP BY ALL""")
 def r01(spark, sf):
-    catalog = table(spark, sf, "supplier").join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("s_name").alias("tomogram"), F.col("n_name").alias("site"))
-    joined = report.clean(results(spark, sf)).join(catalog, F.col("l_suppkey") == F.col("s_suppkey"))
+    catalog = table(spark, sf, "supplier").join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_name").alias("tomogram"), F.col("n_name").alias("site"))
+    joined = report.load_results(results(spark, sf), catalog, on=["l_suppkey"])
     return joined.groupBy("thickness", "tomogram", "site").agg(F.count(F.lit(1)).alias("n"), F.count("res").alias("n_ok"), F.round(F.avg("res"), 6).alias("res"))
 
 
@@ -49,8 +49,11 @@ SELECT thickness, name, num_ang, max_ang, round((a.res + b.res) / 2, 8) AS res,
 
 
 def _refs(df):
+    """Averages of either reference, of the runs that both have."""
     per_run = df.groupBy("ref", *KEYS).agg(F.avg("res").alias("res"), F.avg("corr").alias("corr"))
-    return per_run.filter("ref = 'a'"), per_run.filter("ref = 'b'")
+    a, b = per_run.filter("ref = 'a'"), per_run.filter("ref = 'b'")
+    gone = report.unmatched_refs(a, b, KEYS).select(*KEYS)
+    return a.join(gone, KEYS, "left_anti"), b.join(gone, KEYS, "left_anti")
 
 
 @query("r03_average_refs", _W + _AVG.format(col="res", src="clean"))
@@ -65,6 +68,17 @@ def r03_compat(spark, sf):
     return _rounded(report.average_refs(a, b, KEYS, ("res", "corr"), compat=True), "res", "corr", digits=8)
 
 
+_SIDES = """, a AS (SELECT DISTINCT thickness, name, num_ang, max_ang, l_partkey FROM results WHERE ref = 'a'), b AS (SELECT DISTINCT thickness, name, num_ang, max_ang, l_partkey FROM results WHERE ref = 'b')
+SELECT *, 'a' AS side FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE (a.thickness, a.name, a.num_ang, a.max_ang, a.l_partkey) = (b.thickness, b.name, b.num_ang, b.max_ang, b.l_partkey))
+UNION ALL SELECT *, 'b' FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE (a.thickness, a.name, a.num_ang, a.max_ang, a.l_partkey) = (b.thickness, b.name, b.num_ang, b.max_ang, b.l_partkey))"""
+
+
+@query("r03_unmatched_refs", _W + _SIDES)
+def r03_unmatched(spark, sf):
+    df = results(spark, sf)
+    return report.unmatched_refs(df.filter("ref = 'a'"), df.filter("ref = 'b'"), [*KEYS, "l_partkey"])
+
+
 @query("r04_filters", _W + """SELECT l_orderkey, thickness, num_ang, max_ang, x, y, res FROM clean
 WHERE thickness IN ('250nm', '500nm') AND x BETWEEN 100 AND 1900 AND y BETWEEN 100 AND 1900 AND res > 0 AND num_ang = 21""")
 def r04(spark, sf):
