@@ -24,9 +24,10 @@ from .words import WordTable, in_blocks, map_rows, mix64, split_blocks
 
 UNDETERMINED = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
-#: Longer runs of letters are scored in parts of this length.
-MAX_RUN = 32
-MAX_PIECE = 12
+#: Longer words have probabilities too small for a double; their sums are made of logarithms.
+PLAIN_LETTERS = 30
+#: Letters of the words that are worked on at once.
+BLOCK_LETTERS = 60_000
 #: Probability of a character that no piece covers.
 UNKNOWN = 1e-9
 _MARK = "▁"
@@ -39,6 +40,7 @@ class Vocabulary:
     pieces: list[str]
     hashes: np.ndarray
     rows: np.ndarray
+    longest: int
 
     @classmethod
     def of_sentencepiece(cls, path: str) -> Vocabulary:
@@ -47,14 +49,14 @@ class Vocabulary:
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         names = (model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)))
-        fit = {p for p in names if 0 < len(p) <= MAX_PIECE and LETTERS.fullmatch(p.removeprefix(_MARK) or "a") and p == p.lower()}
+        fit = {p for p in names if p and LETTERS.fullmatch(p.removeprefix(_MARK) or "a") and p == p.lower()}
         return cls.of(sorted(fit))
 
     @classmethod
     def of(cls, pieces: list[str]) -> Vocabulary:
         keys = np.array([hash_run(p) for p in pieces], dtype=np.uint64)
         order = np.argsort(keys)
-        return cls(pieces, keys[order], order.astype(np.int64))
+        return cls(pieces, keys[order], order.astype(np.int64), max(map(len, pieces), default=1))
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Row of each hash, or -1."""
@@ -69,85 +71,131 @@ def hash_run(text: str) -> int:
     return int(h[0])
 
 
-def lattice(vocabulary: Vocabulary, words: list[str]) -> dict[tuple[int, int], np.ndarray]:
-    """Rows of the pieces from i to j of words of one length, for all i < j; the mark is character 0."""
+Lattice = dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]
+
+
+def lattice(vocabulary: Vocabulary, words: list[str]) -> Lattice:
+    """For words of one length: by start and end, which of them have a piece there, and its row; the mark is character 0."""
     n = len(words[0]) + 1
-    codes = np.concatenate([np.full((len(words), 1), ord(_MARK), np.uint32), np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), n - 1)], axis=1).astype(np.uint64)
+    letters = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), n - 1)
+    codes = np.concatenate([np.full((len(words), 1), ord(_MARK), np.uint32), letters], axis=1).astype(np.uint64) + np.uint64(1)
     found = {}
     for i in range(n):
         h = np.zeros(len(words), np.uint64)
-        for j in range(i + 1, min(n, i + MAX_PIECE) + 1):
-            h = mix64(h + codes[:, j - 1] + np.uint64(1))
-            found[i, j] = vocabulary.find(h)
+        for j in range(i + 1, min(n, i + vocabulary.longest) + 1):
+            h = mix64(h + codes[:, j - 1])
+            rows = vocabulary.find(h)
+            at = np.flatnonzero(rows >= 0)
+            if len(at):
+                found[i, j] = at, rows[at]
     return found
 
 
-def forward(found: dict, n: int, probability: np.ndarray) -> list[np.ndarray]:
-    """Sums over all segmentations of each prefix, one row per word and a column per model.
-
-    ``probability`` has a row for each piece and, last, one of zeros for what is no piece.
-    """
-    some = next(iter(found.values()))
-    alpha = [np.ones((len(some), probability.shape[1]))]
+def _sums(found: Lattice, n: int, shape: tuple[int, ...], probability: dict[tuple[int, int], np.ndarray], longest: int) -> list[np.ndarray]:
+    """Sums over all segmentations of each prefix of words of ``n`` characters."""
+    alpha = [np.ones(shape)]
     for j in range(1, n + 1):
         total = alpha[j - 1] * UNKNOWN
-        for i in range(max(0, j - MAX_PIECE), j):
-            total += alpha[i] * probability[found[i, j]]
+        for i in range(max(0, j - longest), j):
+            if (i, j) in found:
+                at = found[i, j][0]
+                total[at] += alpha[i][at] * probability[i, j]
         alpha.append(total)
     return alpha
 
 
+def _spans(vocabulary: Vocabulary, word: str) -> np.ndarray:
+    """Row of the piece at each start and of each length less one in a marked word, or -1."""
+    codes = np.frombuffer((_MARK + word).encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)
+    h, out = np.zeros(len(codes), np.uint64), np.full((len(codes), vocabulary.longest), -1, np.int64)
+    for k in range(min(vocabulary.longest, len(codes))):
+        h = mix64(h[: len(codes) - k] + codes[k:])
+        out[: len(codes) - k, k] = vocabulary.find(h)
+    return out
+
+
+def _log_sums(spans: np.ndarray, logs: Callable[[np.ndarray], np.ndarray], models: int, ahead: bool = True) -> np.ndarray:
+    """Logarithms of the sums over all segmentations of each prefix of a long word, or, not ``ahead``, of what follows each place."""
+    n, longest = spans.shape
+    out = np.zeros((n + 1, models))
+    for k in range(1, n + 1):
+        step = np.arange(1, min(longest, k) + 1)
+        at, other = (k, k - step) if ahead else (n - k, n - k + step)
+        row = spans[other if ahead else at, step - 1]
+        real = row >= 0
+        ways = np.concatenate([out[other[:1]] + np.log(UNKNOWN), out[other[real]] + logs(row[real])])
+        top = ways.max(axis=0)
+        out[at] = top + np.log(np.exp(ways - top).sum(axis=0))
+    return out
+
+
+def _reversed(found: Lattice, n: int) -> Lattice:
+    """The lattice of the words read backwards."""
+    return {(n - j, n - i): v for (i, j), v in found.items()}
+
+
 def runs_of(text: str) -> list[str]:
-    """Lower-case runs of letters, long ones in parts."""
-    runs = LETTERS.findall(text.lower())
-    if any(len(r) > MAX_RUN for r in runs):
-        runs = [r[a : a + MAX_RUN] for r in runs for a in range(0, len(r), MAX_RUN)]
-    return runs
+    """Lower-case runs of letters."""
+    return LETTERS.findall(text.lower())
+
+
+def _long(words: list[str]) -> list[int]:
+    return [k for k, w in enumerate(words) if len(w) >= PLAIN_LETTERS]
 
 
-def _by_length(words: list[str]) -> dict[int, list[int]]:
+def _groups(words: list[str]) -> Iterator[np.ndarray]:
+    """Places of words of one length, in blocks, but for long ones."""
     groups: dict[int, list[int]] = {}
     for k, w in enumerate(words):
-        groups.setdefault(len(w), []).append(k)
-    return groups
+        if len(w) < PLAIN_LETTERS:
+            groups.setdefault(len(w), []).append(k)
+    for n, places in groups.items():
+        step = max(1, BLOCK_LETTERS // (n + 1))
+        for a in range(0, len(places), step):
+            yield np.array(places[a : a + step])
 
 
 def log_probabilities(vocabulary: Vocabulary, probability: np.ndarray, words: list[str]) -> np.ndarray:
     """Log probability of each word (a run of letters) under each model."""
     out = np.zeros((len(words), probability.shape[1]))
-    for n, places in _by_length(words).items():
-        for a in range(0, len(places), 5_000):
-            part = places[a : a + 5_000]
-            alpha = forward(lattice(vocabulary, [words[k] for k in part]), n + 1, probability)[-1]
-            out[part] = np.log(np.maximum(alpha, 1e-300))
+    for part in _groups(words):
+        n = len(words[part[0]]) + 1
+        found = lattice(vocabulary, [words[k] for k in part])
+        given = {key: probability[rows] for key, (_, rows) in found.items()}
+        out[part] = np.log(_sums(found, n, (len(part), probability.shape[1]), given, vocabulary.longest)[-1])
+    for k in _long(words):
+        out[k] = _log_sums(_spans(vocabulary, words[k]), lambda rows: np.log(probability[rows]), probability.shape[1])[-1]
     return out
 
 
 def expected_counts(vocabulary: Vocabulary, probability: np.ndarray, words: list[str], model: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Expected uses of each piece in the words, each under its own model and counted ``weight`` times; pieces x models."""
-    out = np.zeros(probability.size)
     models = probability.shape[1]
-    for n, places in _by_length(words).items():
-        for a in range(0, len(places), 5_000):
-            part = np.array(places[a : a + 5_000])
-            found, which = lattice(vocabulary, [words[k] for k in part]), model[part]
-            size = n + 1
-            prob = {key: probability[rows, which] for key, rows in found.items()}
-            alpha = [np.ones(len(part))]
-            for j in range(1, size + 1):
-                alpha.append(sum((alpha[i] * prob[i, j] for i in range(max(0, j - MAX_PIECE), j)), alpha[j - 1] * UNKNOWN))
-            beta = [np.zeros(0)] * size + [np.ones(len(part))]
-            for i in range(size - 1, -1, -1):
-                beta[i] = sum((beta[j] * prob[i, j] for j in range(i + 1, min(size, i + MAX_PIECE) + 1)), beta[i + 1] * UNKNOWN)
-            scale = weight[part] / np.maximum(alpha[size], 1e-300)
-            for (i, j), rows in found.items():
-                np.add.at(out, rows * models + which, np.where(rows >= 0, alpha[i] * prob[i, j] * beta[j] * scale, 0.0))
-    return out.reshape(probability.shape)
+    places, uses = [np.zeros(0, np.int64)], [np.zeros(0)]
+    for part in _groups(words):
+        n, which, times = len(words[part[0]]) + 1, model[part], weight[part]
+        found = lattice(vocabulary, [words[k] for k in part])
+        given = {(i, j): probability[rows, which[at]] for (i, j), (at, rows) in found.items()}
+        back = {(n - j, n - i): v for (i, j), v in given.items()}
+        alpha = _sums(found, n, (len(part),), given, vocabulary.longest)
+        beta = _sums(_reversed(found, n), n, (len(part),), back, vocabulary.longest)[::-1]
+        for (i, j), (at, rows) in found.items():
+            places.append(rows * models + which[at])
+            uses.append(alpha[i][at] * given[i, j] * beta[j][at] / alpha[n][at] * times[at])
+    for k in _long(words):
+        spans, own = _spans(vocabulary, words[k]), int(model[k])
+        logs = lambda rows, own=own: np.log(probability[rows, own])[:, None]
+        alpha, beta = (_log_sums(spans, logs, 1, ahead)[:, 0] for ahead in (True, False))
+        i, length = np.nonzero(spans >= 0)
+        rows = spans[i, length]
+        places.append(rows * models + own)
+        uses.append(np.exp(alpha[i] + logs(rows)[:, 0] + beta[i + length + 1] - alpha[-1]) * weight[k])
+    return np.bincount(np.concatenate(places), np.concatenate(uses), probability.size).reshape(probability.shape)
 
 
 @dataclass
 class Model:
-    """Languages and piece probabilities; the last row of ``probability`` is zero."""
+    """Languages and the probability of each piece under each of them."""
 
     vocabulary: Vocabulary
     languages: list[str]
@@ -179,27 +227,30 @@ def train(docs: DataFrame, scratch: Scratch, vocabulary_path: str, per_language:
                 made = pd.DataFrame({"lang": part["lang"], "word": [runs_of(t) for t in part["text"]]}).explode("word").dropna()
                 yield made.groupby(["lang", "word"], as_index=False).size().rename(columns={"size": "n"})
 
-    gathered = scratch.keep(sample.select("text", "lang").mapInPandas(words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
+    gathered = scratch.keep(sample.select("text", "lang").mapInPandas(words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).repartition(2 * docs.sparkSession.sparkContext.defaultParallelism), "words")
     vocabulary = Vocabulary.of_sentencepiece(vocabulary_path)
     languages = sorted(r["lang"] for r in gathered.select("lang").distinct().collect())
-    size, models = len(vocabulary.pieces), len(languages)
+    models = len(languages)
     # long pieces start lower, so that no cut is favoured only for having fewer of them
-    start = np.array([0.1 ** len(p) for p in vocabulary.pieces] + [0.0])
+    start = np.array([0.1 ** len(p) for p in vocabulary.pieces])
     probability = np.repeat(start[:, None] / max(start.sum(), 1e-300), models, axis=1)
     number = {lang: i for i, lang in enumerate(languages)}
+    context = docs.sparkSession.sparkContext
+    pieces = context.broadcast(vocabulary)  # that of one public model
     for _ in range(iterations if models else 0):
+        given = context.broadcast(probability)  # a number for each piece and language
 
-        def step(frames: Iterator[pd.DataFrame], probability: np.ndarray = probability) -> Iterator[pd.DataFrame]:
-            total = np.zeros(probability.shape)
+        def step(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = np.zeros(given.value.shape)
             for frame in frames:
-                total += expected_counts(vocabulary, probability, frame["word"].tolist(), frame["lang"].map(number).to_numpy(), frame["n"].to_numpy(np.float64))
+                total += expected_counts(pieces.value, given.value, frame["word"].tolist(), frame["lang"].map(number).to_numpy(), frame["n"].to_numpy(np.float64))
             piece, model = np.nonzero(total)
             yield pd.DataFrame({"piece": piece, "model": model, "n": total[piece, model]})
 
         sums = gathered.mapInPandas(step, "piece long, model long, n double").groupBy("piece", "model").agg(F.sum("n").alias("n")).toPandas()
         counted = np.zeros(probability.shape)
         counted[sums["piece"], sums["model"]] = sums["n"]
-        counted[:size] += 0.01
+        counted += 0.01
         probability = counted / counted.sum(axis=0)
     return Model(vocabulary, languages, probability)
 
