@@ -1,8 +1,10 @@
 """Benchmark decontamination by template canonicalisation.
 
 Words are lower-cased and stripped of marks; numbers, units and names become typed placeholders, so
-that a question with other values has the same template. Windows of template tokens are hashed. A
-Bloom filter of the benchmark's windows, sized by their number, passes over the documents; the
+that a question with other values has the same template. Names are the words that the benchmark writes
+with a capital within a sentence, whatever their case in a document; documents are read a second time with
+their own capitalised words as names too, which finds questions about other people and places. Windows of
+template tokens are hashed. A Bloom filter of the benchmark's windows, sized by their number, passes over the documents; the
 few windows that it lets through are joined by hash with those of the benchmark. Along each alignment
 of a document with an item the slots are compared: values that map to one value each are a verbatim or a
 re-parameterised copy; where a value maps to several, the placeholders matched by chance.
@@ -16,9 +18,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .minhash import _hot as hot_keys
 from .scratch import Scratch
 from .words import WordTable, mix64, split_blocks, unicode_words_of
 
@@ -30,12 +33,13 @@ _MARKS = re.compile(r"^[\W_]+|[\W_]+$")
 _ENDS = re.compile(r"[.!?:…]\W*$")
 LITERAL, NUMBER, UNIT, NAME, NOTHING = range(5)
 #: Bits of the flags beside a word's hash.
-_TITLE, _END, _NUM, _UNIT, _EMPTY = 1, 2, 4, 8, 16
+_TITLE, _END, _NUM, _UNIT, _EMPTY, _KNOWN = 1, 2, 4, 8, 16, 32
 _FEATURE = np.dtype([("literal", "<u8"), ("flags", "<u1")])
 HITS = "doc_id long, place long, width int, literal int, window long, slots array<string>"
 
 
-def _features(words: list[str]) -> np.ndarray:
+def _features(words: list[str], names: np.ndarray | None = None) -> np.ndarray:
+    """Hash and flags of each word; ``names`` is the filter of known names."""
     out = np.zeros(len(words), _FEATURE)
     for k, w in enumerate(words):
         core = _MARKS.sub("", w)
@@ -48,15 +52,17 @@ def _features(words: list[str]) -> np.ndarray:
             flags |= _UNIT
         if core and core[0].isupper() and core[1:].islower():
             flags |= _TITLE
-        out[k] = xxhash.xxh64_intdigest(core.lower().encode()), flags
+        out[k] = xxhash.xxh64_intdigest(core.lower().encode("utf-8", "surrogatepass")), flags
+    if names is not None and len(out):
+        out["flags"] |= np.where(in_bloom(names, out["literal"]), _KNOWN, 0).astype("u1")
     return out
 
 
-def template(row: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def template(row: np.ndarray, values: np.ndarray, capitals: bool = True, known: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Template token hashes of a text, their kinds, and the place of each among its words.
 
-    A unit is a unit word after a number. A name is a title-case word that does not begin the text or
-    follow the end of a sentence; words of marks alone vanish, but do not hide such an end.
+    A unit is a unit word after a number. Names are ``known`` ones, and, with ``capitals``, title-case words that do not
+    begin the text or follow the end of a sentence; words of marks alone vanish, but do not hide such an end.
     """
     f = values[row]
     flags = f["flags"]
@@ -68,13 +74,19 @@ def template(row: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarra
     fl = flags[solid]
     number = fl & _NUM != 0
     unit = (fl & _UNIT != 0) & np.concatenate([[False], number[:-1]])
-    name = (fl & _TITLE != 0) & ~fresh & ~unit
+    name = np.zeros(len(solid), bool)
+    if capitals:
+        name |= (fl & _TITLE != 0) & ~fresh
+    if known:
+        name |= fl & _KNOWN != 0
+    name &= ~unit
     kinds = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, LITERAL)))
     return np.where(kinds == LITERAL, f["literal"][solid], kinds.astype(np.uint64)), kinds, solid
 
 
-def windows(tokens: np.ndarray, kinds: np.ndarray, literals: np.ndarray, w: int, least: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes and places of the windows of ``w`` tokens with ``least`` literal words, and how many each has.
+def windows(tokens: np.ndarray, kinds: np.ndarray, literals: np.ndarray, w: int, least: int = 0, places: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes and places of the windows of ``w`` tokens with ``least`` literal words, of those at ``places`` where given, and
+    how many each has.
 
     A window of placeholders alone is like any other of its kinds, so it is hashed by its values (``literals``).
     """
@@ -83,17 +95,19 @@ def windows(tokens: np.ndarray, kinds: np.ndarray, literals: np.ndarray, w: int,
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     total = np.concatenate([[0], np.cumsum(kinds == LITERAL)])
     n_literal = total[w:] - total[:-w]
-    h = np.full(n, w, np.uint64)
+    at = slice(0, n) if places is None else places[places < n]
+    h = np.full(n if places is None else len(at), w, np.uint64)
     for i in range(w):
-        h = mix64(h + tokens[i : i + n])
+        h = mix64(h + tokens[i : i + n][at])
+    places, n_literal = np.arange(n)[at], n_literal[at]
     bare = np.flatnonzero(n_literal == 0) if least == 0 else ()
     if len(bare):
         exact = np.full(len(bare), w, np.uint64)
         for i in range(w):
-            exact = mix64(exact + mix64(literals[bare + i] + tokens[bare + i]))
+            exact = mix64(exact + mix64(literals[places[bare] + i] + tokens[places[bare] + i]))
         h[bare] = exact
-    places = np.flatnonzero(n_literal >= least)
-    return h[places], places, n_literal[places]
+    some = np.flatnonzero(n_literal >= least)
+    return h[some], places[some], n_literal[some]
 
 
 def own_windows(n_literal: np.ndarray, w: int, least_literal: int) -> np.ndarray:
@@ -142,30 +156,44 @@ def _bloom(windows_of_items: DataFrame) -> np.ndarray:
     return packed.view(np.uint8)
 
 
-#: Parts into which the windows of documents are dealt, so that one that many hold is no task's alone.
-PARTS = 8
-
-
 def contaminated(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, width: int = 5, least_literal: int = 3, coverage: float = 0.5) -> DataFrame:
     """``doc_id, item_id, coverage, kind, n_slots`` for each document of ``docs`` (doc_id, text) that holds an
     item of ``benchmark`` (item_id, text).
 
     An item is held when alignments with consistent slots cover ``coverage`` of its distinct windows. ``kind``
-    is ``verbatim`` if all slot values agree, else ``reparameterised``. Null ids and null, empty or blank
-    texts hold nothing; an item shorter than ``width`` words is one window, looked up at its own width in every text; an
-    item of placeholders alone is held where its values are; repeated rows do not count twice; other columns are left alone; an empty table gives an empty result.
+    is ``verbatim`` if all slot values agree, else ``reparameterised``. Letter case does not matter for verbatim copies;
+    other names are told by their capitals, so a copy with other names in small letters is found by its other windows only.
+    Null ids and null, empty or blank texts hold nothing; an item shorter than ``width`` words is one window, looked up at its
+    own width in every text; an item of placeholders alone is held where its values are; texts of any length are whole; repeated
+    rows do not count twice; other columns are left alone; an empty table gives an empty result.
     """
     # at most one row for each word of the benchmark
-    items = scratch.keep(_hits(benchmark.select(F.col("item_id").alias("doc_id"), "text"), None, {width: 0}, least_literal), "items")
+    asked = benchmark.select(F.col("item_id").alias("doc_id"), "text")
+    context = docs.sparkSession.sparkContext
+    names = context.broadcast(_bloom(scratch.keep(_names(asked), "names")))
+    items = scratch.keep(_hits(asked, None, names, {width: 0}, least_literal), "items")
     # equal windows have equally many literal words; ``width`` rows at most
     widths = {r["width"]: r["least"] for r in items.groupBy("width").agg(F.min("literal").alias("least")).collect()}
-    bloom = docs.sparkSession.sparkContext.broadcast(_bloom(items))
-    hits = _hits(docs, bloom, widths, least_literal).drop("width", "literal")
-    sizes = items.groupBy(F.col("doc_id").alias("item_id")).agg(F.count_distinct("window").alias("n_windows"))
+    bloom = context.broadcast(_bloom(items))
+    hits = scratch.keep(_hits(docs, bloom, names, widths, least_literal).drop("width", "literal"), "hits")
     item = items.select(F.col("doc_id").alias("item_id"), F.col("place").alias("item_place"), F.col("window").alias("of"), F.col("slots").alias("item_slots"))
-    hits = hits.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int"))
-    item = item.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-    met = scratch.keep(hits.join(item, (F.col("window") == F.col("of")) & (hits["part"] == item["part"])).drop("of", "part"), "met")
+    counts = scratch.keep(hits.groupBy(F.col("window").alias("key")).agg(F.count(F.lit(1)).alias("c")), "counts")
+    distinct = scratch.keep(item.select("item_id", "of").distinct().join(counts, F.col("of") == F.col("key"), "left").select("item_id", "of", F.coalesce("c", F.lit(0)).alias("c")), "distinct")
+    sizes = distinct.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_windows"))
+    # whoever holds ``coverage`` of an item's windows holds one of its n - ceil(coverage * n) + 1 rarest: a window that
+    # many documents and many items share brings no pair together
+    rarest = distinct.withColumn("nth", F.row_number().over(Window.partitionBy("item_id").orderBy("c", "of"))).join(sizes, "item_id")
+    leads = rarest.filter((F.col("nth") <= F.col("n_windows") - F.ceil(F.col("n_windows") * coverage) + 1) & (F.col("c") > 0)).select("item_id", F.col("of").alias("lead"))
+    # a window that very many documents hold is dealt in parts
+    hot = F.broadcast(hot_keys(counts, scratch, hits.count()).select(F.col("key").alias("hot"), "parts"))
+    leads = leads.join(hot, F.col("lead") == F.col("hot"), "left").select("item_id", "lead", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+    dealt = hits.select("doc_id", "window").join(hot, F.col("window") == F.col("hot"), "left")
+    dealt = dealt.select("doc_id", "window", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("parts")), F.lit(0)).cast("int").alias("part"))
+    pairs = dealt.join(leads, (F.col("window") == F.col("lead")) & (dealt["part"] == leads["part"])).select(F.col("doc_id").alias("holder"), "item_id").distinct()
+    pairs = scratch.keep(pairs, "pairs")
+    # the windows of a pair's document against those of its item: the pair is in the key, so none is hot
+    asked = pairs.join(item, "item_id").select("holder", "item_id", "item_place", "of", "item_slots")
+    met = scratch.keep(hits.join(asked, (F.col("doc_id") == F.col("holder")) & (F.col("window") == F.col("of"))).drop("holder", "of"), "met")
 
     aligned = met.withColumn("shift", F.col("place") - F.col("item_place"))
     run = ["doc_id", "item_id", "shift"]
@@ -185,12 +213,29 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, width:
     return share.join(slots, ["doc_id", "item_id"]).select("doc_id", "item_id", "coverage", kind.alias("kind"), F.col("n_slots").cast("long").alias("n_slots"))
 
 
-def _hits(docs: DataFrame, bloom, widths: dict[int, int], least_literal: int) -> DataFrame:
+def _names(benchmark: DataFrame) -> DataFrame:
+    """``window``: hashes of the words that are capitalised within a sentence of the benchmark."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table = WordTable(_features)
+        for frame in frames:
+            for _, words in split_blocks(frame, unicode_words_of):
+                rows, values = table.look_up(words)
+                found = [np.zeros(0, np.uint64)]
+                for row in rows:
+                    _, kinds, solid = template(row, values, known=False)
+                    found.append(values["literal"][row[solid[kinds == NAME]]])
+                yield pd.DataFrame({"window": np.unique(np.concatenate(found)).view(np.int64)})
+
+    return benchmark.select("text").mapInPandas(run, "window long").distinct()
+
+
+def _hits(docs: DataFrame, bloom, names, widths: dict[int, int], least_literal: int) -> DataFrame:
     """Windows of ``docs`` of all ``widths``, each with its least number of literal words, that the broadcast filter lets through; without one, the windows that
     stand for each text, of the one width or the text's own where that is less."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table, held = WordTable(_features), bloom.value if bloom is not None else None
+        table, held = WordTable(lambda words: _features(words, names.value)), bloom.value if bloom is not None else None
         for frame in frames:
             for part, words in split_blocks(frame, unicode_words_of):
                 rows, values = table.look_up(words)
@@ -202,13 +247,23 @@ def _hits(docs: DataFrame, bloom, widths: dict[int, int], least_literal: int) ->
 def _found(ids, names: list[str], rows: list[np.ndarray], values: np.ndarray, widths: dict[int, int], least_literal: int, held: np.ndarray | None) -> pd.DataFrame:
     out = []
     for doc_id, row in zip(ids, rows):
-        tokens, kinds, solid = template(row, values)
+        plain = template(row, values, capitals=False)
+        readings = [(*plain, None)]
+        if held is not None:
+            marked = template(row, values)
+            other = np.flatnonzero(plain[1] != marked[1])
+            if len(other):
+                readings.append((*marked, other))
+        solid = plain[2]
         literals = values["literal"][row[solid]]
-        for w, least in widths.items():
-            w = w if held is not None else min(w, len(tokens))
-            h, places, n_literal = windows(tokens, kinds, literals, w, least)
-            if not len(h):
-                continue
-            kept = np.flatnonzero(in_bloom(held, h)) if held is not None else own_windows(n_literal, w, least_literal)
-            out += [(doc_id, int(p), w, int(n), x, _slots(names, row, kinds, solid, p, w)) for p, n, x in zip(places[kept], n_literal[kept], h[kept].view(np.int64).tolist())]
+        for tokens, kinds, _, other in readings:
+            for w, least in widths.items():
+                w = w if held is not None else min(w, len(tokens))
+                # the second reading differs in the windows that hold one of its own names
+                near = None if other is None else np.unique(np.concatenate([other - i for i in range(w)]))
+                h, places, n_literal = windows(tokens, kinds, literals, w, least, near if near is None else near[near >= 0])
+                if not len(h):
+                    continue
+                kept = np.flatnonzero(in_bloom(held, h)) if held is not None else own_windows(n_literal, w, least_literal)
+                out += [(doc_id, int(p), w, int(n), x, _slots(names, row, kinds, solid, p, w)) for p, n, x in zip(places[kept], n_literal[kept], h[kept].view(np.int64).tolist())]
     return pd.DataFrame(out, columns=["doc_id", "place", "width", "literal", "window", "slots"])
