@@ -32,8 +32,17 @@ MALE = "james john robert michael david william richard thomas daniel paul mark
 FEMALE = "mary linda susan karen nancy lisa anna emma sarah laura julia alice claire marie sophie heike sabine ursula petra maria carmen lucia elena rosa".split()
 MALE_CYRILLIC = "иван пётр сергей алексей дмитрий николай михаил андрей".split()
 FEMALE_CYRILLIC = "анна мария елена ольга наталья ирина татьяна светлана".split()
-TITLES_MALE = "Mr Herr Monsieur Señor Sr".split()
-TITLES_FEMALE = "Mrs Ms Miss Frau Madame Mme Señora Sra".split()
+TITLES_MALE = "Mr Herr Herrn Monsieur Señor Sr Sir Lord господин г-н".split()
+TITLES_FEMALE = "Mrs Ms Miss Frau Madame Mme Mlle Mademoiselle Señora Sra Señorita Srta Lady госпожа г-жа".split()
+# Titles of either gender, also after another title, and one that is a title only with a full stop.
+TITLES_EITHER = "Dr Doctor Doktor Docteur Doctora Prof Professor Professeur Profesor Profesora доктор профессор".split()
+TITLES_DOTTED = ["M"]
+# Titles that are written in capitals too, before two words of capitals.
+TITLES_LOUD = "MR MRS MISS HERR FRAU MONSIEUR MADAME MME SEÑOR SEÑORA SRA DR DOCTOR PROF PROFESSOR".split()
+# Words that follow a given name without being a surname.
+NO_SURNAMES = frozenset("the this that these those and or of in on at to for with by from is was has had will who which der die das und oder von mit ist war hat le la les et ou de du des est el los las y o del es".split())
+# Country codes of telephone numbers that have one and two digits; all others have three.
+CODES = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 
 _LISTS = {"given_m": MALE, "given_f": FEMALE, "given_m_cyrillic": MALE_CYRILLIC, "given_f_cyrillic": FEMALE_CYRILLIC}
 _GIVEN = {name: kind for kind, names in _LISTS.items() for name in names}
@@ -72,24 +81,39 @@ def _letters_for(c: str) -> str:
     found = _alphabet(low)
     return found if low in found else ""
 
-_NAME = r"[^\W\d_]+(?:['’-][^\W\d_]+)*"
+_WORD = r"[^\W\d_]+"
+#: A name: words joined by hyphens and apostrophes, without the ending of the genitive.
+_NAME = rf"{_WORD}(?:['’-](?!s(?!\w)){_WORD})*"
+#: What begins with a capital, or has a script without them.
+_CAPITAL = r"(?=[^\W\d_a-zß-öø-ÿа-яё])"
+
+
+def _any(words: list[str]) -> str:
+    return "|".join(sorted(map(re.escape, words), key=len, reverse=True))
+
+
+_TITLE = rf"(?:(?:{_any([*TITLES_MALE, *TITLES_FEMALE, *TITLES_EITHER])})\.?|(?:{_any(TITLES_DOTTED)})\.)"
+_LOUD = r"[^\W\d_a-zß-öø-ÿа-яё]{2,}(?:['’-][^\W\d_a-zß-öø-ÿа-яё]+)*(?!\w)"
+_LOUD_TITLE = rf"(?:{_any(TITLES_LOUD)})\.?"
 PATTERNS = {
-    "email": r"(?<![\w.+-])[A-Za-z0-9_][\w.+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
+    "email": r"(?<![\w.+-])\w[\w.+-]*@(?:[\w-]+\.)+[^\W\d_]{2,}",
     "secret": r"(?<![0-9A-Za-z])[0-9A-Fa-f]{32,64}(?![0-9A-Za-z])",
-    "api_key": r"(?<![\w-])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z]{20,64}|xox[abprs]-[0-9A-Za-z-]{10,72})(?![\w-])",
+    "jwt": r"(?<![\w-])eyJ[\w-]{6,}\.eyJ[\w-]{6,}\.[\w-]{6,}(?![\w-])",
+    "api_key": r"(?<![\w-])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z]{20,64}|[sp]k_(?:live|test)_[0-9A-Za-z]{10,99}|xox[abprs]-[0-9A-Za-z-]{10,72})(?![\w-])",
+    "password": r"(?<![\w])(?:[Pp]assword|PASSWORD|[Pp]asswd|[Pp]asswort|[Pp]wd)[\"']?[ \t]*[:=][ \t]*[\"']?[^\s\"'<>;,]{4,}",
     "ipv6": r"(?<![\w:])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,5}(?::[0-9A-Fa-f]{1,4}){1,5})(?![\w:])",
-    "ipv4": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)",
-    "iban": r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])",
-    "phone": r"(?<![\w+])\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\w+(])\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?!\d)",
+    "ipv4": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)",
+    "iban": r"(?<![0-9A-Za-z])(?:[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?|[a-z]{2}\d{2}(?: ?\d{4}){3,7}(?: ?\d{1,3})?)(?![0-9A-Za-z])",
+    "phone": r"(?<![\w+])\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\w+(])\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?!\d)|(?<![\w+(.,/-])0\d{1,4}[ /-]\d{5,8}(?![\w/-])|(?<![\w+.,-])[2-9]\d{9}(?![\w]|[.,]\d)",
     "card": r"(?<![\w.])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\w]|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "name": rf"(?<!\w)(?:{'|'.join(sorted([*TITLES_MALE, *TITLES_FEMALE], key=len, reverse=True))})\.?[ \t]{_NAME}(?:[ \t](?=[^\W\d_a-zà-öø-ÿ]){_NAME})?",
+    "name": rf"(?<!\w)(?:{_TITLE}(?:[ \t]{_TITLE}(?!\w))*[ \t]{_CAPITAL}{_NAME}(?:[ \t]{_CAPITAL}{_NAME})?|{_LOUD_TITLE}[ \t]{_LOUD}[ \t]{_LOUD})",
 }
 _ANY = re.compile("|".join(f"(?P<{kind}>{p})" for kind, p in PATTERNS.items()))
-#: No entity begins where none of these stands; most texts and most places have none.
-_SIGN = re.compile(r"[0-9@]|(?<!\w)(?:%s)[ .\t]" % "|".join([*TITLES_MALE, *TITLES_FEMALE]))
+#: No entity stands in a text that has none of these.
+_SIGN = re.compile(rf"[0-9@]|AKIA|gh[pousr]_|[sp]k[-_]|xox|eyJ|[0-9A-Fa-f]{{32}}|[0-9A-Fa-f]:|(?:assw|ASSW|wd)|(?<!\w)(?:{_TITLE}|{_LOUD_TITLE})[ \t]")
 #: Two words with capitals: a name without a title where the first is a given name.
-_PAIR = re.compile(rf"(?<!\w)(?=[A-ZÀ-ÖØ-ÞА-ЯЁ])({_NAME})[ \t](?=[^\W\d_a-zß-öø-ÿа-яё])({_NAME})")
+_PAIR = re.compile(rf"(?<!\w)(?=[A-ZÀ-ÖØ-ÞА-ЯЁ])({_NAME})[ \t]{_CAPITAL}({_NAME})")
 
 MENTION = "kind string, start int, stop int, value string"
 
@@ -177,7 +201,7 @@ def _card(key: bytes, tweak: str, value: str) -> str:
 
 
 def _iban_check(value: str) -> int:
-    compact = re.sub(r"[^0-9A-Z]", "", value)
+    compact = re.sub(r"[^0-9A-Z]", "", value.upper())
     return 98 - int("".join(str(int(c, 36)) for c in compact[4:] + compact[:2] + "00")) % 97
 
 
@@ -201,14 +225,15 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
     if kind in ("secret", "ipv6"):
         return _characters(key, tweak, value, set(), hexadecimal=True)
     if kind == "api_key":
-        return _characters(key, tweak, value, set(range(4)))
+        return _characters(key, tweak, value, set(range(8 if value[2] == "_" else 4)))
     if kind == "email":
         local, _, domain = value.rpartition("@")
         keep = set(range(domain.rfind("."), len(domain)))
         return f"{_characters(key, tweak, local, set())}@{_characters(key, tweak + '|domain', domain, keep)}"
     if kind == "phone":
-        plus = re.match(r"\+\d{1,3}(?=[ .(-])", value)
-        return _characters(key, tweak, value, set(range(plus.end())) if plus else set())
+        return _characters(key, tweak, value, set(range(_country(value))))
+    if kind == "jwt":
+        return _characters(key, tweak, value, {i + k for i in (0, value.find(".") + 1) for k in range(3)})
     if kind == "iban":
         return _iban(key, tweak, value)
     if kind == "card":
@@ -226,8 +251,21 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
     return _characters(key, tweak, value, set())
 
 
+def _country(phone: str) -> int:
+    """Characters of the country code, with its sign; without one, of what starts a number without brackets."""
+    if phone[0] != "+":
+        return int(phone[0] == "0" or phone.isdigit())
+    digits = re.match(r"\d{1,3}", phone[1:])[0]
+    return 1 + next((n for n in (1, 2) if digits[:n] in CODES), len(digits))
+
+
 def _gendered(title: str) -> str:
-    return "f" if title.rstrip(".") in TITLES_FEMALE else "m"
+    return "f" if title.rstrip(".").lower() in _FEMALE_TITLES else "m"
+
+
+_FEMALE_TITLES = {t.lower() for t in TITLES_FEMALE}
+_ALL_TITLES = frozenset([*TITLES_MALE, *TITLES_FEMALE, *TITLES_EITHER, *TITLES_LOUD])
+_PASSWORD = re.compile(r"[:=][ \t]*[\"']?")
 
 
 # --- detection ---------------------------------------------------------------------------------------
@@ -236,42 +274,46 @@ def _gendered(title: str) -> str:
 def detect(text: str) -> list[tuple[str, int, int, str]]:
     """``(kind, start, stop, value)`` of the entities of ``text``, in order and without overlap.
 
-    A name after a title gives a mention for each of its words: given names of the lists by gender, else
-    surnames. A given name of the lists before another word with a capital is a name without a title. Later
-    bare mentions of a surname that is three letters long at least are mentions too.
+    A name after titles gives a mention for each of its words: given names of the lists by gender, else
+    surnames. A given name of the lists before another word with a capital is a name without a title, unless that
+    word is a function word or stands in the text in small letters too. Other bare mentions of a surname are mentions.
     """
-    pairs = [m for m in _PAIR.finditer(text) if m[1].lower() in _GIVEN]
+    pairs = [m for m in _PAIR.finditer(text) if m[1].lower() in _GIVEN and m[2].lower() not in NO_SURNAMES]
     if not pairs and not _SIGN.search(text):
         return []
     found, surnames = [], set()
     for m in _ANY.finditer(text):
-        if m.lastgroup != "name":
+        if m.lastgroup == "password":
+            start = m.start() + _PASSWORD.search(m[0]).end()
+            found.append(("password", start, m.end(), text[start : m.end()]))
+        elif m.lastgroup != "name":
             found.append((m.lastgroup, m.start(), m.end(), m[0]))
-            continue
-        title, gender = None, "m"
-        for w in re.finditer(r"[^\s.]+", m[0]):
-            if title is None:
-                title, gender = w[0], _gendered(w[0])
-                continue
-            kind = _GIVEN.get(w[0].lower(), "surname")
-            if kind == "surname":
-                surnames.add(w[0])
-            elif kind.startswith("given_") and kind[6] != gender:
-                other = kind.replace("given_m", "given_f") if gender == "f" else kind.replace("given_f", "given_m")
-                kind = other if w[0].lower() in _LISTS[other] else kind
-            found.append((kind, m.start() + w.start(), m.start() + w.end(), w[0]))
+        else:
+            gender, titled = "m", True
+            for w in re.finditer(r"[^\s.]+", m[0]):
+                if titled and (w[0] in _ALL_TITLES or m[0][w.start() : w.end() + 1] in ("M.",)):
+                    gender = "f" if _gendered(w[0]) == "f" else gender
+                    continue
+                titled = False
+                kind = _GIVEN.get(w[0].lower(), "surname")
+                if kind == "surname":
+                    surnames.add(w[0])
+                elif kind.startswith("given_") and kind[6] != gender:
+                    other = kind.replace("given_m", "given_f") if gender == "f" else kind.replace("given_f", "given_m")
+                    kind = other if w[0].lower() in _LISTS[other] else kind
+                found.append((kind, m.start() + w.start(), m.start() + w.end(), w[0]))
     held = {a for _, a, _, _ in found}
     for m in pairs:
-        if m.start(1) not in held and m.start(2) not in held:
+        small = m[2].lower()
+        if m.start(1) not in held and m.start(2) not in held and (small == m[2] or not re.search(rf"(?<!\w){re.escape(small)}(?!\w)", text)):
             found.append((_GIVEN[m[1].lower()], m.start(1), m.end(1), m[1]))
             kind = _GIVEN.get(m[2].lower(), "surname")
             found.append((kind, m.start(2), m.end(2), m[2]))
             if kind == "surname":
                 surnames.add(m[2])
-    again = [s for s in surnames if len(s) > 2]
-    if again:
+    if surnames:
         taken = {(a, b) for _, a, b, _ in found}
-        for m in re.finditer(r"(?<!\w)(?:%s)(?!\w)" % "|".join(map(re.escape, sorted(again, key=len, reverse=True))), text):
+        for m in re.finditer(r"(?<!\w)(?:%s)(?!\w)" % "|".join(map(re.escape, sorted(surnames, key=len, reverse=True))), text):
             if all(m.end() <= a or m.start() >= b for a, b in taken):
                 found.append(("surname", m.start(), m.end(), m[0]))
     return sorted(found, key=lambda x: x[1])
@@ -367,7 +409,7 @@ def pseudonymise(docs: DataFrame, scratch: Scratch, key: bytes) -> DataFrame:
     """``doc_id, text, n_entities, entities`` for each row of ``docs`` (doc_id, text), whole texts, entities replaced.
 
     ``entities`` holds kind, place and surrogate in the new text. Null texts stay null without entities;
-    rows of one text are treated alike, whatever their ids, null ones too; other columns are left alone; an empty
+    a text of any length is searched as a whole; rows of one text are treated alike, whatever their ids, null ones too; other columns are left alone; an empty
     table gives an empty result. What was drawn again reaches a text by a join on the text's MD5.
     """
     mentions = scratch.keep(_mentions(docs, key), "mentions")
