@@ -131,6 +131,44 @@ def test_batches_of_a_stream_refresh_the_report(spark, tmp_path):
         assert rows == {"a": (2.0, 1.0, 3.0, 5), "b": (7.0, 7.0, 7.0, 1)} and spark.read.parquet(f"{tmp_path}/table").count() == 6
 
 
+def test_a_batch_costs_its_own_rows_and_the_state(spark, tmp_path):
+    from voxspark.operators.report import point_stats
+    from voxspark.streaming.results import append_and_report, stream_results
+
+    rng = np.random.default_rng(3)
+    schema = "run string, res double"
+
+    def arrive(k, rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+
+    def follow():
+        stream = stream_results(spark, f"{tmp_path}/in", spark.createDataFrame([], schema).schema, per_trigger=1)
+        append_and_report(stream, f"{tmp_path}/table", f"{tmp_path}/report", ["run"], "res", f"{tmp_path}/checkpoint", "median").awaitTermination()
+
+    rows = [(f"r{k % 3}", float(np.round(v, 1))) for k, v in enumerate(rng.normal(5, 2, 400))] + [("r0", float("nan")), ("r9", None)]
+    arrive(0, rows[:250])
+    follow()
+    arrive(1, rows[250:] + rows[:20])  # later, and partly repeated
+    before = sorted(p.name for p in (tmp_path / "table").iterdir())
+    old = tmp_path / "table" / before[0]
+    hidden = tmp_path / "hidden"
+    old.rename(hidden)  # the second batch cannot read the rows of the first
+    follow()
+    hidden.rename(old)
+    everything = spark.createDataFrame(rows + rows[:20], schema)
+    want = {r["run"]: (r["estimate"], r["low"], r["high"], r["n"]) for r in point_stats(everything, ["run"], "res", "median").collect() if r["n"]}
+    got = {r["run"]: (r["estimate"], r["low"], r["high"], r["n"]) for r in spark.read.parquet(f"{tmp_path}/report").collect()}
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k]) for k in want)
+    assert spark.read.parquet(f"{tmp_path}/table").count() == len(rows) + 20
+    # a batch that runs again after a failure gives the same
+    import shutil
+
+    shutil.rmtree(f"{tmp_path}/checkpoint/commits")
+    follow()
+    again = {r["run"]: (r["estimate"], r["low"], r["high"], r["n"]) for r in spark.read.parquet(f"{tmp_path}/report").collect()}
+    assert all(again[k] == pytest.approx(want[k]) for k in want)
+
+
 # --- windows and the measurement ------------------------------------------------------------------------
 
 
@@ -270,6 +308,23 @@ def test_best_fit_leaves_out_the_worst(spark):
         assert r["difference"][7] == pytest.approx(want[0] + want[1] * x[7] - y[7]) and (r["run"] == 1 or r["difference"][-1] == 0)
 
 
+def test_best_fit_of_images_dealt_over_partitions(spark):
+    rng = np.random.default_rng(13)
+    images = {}
+    for k in range(3):
+        x = rng.normal(0, 1, 900)
+        y = 2 * x - 1 + rng.normal(0, 0.1, 900)
+        y[rng.random(900) < 0.1 * k] += rng.normal(0, 8)
+        images[k] = x, y
+    images[3] = np.arange(50.0), 3 * np.arange(50.0) + 1  # a perfect line
+    rows = [(k, float(a), float(b)) for k, (x, y) in images.items() for a, b in zip(x, y)]
+    got = {r["run"]: r for r in imageops.robust_fit_rows(spark.createDataFrame(rows, "run long, v1 double, v2 double").repartition(7), ["run"], 0.06).collect()}
+    for k, (x, y) in images.items():
+        a, b, r, left, _ = imageops.best_fit(x, y, 0.06)
+        assert got[k]["a"] == pytest.approx(a, abs=1e-7) and got[k]["b"] == pytest.approx(b, abs=1e-7) and got[k]["r"] == pytest.approx(r, abs=1e-6)
+        assert k == 3 or got[k]["n_left_out"] == left
+
+
 def test_shift_is_found_and_refined(spark):
     n = 32
     g = lambda cx, cy: np.exp(-((np.arange(n)[:, None] - cx) ** 2 + (np.arange(n)[None, :] - cy) ** 2) / 18)
@@ -401,3 +456,107 @@ def test_results_written_as_text_and_by_run(spark, tmp_path):
     results.write_results(rows, str(tmp_path / "table"))
     results.overwrite_runs(rows.filter("num_ang = 21").withColumn("res", F.lit(7.0)), str(tmp_path / "table"), keys)
     assert sorted((r["num_ang"], r["res"]) for r in spark.read.parquet(str(tmp_path / "table")).collect()) == [(11, 4.5), (21, 7.0)]
+
+
+# --- files, sweeps, peaks ---------------------------------------------------------------------------------
+
+
+def volume_file(path, cube):
+    header = np.zeros(256, "<i4")
+    header[:4] = (cube.shape[2], cube.shape[1], cube.shape[0], 2)
+    path.write_bytes(header.tobytes() + cube.astype("<f4").tobytes())
+
+
+def test_a_tile_reads_the_slabs_that_it_touches(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    cubes = {n: rng.normal(size=(200, 6, 5)).astype("<f4") for n in ("a", "b")}
+    for n, c in cubes.items():
+        volume_file(tmp_path / f"{n}.mrc", c)
+    paths = [f"{tmp_path}/{n}.mrc" for n in cubes]
+    plan = spark.createDataFrame([(1, 1, paths[1], 18, 1, 0)], "tile long, side int, vol_id string, z int, x int, y int")
+    bricks = mrc.read_bricks(spark, paths, brick=10, slab=10, plan=plan, size=4)
+    assert bricks.rdd.getNumPartitions() == 2  # of 40
+    part = {tuple(r["places"][:1]): np.reshape(r["values"], r["places"][3:]) for r in fourier.crop_bricks(bricks, plan, (10, 10, 10), (4, 4, 4)).collect()}
+    assert np.array_equal(np.concatenate([part[0,], part[2,]]), cubes["b"][18:22, 1:5, 0:4])
+    # the conditions reach the reader, and the bytes that it reads are those of two slabs
+    reader = mrc.PruningReader({"paths": mrc.json.dumps(paths), "brick": "10", "slab": "10"})
+    rest = list(reader.pushFilters([mrc.EqualTo(("vol_id",), paths[1]), mrc.In(("bz",), (1, 2)), mrc.GreaterThan(("nz",), 3)]))
+    assert [f.attribute for f in rest] == [("nz",)]
+    slabs, read, real = reader.partitions(), [], mrc._open
+
+    class Counting:
+        def __init__(self, path):
+            self.inner = real(path)
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *x):
+            self.inner.close()
+
+        def seek(self, n):
+            self.inner.seek(n)
+
+        def read(self, n):
+            read.append(n)
+            return self.inner.read(n)
+
+    mrc._open = Counting
+    try:
+        rows = [r for s in slabs for r in reader.read(s)]
+    finally:
+        mrc._open = real
+    assert [(s.start, s.stop) for s in slabs] == [(10, 20), (20, 30)] and len(rows) == 2
+    assert sum(n for n in read if n > 1024) <= 2 * 10 * 6 * 5 * 4 and sum(read) <= 2 * (10 * 6 * 5 * 4 + 2 * 1024)
+
+
+def test_a_sweep_equals_single_runs(spark):
+    from voxspark.schemas import BRICKS
+
+    rng = np.random.default_rng(9)
+    signal = np.cumsum(rng.normal(size=(24, 24, 24)), axis=0)
+    a, b = (signal + rng.normal(size=signal.shape) for _ in range(2))
+    bricks = spark.createDataFrame([*bricks_of("a", a, 10), *bricks_of("b", b, 10)], BRICKS)
+    pairs = spark.createDataFrame([(1, "a", "b", 24, 24, 24)], "pair long, a string, b string, nz int, nx int, ny int")
+    swept = spark.createDataFrame([(1, "cube_size", 11), (1, "cube_size", 16), (1, "cube_size", 90), (1, "apod", 2), (1, "apod", 5), (1, "rt", 2), (1, "rt", 4)], "pair long, param string, value int")
+    plan = fourier.sweep_tiles(pairs, swept, cube=14, ring=6, apod=3)
+    got = {r["tile"]: r for r in fourier.resolution_sweep(bricks, plan, (10, 10, 10), 2.0).collect()}
+    assert len(got) == 7 and got["1|cube_size|90"]["status"] == "incomplete"
+    for r in plan.filter("sz < 90").collect():
+        tile = spark.createDataFrame([(1, "a", "b", r["z"], r["x"], r["y"])], "tile long, a string, b string, z int, x int, y int")
+        one = fourier.resolution_measure(bricks, tile, (10, 10, 10), (r["sz"],) * 3, 2.0, ring=r["ring"], rad=r["rad"], ax=r["ax"]).first()
+        mine = got[r["tile"]]
+        assert [mine[c] for c in ("z", "x", "y", "status")] == [one[c] for c in ("z", "x", "y", "status")]
+        assert all(mine[c] == pytest.approx(one[c]) for c in ("res", "mean", "corr"))
+
+
+def greedy(values, radius):
+    """The strongest first; what it beats is gone and beats nothing."""
+    left, kept = sorted(values.items(), key=lambda p: (-p[1], p[0])), []
+    for place, v in left:
+        if all(sum((a - b) ** 2 for a, b in zip(place, k)) >= radius**2 for k, _ in kept):
+            kept.append((place, v))
+    return dict(kept)
+
+
+def test_chains_of_peaks_keep_what_only_a_beaten_peak_beats(spark):
+    rows = [(1, 5, 7, 9.0), (1, 5, 9, 8.0), (1, 5, 12, 7.0)]  # A beats B, B would beat C
+    score = spark.createDataFrame(rows, "img int, px int, py int, v double")
+    got = crossval.pick_peaks(score, ["img"], {"px": 40, "py": 40}, 4, F.lit(0.0))
+    assert sorted((r["px"], r["py"]) for r in got.collect()) == [(5, 7), (5, 12)]
+    rng = np.random.default_rng(2)
+    for radius, tiled in ((3, 40), (5, 40)):
+        grid = rng.permutation(1600).reshape(40, 40).astype(float)
+        grid[10:14, 10:14] = 500.5  # ties
+        score = spark.createDataFrame([(1, x, y, float(grid[x, y])) for x in range(40) for y in range(40)], "img int, px int, py int, v double")
+        maxima = {}
+        for x in range(40):
+            for y in range(40):
+                tx, ty = (x - radius) // radius, (y - radius) // radius
+                if grid[x, y] > 50 and min(x, y) >= radius and radius + tx * radius < 40 - radius and radius + ty * radius < 40 - radius:
+                    best = maxima.get((tx, ty))
+                    if best is None or (-grid[x, y], (x, y)) < (-best[1], best[0]):
+                        maxima[tx, ty] = ((x, y), grid[x, y])
+        want = greedy(dict(maxima.values()), radius)
+        got = {(r["px"], r["py"]): r["v"] for r in crossval.pick_peaks(score, ["img"], {"px": tiled, "py": tiled}, radius, F.lit(50.0)).collect()}
+        assert got == want

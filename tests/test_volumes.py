@@ -217,3 +217,58 @@ def test_regions():
     assert Region.largest_sphere((8, 10, 12)).radius == 3 and Region.largest_sphere((8, 10, 12)).check((8, 10, 12))
     assert (Region.whole((6, 6, 6)).distance(*grid) >= 0).all()
     assert math.isclose(Region(centre=(3, 3, 3), radius=2.0).edge_width(), crossval.taper_size((2.0,), radius=True))
+
+
+# --- footprints of views -----------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("sphere", [False, True])
+def test_footprints_are_the_shadows_of_their_regions(spark, sphere):
+    shape, centre = (20, 18), (9.5, 8.5, 7.0)
+    views = crossval.tilt_views(spark.createDataFrame([(0, k, t, x) for k, (t, x) in enumerate(((0.0, 0.0), (41.0, 3.0), (-60.0, -8.0)))], "series long, proj int, tilt double, xtilt double"))
+    given = {"middle": (9.0, 9.0, 7.0), "radius": 5.0} if sphere else {"start": (4.0, 5.0, 3.0), "size": (9.0, 7.0, 6.0)}
+    seen = crossval.view_regions(views, centre, **given)
+    pixels = crossval.sphere_footprint(views, given["middle"], 5.0, centre, shape) if sphere else crossval.box_footprint(views, given["start"], given["size"], centre, shape)
+    want = {}
+    for r in pixels.collect():
+        low, high = want.get((r["proj"], r["py"]), (99, -1))
+        want[r["proj"], r["py"]] = (min(low, r["px"]), max(high, r["px"]))
+    got = {(r["proj"], r["py"]): (r["first"], r["last"]) for r in crossval.footprint_spans(seen, shape).collect()}
+    assert got == want
+    for r in seen.collect():  # distances are those to the lines about the shadow
+        d, width = crossval.footprint_distance(r["region"].asDict(), shape)
+        assert width > 0 and {(r["proj"], y) for x, y in np.argwhere(d >= -1e-6)} == {k for k in want if k[0] == r["proj"]}
+
+
+def test_cross_validation_by_view_equals_numpy(spark):
+    rng = np.random.default_rng(8)
+    shape = (12, 10)
+    base = rng.normal(size=shape)
+    rows = [(p, *[(base * (k + 1) + rng.normal(0, 0.3, shape) + k).ravel().tolist() for k in range(3)], float(t), 0.0) for p, t in enumerate((-50.0, 0.0, 35.0))]
+    df = spark.createDataFrame(rows, "proj long, input array<double>, miss array<double>, full array<double>, tilt double, xtilt double")
+    seen = crossval.view_regions(crossval.tilt_views(df), (5.5, 4.5, 4.0), start=(2.0, 2.0, 1.0), size=(7.0, 6.0, 6.0))
+    regions = {r["proj"]: r["region"].asDict() for r in seen.collect()}
+    r = np.hypot(*np.meshgrid(np.fft.fftfreq(12, 1 / 12), np.fft.fftfreq(10, 1 / 10) * 1.2, indexing="ij"))
+    for rescale, taper in (("stats", False), ("line", True)):
+        got = {(x["proj"], x["idx"]): [x[c] for c in ("cm", "mm", "cf", "ff")] for x in crossval.cross_validate_views(seen, shape, rescale, taper, count=7).collect()}
+        masks = set()
+        for p, *images, _, _ in rows:
+            distance, width = crossval.footprint_distance(regions[p], shape)
+            inside = distance >= -1e-6
+            masks.add(inside.sum())
+            images = [np.reshape(v, shape) for v in images]
+            background, made = images[2][~inside].mean(), []
+            for k, v in enumerate(images):
+                if k < 2:
+                    a, b = np.polyfit(v[inside], images[2][inside], 1) if rescale == "line" else (images[2][inside].std() / v[inside].std(), None)
+                    v = a * v + b if rescale == "line" else (v - v[inside].mean()) * a + images[2][inside].mean()
+                if taper:
+                    edge = 0.5 * width * crossval.TAPER_SHARE
+                    v = background + (v - background) * np.where(distance < edge, 0.5 - 0.5 * np.cos(np.pi * np.clip(distance, 0, None) / edge), 1)
+                made.append(np.fft.fft2(np.where(inside, v, background)))
+            for i in range(7):
+                at = (np.floor(r + 0.5) == i) & (np.floor(r) + 1 < 7)
+                if at.any():
+                    want = [(made[0] * np.conj(made[1])).real[at].sum(), (abs(made[1]) ** 2)[at].sum(), (made[0] * np.conj(made[2])).real[at].sum(), (abs(made[2]) ** 2)[at].sum()]
+                    assert got[p, i] == pytest.approx(want, rel=1e-9, abs=1e-9)
+        assert len(masks) > 1  # views differ in their masks

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.settle import settled
 from .fourier import fft_arrays, frequencies
 
 
@@ -44,16 +45,14 @@ def best_shift(pairs: DataFrame, by: str, shape: tuple[int, ...], band: tuple[fl
 
 
 def refined(map_: np.ndarray, best: Sequence[int], shift: list[float], reach: int = 5, most: float = 2.0) -> list[float]:
-    """The top of the quadratic through the values about a peak, or the peak where that is no top or too far away."""
+    """The top of the quadratic through the values about a peak; along an axis where that is too far away, the peak."""
     offsets = np.stack(np.meshgrid(*[np.arange(-min(reach, n // 2), min(reach, (n - 1) // 2) + 1) for n in map_.shape], indexing="ij"), axis=-1).reshape(-1, map_.ndim).astype(float)
     values = map_[tuple(((offsets + np.array(best)) % np.array(map_.shape)).astype(int).T)]
     terms = np.concatenate([np.ones((len(offsets), 1)), offsets, offsets**2], axis=1)
     fit, *_ = np.linalg.lstsq(terms, values, rcond=None)
     slope, bend = fit[1 : 1 + map_.ndim], fit[1 + map_.ndim :]
-    if (bend >= 0).any():
-        return shift
-    move = -slope / (2 * bend)
-    return [a + float(m) for a, m in zip(shift, move)] if np.sqrt((move**2).sum()) <= most else shift
+    move = np.where(bend != 0, -slope / (2 * np.where(bend != 0, bend, 1.0)), 0.0)
+    return [a + float(m) if abs(m) <= most else a for a, m in zip(shift, move)]
 
 
 # --- curves -----------------------------------------------------------------------------------------
@@ -422,12 +421,15 @@ def above_deviation(score: DataFrame, by: Sequence[str], k: float) -> DataFrame:
     return score.join(cut, list(by)).filter("v > cut").drop("cut")
 
 
-def pick_peaks(score: DataFrame, by: Sequence[str], sizes: dict[str, int], radius: int, least: Column) -> DataFrame:
-    """Places whose score, above ``least``, is the largest of their tile and of all tile maxima nearer than ``radius``.
+def pick_peaks(score: DataFrame, by: Sequence[str], sizes: dict[str, int], radius: int, least: Column, most_rounds: int = 1000) -> DataFrame:
+    """Places whose score, above ``least``, is the largest of their tile, thinned out so that none is nearer than ``radius`` to a stronger one that stays.
 
     ``sizes``: the axes, the slowest first, and how long each is. Tiles of ``radius`` begin at that distance from the
-    start of an axis and before that distance from its end; a shorter axis is one tile. A peak goes if a stronger
-    one (ties: the smaller place) is near; neighbours meet on tile numbers, an equi-join over the adjoining tiles.
+    start of an axis and before that distance from its end; a shorter axis is one tile. Of tile maxima the strongest stays
+    (ties: the smaller place) and those near it go, then the strongest of the others, and so on: what has gone beats
+    nothing. This is done in rounds: all that are the strongest among their neighbours stay at once, their neighbours go, the
+    rest plays again. Neighbours meet on tile numbers, an equi-join over the adjoining tiles, and each round works on
+    the maxima still open, a few of a tile's voxels; a chain of k falling peaks takes k / 2 rounds.
     """
     axes = list(sizes)
     tiles, within = [], F.lit(True)
@@ -438,15 +440,30 @@ def pick_peaks(score: DataFrame, by: Sequence[str], sizes: dict[str, int], radiu
         within = within & (F.col(a) >= first) & (first + tile * radius < max(n - radius, 1))
     place = F.struct("v", *[(-F.col(a)).alias(a) for a in axes])
     best = score.filter((F.col("v") > least) & within).groupBy(*by, *tiles).agg(F.max(place).alias("top"))
-    flat = best.select(*by, *[f"t{a}" for a in axes], F.col("top.v").alias("v"), *[(-F.col(f"top.{a}")).alias(a) for a in axes])
-    around = flat
+    left = best.select(*by, *[f"t{a}" for a in axes], F.col("top.v").alias("v"), *[(-F.col(f"top.{a}")).alias(a) for a in axes])
+    left, kept = settled(left), None
+    for _ in range(most_rounds):
+        if left.isEmpty():
+            break
+        winners = left.join(_near(left, left, by, axes, radius, stronger=True), [*by, *axes], "left_anti")
+        winners = settled(winners)
+        kept = winners if kept is None else kept.unionByName(winners)
+        gone = _near(left, winners, by, axes, radius, stronger=False)
+        left = settled(left.join(winners.select(*by, *axes), [*by, *axes], "left_anti").join(gone, [*by, *axes], "left_anti"))
+    else:
+        raise ValueError(f"peaks were not settled in {most_rounds} rounds")
+    return (left if kept is None else kept).select(*by, *axes, "v")
+
+
+def _near(these: DataFrame, others: DataFrame, by: Sequence[str], axes: Sequence[str], radius: int, stronger: bool) -> DataFrame:
+    """Places of ``these`` nearer than ``radius`` to one of ``others``, to a ``stronger`` one only where that is asked."""
+    around = others.select(*by, *[f"t{a}" for a in axes], F.col("v").alias("nv"), *[F.col(a).alias(f"n{a}") for a in axes])
     for a in axes:
         around = around.withColumn(f"t{a}", F.explode(F.sequence(F.col(f"t{a}") - 1, F.col(f"t{a}") + 1)))
-    near = around.select(*by, *[f"t{a}" for a in axes], F.col("v").alias("nv"), *[F.col(a).alias(f"n{a}") for a in axes])
     distance = sum(((F.col(a) - F.col(f"n{a}")) * (F.col(a) - F.col(f"n{a}")) for a in axes), F.lit(0))
     here, there = F.struct("v", *[(-F.col(a)).alias(a) for a in axes]), F.struct(F.col("nv").alias("v"), *[(-F.col(f"n{a}")).alias(a) for a in axes])
-    beaten = flat.join(near, [*by, *[f"t{a}" for a in axes]]).filter((distance < radius * radius) & (there > here)).select(*by, *axes).distinct()
-    return flat.select(*by, *axes, "v").join(beaten, [*by, *axes], "left_anti")
+    met = these.join(around, [*by, *[f"t{a}" for a in axes]]).filter((distance < radius * radius) & (there > here if stronger else F.lit(True)))
+    return met.select(*by, *axes).distinct()
 
 
 def ring_stats(images: DataFrame, centres: DataFrame, by: Sequence[str], radius: float) -> DataFrame:
@@ -531,6 +548,117 @@ def cross_validate(projections: DataFrame, shape: tuple[int, int], inside: np.nd
     return nloo2d_sums(triples, ["proj"], F.sqrt((F.col("kx") * F.col("kx") + F.col("ky") * F.col("ky")).cast("double")), bin_size, count)
 
 
+def view_regions(views: DataFrame, centre: Sequence[float], start: Sequence[float] | None = None, size: Sequence[float] | None = None, middle: Sequence[float] | None = None, radius: float | None = None) -> DataFrame:
+    """``views`` with ``region``: what the projection of a box (``start``, ``size``) or a sphere (``middle``, ``radius``; all x, y, z) is in each.
+
+    A projected box lies between three pairs of parallel lines, along its projected edges; ``region`` has the projected
+    middle ``mx, my``, the edges ``gx, gy`` and how far the lines lie from the middle (``reach``, times the edge's length).
+    """
+    box = radius is None
+    at = [s + (n - 1) / 2 for s, n in zip(start, size)] if box else list(middle)
+    turned = views.withColumns({a: F.lit(float(m)) for a, m in zip("xyz", at)}).withColumn("mx", _turned(0, centre)).withColumn("my", _turned(1, centre))
+    gx, gy = ([F.col(f"m{i}{k}") * float(n - 1) for k, n in enumerate(size)] if box else [] for i in (0, 1))
+    reach = [sum((F.abs(gy[j] * gx[k] - gx[j] * gy[k]) for j in range(3)), F.lit(0.0)) / 2 for k in range(3)] if box else []
+    empty = F.array().cast("array<double>")
+    region = F.struct("mx", "my", *[(F.array(*c) if box else empty).alias(n) for n, c in (("gx", gx), ("gy", gy), ("reach", reach))], F.lit(None if box else float(radius)).cast("double").alias("radius"))
+    return turned.withColumn("region", region).drop("x", "y", "z", "mx", "my")
+
+
+def footprint_distance(region, shape: tuple[int, int]) -> tuple[np.ndarray, float]:
+    """Distance of each pixel (x, y) to the border of a projected region, below zero outside, and the least width of the region."""
+    x, y = np.arange(shape[0])[:, None] - region["mx"], np.arange(shape[1])[None, :] - region["my"]
+    if region["radius"] is not None and not np.isnan(region["radius"]):
+        return region["radius"] - np.hypot(x, y), 2 * region["radius"]
+    distance, width = np.full(shape, np.inf), np.inf
+    for gx, gy, reach in zip(region["gx"], region["gy"], region["reach"]):
+        length = math.hypot(gx, gy)
+        if length > 1e-9:  # an edge along the beam is a point
+            distance = np.minimum(distance, (reach - np.abs(y * gx - x * gy)) / length)
+            width = min(width, 2 * reach / length)
+    return distance, width
+
+
+def footprint_spans(views: DataFrame, shape: tuple[int, int], by: Sequence[str] = ("series", "proj")) -> DataFrame:
+    """``by..., py, first, last``: the pixels of each row of an image that the ``region`` of its view covers, which is convex."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in frame.itertuples():
+                inside = footprint_distance(row.region, shape)[0] >= -1e-6
+                rows = np.flatnonzero(inside.any(axis=0))
+                yield pd.DataFrame({**{c: getattr(row, c) for c in by}, "py": rows, "first": inside.argmax(axis=0)[rows], "last": shape[0] - 1 - inside[::-1].argmax(axis=0)[rows]})
+
+    kinds = {f.name: f.dataType.simpleString() for f in views.schema}
+    return views.select(*by, "region").mapInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in by) + ", py int, first int, last int")
+
+
+def selected(projections: DataFrame, excluded: DataFrame | None = None, every: int = 1, key: str = "proj") -> DataFrame:
+    """Projections whose number, from 0, is a multiple of ``every`` and not in ``excluded``."""
+    kept = projections if every == 1 else projections.filter(F.col(key) % every == 0)
+    return kept if excluded is None else drop_excluded(kept, excluded, key=key)
+
+
+def cross_validate_views(projections: DataFrame, shape: tuple[int, int], rescale: str = "stats", taper: bool = False, bin_size: float = 1.0, count: int | None = None, by: Sequence[str] = ("proj",)) -> DataFrame:
+    """Leave-one-out sums ``by..., idx, cm, mm, cf, ff`` of projections (by..., input, miss, full: arrays, x by y, and ``region``
+    of ``view_regions``), each masked by the footprint of its own view.
+
+    Within the footprint the input and the reprojection without its tilt are brought to that of the whole volume by mean and
+    deviation (``stats``) or by a fitted line (``line``); outside all have the background of that of the whole volume.
+    ``taper`` gives a cosine edge at the footprint's border. A view whose footprint covers no pixel gives no sums.
+    """
+    if rescale not in ("stats", "line"):
+        raise ValueError("rescale is stats or line")
+    names = ["input", "miss", "full"]
+    k = np.meshgrid(*[np.fft.fftfreq(n, 1 / n) * max(shape) / n for n in shape], indexing="ij")
+    radius = np.hypot(*k)
+    low, high = np.maximum(np.floor(radius - bin_size / 2 + 1), 0).astype(int), np.floor(radius + bin_size / 2).astype(int)
+    use = np.ones(shape, bool)
+    if count is not None:
+        use, high = np.floor(radius) + 1 < count, np.minimum(high, count - 1)
+
+    def measured(row) -> pd.DataFrame | None:
+        distance, width = footprint_distance(row.region, shape)
+        inside = distance >= -1e-6
+        if not inside.any():
+            return None
+        images = [np.asarray(getattr(row, n), np.float64).reshape(shape) for n in names]
+        like = images[2]
+        background = like[~inside].mean() if (~inside).any() else 0.0
+        made = []
+        for image in images:
+            if image is not like and rescale == "stats":
+                spread = image[inside].std()
+                image = (image - image[inside].mean()) * (like[inside].std() / spread if spread > 0 else 0.0) + like[inside].mean()
+            elif image is not like:
+                x, y = image[inside] - image[inside].mean(), like[inside] - like[inside].mean()
+                slope = (x * y).sum() / (x * x).sum() if (x * x).sum() > 0 else 0.0
+                image = (image - image[inside].mean()) * slope + like[inside].mean()
+            if taper:
+                edge = 0.5 * width * TAPER_SHARE
+                weight = np.where(distance < edge, 0.5 - 0.5 * np.cos(np.pi * np.clip(distance, 0, None) / max(edge, 1e-30)), 1.0)
+                image = background + (image - background) * weight
+            made.append(np.fft.fft2(np.where(inside, image, background)))
+        given, miss, full = made
+        products = [(given * np.conj(miss)).real, np.abs(miss) ** 2, (given * np.conj(full)).real, np.abs(full) ** 2]
+        sums = np.zeros((5, int(high[use].max(initial=0)) + 1))
+        for more in range(math.ceil(bin_size) + 1):
+            at = use & (low + more <= high)
+            for n, v in enumerate([*products, np.ones(shape)]):
+                sums[n] += np.bincount((low + more)[at], v[at], sums.shape[1])
+        idx = np.flatnonzero(sums[4])
+        return pd.DataFrame({**{c: getattr(row, c) for c in by}, "idx": idx, **dict(zip(("cm", "mm", "cf", "ff"), sums[:4, idx]))})
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in frame.itertuples():
+                found = measured(row)
+                if found is not None:
+                    yield found
+
+    kinds = {f.name: f.dataType.simpleString() for f in projections.schema}
+    return projections.select(*by, *names, "region").mapInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in by) + ", idx int, cm double, mm double, cf double, ff double")
+
+
 def even_odd_resolution(halves: DataFrame, by: str, shape: tuple[int, int, int], inside: np.ndarray, edge: tuple[np.ndarray, float] | None = None, wedge: tuple[float, float, float] | None = None, mask: DataFrame | None = None, bin_size: float = 1.0, whole: bool = True, count: int | None = None) -> DataFrame:
     """``by, idx, value``: correlation of two half-data volumes (v1, v2: arrays, z first), by physical frequency.
 

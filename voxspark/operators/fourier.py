@@ -219,21 +219,23 @@ def shell_sums(pairs: DataFrame, by: Sequence[str], index: Column, rings: int, n
     return rings_of(exact, by, rings, nyquist)
 
 
-def rings_of(exact: DataFrame, by: Sequence[str], rings: int, nyquist: int) -> DataFrame:
+def rings_of(exact: DataFrame, by: Sequence[str], rings: int | Column, nyquist: int | Column) -> DataFrame:
     """Sums by exact index spread over the rings that hold it."""
-    near = F.explode(F.sequence(F.col("index") - rings // 2, F.col("index") + rings // 2))
+    reach = F.floor((F.lit(rings) if isinstance(rings, int) else rings) / 2).cast("int")
+    near = F.explode(F.sequence(F.col("index") - reach, F.col("index") + reach))
     spread = exact.withColumn("f", near).filter(F.col("f").between(0, nyquist))
     return spread.groupBy(*by, "f").agg(*[F.sum(c).alias(c) for c in ("cr", "ci", "c1", "c2", "npts")])
 
 
-def threshold(npts: Column, snr: float) -> Column:
+def threshold(npts: Column, snr: float | Column) -> Column:
     """The correlation that a signal-to-noise ratio gives over so many points (0.2071: half a bit, 0.5: one bit)."""
     root = F.sqrt(npts + EPSILON)
-    top = snr + 2 * snr**0.5 / root + 1 / F.sqrt(npts)
-    return top / (snr + 2 * snr**0.5 / root + 1)
+    side = snr**0.5 if isinstance(snr, (int, float)) else F.sqrt(snr)
+    top = snr + 2 * side / root + 1 / F.sqrt(npts)
+    return top / (snr + 2 * side / root + 1)
 
 
-def fsc(sums: DataFrame, snr: float = 0.2071) -> DataFrame:
+def fsc(sums: DataFrame, snr: float | Column = 0.2071) -> DataFrame:
     """``fsc`` and threshold ``t`` for each ring; null where a side has no power."""
     size = F.sqrt(F.col("cr") * F.col("cr") + F.col("ci") * F.col("ci"))
     return sums.withColumn("fsc", F.try_divide(size, F.sqrt(F.col("c1") * F.col("c2")))).withColumn("t", threshold(F.col("npts"), snr))
@@ -274,33 +276,40 @@ def _as_array(data) -> np.ndarray:
     return np.frombuffer(data, "<f4") if isinstance(data, (bytes, bytearray, memoryview)) else np.asarray(data, np.float32)
 
 
-def crop_bricks(bricks: DataFrame, plan: DataFrame, edges: tuple[int, int, int], shape: tuple[int, int, int]) -> DataFrame:
-    """``vol_id, tile, side, places, values``: the parts of each tile of ``plan`` (tile, side, vol_id, z, x, y: its start).
+def crop_bricks(bricks: DataFrame, plan: DataFrame, edges: tuple[int, int, int], shape: tuple[int, int, int] | None = None, also: Sequence[str] = ()) -> DataFrame:
+    """``vol_id, tile, side, places, values``: the parts of each tile of ``plan`` (tile, side, vol_id, z, x, y: its start), and
+    the columns ``also`` of the plan.
 
-    ``bricks`` (vol_id, bz, bx, by, z0, x0, y0, nz, nx, ny, data: binary of floats, or an array) have ``edges`` voxels a
-    side, less at the end of a volume. Tiles and bricks meet on the brick number, and a tile's part is cut out of
-    the brick where they meet, so only voxels of tiles are shuffled after that. ``places``: start and size of the part in the tile.
+    Tiles have one ``shape``, or each its own as ``sz, sx, sy``. ``bricks`` (vol_id, bz, bx, by, z0, x0, y0, nz, nx, ny, data:
+    binary of floats, or an array) have ``edges`` voxels a side, less at the end of a volume. Tiles and bricks meet on the brick
+    number, and a tile's part is cut out of the brick where they meet, so only voxels of tiles are shuffled after that.
+    ``places``: start and size of the part in the tile.
     """
-    tiles = plan.select("tile", "side", "vol_id", *[F.col(a).alias(f"t{a}") for a in "zxy"])
-    for a, edge, size in zip("zxy", edges, shape):
-        tiles = tiles.withColumn(f"b{a}", F.explode(F.sequence(F.floor(F.col(f"t{a}") / edge), F.floor((F.col(f"t{a}") + size - 1) / edge))))
+    sizes = [F.col(f"s{a}").cast("long") if shape is None else F.lit(n).cast("long") for a, n in zip("zxy", shape or (0, 0, 0))]
+    tiles = plan.select("tile", "side", "vol_id", *[F.col(a).alias(f"t{a}") for a in "zxy"], *[s.alias(f"tile_{a}") for a, s in zip("zxy", sizes)], *[F.col(c).alias(f"also_{c}") for c in also])
+    for a, edge in zip("zxy", edges):
+        tiles = tiles.withColumn(f"b{a}", F.explode(F.sequence(F.floor(F.col(f"t{a}") / edge), F.floor((F.col(f"t{a}") + F.col(f"tile_{a}") - 1) / edge))))
     met = bricks.withColumns({f"b{a}": F.col(f"b{a}").cast("long") for a in "zxy"}).join(tiles, ["vol_id", "bz", "bx", "by"])
-    columns = ["vol_id", "tile", "side", *[f"t{a}" for a in "zxy"], *[f"{a}0" for a in "zxy"], *[f"n{a}" for a in "zxy"], "data"]
+    carried = ["vol_id", "tile", "side", *[f"also_{c}" for c in also]]
+    columns = [*carried, *[f"t{a}" for a in "zxy"], *[f"tile_{a}" for a in "zxy"], *[f"{a}0" for a in "zxy"], *[f"n{a}" for a in "zxy"], "data"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
-            for vol_id, tile, side, *numbers, data in frame[columns].itertuples(index=False):
-                first, at, size = numbers[:3], numbers[3:6], numbers[6:9]
+            for row in frame[columns].itertuples(index=False):
+                own, numbers, data = row[: len(carried)], row[len(carried) : -1], row[-1]
+                first, shape, at, size = numbers[:3], numbers[3:6], numbers[6:9], numbers[9:12]
                 low = [max(f, z) for f, z in zip(first, at)]
                 high = [min(f + n, z + m) for f, n, z, m in zip(first, shape, at, size)]
                 if all(a < b for a, b in zip(low, high)):
                     part = _as_array(data).reshape(size)[tuple(slice(a - z, b - z) for a, b, z in zip(low, high, at))]
-                    out.append((vol_id, tile, side, [*[a - f for a, f in zip(low, first)], *part.shape], part.ravel()))
-            yield pd.DataFrame(out, columns=["vol_id", "tile", "side", "places", "values"])
+                    out.append((*own, [*[a - f for a, f in zip(low, first)], *part.shape], part.ravel()))
+            yield pd.DataFrame(out, columns=[*carried, "places", "values"])
 
-    ids = {f.name: f.dataType.simpleString() for f in plan.select("vol_id", "tile").schema}
-    return met.select(*columns).mapInPandas(run, f"vol_id {ids['vol_id']}, tile {ids['tile']}, side int, places array<int>, values array<float>")
+    kinds = {f.name: f.dataType.simpleString() for f in plan.schema}
+    named = ", ".join([f"vol_id {kinds['vol_id']}", f"tile {kinds['tile']}", "side int", *[f"also_{c} {kinds[c]}" for c in also]])
+    made = met.select(*columns).mapInPandas(run, f"{named}, places array<int>, values array<float>")
+    return made.withColumnsRenamed({f"also_{c}": c for c in also})
 
 
 def assemble(parts: Sequence, shape: tuple[int, int, int], sides: int) -> tuple[np.ndarray, bool]:
@@ -349,33 +358,47 @@ def tile_curves(bricks: DataFrame, pairs: DataFrame, edges: tuple[int, int, int]
     window is the circle alone. A tile beyond its volumes, or in one only, has the status ``incomplete``; an
     ``empty`` one has no positive voxel in one of them.
     """
-    measured = _measured(bricks, pairs, edges, shape, rad, ax, compat)
-    return measured.select("tile", "mean_pix", "status", "corr"), _curves(measured, shape, ring, snr)
+    measured = _measured(bricks, _with_parameters(pairs, shape, ring, rad, ax, snr), edges, compat)
+    return measured.select("tile", "mean_pix", "status", "corr"), _curves(measured).drop("snr", "nyquist")
 
 
-def _measured(bricks: DataFrame, pairs: DataFrame, edges, shape, rad: int, ax: int, compat: bool) -> DataFrame:
+#: What a measurement is asked for beside its tile: size, ring thickness, apodisation and signal-to-noise ratio.
+PARAMETERS = ["sz", "sx", "sy", "ring", "rad", "ax", "snr"]
+
+
+def _with_parameters(pairs: DataFrame, shape, ring: int, rad: int, ax: int, snr: float) -> DataFrame:
+    sizes = {f"s{a}": F.lit(int(n)) for a, n in zip("zxy", shape)}
+    return pairs.withColumns({**sizes, "ring": F.lit(ring), "rad": F.lit(rad), "ax": F.lit(ax), "snr": F.lit(float(snr))})
+
+
+def _measured(bricks: DataFrame, pairs: DataFrame, edges, compat: bool) -> DataFrame:
     side = F.explode(F.array(F.struct(F.lit(1).alias("side"), F.col("a").alias("vol_id")), F.struct(F.lit(2).alias("side"), F.col("b").alias("vol_id"))))
-    plan = pairs.select("tile", "z", "x", "y", side.alias("s")).select("tile", "s.side", "s.vol_id", "z", "x", "y")
-    parts = crop_bricks(bricks, plan, edges, shape)
+    plan = pairs.select("tile", "z", "x", "y", *PARAMETERS, side.alias("s")).select("tile", "s.side", "s.vol_id", "z", "x", "y", *PARAMETERS)
+    parts = crop_bricks(bricks, plan, edges, also=PARAMETERS)
     # a tile's parts: its own voxels, twice
-    tiles = parts.groupBy("tile").agg(F.collect_list(F.struct("side", "places", "values")).alias("parts"))
-    flat = tuple(n for n in shape if n > 1)
+    tiles = parts.groupBy("tile", *PARAMETERS).agg(F.collect_list(F.struct("side", "places", "values")).alias("parts"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        window, index = window_array(flat, rad, ax), index_array(flat, compat)
+        made, window, index = None, None, None
         for frame in frames:
-            out = []
-            for tile, found in zip(frame["tile"], frame["parts"]):
-                pair, whole = assemble(found, shape, 2)
-                out.append((tile, *(measure_tile(pair.reshape(2, *flat), window, index) if whole else (None, "incomplete", None, []))))
-            yield pd.DataFrame(out, columns=["tile", "mean_pix", "status", "corr", "sums"])
+            # the rows of a batch by what they share, so that one window and one index are held
+            for key, rows in frame.groupby(["sz", "sx", "sy", "rad", "ax"], sort=False):
+                shape, flat = tuple(map(int, key[:3])), tuple(int(n) for n in key[:3] if n > 1)
+                if made != key:
+                    made, window, index = key, window_array(flat, int(key[3]), int(key[4])), index_array(flat, compat)
+                out = []
+                for tile, ring, snr, found in rows[["tile", "ring", "snr", "parts"]].itertuples(index=False):
+                    pair, whole = assemble(found, shape, 2)
+                    out.append((tile, ring, snr, max(shape) // 2, *(measure_tile(pair.reshape(2, *flat), window, index) if whole else (None, "incomplete", None, []))))
+                yield pd.DataFrame(out, columns=["tile", "ring", "snr", "nyquist", "mean_pix", "status", "corr", "sums"])
 
-    return tiles.mapInPandas(run, "tile long, mean_pix double, status string, corr double, sums array<struct<index:int,cr:double,ci:double,c1:double,c2:double,npts:long>>")
+    tile = pairs.schema["tile"].dataType.simpleString()
+    return tiles.mapInPandas(run, f"tile {tile}, ring int, snr double, nyquist int, mean_pix double, status string, corr double, sums array<struct<index:int,cr:double,ci:double,c1:double,c2:double,npts:long>>")
 
 
-def _curves(measured: DataFrame, shape: tuple[int, int, int], ring: int, snr: float) -> DataFrame:
-    sums = measured.select("tile", F.inline("sums"))
-    return fsc(rings_of(sums, ["tile"], ring, max(shape) // 2), snr)
+def _curves(measured: DataFrame) -> DataFrame:
+    sums = measured.select("tile", "ring", "snr", "nyquist", F.inline("sums"))
+    return fsc(rings_of(sums, ["tile", "snr", "nyquist"], F.col("ring"), F.col("nyquist")), F.col("snr"))
 
 
 def resolution_measure(bricks: DataFrame, pairs: DataFrame, edges: tuple[int, int, int], shape: tuple[int, int, int], pixel_size: float, ring: int = 6, rad: int = 60, ax: int = 60, snr: float = 0.2071, compat: bool = False) -> DataFrame:
@@ -386,10 +409,35 @@ def resolution_measure(bricks: DataFrame, pairs: DataFrame, edges: tuple[int, in
     not cross (``compat``: what wrapping round gives there, and the centring of odd sizes that goes with it).
     Options are those of ``tile_curves``.
     """
-    measured = _measured(bricks, pairs, edges, shape, rad, ax, compat)
-    found = crossing(_curves(measured, shape, ring, snr), ["tile"], F.lit(max(shape) // 2), compat=compat).select("tile", F.col("x").alias("crossed"), F.col("status").alias("curve"))
+    return resolution_sweep(bricks, _with_parameters(pairs, shape, ring, rad, ax, snr), edges, pixel_size, compat)
+
+
+def resolution_sweep(bricks: DataFrame, plan: DataFrame, edges: tuple[int, int, int], pixel_size: float, compat: bool = False) -> DataFrame:
+    """``resolution_measure`` of tiles each with its own size, ring thickness, apodisation and threshold, in one job.
+
+    ``plan``: tile, a, b, z, x, y (start) and ``sz, sx, sy, ring, rad, ax, snr``; a row of results for each of its
+    rows, by the number ``tile``. ``sweep_tiles`` makes a plan of a parameter sweep.
+    """
+    measured = _measured(bricks, plan, edges, compat)
+    found = crossing(_curves(measured), ["tile", "nyquist"], F.max("nyquist"), compat=compat).select("tile", F.col("x").alias("crossed"), F.col("status").alias("curve"))
     rows = measured.select("tile", "mean_pix", "status", "corr").join(found, "tile", "left")
-    rows = rows.join(pairs.select("tile", *[(F.col(a) + half(F.lit(n))).alias(a) for a, n in zip("zxy", shape)]), "tile")
+    rows = rows.join(plan.select("tile", *[(F.col(a) + half(F.col(f"s{a}"))).alias(a) for a in "zxy"]), "tile")
     res = F.when(F.col("status") == "empty", -1.0).otherwise(F.try_divide(F.lit(float(pixel_size)), "crossed"))
     status = F.when(F.col("status") == "ok", F.coalesce("curve", F.lit("no_crossing"))).otherwise(F.col("status"))
     return rows.select("tile", "z", "x", "y", res.alias("res"), F.col("mean_pix").alias("mean"), "corr", status.alias("status"))
+
+
+def sweep_tiles(pairs: DataFrame, swept: DataFrame, cube: int = 45, ring: int = 6, apod: int = 60, snr: float = 0.2071) -> DataFrame:
+    """The plan of a sweep: for each row of ``swept`` (pair, param, value; ``grids.sweep_plan``) a cube in the middle of the
+    volumes of its pair (pair, a, b, nz, nx, ny) with one parameter changed: ``cube_size``, ``apod`` (both ways) or ``rt``.
+
+    ``tile`` is ``pair|param|value``.
+    """
+    def of(name: str, base: int) -> Column:
+        return F.when(F.col("param") == name, F.col("value")).otherwise(F.lit(base)).cast("int")
+
+    met = swept.select("pair", "param", "value").join(pairs.select("pair", "a", "b", "nz", "nx", "ny"), "pair")
+    met = met.withColumn("tile", F.concat_ws("|", F.col("pair").cast("string"), "param", F.col("value").cast("string"))).withColumn("cube", of("cube_size", cube))
+    start = {a: half(F.col(f"n{a}")) - half(F.col("cube")) for a in "zxy"}
+    made = met.withColumns({**start, **{f"s{a}": F.col("cube") for a in "zxy"}, "ring": of("rt", ring), "rad": of("apod", apod), "ax": of("apod", apod), "snr": F.lit(float(snr))})
+    return made.select("tile", "pair", "param", "value", "a", "b", "z", "x", "y", *PARAMETERS)

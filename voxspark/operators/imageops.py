@@ -6,9 +6,11 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.settle import settled
+
 
 def combine(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Values of two images side by side: ``v1, v2``."""
@@ -183,6 +185,59 @@ def robust_fit(pairs: DataFrame, by: str, most: float = 0.5, mask: str | None =
     return pairs.select(by, *columns).mapInPandas(run, f"{by} long, a double, b double, r double, n_left_out long, difference array<double>")
 
 
+#: Bins of residuals, of the largest of an image.
+FIT_BINS = 1000
+
+
+def robust_fit_rows(pairs: DataFrame, by: Sequence[str], most: float = 0.5, step: float = 0.01) -> DataFrame:
+    """``by..., a, b, r, n_left_out`` of ``best_fit`` for images whose pixels are rows ``v1, v2`` of ``pairs``, however many.
+
+    Each share is one pass: residuals of the fit at hand are counted in ``FIT_BINS`` bins with their moments (n, x, y, xx, xy,
+    yy), so that a thousand rows an image and task are shuffled; the cut of the bins and the next fit come from running
+    sums of these rows. What is carried from pass to pass is a row for each image. The difference image is
+    ``a + b * v1 - v2``.
+    """
+    keys, x, y = list(by), F.col("v1").cast("double"), F.col("v2").cast("double")
+    moments = {"n": F.lit(1.0), "x": x, "y": y, "xx": x * x, "xy": x * y, "yy": y * y}
+    whole = pairs.groupBy(*keys).agg(*[F.sum(v).alias(c) for c, v in moments.items()])
+    state = settled(whole.withColumns({"pixels": F.col("n"), "best": F.lit(None).cast("struct<r:double,k:int,a:double,b:double,left:long>")}))
+    steps = round(min(most, 0.5) / step) + 1
+    for k in range(steps):
+        fitted = _with_fit(state, k)
+        if k == steps - 1:
+            state = fitted
+            break
+        ab = fitted.select(*keys, "a", "b")
+        off = pairs.select(*keys, x.alias("v1"), y.alias("v2")).join(ab, keys).withColumn("off", F.abs(F.col("a") + F.col("b") * F.col("v1") - F.col("v2")))
+        top = off.groupBy(*keys).agg(F.max("off").alias("top")).withColumn("top", F.when(F.col("top") >= 1e-30, F.col("top")).otherwise(1.0))
+        u = F.lit(FIT_BINS) * F.col("off") / F.col("top")
+        placed = off.join(top, keys).withColumn("bin", F.least(F.floor(u), F.lit(FIT_BINS - 1))).withColumn("edge", (u == F.floor(u)) & (u < FIT_BINS))
+        cells = placed.groupBy(*keys, "bin", "edge").agg(*[F.sum(v).alias(c) for c, v in moments.items()])
+        # from the highest bin down: bins above which the share does not yet lie
+        down = Window.partitionBy(*keys).orderBy(F.desc("bin"))
+        asked = F.col("pixels") * (k * step) - 1e-9
+        counted = cells.join(fitted.select(*keys, "pixels"), keys).withColumn("upto", F.sum("n").over(down))
+        cut = counted.groupBy(*keys).agg(F.max(F.when(F.col("upto") >= asked, F.col("bin"))).alias("reached"))
+        cut = cut.select(*keys, F.greatest(F.when(F.lit(k == 0), F.lit(FIT_BINS - 1)).otherwise(F.col("reached")), F.lit(1)).alias("cut"))
+        inside = (F.col("bin") < F.col("cut")) | ((F.col("bin") == F.col("cut")) & F.col("edge"))
+        sums = cells.join(cut, keys).groupBy(*keys).agg(*[F.coalesce(F.sum(F.when(inside, F.col(c))), F.lit(0.0)).alias(c) for c in moments])
+        state = settled(sums.join(fitted.select(*keys, "pixels", "best"), keys))
+    return state.select(*keys, "best.a", "best.b", "best.r", F.col("best.left").alias("n_left_out"))
+
+
+def _with_fit(state: DataFrame, k: int) -> DataFrame:
+    """The line through the moments of ``state``, and the best of those of all passes so far: the least ``r``, the first of equal ones."""
+    n, x, y, xx, xy, yy = (F.col(c) for c in ("n", "x", "y", "xx", "xy", "yy"))
+    det = n * xx - x * x
+    out = state.withColumn("a", F.coalesce(F.try_divide(xx * y - x * xy, det), F.lit(0.0))).withColumn("b", F.coalesce(F.try_divide(n * xy - x * y, det), F.lit(0.0)))
+    a, b = F.col("a"), F.col("b")
+    rest = F.greatest(n * a * a + b * b * xx + yy + 2 * a * b * x - 2 * a * y - 2 * b * xy, F.lit(0.0))
+    total = F.greatest(yy - F.try_divide(y * y, n), F.lit(0.0))
+    r = F.when(rest < 1e-30, 0.0).otherwise(F.sqrt(F.try_divide(rest, total)))
+    here = F.struct(F.coalesce(r, F.lit(float("inf"))).alias("r"), F.lit(k).alias("k"), a.alias("a"), b.alias("b"), (F.col("pixels") - n).cast("long").alias("left"))
+    return out.withColumn("best", F.when(F.col("best").isNull() | (here["r"] < F.col("best.r")), here).otherwise(F.col("best")))
+
+
 def r_factor(pairs: DataFrame, by: Sequence[str]) -> DataFrame:
     """Sum of absolute differences over the sum of absolute values of the first image."""
     return pairs.groupBy(*by).agg(F.try_divide(F.sum(F.abs(F.col("v1") - F.col("v2"))), F.sum(F.abs("v1"))).alias("r"))

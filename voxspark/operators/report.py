@@ -114,9 +114,9 @@ def point_stats(df: DataFrame, by: Sequence[str], value: str, estimator: str = "
     return df.groupBy(*by).agg(centre.alias("estimate"), quantile(low).alias("low"), quantile(high).alias("high"), F.count(c).alias("n"))
 
 
-def iqr_half(df: DataFrame, by: Sequence[str], value: str, estimator: str = "mean") -> DataFrame:
-    """Estimate and half the interquartile range."""
-    stats = point_stats(df, by, value, estimator)
+def iqr_half(df: DataFrame, by: Sequence[str], value: str, estimator: str = "mean", exact: bool | str = True) -> DataFrame:
+    """Estimate and half the interquartile range; ``exact`` as in ``point_stats``."""
+    stats = point_stats(df, by, value, estimator, exact=exact)
     return stats.withColumn("iqr_half", (F.col("high") - F.col("low")) / 2).select(*by, "estimate", "iqr_half", "n")
 
 

@@ -317,7 +317,7 @@ def d34(spark, sf):
     from ..operators.report import iqr_half
 
     nm = fits(spark, sf).withColumn("nm", F.col("fwhm_z") * 4.9).filter("nm < 20")
-    return iqr_half(nm, ["tomogram"], "nm").select("tomogram", F.round("estimate", 6).alias("estimate"), F.round("iqr_half", 7).alias("iqr_half"), "n")
+    return iqr_half(nm, ["tomogram"], "nm", exact="refined").select("tomogram", F.round("estimate", 6).alias("estimate"), F.round("iqr_half", 7).alias("iqr_half"), "n")
 
 
 @query("d35_r2_trend", f"WITH {_FITS} SELECT tomogram, round(regr_slope(fwhm_z, r2_z), 5) + 0.0 AS slope, round(regr_intercept(fwhm_z, r2_z), 5) AS intercept, count(*) AS n FROM fits GROUP BY 1")

@@ -364,9 +364,12 @@ def n28(spark, sf):
     return cv.above_deviation(score, ["vol_id"], 2.0).withColumn("v", clean0(F.col("v"), 5))
 
 
-# tiles of 2 x 2 from place 2 to place 5 of each axis
-@query("n29_peaks", f"""{_I}, tops AS (SELECT img, px // 2 AS tx, py // 2 AS ty, max(v) AS v FROM images WHERE v > 0.05 AND px BETWEEN 2 AND 5 AND py BETWEEN 2 AND 5 GROUP BY ALL), p AS (SELECT t.img, i.px, i.py, t.v FROM tops t JOIN images i ON i.img = t.img AND i.v = t.v AND i.px // 2 = tx AND i.py // 2 = ty)
-SELECT img, px, py, round(v, 7) AS v FROM p WHERE NOT EXISTS (SELECT 1 FROM p q WHERE q.img = p.img AND (q.px - p.px) ** 2 + (q.py - p.py) ** 2 < 4 AND q.v > p.v)""")
+# tiles of 2 x 2 from place 2 to place 5 of each axis; the strongest first, and what it beats beats nothing
+@query("n29_peaks", f"""{_I.replace('WITH', 'WITH RECURSIVE')}, tops AS (SELECT img, px // 2 AS tx, py // 2 AS ty, max(v) AS v FROM images WHERE v > 0.05 AND px BETWEEN 2 AND 5 AND py BETWEEN 2 AND 5 GROUP BY ALL), p AS (SELECT t.img, i.px, i.py, t.v FROM tops t JOIN images i ON i.img = t.img AND i.v = t.v AND i.px // 2 = tx AND i.py // 2 = ty),
+r AS (SELECT *, row_number() OVER (PARTITION BY img ORDER BY v DESC, px, py) AS k FROM p),
+g AS (SELECT img, k, [{{'x': px, 'y': py, 'v': v}}] AS kept FROM r WHERE k = 1 UNION ALL SELECT g.img, r.k, CASE WHEN len([c FOR c IN kept IF (c.x - px) ** 2 + (c.y - py) ** 2 < 4]) = 0 THEN list_append(kept, {{'x': px, 'y': py, 'v': v}}) ELSE kept END FROM g JOIN r ON r.img = g.img AND r.k = g.k + 1),
+e AS (SELECT img, unnest(kept) AS c FROM (SELECT img, arg_max(kept, k) AS kept FROM g GROUP BY img))
+SELECT img, c.x AS px, c.y AS py, round(c.v, 7) AS v FROM e""")
 def n29(spark, sf):
     return cv.pick_peaks(images(spark, sf), ["img"], {"px": 8, "py": 8}, 2, F.lit(0.05)).select("img", "px", "py", F.round("v", 7).alias("v"))
 
@@ -439,6 +442,46 @@ def n35_table(spark, sf):
     return cv.last_crossings(curve, ["proj"], [0.3]).select("proj", F.round("res", 2).alias("res"))
 
 
+# the mask of each image is the footprint of a box of 5 x 4 x 7 voxels in its own view; every second projection, without two
+_TILT5 = "radians((proj % 9) * 12.0 - 48)"
+_GEN5 = [(f"cos({_TILT5}) * 4", "0.0"), (f"-sin({_TILT5}) * sin(0.05) * 3", "cos(0.05) * 3"), (f"-sin({_TILT5}) * cos(0.05) * 6", "-sin(0.05) * 6")]
+_AT5 = [f"(3 - 3.5) * cos({_TILT5}) + (3.5 - 3.5) * (-sin({_TILT5}) * sin(0.05)) + (4 - 3.5) * (-sin({_TILT5}) * cos(0.05)) + 3.5", "(3.5 - 3.5) * cos(0.05) + (4 - 3.5) * (-sin(0.05)) + 3.5"]
+
+
+def _slab5(k):
+    gx, gy = _GEN5[k]
+    reach = " + ".join(f"abs(({ey}) * ({gx}) - ({ex}) * ({gy}))" for ex, ey in _GEN5)
+    return f"abs((py - my) * ({gx}) - (px - mx) * ({gy})) <= ({reach}) / 2 + 1e-6 * sqrt(({gx}) ** 2 + ({gy}) ** 2) OR ({gx}) ** 2 + ({gy}) ** 2 < 1e-18"
+
+
+_VIEW5 = f"""{_I}, seen AS (SELECT *, img // 3 AS proj FROM images WHERE img // 3 % 2 = 0 AND img // 3 NOT IN (4, 10)), placed AS (SELECT *, {_AT5[0]} AS mx, {_AT5[1]} AS my FROM seen),
+covered AS (SELECT *, ({_slab5(0)}) AND ({_slab5(1)}) AND ({_slab5(2)}) AS inside FROM placed),
+full_ AS (SELECT proj, px, py, v AS f FROM seen WHERE img % 3 = 2), both_ AS (SELECT c.*, f FROM covered c JOIN full_ USING (proj, px, py)),
+st AS (SELECT img, avg(v) FILTER (inside) AS m, avg(f) FILTER (inside) AS fm, avg(f) FILTER (NOT inside) AS bg, covar_pop(v, f) FILTER (inside) / var_pop(v) FILTER (inside) AS slope FROM both_ GROUP BY img),
+ready AS (SELECT img, px, py, CASE WHEN NOT inside THEN bg WHEN img % 3 = 2 THEN v ELSE (v - m) * slope + fm END AS v FROM both_ JOIN st USING (img))"""
+_DRIVER5 = _VIEW5 + _TRI.replace(_I, "", 1).replace("any_value(label) AS label, ", "").replace("FROM images, ks", "FROM ready, ks")
+
+
+def seen_projections(spark, sf):
+    """Three images for each projection with the region of its view: 9 tilts, an x tilt, and a box for all."""
+    gone = spark.createDataFrame([(4,), (10,)], "proj long")
+    three = arrays(spark, sf, 3).withColumnsRenamed({"run": "proj", "v1": "input", "v2": "miss", "v3": "full"})
+    tilts = cv.selected(three, gone, 2).withColumns({"tilt": F.col("proj") % 9 * 12.0 - 48, "xtilt": F.degrees(F.lit(0.05))})
+    return cv.view_regions(cv.tilt_views(tilts), (3.5, 3.5, 3.5), start=(1.0, 2.0, 1.0), size=(5.0, 4.0, 7.0))
+
+
+@query("n35_views", _DRIVER5 + f" SELECT proj, idx, round({_RATIO.format(low=0)}, 3) + 0.0 AS value FROM sums WHERE abs(cf) > 1e-4 AND mm > 1e-4")
+def n35_views(spark, sf):
+    """Each projection masked by the footprint of its own view, lines fitted within it."""
+    sums = cv.cross_validate_views(seen_projections(spark, sf), (8, 8), "line", count=SHELLS_2D).filter("abs(cf) > 1e-4 and mm > 1e-4")
+    return cv.nloo_ratio(sums).select("proj", "idx", clean0(F.col("value"), 3).alias("value"))
+
+
+@query("n35_footprint_spans", _VIEW5 + " SELECT proj, py, min(px)::INT AS first, max(px)::INT AS last FROM covered WHERE inside AND img % 3 = 2 GROUP BY ALL")
+def n35_spans(spark, sf):
+    return cv.footprint_spans(seen_projections(spark, sf), (8, 8), ["proj"])
+
+
 _BALL3 = "(z - 2) ** 2 + (x - 2) ** 2 + (y - 2) ** 2"
 # v1 rescaled to v2 in a ball of radius 2, both with an edge of 0.3 at its border
 _HALVES = _PLAIN.replace("FROM (SELECT *, 1 AS w FROM voxels)", f"""FROM (SELECT i.vol_id, z, x, y, 1 AS w, CASE WHEN {_BALL3} > 4 THEN l.bg ELSE (CASE WHEN i.vol_id % 2 = 1 THEN v ELSE (v - s.m) / s.sd * l.sd + l.m END - l.bg) * CASE WHEN 2 - sqrt({_BALL3}) < 0.3 THEN 0.5 - 0.5 * cos(pi() * (2 - sqrt({_BALL3})) / 0.3) ELSE 1 END + l.bg END AS v

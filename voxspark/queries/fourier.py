@@ -247,14 +247,31 @@ def f20(spark, sf):
     return fo.same_shape(headers, pairs)[0]
 
 
-@query("f21_resolution_job", _FT.replace("{window}", _W4).replace("{rings}", "2").replace("{s}", "0.2071::DOUBLE") + _CROSS + """, s AS (SELECT run, avg(v1) / 2 + avg(v2) / 2 AS m, max(v1) AS a, max(v2) AS b, covar_pop(v1, v2) / nullif(sqrt(var_pop(v1) * var_pop(v2)), 0) AS corr FROM pairs GROUP BY run)
-SELECT run, CASE WHEN NOT (a > 0 AND b > 0) THEN -1 ELSE round(4.9::DOUBLE / x, 3) END AS res, round(m, 6) + 0.0 AS mean, round(corr, 6) + 0.0 AS corr FROM x JOIN s USING (run)""")
+def _job_sql(rings, snr):
+    return _FT.replace("{window}", _W4).replace("{rings}", str(rings)).replace("{s}", f"{snr}::DOUBLE") + _CROSS + """, s AS (SELECT run, avg(v1) / 2 + avg(v2) / 2 AS m, max(v1) AS a, max(v2) AS b, covar_pop(v1, v2) / nullif(sqrt(var_pop(v1) * var_pop(v2)), 0) AS corr FROM pairs GROUP BY run)
+SELECT run, CASE WHEN NOT (a > 0 AND b > 0) THEN -1 ELSE round(4.9::DOUBLE / x, 3) END AS res, round(m, 6) + 0.0 AS mean, round(corr, 6) + 0.0 AS corr FROM x JOIN s USING (run)"""
+
+
+@query("f21_resolution_job", _job_sql(2, 0.2071))
 def f21(spark, sf):
     found = fo.resolution_measure(bricks(spark, sf), pairs_of(spark, sf), (4, 4, 4), (4, 4, 4), 4.9, ring=2, rad=1, ax=1)
     whole = found.filter("status <> 'incomplete'")
     return whole.select(F.col("tile").alias("run"), F.round("res", 3).alias("res"), clean0(F.col("mean"), 6).alias("mean"), clean0(F.col("corr"), 6).alias("corr"))
 
 
+_SWEPT = [(2, 0.2071), (2, 0.5), (4, 0.2071)]
+
+
+@query("p13_sweep_job", " UNION ALL ".join(f"SELECT *, {r} AS ring, {t}::DOUBLE AS snr FROM ({_job_sql(r, t)})" for r, t in _SWEPT))
+def p13_job(spark, sf):
+    """Every pair with each of three settings of rings and threshold, as one job."""
+    each = F.explode(F.array(*[F.struct(F.lit(r).alias("ring"), F.lit(t).alias("snr")) for r, t in _SWEPT]))
+    plan = pairs_of(spark, sf).withColumnRenamed("tile", "run").withColumn("e", each).select("*", "e.ring", "e.snr").drop("e")
+    plan = plan.withColumns({"tile": F.concat_ws("|", F.col("run").cast("string"), F.col("ring").cast("string"), F.col("snr").cast("string")), **{f"s{a}": F.lit(4) for a in "zxy"}, "rad": F.lit(1), "ax": F.lit(1)})
+    found = fo.resolution_sweep(bricks(spark, sf), plan, (4, 4, 4), 4.9).filter("status <> 'incomplete'").join(plan.select("tile", "run", "ring", "snr"), "tile")
+    return found.select("run", "ring", "snr", F.round("res", 3).alias("res"), clean0(F.col("mean"), 6).alias("mean"), clean0(F.col("corr"), 6).alias("corr"))
+
+
 @query("f22_curve", _PLAIN + " SELECT run, f / 2 AS x, round(fsc, 5) + 0.0 AS fsc, round(t, 5) AS t FROM curve")
 def f22(spark, sf):
     return curve(spark, sf).select("run", (F.col("f") / 2).alias("x"), clean0(F.col("fsc"), 5).alias("fsc"), F.round("t", 5).alias("t"))
@@ -264,7 +281,10 @@ def f22(spark, sf):
 p AS (SELECT a.vol_id // 2 AS run, a.z, round_even(sqrt(a.kx ** 2 + a.ky ** 2), 0)::INT AS f, a.re AS re1, a.im AS im1, b.re AS re2, b.im AS im2 FROM ft a JOIN ft b ON b.vol_id = a.vol_id + 1 AND a.z = b.z AND a.kx = b.kx AND a.ky = b.ky WHERE a.vol_id % 2 = 0)
 SELECT run, z, f, round(sqrt(sum(re1 * re2 + im1 * im2) ** 2 + sum(im1 * re2 - re1 * im2) ** 2) / nullif(sqrt(sum(re1 * re1 + im1 * im1) * sum(re2 * re2 + im2 * im2)), 0), 4) AS fsc FROM p WHERE f <= 2 GROUP BY ALL""")
 def f23(spark, sf):
-    flat = tiles(spark, sf).withColumnRenamed("dz", "z")
-    ft = halves(fo.dft(flat, ["vol_id", "z"], AXES[1:]), "vol_id", ["z", "kx", "ky"])
+    # each slice of a vector is an image of 16 values; the two halves of a run are transformed in one call
+    cut = lambda c: F.slice(c, F.col("z") * 16 + 1, F.lit(16))
+    slices = arrays(spark, sf).withColumn("z", F.explode(F.sequence(F.lit(0), F.lit(3)))).select((F.col("run") * 4 + F.col("z")).alias("id"), cut("v1").alias("v1"), cut("v2").alias("v2"))
+    flat = fo.frequencies(fo.fft_arrays(slices, "id", ["v1", "v2"], (4, 4)), ["id"], AXES[1:])
+    ft = flat.withColumns({"run": F.floor(F.col("id") / 4), "z": (F.col("id") % 4).cast("int")})
     rings = fo.fsc(fo.shell_sums(ft, ["run", "z"], fo.shell_index(AXES[1:]), 0, 2))
     return rings.select("run", "z", "f", F.round("fsc", 4).alias("fsc"))

@@ -107,6 +107,13 @@ def v07_robust(spark, sf):
     return fit.select("run", clean0(F.col("a"), 5).alias("a"), clean0(F.col("b"), 5).alias("b"), F.round("r", 5).alias("r"), "n_left_out", clean0(weighted, 3).alias("total"))
 
 
+@query("v07_robust_fit_rows", _best_fit_sql(4) + " SELECT run, round(a, 5) + 0.0 AS a, round(b, 5) + 0.0 AS b, round(r, 5) AS r, n_left_out FROM best")
+def v07_robust_rows(spark, sf):
+    """The same where an image is too large for a row: pixels are rows."""
+    fit = io.robust_fit_rows(pairs(spark, sf), RUN, 0.03)
+    return fit.select("run", clean0(F.col("a"), 5).alias("a"), clean0(F.col("b"), 5).alias("b"), F.round("r", 5).alias("r"), "n_left_out")
+
+
 @query("v08_r_factor", _P + " SELECT run, round(sum(abs(v1 - v2)) / sum(abs(v1)), 7) AS r FROM pairs GROUP BY run")
 def v08(spark, sf):
     return io.r_factor(pairs(spark, sf), RUN).select("run", F.round("r", 7).alias("r"))

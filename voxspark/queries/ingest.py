@@ -7,7 +7,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions.settle import shared_folder
 from ..plans import grids
+from ..sources import mrc
 from ..sources import results as src
 from .crossval import _CURVES, _LAST, curves
 from .registry import query, table
@@ -160,3 +162,42 @@ def x01(spark, sf):
     run = running_stats(stream, ["event_type"], "value").writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.table(name).select("event_type", "n", F.round("mean", 6).alias("mean"))
+
+
+# --- volume files: 64 vectors are one volume of 256 sections of 4 x 4 -----------------------------------
+
+
+def volume_files(spark, sf):
+    """The volume files of all vectors, written to the shared folder."""
+    from .proxies import voxels
+
+    k = F.col("vol_id")
+    rows = voxels(spark, sf).groupBy(k, "z").agg(F.transform(F.array_sort(F.collect_list(F.struct("x", "y", "v"))), lambda s: s["v"].cast("float")).alias("values"))
+    sections = rows.select(F.concat(F.lit("v"), F.floor(k / 64)).alias("file"), (k % 64 * 4 + F.col("z")).alias("z"), F.lit(4).alias("nx"), F.lit(4).alias("ny"), "values")
+    folder = f"{shared_folder(spark)}/volumes-{uuid.uuid4().hex}"
+    return [r["path"] for r in mrc.write_volumes(sections, folder).select("path").collect()]  # one name for each file
+
+
+def _number(path):
+    return F.regexp_extract(path, "v([0-9]+)[.]mrc$", 1).cast("long")
+
+
+_FILES = "WITH files AS (SELECT vec_id // 64 AS file, k * 4 + i // 16 AS z, i % 16 AS place, v FROM (SELECT vec_id, k, unnest(embedding)::DOUBLE AS v, unnest(range(64)) AS i FROM (SELECT *, row_number() OVER (PARTITION BY vec_id // 64 ORDER BY vec_id) - 1 AS k FROM embeddings)))"
+
+
+@query("s06_volume_files", f"{_FILES} SELECT file, (z // 4)::INT AS bz, count(*) AS n, round(sum(v * (1 + z % 4 * 16 + place)), 5) + 0.0 AS total FROM files WHERE z BETWEEN 8 AND 31 GROUP BY ALL")
+def s06(spark, sf):
+    """Volumes read back as bricks of 4; of each file only the slabs that hold bricks 2 to 7 along z."""
+    bricks = mrc.read_bricks(spark, volume_files(spark, sf), brick=4, slab=8).filter("bz >= 2 and bz <= 7")
+    voxels = mrc.explode_bricks(bricks)
+    weight = 1 + F.col("z") % 4 * 16 + F.col("x") * 4 + F.col("y")
+    out = voxels.groupBy(_number(F.col("vol_id")).alias("file"), F.floor(F.col("z") / 4).cast("int").alias("bz")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("v").cast("double") * weight).alias("total"))
+    return out.withColumn("total", F.round("total", 5) + 0.0)
+
+
+@query("s13_projection_files", f"{_FILES} SELECT file AS series, z::INT AS proj, count(*) AS n, round(sum(v * (1 + place)), 5) + 0.0 AS total FROM files GROUP BY ALL")
+def s13(spark, sf):
+    images = mrc.read_projections(spark, volume_files(spark, sf), slab=16)
+    flat = mrc.explode_bricks(images.selectExpr("series as vol_id", "1 as nz", "nx", "ny", "proj as z0", "0 as x0", "0 as y0", "data"))
+    out = flat.groupBy(_number(F.col("vol_id")).alias("series"), F.col("z").alias("proj")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("v").cast("double") * (1 + F.col("x") * 4 + F.col("y"))).alias("total"))
+    return out.withColumn("total", F.round("total", 5) + 0.0)

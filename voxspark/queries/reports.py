@@ -91,12 +91,12 @@ _STATS = """SELECT {by}, round({centre}, {d}) AS estimate, round(quantile_cont({
 
 @query("r05_mean_interval", _W + _STATS.format(by="num_ang, thickness", centre="avg(res)", v="res", d=6))
 def r05_mean(spark, sf):
-    return _rounded(report.point_stats(_ok(spark, sf), ["num_ang", "thickness"], "res"), "estimate", "low", "high")
+    return _rounded(report.point_stats(_ok(spark, sf), ["num_ang", "thickness"], "res", exact="refined"), "estimate", "low", "high")
 
 
 @query("r05_median_interval", _W + _STATS.format(by="max_ang, thickness", centre="quantile_cont(res, 0.5)", v="res", d=9))
 def r05_median(spark, sf):
-    return _rounded(report.point_stats(_ok(spark, sf), ["max_ang", "thickness"], "res", "median"), "estimate", "low", "high", median=True)
+    return _rounded(report.point_stats(_ok(spark, sf), ["max_ang", "thickness"], "res", "median", exact="refined"), "estimate", "low", "high", median=True)
 
 
 @query("r06_mean_only", _W + "SELECT num_ang, max_ang, round(avg(res), 6) AS estimate FROM clean WHERE res > 0 GROUP BY ALL")
@@ -107,13 +107,13 @@ def r06(spark, sf):
 @query("r07_group_summary", _W + """SELECT thickness, num_ang, round(avg(res), 6) AS estimate,
 round((quantile_cont(res, 0.75) - quantile_cont(res, 0.25)) / 2, 9) AS iqr_half, count(res) AS n FROM clean WHERE res > 0 GROUP BY ALL""")
 def r07(spark, sf):
-    return _rounded(report.iqr_half(_ok(spark, sf), ["thickness", "num_ang"], "res"), "estimate", "iqr_half")
+    return _rounded(report.iqr_half(_ok(spark, sf), ["thickness", "num_ang"], "res", exact="refined"), "estimate", "iqr_half")
 
 
 @query("r07_median_summary", _W + """SELECT thickness, round(quantile_cont(res, 0.5), 9) AS estimate,
 round((quantile_cont(res, 0.75) - quantile_cont(res, 0.25)) / 2, 9) AS iqr_half, count(res) AS n FROM clean WHERE res > 0 AND num_ang = 21 GROUP BY ALL""")
 def r07_median(spark, sf):
-    return _rounded(report.iqr_half(_ok(spark, sf).filter("num_ang = 21"), ["thickness"], "res", "median"), "estimate", "iqr_half", median=True)
+    return _rounded(report.iqr_half(_ok(spark, sf).filter("num_ang = 21"), ["thickness"], "res", "median", exact="refined"), "estimate", "iqr_half", median=True)
 
 
 _CELLS = [float(45 * i) for i in range(4)]
@@ -129,7 +129,7 @@ def r08(spark, sf):
 
 @query("r09_profile_by_position", _W + _STATS.format(by="x, thickness", centre="avg(res)", v="res", d=6))
 def r09(spark, sf):
-    return _rounded(report.point_stats(_ok(spark, sf), ["x", "thickness"], "res"), "estimate", "low", "high")
+    return _rounded(report.point_stats(_ok(spark, sf), ["x", "thickness"], "res", exact="refined"), "estimate", "low", "high")
 
 
 @query("r10_in_pixels", _W + "SELECT thickness, num_ang, round(avg(res / pixel_size), 6) AS estimate FROM clean WHERE res > 0 GROUP BY ALL")
@@ -152,7 +152,8 @@ def r12(spark, sf):
 
 @query("r13_full_array", _W + "SELECT pixel_size, thickness, max_ang, num_ang, round(quantile_cont(res, 0.5), 9) AS estimate FROM clean WHERE res > 0 GROUP BY ALL")
 def r13(spark, sf):
-    return _ok(spark, sf).groupBy("pixel_size", "thickness", "max_ang", "num_ang").agg(F.round(F.percentile("res", 0.5), 9).alias("estimate"))
+    cells = report.point_stats(_ok(spark, sf), ["pixel_size", "thickness", "max_ang", "num_ang"], "res", "median", exact="refined")
+    return cells.select("pixel_size", "thickness", "max_ang", "num_ang", F.round("estimate", 9).alias("estimate"))
 
 
 @query("r13_rollup", _W + "SELECT thickness, num_ang, count(*) AS n, round(avg(res), 6) AS estimate FROM clean WHERE res > 0 GROUP BY ROLLUP (thickness, num_ang)")
@@ -162,7 +163,7 @@ def r13_rollup(spark, sf):
 
 @query("r14_correlation", _W + "SELECT max_ang, num_ang, round(quantile_cont(corr, 0.5), 9) AS estimate, round(quantile_cont(corr, 0.25), 9) AS low, round(quantile_cont(corr, 0.75), 9) AS high, count(corr) AS n FROM clean GROUP BY ALL")
 def r14(spark, sf):
-    return _rounded(report.point_stats(report.clean(results(spark, sf)), ["max_ang", "num_ang"], "corr", "median"), "estimate", "low", "high", median=True)
+    return _rounded(report.point_stats(report.clean(results(spark, sf)), ["max_ang", "num_ang"], "corr", "median", exact="refined"), "estimate", "low", "high", median=True)
 
 
 @query("r15_distinct_values", _W + "SELECT DISTINCT name, max_ang FROM results")
