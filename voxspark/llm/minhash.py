@@ -119,13 +119,14 @@ def _hot(counts: DataFrame, scratch: Scratch, total: int) -> DataFrame:
     return scratch.keep(counts.filter(F.col("c") > cut).withColumn("parts", F.ceil(F.col("c") / cut).cast("int")), "hot")
 
 
-def _by_key(rows: DataFrame, facts: DataFrame, key: str, scratch: Scratch, total: int) -> DataFrame:
+def _by_key(rows: DataFrame, facts: DataFrame, key: str, scratch: Scratch, total: int, how: str = "inner") -> DataFrame:
     """``rows`` with the one row of ``facts`` (key, c: number of rows, ...) of their key; rows of hot keys stay where
-    they are. The others are merged, at small sizes as at large ones: their facts grow with the input."""
-    hot = F.broadcast(_hot(facts, scratch, total).drop("parts"))
+    they are. The others are merged, at small sizes as at large ones: their facts grow with the input. With ``how`` left,
+    rows without facts stay."""
+    hot = F.broadcast(_hot(facts.withColumnRenamed(key, "key"), scratch, total).drop("parts").withColumnRenamed("key", key))
     cold = facts.join(F.broadcast(hot.select(key)), key, "left_anti")
     few = rows.join(hot, key)
-    return few.unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold.hint("merge"), key)).drop("c")
+    return few.unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold.hint("merge"), key, how)).drop("c")
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch, k: int = 4, percent: int = 80, bands: int = 30, rows: int = 5) -> DataFrame:
@@ -142,11 +143,13 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, k: int = 4, percent: int
     usable = sketched.filter("n_shingles > 0 and doc_id is not null")
     # copies of a set are in one class; the smallest id stands for them
     rep = F.min_by(F.struct("doc_id", "n_shingles", "bands"), "doc_id")
-    copies = scratch.keep(usable.groupBy("fingerprint").agg(rep.alias("rep")).select(F.col("fingerprint").alias("of"), F.col("rep.doc_id").alias("rep"), F.col("rep.n_shingles").alias("n"), F.col("rep.bands").alias("bands")), "copies")
+    copies = usable.groupBy("fingerprint").agg(rep.alias("rep"), F.count(F.lit(1)).alias("c"))
+    copies = scratch.keep(copies.select("fingerprint", "c", F.col("rep.doc_id").alias("rep"), F.col("rep.n_shingles").alias("n"), F.col("rep.bands").alias("bands")), "copies")
     members = scratch.keep(copies.select(F.col("rep").alias("doc_id"), "n", F.explode("bands").alias("bucket")), "members")
     heads = members.groupBy("bucket").agg(F.min("doc_id").alias("head"), F.min_by("n", "doc_id").alias("head_n"), F.count(F.lit(1)).alias("c")).filter("c > 1")
     heads = scratch.keep(heads, "heads")
     shared = scratch.keep(_by_key(members, heads, "bucket", scratch, members.count()), "shared")
+    scratch.free(sketched, copies, shared)
     alike = F.greatest("n", "head_n") * percent <= F.least("n", "head_n") * 100
     stars = scratch.keep(shared.filter((F.col("doc_id") != F.col("head")) & alike).select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct(), "stars")
 
@@ -165,28 +168,35 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, k: int = 4, percent: int
     pairs = scratch.keep(_across(left, sets, scratch, percent).join(stars, ["a", "b"], "left_anti"), "across")
     more = scratch.keep(_confirmed(pairs, sets, scratch, percent), "more")
     joined = components(more.select(F.col("la").alias("a"), F.col("lb").alias("b")), scratch)
+    scratch.free(sketched, copies, labels, joined)
 
     # representative -> class, then class -> joined class
     final = labels.join(joined.select(F.col("node").alias("component"), F.col("component").alias("wider")), "component", "left").select("node", F.coalesce("wider", "component").alias("component"))
     lone = joined.join(labels, joined["node"] == labels["node"], "left_anti").select("node", "component")
     classes = final.unionByName(lone)
-    by_set = copies.join(classes, F.col("rep") == F.col("node"), "left").select("of", F.coalesce("component", "rep").alias("class"))
-    out = sketched.join(by_set, F.col("fingerprint") == F.col("of"), "left")
-    component = F.coalesce("class", "doc_id")
+    by_set = copies.join(classes, F.col("rep") == F.col("node"), "left").select("fingerprint", "c", F.coalesce("component", "rep").alias("class"))
+    # the copies of one text may be a third of all rows; rows that are linked with nothing stay apart
+    found = _by_key(usable.drop("bands"), scratch.keep(by_set, "classes"), "fingerprint", scratch, usable.count())
+    alone = sketched.filter("not (n_shingles > 0 and doc_id is not null)").select("doc_id", "n_shingles", F.col("doc_id").alias("class"))
+    component = F.col("class")
+    out = found.select("doc_id", "n_shingles", "class").unionByName(alone)
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
-#: Bits of the filter of ids that are looked for, as a table of at most 2**18 words.
-FILTER_BITS = 24
+#: Bits of the filter for each id that is looked for, and binary logarithms of its least and largest size: up to two million words of 64 bits.
+BITS_EACH, LEAST_BITS, MOST_BITS = 16, 12, 27
 
 
 def _perhaps(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose id may be among ``wanted``, by a filter of bits, so that the texts of few others are shuffled.
 
-    The filter is broadcast as words of 64 bits, 4 MB at most; where many ids are wanted, more rows pass.
+    The filter is sized by the number of ids and broadcast as words of 64 bits, ``2 ** (MOST_BITS - 6)`` at most; where
+    hundreds of millions of ids are wanted, more rows pass, which the join drops.
     """
+    size = min(max((BITS_EACH * max(wanted.count(), 1) - 1).bit_length(), LEAST_BITS), MOST_BITS)
+
     def place(c: str) -> Column:
-        return F.xxhash64(c).bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+        return F.xxhash64(c).bitwiseAND(F.lit((1 << size) - 1))
 
     one = F.expr("shiftleft(1L, cast(place & 63 as int))")
     bits = wanted.select(place("wanted").alias("place")).groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(one).alias("bits"))
@@ -195,16 +205,21 @@ def _perhaps(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
-    """The rows of ``pairs`` (a, b, ...) whose full sets are similar enough. The pairs of an ``a`` that has many are
-    dealt in parts, each with a copy of its set."""
-    hot = F.broadcast(_hot(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("c")), scratch, pairs.count()).select(F.col("a").alias("hot"), "parts"))
+    """The rows of ``pairs`` (a, b, ...) whose full sets are similar enough. The pairs of an id that has many, on either side,
+    are dealt in parts, each with a copy of its set."""
+    total = pairs.count()
     asked = pairs.select(F.col("a").alias("asked")).union(pairs.select("b")).distinct()
     sets = sets.join(asked, F.col("doc_id") == F.col("asked"), "left_semi")
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a"))
-    left = left.join(hot, F.col("a") == F.col("hot"), "left").select("a", "set_a", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b"))
-    dealt = pairs.join(hot, F.col("a") == F.col("hot"), "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("b"), F.col("parts")), F.lit(0)).cast("int")).drop("hot", "parts")
-    both = dealt.join(left.hint("merge"), ["a", "part"]).join(right.hint("merge"), "b")  # sets are never small
+
+    def with_set(pairs: DataFrame, own: str, other: str) -> DataFrame:
+        hot = F.broadcast(_hot(counts[own], scratch, total).select(F.col("key").alias("hot"), "parts"))
+        every = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))
+        side = sets.select(F.col("doc_id").alias(own), F.col("shingles").alias(f"set_{own}")).join(hot, F.col(own) == F.col("hot"), "left").select(own, f"set_{own}", every.alias("part"))
+        dealt = pairs.join(hot, F.col(own) == F.col("hot"), "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64(other), F.col("parts")), F.lit(0)).cast("int")).drop("hot", "parts")
+        return dealt.join(side.hint("merge"), [own, "part"]).drop("part")  # sets are never small
+
+    counts = {c: pairs.groupBy(F.col(c).alias("key")).agg(F.count(F.lit(1)).alias("c")) for c in "ab"}
+    both = with_set(with_set(pairs, "a", "b"), "b", "a")
     common = F.size(F.array_intersect("set_a", "set_b"))
     checked = both.withColumn("common", common).withColumn("whole", F.size("set_a") + F.size("set_b") - F.col("common"))
     return checked.filter(F.col("common") * 100 >= F.col("whole") * percent).select(*pairs.columns)
