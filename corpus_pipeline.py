@@ -37,9 +37,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     near = minhash.near_duplicates(docs, scratch, k=5, percent=80).filter("kept")
     kept = scratch.keep(near.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "kept")
     scratch.free(kept)
-    out = _semi(docs, kept.select("doc_id"), "left_semi")
-    # where no id is repeated, nothing has to be compared
-    return out.dropDuplicates(["doc_id", "text"]) if kept.filter("n > 1").limit(1).count() else out
+    again = kept.filter("n > 1").select("doc_id")
+    if not again.limit(1).count():
+        return _semi(docs, kept.select("doc_id"), "left_semi")
+    # only rows whose id is repeated are compared
+    once = _semi(docs, kept.filter("n = 1").select("doc_id"), "left_semi")
+    return once.unionByName(_semi(docs, again, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
