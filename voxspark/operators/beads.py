@@ -278,6 +278,23 @@ def rot90(view: DataFrame, size: int) -> DataFrame:
     return view.withColumn("row_", F.col("col")).withColumn("col", F.col("row")).withColumn("row", size - 1 - F.col("row_")).drop("row_")
 
 
+def views_across_recons(roi: DataFrame, by: Sequence[str], size: int, side: str = "YZ", rotate_xy: bool = True, rotate_side: bool = True) -> DataFrame:
+    """``by..., panel, row, col, v``: for each bead and reconstruction the XY plane (rows y, columns x) and one ``SIDE`` plane.
+
+    ``side`` is YZ (rows x, columns z, through the middle y) or XZ (rows y, columns z, through the middle x), as the plots
+    name them; either is turned by a quarter against the clock where asked.
+    """
+    if side not in ("YZ", "XZ"):
+        raise ValueError("side is YZ or XZ")
+    fixed, row = ("dy", "dx") if side == "YZ" else ("dx", "dy")
+    c = size // 2
+    out = []
+    for name, at, r, col, turn in (("XY", "dz", "dy", "dx", rotate_xy), ("SIDE", fixed, row, "dz", rotate_side)):
+        view = roi.filter(F.col(at) == c).select(*by, F.lit(name).alias("panel"), F.col(r).alias("row"), F.col(col).alias("col"), "v")
+        out.append(rot90(view, size).select(*view.columns) if turn else view)
+    return out[0].unionByName(out[1])
+
+
 def contrast(view: DataFrame, by: Sequence[str], low: float, high: float) -> DataFrame:
     """Percentiles of the values that are numbers."""
     v = finite(F.col("v"))

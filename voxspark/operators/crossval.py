@@ -209,6 +209,13 @@ def smooth_over_tilt(curves: DataFrame, by: Sequence[str], width: int, point: st
     return met.groupBy(*by, F.col("centre").alias("proj"), point).agg(F.sum(F.col("w") * F.col("value")).alias("value"))
 
 
+def smooth_estimates(estimates: DataFrame, by: Sequence[str], width: int) -> DataFrame:
+    """Estimates (by..., proj, tilt, value) averaged over neighbouring projections like the curves; as they are for a width of 1."""
+    if width <= 1:
+        return estimates.select(*by, "proj", "value")
+    return smooth_over_tilt(estimates.withColumn("one", F.lit(0)), by, width, "one").drop("one")
+
+
 # --- regions ----------------------------------------------------------------------------------------
 
 

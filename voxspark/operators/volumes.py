@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .crossval import shell_correlation, taper_size, wedge_angles
@@ -69,6 +69,26 @@ class Region:
             out = np.where(within >= 0, -1.0, np.minimum(out, -within) if self.inner.radius is not None else out)
         return out
 
+    def column_distance(self, *places: Column) -> Column:
+        """``distance`` of columns of places."""
+        if self.radius is not None:
+            out = F.lit(float(self.radius)) - F.sqrt(sum(((p - c) * (p - c) for p, c in zip(places, self.centre)), F.lit(0.0)))
+        else:
+            out = F.least(*[F.least(p - s, F.lit(s + n - 1) - p) for p, s, n in zip(places, self.start, self.size)]).cast("double")
+        if self.inner is None:
+            return out
+        within = self.inner.column_distance(*places)
+        return F.when(within >= 0, -1.0).otherwise(F.least(out, -within) if self.inner.radius is not None else out)
+
+    def inside(self, *places: Column) -> Column:
+        """Whether columns of places lie in the region."""
+        return self.column_distance(*places) >= 0
+
+    def frame(self, *places: Column, width: float = 0.0) -> Column:
+        """Whether columns of places lie in the region and within ``width`` of its border."""
+        d = self.column_distance(*places)
+        return (d >= 0) & (d <= width)
+
     def edge_width(self) -> float:
         """Width of its tapered edge."""
         return taper_size((self.radius,), radius=True) if self.radius is not None else taper_size(self.size)

@@ -104,6 +104,19 @@ def path_of(ccdb: Column, microscopy: Column, num_ang: Column, max_ang: Column,
     return F.format_string(root + "%d/microscopy_%d/%d-limited[%.1f_-%.1f]", ccdb, microscopy, num_ang, max_ang, max_ang)
 
 
+def run_paths(catalog: DataFrame, grid: Sequence[tuple[int, float]], root: str = "/data/ccdb") -> DataFrame:
+    """``catalog`` (ccdbprod, mpid, ...) with ``num_ang, max_ang, path`` of each of its reconstructions, one for each pair of ``grid``."""
+    pairs = F.array(*[F.struct(F.lit(int(n)).alias("num_ang"), F.lit(float(m)).alias("max_ang")) for n, m in grid])
+    each = catalog.withColumn("run_", F.explode(pairs)).select("*", "run_.num_ang", "run_.max_ang").drop("run_")
+    return each.withColumn("path", path_of(F.col("ccdbprod"), F.col("mpid"), F.col("num_ang"), F.col("max_ang"), root))
+
+
+def normalise_points(df: DataFrame, position: str = "position", xyz: str = "xyz") -> DataFrame:
+    """Whole ``x, y, z``, cut towards zero, of points given as a struct ``position`` (x, y, z) or as an array ``xyz``."""
+    made = {a: F.coalesce(F.col(f"{position}.{a}"), F.get(F.col(xyz), F.lit(i))).cast("int") for i, a in enumerate("xyz")}
+    return df.withColumns(made).drop(position, xyz)
+
+
 def pending(plan: DataFrame, existing: DataFrame, keys: Sequence[str], overwrite: bool = False) -> DataFrame:
     """The runs of ``plan`` that have no output yet."""
     return plan if overwrite else plan.join(existing.select(*keys).distinct(), list(keys), "left_anti")

@@ -246,6 +246,17 @@ def d21(spark, sf):
     return bd.rot90(bd.mid_planes(roi(spark, sf), 4), 4).select("bead", "plane", "row", "col", clean0(F.col("v"), 7).alias("v"))
 
 
+def _turned_sql(panel, row, col, fixed):
+    return f"SELECT vol_id // 3 AS bead, vol_id % 3 AS recon, '{panel}' AS panel, 3 - {col} AS row, {row} AS col, v FROM voxels WHERE {fixed} = 2"
+
+
+@query("d21_views_across_recons", f"{_V} SELECT bead, recon, panel, row, col, round(v, 7) + 0.0 AS v FROM ({_turned_sql('XY', 'y', 'x', 'z')} UNION ALL {_turned_sql('SIDE', 'y', 'z', 'x')})")
+def d21_views(spark, sf):
+    """Three reconstructions of each bead side by side, the side view through the middle x, all turned."""
+    boxes = roi(spark, sf).withColumns({"recon": F.col("bead") % 3, "bead": F.floor(F.col("bead") / 3)})
+    return bd.views_across_recons(boxes, ["bead", "recon"], 4, "XZ").withColumn("v", clean0(F.col("v"), 7))
+
+
 @query("d22_contrast", f"{_V} SELECT bead, plane, round(quantile_cont(v, 0.01), 7) + 0.0 AS low, round(quantile_cont(v, 0.99), 7) + 0.0 AS high FROM ({_PLANES}) GROUP BY ALL")
 def d22(spark, sf):
     limits = bd.contrast(bd.mid_planes(roi(spark, sf), 4), ["bead", "plane"], 1, 99)

@@ -171,8 +171,8 @@ def n13(spark, sf):
 
 @query("n14_smooth_estimates", f"WITH {_CURVES}{_WEIGHTS}, est AS (SELECT run, proj, max(value) AS value FROM flat GROUP BY ALL) SELECT w.run, w.centre::INT AS proj, round(sum(w * value), 6) + 0.0 AS value FROM w JOIN est ON est.run = w.run AND est.proj = w.near GROUP BY w.run, w.centre")
 def n14(spark, sf):
-    estimates = curves(spark, sf).groupBy("run", "proj", "tilt").agg(F.max("value").alias("value")).withColumn("idx", F.lit(0))
-    return cv.smooth_over_tilt(estimates, ["run"], 5).select("run", "proj", clean0(F.col("value"), 6).alias("value"))
+    estimates = curves(spark, sf).groupBy("run", "proj", "tilt").agg(F.max("value").alias("value"))
+    return cv.smooth_estimates(estimates, ["run"], 5).select("run", "proj", clean0(F.col("value"), 6).alias("value"))
 
 
 
@@ -202,6 +202,21 @@ def n15(spark, sf):
     return images(spark, sf).groupBy("img").agg(F.count_if(box()).alias("n_box"), F.count_if(ring).alias("n_ring"), clean0(F.sum(F.when(ring, F.col("v"))), 6).alias("total"))
 
 
+_SHAPES = {"all": ("true", vo.Region.whole((8, 8))), "largest": ("(px - 3.5) ** 2 + (py - 3.5) ** 2 <= 9", vo.Region.largest_sphere((8, 8))), "ring": (f"{_BOX} AND NOT {_INNER2}", vo.Region(start=(1.0, 2.0), size=(6.0, 5.0), inner=vo.Region(centre=(4.0, 4.0), radius=2.0)))}
+_EDGE = {"all": "least(px, 7 - px, py, 7 - py)", "largest": "3 - sqrt((px - 3.5) ** 2 + (py - 3.5) ** 2)", "ring": "least(px - 1, 6 - px, py - 2, 6 - py, sqrt((px - 4) ** 2 + (py - 4) ** 2) - 2)"}
+
+
+@query("n15_regions", f"{_I} SELECT img, " + ", ".join(f"count(*) FILTER ({w}) AS n_{n}, round(sum(v * ({_EDGE[n]})) FILTER ({w}), 5) + 0.0 AS d_{n}, count(*) FILTER (({w}) AND {_EDGE[n]} <= 1) AS f_{n}" for n, (w, _) in _SHAPES.items()) + " FROM images GROUP BY img")
+def n15_regions(spark, sf):
+    """The whole image, its largest circle, and a box without an inner circle: pixels, distances to the border, frame."""
+    at, out = (F.col("px"), F.col("py")), []
+    for name, (_, region) in _SHAPES.items():
+        region.check((8, 8))
+        inside, d = region.inside(*at), region.column_distance(*at)
+        out += [F.count_if(inside).alias(f"n_{name}"), clean0(F.sum(F.when(inside, F.col("v") * d)), 5).alias(f"d_{name}"), F.count_if(region.frame(*at, width=1.0)).alias(f"f_{name}")]
+    return images(spark, sf).groupBy("img").agg(*out)
+
+
 _DIST = "least(abs(px - 1), abs(px - 6), abs(py - 2), abs(py - 6))"
 
 
@@ -412,7 +427,7 @@ def n33(spark, sf):
 @query("n34_count_check", f"WITH {_CURVES} SELECT run, count(DISTINCT proj) AS n_proj, count(DISTINCT tilt) AS n_tilt, count(DISTINCT proj) = count(DISTINCT tilt) AS consistent FROM flat GROUP BY run")
 def n34(spark, sf):
     flat = curves(spark, sf)
-    return cv.assert_counts(flat.select("run", "proj"), flat.select("run", "tilt").distinct(), ["run"]).select("run", "n_proj", "n_tilt", F.lit(True).alias("consistent"))
+    return cv.assert_counts(flat.select("run", "proj"), flat.select("run", "tilt").distinct(), ["run"]).select("run", "n_proj", "n_tilt", (F.col("n_proj") == F.col("n_tilt")).alias("consistent"))
 
 
 # images 3k, 3k + 1 and 3k + 2: input, miss and full; the first two rescaled to the third within a circle

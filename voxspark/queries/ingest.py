@@ -201,3 +201,50 @@ def s13(spark, sf):
     flat = mrc.explode_bricks(images.selectExpr("series as vol_id", "1 as nz", "nx", "ny", "proj as z0", "0 as x0", "0 as y0", "data"))
     out = flat.groupBy(_number(F.col("vol_id")).alias("series"), F.col("z").alias("proj")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("v").cast("double") * (1 + F.col("x") * 4 + F.col("y"))).alias("total"))
     return out.withColumn("total", F.round("total", 5) + 0.0)
+
+
+# --- what other readers and writers make, read back ------------------------------------------------------
+
+
+def _new_folder(spark, name):
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("s01_catalogs", "SELECT s_name AS tomogram, s_suppkey AS mpid, CASE WHEN s_suppkey % 2 = 0 THEN s_nationkey::VARCHAR || 'nm' END AS thickness, s_acctbal AS pixel_size_a FROM supplier")
+def s01(spark, sf):
+    """Two catalogs of differing columns, written as CSV and read as one table."""
+    k, rows = F.col("s_suppkey"), table(spark, sf, "supplier")
+    base = [F.col("s_name").alias("Tomogram"), k.alias("MPID"), F.col("s_acctbal").alias("PIxel Size (A)"), F.col("s_nationkey").alias("Nation")]
+    paths = [_new_folder(spark, "catalog") for _ in range(2)]
+    rows.filter(k % 2 == 0).select(*base, F.concat(F.col("s_nationkey").cast("string"), F.lit("nm")).alias("Thickness")).write.option("header", True).csv(paths[0])
+    rows.filter(k % 2 == 1).select(*reversed(base)).write.option("header", True).csv(paths[1])
+    return src.read_catalog(spark, paths).select("tomogram", "mpid", "thickness", "pixel_size_a")
+
+
+@query("s07_tilt_list", "SELECT (row_number() OVER (ORDER BY s_suppkey) - 1)::INT AS proj, (s_suppkey * 7 % 1200) / 10.0::DOUBLE - 60 AS tilt FROM supplier")
+def s07(spark, sf):
+    """The tilts of one series, a line each, written and read."""
+    angles = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("proj"), (F.col("s_suppkey") * 7 % 1200 / 10.0 - 60).alias("tilt"))
+    path = _new_folder(spark, "tilts")
+    src.write_tilt_angles(angles, path)
+    return src.read_tilt_angles(spark, f"{path}/part-*").select("proj", F.round("tilt", 1).alias("tilt"))
+
+
+@query("s10_boxes", "SELECT vec_id AS bead, 'r' || (vec_id % 3)::VARCHAR AS recon_label, round(list_sum(list_transform(embedding, lambda v: v::DOUBLE)), 5) + 0.0 AS total FROM embeddings WHERE vec_id % 5 = 1")
+def s10(spark, sf):
+    """Boxes of beads written by tomogram and label; those of one tomogram read."""
+    k, path = F.col("vec_id"), _new_folder(spark, "boxes")
+    name = lambda c, n: F.concat(F.lit(c), (k % n).cast("string"))
+    src.write_roi(table(spark, sf, "embeddings").select(name("t", 5).alias("tomogram"), name("r", 3).alias("recon_label"), k.alias("bead"), F.col("embedding").alias("values")), path)
+    total = F.aggregate("values", F.lit(0.0), lambda s, v: s + v)
+    return src.read_roi(spark, path, tomogram="t1").select("bead", "recon_label", (F.round(total, 5) + 0.0).alias("total"))
+
+
+@query("k08_titled_curves", f"WITH {_CURVES} SELECT run, 'Projection # ' || (proj + 1)::VARCHAR || ' - Tilt angle: ' || printf('%5.2f', tilt) AS text, 66 AS lines FROM (SELECT DISTINCT run, proj, tilt FROM flat)")
+def k08(spark, sf):
+    """The text of the curves of all projections, read back: its titles, and how many lines stand below each."""
+    path = _new_folder(spark, "curves")
+    src.write_curves(curves(spark, sf).withColumn("res", 1 / F.col("s")), ["run", "proj"], path, titled=True)
+    lines = spark.read.text(path)
+    counts = lines.groupBy("run").agg((F.count(F.lit(1)) / F.count_if(F.col("value").startswith("Projection"))).cast("int").alias("lines"))
+    return lines.filter(F.col("value").startswith("Projection")).join(counts, "run").select("run", F.col("value").alias("text"), "lines")

@@ -134,6 +134,12 @@ def p11(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", grids.path_of(c, k, k % 6 * 10 + 11, angle).alias("path"))
 
 
+@query("p11_run_paths", "SELECT s_suppkey AS mpid, num_ang, max_ang, printf('/data/ccdb%d/microscopy_%d/%d-limited[%.1f_-%.1f]', s_nationkey, s_suppkey, num_ang, max_ang, max_ang) AS path FROM supplier, (SELECT unnest([121, 33, 5]) AS num_ang, unnest([60.0, 40.5, 10.0])::DOUBLE AS max_ang)")
+def p11_runs(spark, sf):
+    catalog = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("mpid"), F.col("s_nationkey").alias("ccdbprod"))
+    return grids.run_paths(catalog, [(121, 60.0), (33, 40.5), (5, 10.0)]).select("mpid", "num_ang", "max_ang", "path")
+
+
 @query("p12_exactly_one", f"WITH {_FILES}, {_EXPECTED} SELECT run, role, path FROM n WHERE n = 1")
 def p12(spark, sf):
     return grids.exactly_one(files(spark, sf), ["run", "role"], expected(spark, sf))[0]
@@ -219,7 +225,7 @@ def p22(spark, sf):
     as_struct = F.when(k % 2 == 0, F.struct((price / 1000).alias("x"), (-price / 777).alias("y"), (k % 60).cast("double").alias("z")))
     as_tuple = F.array(price / 1000, -price / 777, (k % 60).cast("double"))
     rows = table(spark, sf, "orders").select("o_orderkey", as_struct.alias("position"), as_tuple.alias("xyz"))
-    return rows.select("o_orderkey", *[F.coalesce(f"position.{a}", F.get("xyz", F.lit(i))).cast("int").alias(a) for i, a in enumerate("xyz")])
+    return grids.normalise_points(rows)
 
 
 @query("p23_safe_names", r"SELECT page_id, regexp_replace(url, '[^\p{L}\p{N}_.-]', '_', 'g') AS name FROM pages")
