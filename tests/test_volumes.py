@@ -134,6 +134,16 @@ def test_bead_score_over_bricks_equals_one_transform(spark, shape, edges, diamet
     assert set(strong) == set(map(tuple, want.tolist())) and all(v == pytest.approx(got[k]) for k, v in strong.items())
 
 
+@pytest.mark.parametrize(("shape", "edges"), [((13, 20, 17), (5, 8, 6)), ((8, 10, 12), (4, 4, 5))])
+def test_bead_score_without_the_wedge_equals_one_transform(spark, shape, edges):
+    rng = np.random.default_rng(15)
+    cube = rng.normal(0, 1, shape)
+    wedge = (-0.9, 1.0, 0.1)
+    one = crossval.bead_score(spark.createDataFrame([(4, cube.ravel().tolist())], "vol_id long, v array<double>"), "vol_id", "v", shape, 3.5, wedge)
+    got = as_volume(volumes.bead_score_wedge(spark.createDataFrame(bricks_of(4, cube, edges), BRICKS), shape, 3.5, wedge, block=6).collect(), shape)
+    assert np.allclose(got, np.reshape(one.first()["score"], shape), atol=1e-9)
+
+
 def test_projections_of_bricks_equal_those_of_voxels(spark):
     rng = np.random.default_rng(6)
     cube = rng.normal(0, 1, (9, 20, 14))

@@ -371,6 +371,40 @@ def cropped_transforms(bricks: DataFrame, shape: Shape, to: Shape, block: int =
     return found.withColumnRenamed("run", "vol_id")
 
 
+Filter = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+
+
+def filtered_volumes(bricks: DataFrame, shape: Shape, weights: Filter, block: int = BLOCK) -> DataFrame:
+    """Volumes of bricks multiplied in reciprocal space by ``weights`` (of kz, kx, ky), as bricks of one section each.
+
+    A block is transformed along z, weighed and transformed back where it lies; one more shuffle brings sections together again.
+    What is not symmetric in ``weights`` counts as the mean of opposite frequencies, as the real part of the result has it.
+    """
+    nz, nx, ny = shape
+    members = bricks.select("vol_id").distinct().select(F.col("vol_id").alias("run"), F.lit(1).alias("side"), "vol_id")
+
+    def weigh(sides: dict[int, np.ndarray], kz: np.ndarray, kx: np.ndarray, ky: np.ndarray) -> pd.DataFrame:
+        grid = [kz[:, None, None], kx[None, :, None], ky[None, None, :]]
+        there = weights(*[_opposite(k, n) for k, n in zip(grid, shape)])
+        made = np.fft.ifft(sides[1] * 0.5 * (weights(*grid) + np.conj(there)), axis=0)
+        first = int(np.flatnonzero(signed(nx) == kx[0])[0]), int(np.flatnonzero(signed(ny)[: ny // 2 + 1] == ky[0])[0])
+        return pd.DataFrame({"z": np.arange(nz), "kx0": first[0], "ky0": first[1], "nkx": len(kx), "nky": len(ky), "re": [np.ascontiguousarray(c.real).tobytes() for c in made], "im": [np.ascontiguousarray(c.imag).tobytes() for c in made]})
+
+    back = by_blocks(section_planes(bricks, members, shape, block=block), shape, weigh, "z long, kx0 int, ky0 int, nkx int, nky int, re binary, im binary", block)
+
+    def section(frame: pd.DataFrame) -> pd.DataFrame:
+        half = np.zeros((nx, ny // 2 + 1), np.complex128)
+        for r in frame.itertuples():
+            half[r.kx0 : r.kx0 + r.nkx, r.ky0 : r.ky0 + r.nky] = (np.frombuffer(r.re) + 1j * np.frombuffer(r.im)).reshape(r.nkx, r.nky)
+        first = frame.iloc[0]
+        made = np.fft.irfft2(half, (nx, ny))
+        return pd.DataFrame({"vol_id": [first["run"]], "bz": [first["z"]], "bx": [0], "by": [0], "z0": [first["z"]], "x0": [0], "y0": [0], "nz": [1], "nx": [nx], "ny": [ny], "data": [made.ravel()]})
+
+    kind = bricks.schema["vol_id"].dataType.simpleString()
+    numbers = ", ".join(f"{c} long" for c in BRICK[1:-1])
+    return back.groupBy("run", "z").applyInPandas(section, f"vol_id {kind}, {numbers}, data array<double>")
+
+
 # --- correlation with a ball ----------------------------------------------------------------------------
 
 
@@ -422,7 +456,7 @@ def bead_score_bricks(bricks: DataFrame, shape: Shape, edges: Shape, diameter: f
 
     A brick and its halo are correlated with the ball by one transform; places whose ball would leave the halo are
     dropped (overlap-save), so the result does not depend on where volumes are cut. Bricks have ``edges`` voxels a side,
-    less at the end of a volume. A frequency filter such as the missing wedge has no bounded reach: for that see ``bead_score``.
+    less at the end of a volume. A frequency filter such as the missing wedge has no bounded reach: see ``bead_score_wedge``.
     """
     ball = ball_offsets(diameter)
     reach = int(np.abs(ball).max(initial=0))
@@ -450,6 +484,31 @@ def bead_score_bricks(bricks: DataFrame, shape: Shape, edges: Shape, diameter: f
     return with_halo(bricks, shape, edges, reach).mapInPandas(run, f"vol_id {kind}, {numbers}, data array<double>")
 
 
+def ball_transform(diameter: float, shape: Shape) -> Filter:
+    """The transform of a sphere of -1 of ``diameter`` voxels at any frequencies, axis after axis."""
+    ball = ball_offsets(diameter)
+    reach = int(diameter)
+    held = np.zeros((2 * reach,) * 3)
+    held[tuple((ball + reach).T)] = -1.0
+    offsets = np.arange(-reach, reach)
+
+    def run(kz: np.ndarray, kx: np.ndarray, ky: np.ndarray) -> np.ndarray:
+        waves = [np.exp(-2j * np.pi * np.outer(np.ravel(k), offsets) / n) for k, n in zip((kz, kx, ky), shape)]
+        return np.einsum("zo,xp,opy->zxy", waves[0], waves[1], np.tensordot(held, waves[2], axes=(2, 1)), optimize=True)
+
+    return run
+
+
+def bead_score_wedge(bricks: DataFrame, shape: Shape, diameter: float, wedge: tuple[float, float, float], block: int = BLOCK) -> DataFrame:
+    """``bead_score_bricks`` without the frequencies of the missing ``wedge`` (tilt range and x tilt in radians), as bricks of one section each."""
+    ball = ball_transform(diameter, shape)
+
+    def weights(kz: np.ndarray, kx: np.ndarray, ky: np.ndarray) -> np.ndarray:
+        return ball(kz, kx, ky) * ~wedge_angles(*[k / n for k, n in zip((kz, kx, ky), shape)], *wedge)
+
+    return filtered_volumes(bricks, shape, weights, block)
+
+
 def strong_voxels(score: DataFrame, k: float) -> DataFrame:
     """``vol_id, z, x, y, v`` of the voxels that exceed the mean of their volume by more than ``k`` population deviations.
 

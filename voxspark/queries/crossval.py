@@ -365,6 +365,17 @@ def n28_bricks(spark, sf):
     return vo.strong_voxels(score, 2.0).withColumn("v", clean0(F.col("v"), 5))
 
 
+@query("n28_bead_score_wedge", f"""WITH {_CUBES}, ks AS (SELECT unnest([-4, -3, -2, -1, 0, 1, 2, 3]) AS k), ball AS ({_BALL}), freq AS (SELECT a.k AS kz, b.k AS kx, c.k AS ky FROM ks a, ks b, ks c),
+kept AS (SELECT kz, kx, ky, CASE WHEN {_WEDGE} THEN 0 ELSE sum(-cos(2 * pi() * (kz * oz + kx * ox + ky * oy) / 8)) END AS t FROM freq, ball GROUP BY kz, kx, ky),
+near AS (SELECT a.i AS dz, b.i AS dx, c.i AS dy, sum(t * cos(2 * pi() * (kz * a.i + kx * b.i + ky * c.i) / 8)) / 512 AS w FROM kept, range(8) a(i), range(8) b(i), range(8) c(i) GROUP BY ALL),
+sc AS (SELECT vol_id, (z + dz) % 8 AS z, (x + dx) % 8 AS x, (y + dy) % 8 AS y, sum(v * w) AS v FROM big, near GROUP BY ALL),
+st AS (SELECT vol_id, avg(v) + 2 * stddev_pop(v) AS cut FROM sc GROUP BY vol_id) SELECT sc.vol_id, z::INT AS z, x::INT AS x, y::INT AS y, round(v, 5) + 0.0 AS v FROM sc JOIN st USING (vol_id) WHERE v > cut""")
+def n28_wedge(spark, sf):
+    """The same without the frequencies of the missing wedge: transformed by transposition, there and back."""
+    score = vo.bead_score_wedge(cubes(spark, sf), EIGHT, 2.0, _WEDGE_RANGE, block=4)
+    return vo.strong_voxels(score, 2.0).withColumn("v", clean0(F.col("v"), 5))
+
+
 # a ball of diameter 2 has the centre and its six neighbours; the transform of minus it, without the wedge, times that of the volume
 @query("n28_bead_score", _PLAIN + f""", ball AS ({_BALL}), tmpl AS (SELECT kz, kx, ky, CASE WHEN {_WEDGE} THEN 0 ELSE sum(-cos(2 * pi() * (kz * oz + kx * ox + ky * oy) / 4)) END AS t FROM freq, ball GROUP BY kz, kx, ky),
 prod AS (SELECT vol_id, kz, kx, ky, re * t AS re, im * t AS im FROM ft JOIN tmpl USING (kz, kx, ky)),
