@@ -218,7 +218,8 @@ def search(queries: DataFrame, recordings: DataFrame, scratch: Scratch, most_err
     query begins. Queries with equal fingerprints are aligned once. Every offset at which
     a pair shares an integer is rated; the one of the fewest errors a frame is taken, of equals the longest, then the
     smallest. Null or broken media neither search nor match, and rows without an id
-    take no part; empty tables give an empty result.
+    take no part; rows that repeat an id count as often in ``n_members``; very long media are one row, compared in
+    blocks of frames; other columns are left alone; empty tables give an empty result.
     """
     index = scratch.keep(classes(fingerprints(recordings)), "index")
     asked = scratch.keep(fingerprints(queries.filter("rec_id is not null")), "asked")

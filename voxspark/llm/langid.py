@@ -260,8 +260,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     ``score`` is the posterior of the language found, all languages being as likely beforehand.
     Null texts and texts without a letter are ``und`` with score 0. Ties go to the language that sorts
-    first. ``mean_log`` is the log probability per letter under that language. Whole texts are scored;
-    repeated rows, other columns and empty tables do no harm.
+    first. ``mean_log`` is the log probability per letter under that language. Whole texts are scored, words of any
+    length too; repeated rows, other columns and empty tables do no harm.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few MB, whatever the input
 

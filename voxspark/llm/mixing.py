@@ -89,7 +89,11 @@ def mix(docs: DataFrame, scratch: Scratch, **options) -> DataFrame:
 
 
 def mixed(docs: DataFrame, scratch: Scratch, **options) -> DataFrame:
-    """The rows of ``docs``, each as many times as the mix takes it. Only sizes and sums are shuffled, no texts."""
+    """The rows of ``docs``, each as many times as the mix takes it. Only sizes and sums are shuffled, no texts.
+
+    Null, empty and very long texts have the number of their words as size, rows without words go with their source's
+    share; null sources are a source of their own; repeated rows are taken alike; an empty table gives an empty result.
+    """
     rows = scratch.keep(docs.select("source", word_count(F.col("text")).alias("size"), id_hash(F.col("doc_id")).alias("hash")), "sizes")
     packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     joined = packed.join(thresholds(rows, scratch, **options), F.col("row.source").eqNullSafe(F.col("mix_source")))

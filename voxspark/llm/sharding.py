@@ -132,7 +132,7 @@ def shard(docs: DataFrame, scratch: Scratch, shards: int = 24, bits: int = 5) ->
     Dimensions: source, language and size class. Returns ``doc_id, size, text_crc32, law, shard,
     slot, grown_shard, hilbert``. Shard ``k`` holds ranks ``ceil(k * n / shards)`` up to the next;
     slots count from 0 in it. Null text counts as no bytes and has no crc32; null metadata falls into
-    cell 0; equal rows get neighbouring ranks; an empty table gives an empty result; other columns are left alone.
+    cell 0; equal rows get neighbouring ranks; very long texts are one row like others; an empty table gives an empty result; other columns are left alone.
     """
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 8
     placed = _placed(docs, scratch, [F.col("doc_id"), size.alias("size"), F.crc32("text").cast("long").alias("text_crc32")], shards, bits)

@@ -294,7 +294,7 @@ def write_tokens(docs: DataFrame, scratch: Scratch, tokenizer: str, folder: str,
     document ends with ``end_id``. Rows that share an id stand side by side, by a hash of their text. ``folder`` is
     a URI that Arrow's file systems open on every executor. A file gets its name when it is complete,
     and a repeated task writes under another name; the manifest, itself a table, names those that count.
-    An empty table gives an empty manifest. Other columns are left alone.
+    Very long texts are encoded whole, in blocks. An empty table gives an empty manifest. Other columns are left alone.
 
     Texts go through the one shuffle, not ids: compressed they take less than 16 bits an id would.
     """
