@@ -38,21 +38,36 @@ _FEATURE = np.dtype([("literal", "<u8"), ("flags", "<u1")])
 HITS = "doc_id long, place long, width int, literal int, window long, slots array<string>"
 
 
+def _feature(w: str) -> tuple[int, int]:
+    """Hash of a word without marks and case, and its flags."""
+    core = _MARKS.sub("", w)
+    flags = _END if _ENDS.search(w) else 0
+    if _NUMBER.fullmatch(w.strip("()[]{}\"'.,;!?#*&")) or core.isdigit():
+        flags |= _NUM
+    elif not core:
+        flags |= _UNIT if w in UNITS else _EMPTY
+    elif core.lower() in UNITS:
+        flags |= _UNIT
+    if core and core[0].isupper() and core[1:].islower():
+        flags |= _TITLE
+    return xxhash.xxh64_intdigest(core.lower().encode("utf-8", "surrogatepass")), flags
+
+
 def _features(words: list[str], names: np.ndarray | None = None) -> np.ndarray:
     """Hash and flags of each word; ``names`` is the filter of known names."""
     out = np.zeros(len(words), _FEATURE)
+    digest = xxhash.xxh64_intdigest
+    literal, flags = [0] * len(words), [0] * len(words)
     for k, w in enumerate(words):
-        core = _MARKS.sub("", w)
-        flags = _END if _ENDS.search(w) else 0
-        if _NUMBER.fullmatch(w.strip("()[]{}\"'.,;!?#*&")) or core.isdigit():
-            flags |= _NUM
-        elif not core:
-            flags |= _UNIT if w in UNITS else _EMPTY
-        elif core.lower() in UNITS:
-            flags |= _UNIT
-        if core and core[0].isupper() and core[1:].islower():
-            flags |= _TITLE
-        out[k] = xxhash.xxh64_intdigest(core.lower().encode("utf-8", "surrogatepass")), flags
+        # a word of letters, with a comma or a full stop at most: nothing else needs the patterns
+        core = w if w.isalpha() else w[:-1] if w[-1] in ",." else ""
+        if core.isalpha():
+            low = core.lower()
+            literal[k] = digest(low.encode())
+            flags[k] = (_END if w[-1] == "." else 0) | (_UNIT if low in UNITS else 0) | (_TITLE if low != core and core[0].isupper() and core[1:].islower() else 0)
+        else:
+            literal[k], flags[k] = _feature(w)
+    out["literal"], out["flags"] = literal, flags
     if names is not None and len(out):
         out["flags"] |= np.where(in_bloom(names, out["literal"]), _KNOWN, 0).astype("u1")
     return out
@@ -64,24 +79,38 @@ def template(row: np.ndarray, values: np.ndarray, capitals: bool = True, known:
     A unit is a unit word after a number. Names are ``known`` ones, and, with ``capitals``, title-case words that do not
     begin the text or follow the end of a sentence; words of marks alone vanish, but do not hide such an end.
     """
+    return _read(_base(row, values), capitals, known)
+
+
+def _base(row: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """What all readings of a text share: literals and flags of its solid words, their places, which begin a sentence, numbers and units."""
     f = values[row]
+    empty = f["flags"] & _EMPTY != 0
+    solid = np.flatnonzero(~empty) if empty.any() else np.arange(len(row))
+    f = f[solid] if len(solid) < len(row) else f
     flags = f["flags"]
-    solid = np.flatnonzero(flags & _EMPTY == 0)
-    if not len(solid):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), solid
-    ends = np.concatenate([[0], np.cumsum(flags & _END != 0)])  # before each word
-    fresh = np.concatenate([[True], ends[solid[1:]] > ends[solid[:-1]]])
-    fl = flags[solid]
-    number = fl & _NUM != 0
-    unit = (fl & _UNIT != 0) & np.concatenate([[False], number[:-1]])
-    name = np.zeros(len(solid), bool)
-    if capitals:
-        name |= (fl & _TITLE != 0) & ~fresh
+    if len(solid) < len(row):
+        ends = np.concatenate([[0], np.cumsum(values["flags"][row] & _END != 0)])  # before each word
+        fresh = np.concatenate([[True], ends[solid[1:]] > ends[solid[:-1]]])[: len(solid)]
+    else:
+        fresh = np.concatenate([[True], flags[:-1] & _END != 0])[: len(solid)]
+    number = flags & _NUM != 0
+    unit = flags & _UNIT != 0
+    unit[1:] &= number[:-1]
+    unit[:1] = False
+    return f["literal"], flags, solid, fresh, number, unit
+
+
+def _read(base: tuple[np.ndarray, ...], capitals: bool, known: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    literal, flags, solid, fresh, number, unit = base
+    kinds = np.full(len(solid), LITERAL)
     if known:
-        name |= fl & _KNOWN != 0
-    name &= ~unit
-    kinds = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, LITERAL)))
-    return np.where(kinds == LITERAL, f["literal"][solid], kinds.astype(np.uint64)), kinds, solid
+        kinds[flags & _KNOWN != 0] = NAME
+    if capitals:
+        kinds[(flags & _TITLE != 0) & ~fresh] = NAME
+    kinds[unit] = UNIT
+    kinds[number] = NUMBER
+    return np.where(kinds == LITERAL, literal, kinds.astype(np.uint64)), kinds, solid
 
 
 def windows(tokens: np.ndarray, kinds: np.ndarray, literals: np.ndarray, w: int, least: int = 0, places: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -247,15 +276,14 @@ def _hits(docs: DataFrame, bloom, names, widths: dict[int, int], least_literal:
 def _found(ids, names: list[str], rows: list[np.ndarray], values: np.ndarray, widths: dict[int, int], least_literal: int, held: np.ndarray | None) -> pd.DataFrame:
     out = []
     for doc_id, row in zip(ids, rows):
-        plain = template(row, values, capitals=False)
+        base = _base(row, values)
+        literals, solid = base[0], base[2]
+        plain = _read(base, False, True)
         readings = [(*plain, None)]
-        if held is not None:
-            marked = template(row, values)
-            other = np.flatnonzero(plain[1] != marked[1])
-            if len(other):
-                readings.append((*marked, other))
-        solid = plain[2]
-        literals = values["literal"][row[solid]]
+        # words that this text alone writes as names
+        if held is not None and ((base[1] & (_TITLE | _KNOWN) == _TITLE) & ~base[3]).any():
+            marked = _read(base, True, True)
+            readings.append((*marked, np.flatnonzero(plain[1] != marked[1])))
         for tokens, kinds, _, other in readings:
             for w, least in widths.items():
                 w = w if held is not None else min(w, len(tokens))
