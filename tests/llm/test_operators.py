@@ -115,6 +115,45 @@ def test_one_shingle_and_one_passage_in_every_document(spark, scratch, monkeypat
     assert got == brute_classes(rows, 4, 80)
 
 
+def test_copies_of_one_text_and_empty_texts_are_spread_over_tasks(spark, scratch, monkeypatch):
+    monkeypatch.setattr(minhash, "_LEAST_HOT", 50)
+    monkeypatch.setattr(minhash, "HOT_KEYS", 20)
+    rng = random.Random(17)
+    one = " ".join(f"c{k}" for k in range(30))
+    texts = [one] * 1200 + [""] * 300 + [None] * 300 + [" ".join(rng.choices([f"w{k}" for k in range(900)], k=20)) for _ in range(200)]
+    rng.shuffle(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    out = minhash.near_duplicates(df, scratch)
+    first = min(i for i, t in enumerate(texts) if t == one)
+    rows = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out.collect()}
+    assert rows == {i: (27, first) if t == one else (17 if t else 0, i) for i, t in enumerate(texts)}
+    copies = out.filter(F.col("component_id") == first).groupBy(F.spark_partition_id()).count().collect()
+    empty = out.filter("n_shingles = 0").groupBy(F.spark_partition_id()).count().collect()
+    for counts in (copies, empty):
+        sizes = sorted(r["count"] for r in counts)
+        assert len(sizes) >= 4 and sizes[-1] < 3 * sizes[len(sizes) // 2]
+
+
+def test_components_of_a_star_and_a_chain(spark, scratch, monkeypatch):
+    monkeypatch.setattr(minhash, "_LEAST_HOT", 5)
+    monkeypatch.setattr(minhash, "HOT_KEYS", 20)
+    rng = random.Random(3)
+    edges = [(1000, k) for k in range(1, 300)] + [(k, k + 1) for k in range(2000, 2060)] + [(5, 5), (2060, 2000)] + [(rng.randrange(3000, 3400), rng.randrange(3000, 3400)) for _ in range(300)]
+    parent = {n: n for e in edges for n in e}
+
+    def find(n):
+        while parent[n] != n:
+            n = parent[n]
+        return n
+
+    for a, b in edges:
+        x, y = find(a), find(b)
+        parent[max(x, y)] = min(x, y)
+    linked = {n for a, b in edges if a != b for n in (a, b)}
+    got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long"), scratch).collect()}
+    assert got == {n: find(n) for n in linked}
+
+
 def test_sketch_estimates_similarity_and_fills_every_bin():
     rng = np.random.default_rng(0)
     for n in (1, 2, 5, 50, 1000):
