@@ -133,12 +133,12 @@ def d07(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", F.posexplode(smooth).alias("i", "v")).withColumn("v", clean0(F.col("v"), 7))
 
 
-_TRIM = "t AS (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN abs(x) < 0.05 THEN NULL ELSE x END)[1:16] AS e FROM embeddings), f AS (SELECT vec_id, e, list_position(list_transform(e, lambda x: x IS NOT NULL), true) AS a, 17 - list_position(list_transform(list_reverse(e), lambda x: x IS NOT NULL), true) AS b FROM t)"
+_TRIM = "t AS (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN abs(x) < 0.2 THEN NULL ELSE x END) AS e FROM embeddings), f AS (SELECT vec_id, e, list_position(list_transform(e, lambda x: x IS NOT NULL), true) AS a, 65 - list_position(list_transform(list_reverse(e), lambda x: x IS NOT NULL), true) AS b FROM t)"
 
 
 @query("d08_trim_nan", f"WITH {_TRIM} SELECT vec_id, CASE WHEN a IS NULL OR b - a + 1 < 7 THEN 0 ELSE b - a + 1 END::INT AS n FROM f")
 def d08(spark, sf):
-    holes = F.slice(F.transform(F.col("embedding").cast("array<double>"), lambda v: F.when(F.abs(v.cast("float")) < F.lit(0.05), None).otherwise(v)), 1, 16)
+    holes = F.transform(F.col("embedding").cast("array<double>"), lambda v: F.when(F.abs(v.cast("float")) < F.lit(0.2), None).otherwise(v))
     return table(spark, sf, "embeddings").select("vec_id", F.size(C.trim_nan(holes)).alias("n"))
 
 

@@ -107,8 +107,12 @@ def k02(spark, sf):
 @query("k03_run_parameters", "SELECT p_partkey, p_size AS cube_size, 'n' || p_size::VARCHAR AS name FROM part")
 def k03(spark, sf):
     schema = "cube_size int, name string"
-    packed = table(spark, sf, "part").select("p_partkey", F.to_json(F.struct(F.col("p_size").alias("cube_size"), F.concat(F.lit("n"), F.col("p_size").cast("string")).alias("name"))).alias("json"))
-    return packed.withColumn("p", F.from_json("json", schema)).select("p_partkey", "p.cube_size", "p.name")
+    name = F.concat(F.lit("n"), F.col("p_size").cast("string")).alias("name")
+    packed = table(spark, sf, "part").select("p_partkey", src.pack_params(F.col("p_size").alias("cube_size"), name).alias("json"))
+    path = _new_folder(spark, "parameters")
+    packed.write.json(path)  # a row for each run beside its results
+    back = spark.read.schema("p_partkey long, json string").json(path)
+    return back.withColumn("p", src.unpack_params(F.col("json"), schema)).select("p_partkey", "p.cube_size", "p.name")
 
 
 @query("k05_pending_runs", "SELECT DISTINCT o_custkey, o_orderpriority FROM orders o WHERE NOT EXISTS (SELECT 1 FROM orders d WHERE d.o_custkey = o.o_custkey AND d.o_orderpriority = o.o_orderpriority AND d.o_orderstatus = 'F')")

@@ -246,6 +246,16 @@ def write_tilt_angles(projections: DataFrame, path: str) -> None:
     tilt_lines(projections).select("proj", "text").coalesce(1).sortWithinPartitions("proj").select("text").write.text(path)
 
 
+def pack_params(*columns: Column) -> Column:
+    """The parameters of a run, columns by their names, as JSON; null ones are left out."""
+    return F.to_json(F.struct(*columns))
+
+
+def unpack_params(packed: Column, schema: str) -> Column:
+    """The parameters of ``schema`` from JSON, a struct; missing ones are null."""
+    return F.from_json(packed, schema)
+
+
 def write_params(spark: SparkSession, params: dict, path: str) -> None:
     """The parameters of a run as one JSON row beside its results."""
     spark.createDataFrame([(json.dumps(params, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)
