@@ -132,8 +132,30 @@ def volume_stats(bricks: DataFrame, region: Region) -> DataFrame:
 
 # --- transforms ---------------------------------------------------------------------------------------
 
-#: Frequencies of a block along x and y.
-BLOCK = 64
+#: Frequencies of a block along x and y, and bytes of results that a task gathers before it hands them on.
+BLOCK, HANDED = 64, 32_000_000
+
+
+def _gathered(df: DataFrame, keys: Sequence[str], values: Sequence[str], kernel: Callable[[tuple, list], pd.DataFrame], schema: str) -> DataFrame:
+    """``kernel`` of each group's keys and parts (rows of ``values``), many groups in one call: a frame for each would cost more than a small group."""
+    rows = df.groupBy(*keys).agg(F.collect_list(F.struct(*values)).alias("parts"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
+        for frame in frames:
+            for row in frame.itertuples(index=False):
+                made = kernel(tuple(row[: len(keys)]), row[-1])
+                held.append(made)
+                size += 16 * made.size + sum(len(v) for c in made if made[c].dtype == object for v in made[c] if isinstance(v, (bytes, np.ndarray)))
+                if size > HANDED:
+                    yield pd.concat(held)
+                    held, size = [], 0
+        if held:
+            yield pd.concat(held)
+
+    return rows.mapInPandas(run, schema)
+
+
 Change = Callable[[np.ndarray, list[np.ndarray], object], np.ndarray]
 
 
@@ -158,20 +180,20 @@ def section_planes(bricks: DataFrame, members: DataFrame, shape: Shape, change:
 
     parts = met.select(*BRICK, "run", "side", *others).mapInPandas(slices, f"run {run_kind}, side int, z long, x0 long, y0 long, nx long, ny long, data binary")
 
-    def transform(frame: pd.DataFrame) -> pd.DataFrame:
+    corners = [(x, y) for x in range(0, nx, block) for y in range(0, ny // 2 + 1, block)]
+
+    def transform(key: tuple, rows: list) -> pd.DataFrame:
         section, filled = np.zeros((nx, ny)), 0
-        for r in frame.itertuples():
-            section[r.x0 : r.x0 + r.nx, r.y0 : r.y0 + r.ny] = np.frombuffer(r.data).reshape(r.nx, r.ny)
-            filled += r.nx * r.ny
+        for r in rows:
+            section[r["x0"] : r["x0"] + r["nx"], r["y0"] : r["y0"] + r["ny"]] = np.frombuffer(r["data"]).reshape(r["nx"], r["ny"])
+            filled += r["nx"] * r["ny"]
         if filled != nx * ny:
-            raise ValueError(f"section {frame['z'].iloc[0]} holds {filled} of {nx * ny} voxels")
+            raise ValueError(f"section {key[2]} holds {filled} of {nx * ny} voxels")
         made = np.fft.rfft2(section)
-        corners = [(x, y) for x in range(0, nx, block) for y in range(0, ny // 2 + 1, block)]
         cut = [made[x : x + block, y : y + block] for x, y in corners]
-        first = frame.iloc[0]
-        return pd.DataFrame({"run": first["run"], "side": first["side"], "kx0": [x for x, _ in corners], "ky0": [y for _, y in corners], "z": first["z"], "re": [c.real.tobytes() for c in cut], "im": [c.imag.tobytes() for c in cut]})
+        return pd.DataFrame({"run": key[0], "side": key[1], "kx0": [x for x, _ in corners], "ky0": [y for _, y in corners], "z": key[2], "re": [c.real.tobytes() for c in cut], "im": [c.imag.tobytes() for c in cut]})
 
-    return parts.groupBy("run", "side", "z").applyInPandas(transform, f"run {run_kind}, side int, kx0 int, ky0 int, z long, re binary, im binary")
+    return _gathered(parts, ["run", "side", "z"], ["x0", "y0", "nx", "ny", "data"], transform, f"run {run_kind}, side int, kx0 int, ky0 int, z long, re binary, im binary")
 
 
 def signed(n: int) -> np.ndarray:
@@ -191,23 +213,25 @@ def by_blocks(planes: DataFrame, shape: Shape, kernel: Kernel, schema: str, bloc
     """
     nz, nx, ny = shape
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        kx0, ky0 = int(frame["kx0"].iloc[0]), int(frame["ky0"].iloc[0])
+    def run(key: tuple, rows: list) -> pd.DataFrame:
+        _, kx0, ky0 = key
         kx, ky = signed(nx)[kx0 : kx0 + block], signed(ny)[ky0 : min(ky0 + block, ny // 2 + 1)]
-        sides = {}
-        for side, own in frame.groupby("side"):
-            if len(own) != nz:
-                raise ValueError(f"a volume has {len(own)} of {nz} sections")
-            cube = np.zeros((nz, len(kx), len(ky)), np.complex128)
-            for z, re, im in own[["z", "re", "im"]].itertuples(index=False):
-                cube[z] = (np.frombuffer(re) + 1j * np.frombuffer(im)).reshape(len(kx), len(ky))
-            sides[int(side)] = np.fft.fft(cube, axis=0)
-        out = kernel(sides, signed(nz), kx, ky)
-        out.insert(0, "run", frame["run"].iloc[0])
+        sides: dict[int, np.ndarray] = {}
+        found: dict[int, int] = {}
+        for r in rows:
+            side = int(r["side"])
+            if side not in sides:
+                sides[side] = np.zeros((nz, len(kx), len(ky)), np.complex128)
+            sides[side][r["z"]] = (np.frombuffer(r["re"]) + 1j * np.frombuffer(r["im"])).reshape(len(kx), len(ky))
+            found[side] = found.get(side, 0) + 1
+        if any(n != nz for n in found.values()):
+            raise ValueError(f"a volume has {min(found.values())} of {nz} sections")
+        out = kernel({side: np.fft.fft(cube, axis=0) for side, cube in sides.items()}, signed(nz), kx, ky)
+        out.insert(0, "run", key[0])
         return out
 
     kind = planes.schema["run"].dataType.simpleString()
-    return planes.groupBy("run", "kx0", "ky0").applyInPandas(run, f"run {kind}, {schema}")
+    return _gathered(planes, ["run", "kx0", "ky0"], ["side", "z", "re", "im"], run, f"run {kind}, {schema}")
 
 
 def halves_of(ky: np.ndarray, ny: int) -> np.ndarray:
@@ -392,17 +416,17 @@ def filtered_volumes(bricks: DataFrame, shape: Shape, weights: Filter, block: in
 
     back = by_blocks(section_planes(bricks, members, shape, block=block), shape, weigh, "z long, kx0 int, ky0 int, nkx int, nky int, re binary, im binary", block)
 
-    def section(frame: pd.DataFrame) -> pd.DataFrame:
+    def section(key: tuple, rows: list) -> pd.DataFrame:
         half = np.zeros((nx, ny // 2 + 1), np.complex128)
-        for r in frame.itertuples():
-            half[r.kx0 : r.kx0 + r.nkx, r.ky0 : r.ky0 + r.nky] = (np.frombuffer(r.re) + 1j * np.frombuffer(r.im)).reshape(r.nkx, r.nky)
-        first = frame.iloc[0]
+        for r in rows:
+            x, y, a, b = r["kx0"], r["ky0"], r["nkx"], r["nky"]
+            half[x : x + a, y : y + b] = (np.frombuffer(r["re"]) + 1j * np.frombuffer(r["im"])).reshape(a, b)
         made = np.fft.irfft2(half, (nx, ny))
-        return pd.DataFrame({"vol_id": [first["run"]], "bz": [first["z"]], "bx": [0], "by": [0], "z0": [first["z"]], "x0": [0], "y0": [0], "nz": [1], "nx": [nx], "ny": [ny], "data": [made.ravel()]})
+        return pd.DataFrame({"vol_id": [key[0]], "bz": [key[1]], "bx": [0], "by": [0], "z0": [key[1]], "x0": [0], "y0": [0], "nz": [1], "nx": [nx], "ny": [ny], "data": [made.ravel()]})
 
     kind = bricks.schema["vol_id"].dataType.simpleString()
     numbers = ", ".join(f"{c} long" for c in BRICK[1:-1])
-    return back.groupBy("run", "z").applyInPandas(section, f"vol_id {kind}, {numbers}, data array<double>")
+    return _gathered(back, ["run", "z"], ["kx0", "ky0", "nkx", "nky", "re", "im"], section, f"vol_id {kind}, {numbers}, data array<double>")
 
 
 # --- correlation with a ball ----------------------------------------------------------------------------
@@ -581,18 +605,19 @@ def project_bricks(bricks: DataFrame, views: DataFrame, centre: Sequence[float],
 
     parts = met.select(*BRICK, "views").mapInPandas(splat, f"vol_id {kind}, proj int, tx int, ty int, places array<int>, sums binary, weights binary")
 
-    def add(frame: pd.DataFrame) -> pd.DataFrame:
-        sums, weights = np.zeros((tile, tile)), np.zeros((tile, tile))
-        for places, s, w in frame[["places", "sums", "weights"]].itertuples(index=False):
-            x, y, nx, ny = places
-            sums[x : x + nx, y : y + ny] += np.frombuffer(s).reshape(nx, ny)
-            weights[x : x + nx, y : y + ny] += np.frombuffer(w).reshape(nx, ny)
+    whole = tuple(min(tile, n) for n in shape)
+
+    def add(key: tuple, rows: list) -> pd.DataFrame:
+        sums, weights = np.zeros(whole), np.zeros(whole)
+        for r in rows:
+            x, y, nx, ny = r["places"]
+            sums[x : x + nx, y : y + ny] += np.frombuffer(r["sums"]).reshape(nx, ny)
+            weights[x : x + nx, y : y + ny] += np.frombuffer(r["weights"]).reshape(nx, ny)
         x, y = np.nonzero(weights)
         v = sums[x, y] / weights[x, y] + background
         if exponent is not None:
             low, high = exponent
             v = np.exp((v - low) / (high - low)) * (high - low)
-        first = frame.iloc[0]
-        return pd.DataFrame({"vol_id": first["vol_id"], "proj": first["proj"], "px": x + first["tx"] * tile, "py": y + first["ty"] * tile, "v": v})
+        return pd.DataFrame({"vol_id": key[0], "proj": key[1], "px": x + key[2] * tile, "py": y + key[3] * tile, "v": v})
 
-    return parts.groupBy("vol_id", "proj", "tx", "ty").applyInPandas(add, f"vol_id {kind}, proj int, px int, py int, v double")
+    return _gathered(parts, ["vol_id", "proj", "tx", "ty"], ["places", "sums", "weights"], add, f"vol_id {kind}, proj int, px int, py int, v double")
