@@ -82,8 +82,11 @@ def template(row: np.ndarray, values: np.ndarray, capitals: bool = True, known:
     return _read(_base(row, values), capitals, known)
 
 
-def _base(row: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, ...]:
-    """What all readings of a text share: literals and flags of its solid words, their places, which begin a sentence, numbers and units."""
+def _base(row: np.ndarray, values: np.ndarray, starts: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """What all readings of a text share: literals and flags of its solid words, their places, which begin a sentence, numbers and units.
+
+    ``row`` may hold several texts, which begin at ``starts`` and after each other.
+    """
     f = values[row]
     empty = f["flags"] & _EMPTY != 0
     solid = np.flatnonzero(~empty) if empty.any() else np.arange(len(row))
@@ -98,6 +101,10 @@ def _base(row: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, ...]:
     unit = flags & _UNIT != 0
     unit[1:] &= number[:-1]
     unit[:1] = False
+    if starts is not None and len(solid):
+        first = np.searchsorted(solid, starts)
+        first = first[first < len(solid)]
+        fresh[first], unit[first] = True, False
     return f["literal"], flags, solid, fresh, number, unit
 
 
@@ -264,34 +271,50 @@ def _hits(docs: DataFrame, bloom, names, widths: dict[int, int], least_literal:
     stand for each text, of the one width or the text's own where that is less."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table, held = WordTable(lambda words: _features(words, names.value)), bloom.value if bloom is not None else None
+        held = bloom.value if bloom is not None else None
         for frame in frames:
             for part, words in split_blocks(frame, unicode_words_of):
-                rows, values = table.look_up(words)
-                yield _found(part["doc_id"], table.names, rows, values, widths, least_literal, held)
+                # most distinct words of a block are new, so no table of them is kept
+                coded = words.flatten().dictionary_encode()
+                distinct = coded.dictionary.to_pylist()
+                starts = words.offsets.to_numpy() - words.offsets[0].as_py()
+                yield _found(part["doc_id"], distinct, coded.indices.to_numpy(), starts, _features(distinct, names.value), widths, least_literal, held)
 
     return docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInPandas(run, HITS)
 
 
-def _found(ids, names: list[str], rows: list[np.ndarray], values: np.ndarray, widths: dict[int, int], least_literal: int, held: np.ndarray | None) -> pd.DataFrame:
+def _found(ids, names: list[str], row: np.ndarray, starts: np.ndarray, values: np.ndarray, widths: dict[int, int], least_literal: int, held: np.ndarray | None) -> pd.DataFrame:
+    """Windows of texts, whose words are ``names`` by ``row`` and which begin at ``starts``: with the filter ``held`` those it lets through, of all texts together; else the windows that stand for each text."""
     out = []
-    for doc_id, row in zip(ids, rows):
-        base = _base(row, values)
-        literals, solid = base[0], base[2]
-        plain = _read(base, False, True)
-        readings = [(*plain, None)]
-        # words that this text alone writes as names
-        if held is not None and ((base[1] & (_TITLE | _KNOWN) == _TITLE) & ~base[3]).any():
-            marked = _read(base, True, True)
-            readings.append((*marked, np.flatnonzero(plain[1] != marked[1])))
-        for tokens, kinds, _, other in readings:
+    columns = ["doc_id", "place", "width", "literal", "window", "slots"]
+    if held is None:
+        for doc_id, a, b in zip(ids, starts, starts[1:]):
+            own = row[a:b]
+            tokens, kinds, solid = template(own, values, capitals=False)
             for w, least in widths.items():
-                w = w if held is not None else min(w, len(tokens))
-                # the second reading differs in the windows that hold one of its own names
-                near = None if other is None else np.unique(np.concatenate([other - i for i in range(w)]))
-                h, places, n_literal = windows(tokens, kinds, literals, w, least, near if near is None else near[near >= 0])
-                if not len(h):
-                    continue
-                kept = np.flatnonzero(in_bloom(held, h)) if held is not None else own_windows(n_literal, w, least_literal)
-                out += [(doc_id, int(p), w, int(n), x, _slots(names, row, kinds, solid, p, w)) for p, n, x in zip(places[kept], n_literal[kept], h[kept].view(np.int64).tolist())]
-    return pd.DataFrame(out, columns=["doc_id", "place", "width", "literal", "window", "slots"])
+                w = min(w, len(tokens))
+                h, places, n_literal = windows(tokens, kinds, values["literal"][own[solid]], w, least)
+                if len(h):
+                    kept = own_windows(n_literal, w, least_literal)
+                    out += [(doc_id, int(p), w, int(n), x, _slots(names, own, kinds, solid, p, w)) for p, n, x in zip(places[kept], n_literal[kept], h[kept].view(np.int64).tolist())]
+        return pd.DataFrame(out, columns=columns)
+    ids = ids.tolist()
+    base = _base(row, values, starts[:-1])
+    literals, solid = base[0], base[2]
+    owner = np.searchsorted(starts, solid, "right") - 1
+    first = np.searchsorted(solid, starts)
+    plain = _read(base, False, True)
+    readings = [(plain, None)]
+    # words that a text alone writes as names
+    if ((base[1] & (_TITLE | _KNOWN) == _TITLE) & ~base[3]).any():
+        marked = _read(base, True, True)
+        readings.append((marked, np.flatnonzero(plain[1] != marked[1])))
+    for (tokens, kinds, _), other in readings:
+        for w, least in widths.items():
+            # the second reading differs in the windows that hold one of its own names
+            near = None if other is None else np.unique(np.concatenate([other - i for i in range(w)]))
+            h, places, n_literal = windows(tokens, kinds, literals, w, least, near if near is None else near[near >= 0])
+            kept = np.flatnonzero(in_bloom(held, h))
+            kept = kept[owner[places[kept]] == owner[places[kept] + w - 1]]  # a window lies in one text
+            out += [(ids[d], int(p - first[d]), w, int(n), x, _slots(names, row, kinds, solid, p, w)) for d, p, n, x in zip(owner[places[kept]].tolist(), places[kept], n_literal[kept], h[kept].view(np.int64).tolist())]
+    return pd.DataFrame(out, columns=columns)
