@@ -188,7 +188,12 @@ BITS_EACH, LEAST_BITS, MOST_BITS = 16, 12, 27
 
 
 def _perhaps(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id may be among ``wanted``, by a filter of bits, so that the texts of few others are shuffled.
+    """Rows of ``docs`` whose id may be among ``wanted``, by a filter of bits, so that the texts of few others are shuffled."""
+    return flagged(docs, wanted).filter("flag").drop("flag")
+
+
+def flagged(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``docs`` with ``flag``: whether their id may be among ``wanted`` (wanted).
 
     The filter is sized by the number of ids and broadcast as words of 64 bits, ``2 ** (MOST_BITS - 6)`` at most; where
     hundreds of millions of ids are wanted, more rows pass, which the join drops.
@@ -200,8 +205,11 @@ def _perhaps(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     one = F.expr("shiftleft(1L, cast(place & 63 as int))")
     bits = wanted.select(place("wanted").alias("place")).groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(one).alias("bits"))
-    met = docs.withColumn("place", place("doc_id")).join(F.broadcast(bits), F.shiftright("place", 6) == F.col("word"))
-    return met.filter(F.col("bits").bitwiseAND(one) != 0).select(*docs.columns)
+    # one column of its own keeps clear of the others' names
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
+    met = docs.select(row, place("doc_id").alias("place")).join(F.broadcast(bits), F.shiftright("place", 6) == F.col("word"), "left")
+    flag = F.coalesce(F.col("bits").bitwiseAND(one) != 0, F.lit(False))
+    return met.select("row", flag.alias("flag")).select("row.*", "flag")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
