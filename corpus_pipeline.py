@@ -34,15 +34,25 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Texts without a word have no class and stay; rows that repeat an id and a text stay once.
     """
     scratch = Scratch(spark, "pipeline-dedup")
-    near = minhash.near_duplicates(docs, scratch, k=5, percent=80).filter("kept")
-    kept = scratch.keep(near.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "kept")
-    scratch.free(kept)
-    again = kept.filter("n > 1").select("doc_id")
+    near = minhash.near_duplicates(docs, scratch, k=5, percent=80)
+    ids = scratch.keep(near.groupBy("doc_id").agg(F.bool_or("kept").alias("stays"), F.count_if(F.col("kept")).alias("n")), "ids")
+    gone = scratch.keep(ids.filter("not stays").select("doc_id"), "gone")
+    again = scratch.keep(ids.filter("n > 1").select("doc_id"), "again")
+    scratch.free(gone, again)
+    out = _among(docs, gone, "left_anti")
     if not again.limit(1).count():
-        return _semi(docs, kept.select("doc_id"), "left_semi")
+        return out
     # only rows whose id is repeated are compared
-    once = _semi(docs, kept.filter("n = 1").select("doc_id"), "left_semi")
-    return once.unionByName(_semi(docs, again, "left_semi").dropDuplicates(["doc_id", "text"]))
+    return _among(out, again, "left_anti").unionByName(_semi(out, again, "left_semi").dropDuplicates(["doc_id", "text"]))
+
+
+def _among(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """``_semi`` for ids that few rows have: a filter of bits lets the other rows by, so that their texts are not shuffled,
+    at small sizes as at large ones."""
+    rows = minhash.flagged(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), "doc_id"), ids.withColumnRenamed("doc_id", "wanted"))
+    rest = rows.filter("not flag").select("row.*")
+    some = rows.filter("flag").select("row.*")
+    return rest.unionByName(_semi(some, ids.hint("merge"), how))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
