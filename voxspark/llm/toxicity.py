@@ -170,7 +170,7 @@ def count_features(seen: np.ndarray, docs: list[np.ndarray], rows: np.ndarray, l
         seen[y, np.unique(rows[np.unique(d)])] += 1
 
 
-def go_through(net: Network, total: dict, docs: list[np.ndarray], rows: np.ndarray, labels: np.ndarray, rng: np.random.Generator, batch: int = 32, rate: float = 0.04, forget: float = 0.3) -> None:
+def go_through(net: Network, total: dict, docs: list[np.ndarray], rows: np.ndarray, labels: np.ndarray, rng: np.random.Generator, batch: int = 8, rate: float = 0.04, forget: float = 0.3) -> None:
     """Changes the weights and ``total`` by all documents once, in random order, ``batch`` at a time.
 
     Each whole word is left out with probability ``forget``, so that its parts are learned too.
