@@ -241,9 +241,13 @@ def tilt_lines(projections: DataFrame) -> DataFrame:
     return projections.select("*", _number(tenth / 10, 5, 1).alias("text"))
 
 
-def write_tilt_angles(projections: DataFrame, path: str) -> None:
-    """The tilt list of one series as text, a line for each projection in order: a small table, written as one file."""
-    tilt_lines(projections).select("proj", "text").coalesce(1).sortWithinPartitions("proj").select("text").write.text(path)
+def write_tilt_angles(projections: DataFrame, path: str, exact: bool = False) -> None:
+    """The tilt list of one series as text, a line for each projection in order: a small table, written as one file.
+
+    ``exact`` writes all digits of an angle, so that it is read as it was, instead of tenths.
+    """
+    lines = projections.withColumn("text", F.col("tilt").cast("string")) if exact else tilt_lines(projections)
+    lines.select("proj", "text").coalesce(1).sortWithinPartitions("proj").select("text").write.text(path)
 
 
 def pack_params(*columns: Column) -> Column:
