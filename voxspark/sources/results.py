@@ -200,7 +200,9 @@ def wide_estimates(df: DataFrame, by: Sequence[str], thresholds: Sequence[float]
 
 
 def _number(c: Column, width: int, digits: int) -> Column:
-    return F.format_string(f"%{width}.{digits}f", c)
+    """``%<width>.<digits>f`` as C prints it: the value itself is rounded, where ``format_string`` rounds halves of its shortest decimal up."""
+    rounded = F.call_function("format_number", c, F.lit("0." + "0" * digits))
+    return F.when(F.abs(c) < 1e9, F.format_string(f"%{width}s", rounded)).otherwise(F.format_string(f"%{width}.{digits}f", c))
 
 
 def curve_lines(curves: DataFrame, by: Sequence[str], label: str = "NLOO2D", titled: bool = False) -> DataFrame:
