@@ -39,14 +39,18 @@ _PLANT = "plant AS (SELECT o_orderkey AS bead, -(1.0 + o_custkey % 5)::DOUBLE AS
 _SAMPLES = _PLANT + ", samples AS (SELECT *, i, a * exp(-((i - x0) ** 2) / (2 * s ** 2)) + c AS v FROM (SELECT *, unnest(range(24)) AS i FROM plant))"
 
 
+#: Samples of a profile, as in the SQL.
+SAMPLES = 24
+
+
 def planted(spark, sf):
     k, u = F.col("o_orderkey"), F.col("o_custkey")
     return table(spark, sf, "orders").select(k.alias("bead"), (-(u % 5 + 1.0)).alias("a"), (k % 7 * 0.5 + 10.0).alias("x0"), (u % 10 * 0.2 + 2.0).alias("s"), F.lit(10.0).alias("c"))
 
 
 def profiles(spark, sf):
-    at = F.sequence(F.lit(0), F.lit(23))
-    return planted(spark, sf).withColumn("samples", F.transform(at, lambda i: C.gaussian(i.cast("double"), F.col("a"), F.col("x0"), F.col("s"), F.col("c"))))
+    # an expression for each of the samples, which Spark compiles; it interprets the functions of transform()
+    return planted(spark, sf).withColumn("samples", F.array(*[C.gaussian(F.lit(float(i)), F.col("a"), F.col("x0"), F.col("s"), F.col("c")) for i in range(SAMPLES)]))
 
 
 # beads are numbered anew in each volume: two of each number, in boxes of their own
@@ -169,7 +173,7 @@ def d12(spark, sf):
 
 @query("d13_r_squared", f"WITH {_SAMPLES}, n AS (SELECT bead, v AS m, v + ((bead * 31 + i * 17) % 7 - 3) * 0.05 AS v FROM samples), g AS (SELECT bead, avg(v) AS mean FROM n GROUP BY bead) SELECT bead, round(1 - sum((v - m) ** 2) / sum((v - mean) ** 2), 6) AS r2 FROM n JOIN g USING (bead) GROUP BY bead")
 def d13(spark, sf):
-    noisy = F.transform("samples", lambda v, i: v + ((F.col("bead") * 31 + i * 17) % 7 - 3) * 0.05)
+    noisy = F.array(*[F.get("samples", F.lit(i)) + ((F.col("bead") * 31 + i * 17) % 7 - 3) * 0.05 for i in range(SAMPLES)])
     return profiles(spark, sf).select("bead", F.round(C.r_squared(noisy, F.col("samples")), 6).alias("r2"))
 
 
