@@ -1,9 +1,10 @@
-"""Volumes in MRC files as bricks: a Python data source, one slab of sections for each partition.
+"""Volumes in MRC files as bricks: a Python data source, one or several slabs of sections for each partition.
 
 ``spark.dataSource.register(MrcSource)`` and ``spark.read.format("mrc").load(path)``. Options: ``brick``, the edge of a
 brick, ``slab``, the sections that a partition reads, ``stack``: each section is one image, a row with its number as
 ``bz``, and ``paths``: several files as a JSON list. Of a slab a task holds the rows of one row of bricks at a time. Both byte
-orders are read.
+orders are read. Where there are more slabs than ``tasks``, neighbours share a partition: small files are many, and a partition of
+its own costs each of them more than its reading.
 
 ``read_bricks`` and ``read_projections`` switch on ``pushdown``: conditions on vol_id and on brick numbers reach the
 reader, which then makes no partition of slabs, and reads no rows, that they leave out.
@@ -13,10 +14,12 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +39,15 @@ class Slab(InputPartition):
     stop: int
 
 
+@dataclass
+class Slabs(InputPartition):
+    parts: list[Slab]
+
+
+#: Bytes of a partition of several slabs at most, files that are opened at once for their headers, voxels of a batch.
+PARTITION_BYTES, OPENED, BATCH = 2**28, 16, 2**18
+
+
 def header_of(source) -> tuple[int, int, int, str, int]:
     """(sections, rows, columns, pixel type, offset of the data)."""
     raw = source.read(HEADER)
@@ -63,10 +75,33 @@ def _open(path: str):
     return system.open_input_file(base)
 
 
+def _header_at(path: str) -> tuple[int, int, int, str, int]:
+    with _open(path) as source:
+        return header_of(source)
+
+
+def _packed(slabs: list[Slab], sizes: list[int], tasks: int) -> list[Slabs]:
+    """The slabs in their order as about ``tasks`` partitions of alike bytes, more where these would be too large; slabs
+    of a file that follow on each other become one."""
+    ends = np.cumsum(sizes)
+    share = min(-(-int(ends[-1]) // tasks), PARTITION_BYTES)
+    out, last = [], -1
+    for slab, number in zip(slabs, ((ends - 1) // share).tolist()):
+        if number > last:
+            out.append(Slabs([]))
+        parts, last = out[-1].parts, number
+        if parts and parts[-1].path == slab.path and parts[-1].stop == slab.start:
+            parts[-1] = Slab(slab.path, parts[-1].start, slab.stop)
+        else:
+            parts.append(slab)
+    return out
+
+
 class MrcReader(DataSourceReader):
     def __init__(self, options: dict):
         self.paths = json.loads(options["paths"]) if "paths" in options else [options["path"]]
         self.brick, self.slab = int(options.get("brick", 64)), int(options.get("slab", 64))
+        self.tasks = int(options["tasks"]) if "tasks" in options else None
         self.filters: list[Filter] = []
         self.stack = str(options.get("stack", "false")).lower() == "true"
         if self.slab % self.brick:
@@ -76,18 +111,23 @@ class MrcReader(DataSourceReader):
         """Whether the conditions that were pushed down leave a value of a column."""
         return all(_holds(f, value) for f in self.filters if f.attribute == (column,))
 
-    def partitions(self) -> list[Slab]:
-        """Slabs of all files; of each file the driver reads the header."""
-        out, step = [], 1 if self.stack else self.brick
-        for path in self.paths:
-            if self._kept("vol_id", path):
-                with _open(path) as source:
-                    sections, *_ = header_of(source)
+    def partitions(self) -> list[InputPartition]:
+        """Slabs of all files; of each file the driver reads the header, of some at a time."""
+        out, sizes, step = [], [], 1 if self.stack else self.brick
+        paths = [p for p in self.paths if self._kept("vol_id", p)]
+        with ThreadPoolExecutor(OPENED) as pool:
+            for path, (sections, nx, ny, kind, _) in zip(paths, pool.map(_header_at, paths)):
                 slabs = [Slab(path, a, min(a + self.slab, sections)) for a in range(0, sections, self.slab)]
-                out += [s for s in slabs if any(self._kept("bz", z // step) and self._kept("z0", z) for z in range(s.start, s.stop, step))]
-        return out
+                slabs = [s for s in slabs if any(self._kept("bz", z // step) and self._kept("z0", z) for z in range(s.start, s.stop, step))]
+                out += slabs
+                sizes += [(s.stop - s.start) * nx * ny * np.dtype(kind).itemsize for s in slabs]
+        return out if self.tasks is None or len(out) <= self.tasks else _packed(out, sizes, self.tasks)
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        for slab in partition.parts if isinstance(partition, Slabs) else [partition]:
+            yield from self._read(slab)
 
-    def read(self, partition: Slab) -> Iterator[tuple]:
+    def _read(self, partition: Slab) -> Iterator[tuple]:
         b = self.brick
         with _open(partition.path) as source:
             _, nx, ny, kind, offset = header_of(source)
@@ -147,7 +187,7 @@ def _reader(spark: SparkSession, paths: str | Sequence[str]):
     spark.dataSource.register(MrcSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     files = [paths] if isinstance(paths, str) else list(paths)
-    return spark.read.format("mrc").option("pushdown", "true").option("paths", json.dumps(files))
+    return spark.read.format("mrc").option("pushdown", "true").option("paths", json.dumps(files)).option("tasks", 4 * spark.sparkContext.defaultParallelism)
 
 
 def read_bricks(spark: SparkSession, paths: str | Sequence[str], brick: int = 64, slab: int = 64, plan: DataFrame | None = None, size: int | None = None) -> DataFrame:
@@ -198,12 +238,22 @@ def write_volumes(sections: DataFrame, folder: str) -> DataFrame:
 
 
 def explode_bricks(bricks):
-    """``vol_id, z, x, y, v`` of bricks, on Arrow batches."""
-    def run(frames):
-        for frame in frames:
-            for r in frame.itertuples():
-                values = np.frombuffer(r.data, "<f4")
-                z, x, y = np.unravel_index(np.arange(len(values)), (r.nz, r.nx, r.ny))
-                yield pd.DataFrame({"vol_id": r.vol_id, "z": z + r.z0, "x": x + r.x0, "y": y + r.y0, "v": values})
-
-    return bricks.mapInPandas(run, "vol_id string, z int, x int, y int, v float")
+    """``vol_id, z, x, y, v`` of bricks, on Arrow batches: of small bricks many at once, of large ones one."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shape = [np.asarray(batch[c]).astype(np.int64) for c in ("nz", "nx", "ny")]
+            start = {c: np.asarray(batch[f"{c}0"]) for c in "zxy"}
+            count = shape[0] * shape[1] * shape[2]
+            parts = (np.cumsum(count) - 1) // BATCH
+            for rows in np.split(np.arange(len(count)), np.flatnonzero(np.diff(parts)) + 1):
+                row = np.repeat(rows, count[rows])
+                place = np.arange(len(row)) - np.repeat(np.cumsum(count[rows]) - count[rows], count[rows])
+                nx, ny = shape[1][row], shape[2][row]
+                at = {"z": place // (nx * ny), "x": place // ny % nx, "y": place % ny}
+                ids = batch["vol_id"].take(pa.array(row))
+                places = [pa.array((at[c] + start[c][row]).astype(np.int32)) for c in "zxy"]
+                values = np.frombuffer(b"".join(batch["data"].take(pa.array(rows)).to_pylist()), "<f4")
+                yield pa.RecordBatch.from_arrays([ids, *places, pa.array(values)], names=["vol_id", "z", "x", "y", "v"])
+
+    needed = bricks.select("vol_id", "nz", "nx", "ny", "z0", "x0", "y0", "data")
+    return needed.mapInArrow(run, "vol_id string, z int, x int, y int, v float")
